@@ -10,9 +10,10 @@
 4. Candidates are verified by their signatures first (a margin of five standard deviations below
    the threshold), then on the full sets.
 5. Large-star and small-star give components.  Buckets that still hold classes of several
-   components hold pairs that no pivot has settled; these are compared by their signatures (blocks
-   of a bucket against each other), the closest of each two components first, confirmed on
-   the full sets as well, and the components are made anew.
+   components hold pairs that no pivot has settled.  Components with alike signatures in a bucket
+   are drawn together, and within each such cluster all classes of different components meet:
+   block by block, by signature, then on the full sets.  Only links leave a block, one for each two
+   components it joins, and the components are made anew.
 """
 
 from __future__ import annotations
@@ -33,8 +34,7 @@ from .windows import _powers, mix
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 42, 5
-BLOCK = 2048  # classes of a bucket that are compared with as many at once
-FIRST = 8  # candidates between two components of a bucket, before all the others
+BLOCK = 1024  # classes of a bucket or cluster that are compared with as many at once
 
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -141,11 +141,15 @@ def _sketch(shingle: int):
     return sketch
 
 
+def _least(threshold: int) -> float:
+    """Minima that the signatures of linked sets share: five standard deviations below what they share on average."""
+    n, s = BANDS * ROWS, threshold / 100
+    return n * (s - 5 * (s * (1 - s) / n) ** 0.5)
+
+
 def _alike(threshold: int):
     """Pairs whose signatures agree as those of similar sets do."""
-    n = BANDS * ROWS
-    s = threshold / 100
-    least = n * (s - 5 * (s * (1 - s) / n) ** 0.5)
+    n, least = BANDS * ROWS, _least(threshold)
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,30 +187,83 @@ def _confirm(shingle: int, threshold: int):
     return confirm
 
 
-def _block_pairs(threshold: int, first: int | None):
-    """The pairs of a bucket's rows (two blocks of it) that are alike and of different components."""
-    n = BANDS * ROWS
-    s = threshold / 100
-    least = n * (s - 5 * (s * (1 - s) / n) ** 0.5)
+class _Joined:
+    """Components that have been joined: union-find over their roots."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up]
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """True if the two were apart."""
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Roots, signatures and the rows of the two blocks (the same rows twice, where a block meets itself)."""
+    block = table.column("block").to_numpy()
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return table.column("root").to_numpy(), signature, np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+
+
+def _roots_alike(threshold: int):
+    """The components of a bucket's two blocks that have alike members: (u, v), a forest of them."""
+    least = _least(threshold)
+
+    def alike(key: tuple, table: pa.Table) -> pa.Table:
+        root, signature, left, right = _sides(table)
+        joined, out = _Joined(), []
+        for i in left:
+            other = right[(root[right] != root[i]) & ((signature[right] == signature[i]).sum(axis=1) >= least)]
+            out += [(int(root[i]), int(r)) for r in np.unique(root[other]) if joined.join(int(root[i]), int(r))]
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+    return alike
+
+
+def _links(shingle: int, threshold: int):
+    """Links between members of different components in two blocks of a cluster: one for each two
+    components that are joined, (u, v) as their roots."""
+    least = _least(threshold)
 
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, n)
-        block = table.column("block").to_numpy()
-        left = np.flatnonzero(block == block.min())
-        right = np.flatnonzero(block == block.max())
-        found: dict[tuple, list] = {}
+    def links(key: tuple, table: pa.Table) -> pa.Table:
+        root, signature, left, right = _sides(table)
+        tool = zstandard.ZstdDecompressor()
+        sets = shingle_sets([tool.decompress(z) for z in table.column("z").to_pylist()], shingle)
+        size = np.array([len(x) for x in sets])
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(size) - size
+        members = np.concatenate([number[begin[i] : begin[i] + size[i]] for i in right])
+        starts = np.cumsum(size[right]) - size[right]
+        mark = np.zeros(int(number.max()) + 1, np.int32)
+        joined, out = _Joined(), []
         for i in left:
-            close = (signature[right] == signature[i]).sum(axis=1)
-            j = (close >= least) & (root[right] != root[i])
-            for k in np.flatnonzero(j).tolist():
-                other = right[k]
-                a, b = sorted(((int(root[i]), int(rep[i])), (int(root[other]), int(rep[other]))))
-                found.setdefault((a[0], b[0]), []).append((-int(close[k]), max(a[1], b[1]), min(a[1], b[1])))
-        out = [x[1:] for pairs in found.values() for x in (sorted(set(pairs))[:first] if first else set(pairs))]
+            close = (root[right] != root[i]) & ((signature[right] == signature[i]).sum(axis=1) >= least)
+            if not close.any():
+                continue
+            own = number[begin[i] : begin[i] + size[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[members], starts)
+            mark[own] = 0
+            linked = close & (100 * common >= threshold * (size[i] + size[right] - common))
+            out += [(int(root[i]), int(r)) for r in np.unique(root[right[linked]]) if joined.join(int(root[i]), int(r))]
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    return pairs
+    return links
+
+
+def _in_blocks(rows: DataFrame, group: str, many: str) -> DataFrame:
+    """Rows for each pair of blocks (lo, hi) of their group that they belong to; ``many``: rows of the group."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(many) / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks", many)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -236,46 +293,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = pivots.select("bucket", (-F.col("best.rep")).alias("pivot"))
     pairs = members.join(pivots, "bucket").filter("rep != pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct()
 
-    compressed = texts.filter("doc_id is not null").mapInArrow(_compress, "id long, z binary")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = signatures.select(F.col("rep").alias("u"), F.col("signature").alias("su"))
-        b = signatures.select(F.col("rep").alias("v"), F.col("signature").alias("sv"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_alike(threshold), "u long, v long")
+    # The texts of all that may be compared, once.
+    compressed = texts.filter("doc_id is not null").mapInArrow(_compress, "rep long, z binary")
+    held = saved(compressed.join(members.select("rep").distinct(), "rep", "left_semi"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs)
-        needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        held = saved(compressed.join(needed, "id", "left_semi"))
-        a = held.select(F.col("id").alias("u"), F.col("z").alias("zu"))
-        b = held.select(F.col("id").alias("v"), F.col("z").alias("zv"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "zu", "zv").mapInArrow(_confirm(shingle, threshold), "u long, v long")
+    def sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        for side in ("u", "v"):
+            pairs = pairs.join(table.select(F.col("rep").alias(side), F.col(value).alias(value + side)), side)
+        return pairs.select("u", "v", f"{value}u", f"{value}v")
 
-    links = saved(confirmed(verified(pairs)).distinct())
+    near = sides(pairs, signatures, "signature").mapInArrow(_alike(threshold), "u long, v long")
+    links = saved(sides(saved(near), held, "z").mapInArrow(_confirm(shingle, threshold), "u long, v long"))
     roots = components(links)
-    for first in (FIRST, None):
-        rest = _unsettled(members, roots, signatures, threshold, first)
-        if rest.isEmpty():
-            break
-        more = saved(confirmed(rest).distinct())
-        links = saved(links.unionByName(more))
-        roots = components(links)
+
+    # What no pivot has settled.
+    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "many", F.coalesce("root", "rep").alias("root"))
+    placed = saved(placed)
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
+    open_rows = _in_blocks(placed.join(mixed, "bucket").join(signatures, "rep"), "bucket", "many")
+    alike = saved(open_rows.groupBy("bucket", "lo", "hi").applyInArrow(_roots_alike(threshold), "u long, v long").distinct())
+    if not alike.isEmpty():
+        clusters = components(alike).withColumnRenamed("root", "cluster").withColumnRenamed("node", "root")
+        clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("root"), "cluster").distinct())
+        within = placed.select("rep", "root").distinct().join(clusters, "root")
+        counts = within.groupBy("cluster").agg(F.count("*").alias("many"))
+        within = _in_blocks(within.join(counts, "cluster").join(signatures, "rep").join(held, "rep"), "cluster", "many")
+        more = within.groupBy("cluster", "lo", "hi").applyInArrow(_links(shingle, threshold), "u long, v long")
+        roots = components(links.unionByName(more))
 
     of = classes.join(roots, classes.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("class_root"))
     ids = named.select("doc_id", "set_key").join(of, "set_key").groupBy("doc_id").agg(F.min("class_root").alias("class_root"))
     linked = sketches.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
     component = F.coalesce("class_root", "doc_id")
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _unsettled(members: DataFrame, roots: DataFrame, signatures: DataFrame, threshold: int, first: int | None) -> DataFrame:
-    """Alike pairs in buckets with several components; ``first``: the closest of each two components only."""
-    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "many", F.coalesce("root", "rep").alias("root"))
-    placed = saved(placed)
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
-    rows = placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("many") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # Block i meets every block; the pair of blocks is named by the smaller and the larger one.
-    rows = rows.join(signatures, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    met = rows.groupBy("bucket", "lo", "hi").applyInArrow(_block_pairs(threshold, first), "u long, v long")
-    return saved(met.distinct())
