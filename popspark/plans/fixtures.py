@@ -51,7 +51,8 @@ SELECT p_partkey AS enterprise_id, p_partkey * 6007 % 100000 AS x, p_partkey * 3
   CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN '851010' WHEN 'MEDIUM' THEN '852000' WHEN 'PROMO' THEN '853100' WHEN 'STANDARD' THEN '854200' WHEN 'SMALL' THEN '471100' ELSE '561000' END AS noga,
   (p_partkey * 6007 % 100000) // 20000 + 5 * ((p_partkey * 3571 % 100000) // 20000) AS zone_id FROM {part}""",
     "zones": """
-SELECT n_nationkey AS zone_id, n_name AS name, n_regionkey AS canton_id, 20000 * (n_nationkey % 5) AS min_x, 20000 * (n_nationkey // 5) AS min_y, 20000 * (n_nationkey % 5) + 10000 AS x, 20000 * (n_nationkey // 5) + 10000 AS y FROM {nation}""",
+SELECT zone_id, name, canton_id, 20000 * (zone_id % 5) AS min_x, 20000 * (zone_id // 5) AS min_y, 20000 * (zone_id % 5) + 10000 AS x, 20000 * (zone_id // 5) + 10000 AS y
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS zone_id, n_name AS name, n_regionkey AS canton_id FROM {nation})""",
     "commuters": """
 SELECT l_orderkey * 10 + l_linenumber AS row_id, c_custkey AS person_id, c_nationkey AS home_zone_id, CASE WHEN l_orderkey % 31 = 0 THEN NULL ELSE s_nationkey END AS work_zone_id, l_orderkey % 29 = 0 AS abroad,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'car' WHEN '2' THEN 'pt' WHEN '3' THEN 'bike' WHEN '4' THEN 'unknown' ELSE 'car_passenger' END AS mode, 1 + l_linenumber AS weight

@@ -82,10 +82,10 @@ def test_hot_deck_takes_the_finest_cell_with_enough(spark):
 
 
 def test_ipu_meets_the_controls(spark):
-    rows = [(1, 1, 10, 1, 2, 30.0, 50.0), (1, 2, 10, 1, 0, 30.0, 50.0), (1, 3, 5, 1, 1, 30.0, 50.0)]
+    rows = [(1, 1, 10, 1, 2, 30.0, 40.0), (1, 2, 10, 1, 0, 30.0, 40.0), (1, 3, 5, 1, 1, 30.0, 40.0)]
     types = spark.createDataFrame(rows, "canton long, type_id long, households long, n_all long, n_kids long, t_all double, t_kids double")
     w = {r.type_id: r.weight for r in matching.ipu(types, "canton", ["all", "kids"], 500, 1e-6).collect()}
-    assert abs(10 * w[1] + 10 * w[2] + 5 * w[3] - 30) < 1e-3 and abs(20 * w[1] + 5 * w[3] - 50) < 1e-3
+    assert abs(10 * w[1] + 10 * w[2] + 5 * w[3] - 30) < 1e-3 and abs(20 * w[1] + 5 * w[3] - 40) < 1e-3
 
 
 def test_tours_with_several_stops(spark):
