@@ -67,7 +67,7 @@ def with_features(urls: DataFrame, url_col: str) -> DataFrame:
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     count = lambda c, pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
     chars = F.split(url, "")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.length(url)
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.greatest(F.length(url), F.lit(1))
     entropy = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - F.when(share(c) > 0, share(c) * F.log2(share(c))).otherwise(0.0))
     return urls.select(
         "*",
