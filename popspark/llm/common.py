@@ -67,7 +67,7 @@ class Remembered(dict):
     newcomers, who go when they are too many.  Long words are made anew each time.
     """
 
-    NEW, KEPT, LONGEST = 150_000, 350_000, 64
+    NEW, KEPT, LONGEST = 600_000, 400_000, 64
 
     def __init__(self, make):
         super().__init__()
