@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -141,19 +142,35 @@ def test_repeats(docs, rows, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def plain_best_fit(lengths, capacity):
+    """Sequences that best fit takes, longest first, without any reduction before."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= x]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
 def test_packing_ids(docs, rows, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     out = packing.pack(docs).collect()
-    lengths, places = Counter(), {}
+    expected, places, total = Counter(), {}, 0
+    for r in rows:
+        ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        first = len(ids) % packing.CAPACITY or packing.CAPACITY
+        for piece, start in enumerate([0, *range(first, len(ids), packing.CAPACITY)]):
+            part = ids[start : first + piece * packing.CAPACITY]
+            expected[r[0], piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == expected
     for r in out:
-        lengths[r.doc_id] += r.length
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    expected = Counter()
-    for r in rows:
-        expected[r[0]] += len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1
-    assert lengths == expected
+    assert -(-total // packing.CAPACITY) <= len(places) <= plain_best_fit([r.length for r in out], packing.CAPACITY)
     for own in places.values():
         at = 0
         for offset, length in sorted(own):
