@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
-from .zones import weighted_cdf
+from .zones import weighted_cdf, weighted_draw
 
 
 def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory: int, min_obs: int, seed: int) -> DataFrame:
@@ -91,8 +91,8 @@ def scale_to_counts(persons: DataFrame, controls: DataFrame, cell: list[str], se
 def multinomial_counts(totals: DataFrame, cdf: DataFrame, seed: int) -> DataFrame:
     """Destinations of each origin's units: every unit draws by itself, so the counts are multinomial."""
     units = totals.filter("total > 0").withColumn("unit", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))))
-    units = units.withColumn("u", uniform(seed, "od", F.col("origin_id"), F.col("unit")))
-    return units.join(cdf, "origin_id").filter("u >= cdf_before and u < cdf").groupBy("origin_id", "destination_id").agg(F.count("*").alias("count"))
+    drawn = weighted_draw(units, uniform(seed, "od", F.col("origin_id"), F.col("unit")), cdf, ["origin_id"])
+    return drawn.groupBy("origin_id", "destination_id").agg(F.count("*").alias("count"))
 
 
 def ipu(types: DataFrame, group: str, controls: list[str], sweeps: int, tolerance: float = 0.0) -> DataFrame:

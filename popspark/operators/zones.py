@@ -87,9 +87,16 @@ def weighted_cdf(df: DataFrame, by: list[str], order: list[str], weight: str = "
     return df.withColumn("cdf", upto / F.sum(weight).over(w)).withColumn("cdf_before", (upto - F.col(weight)) / F.sum(weight).over(w))
 
 
-def weighted_draw(df: DataFrame, u: Column, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """For each row the entry of its cell whose interval of the CDF holds the row's uniform."""
-    return df.withColumn("__u", u).join(cells, keys).filter((F.col("__u") >= F.col("cdf_before")) & (F.col("__u") < F.col("cdf"))).drop("__u")
+def weighted_draw(df: DataFrame, u: Column, cells: DataFrame, keys: list[str], bins: int = 64) -> DataFrame:
+    """For each row the entry of its cell whose interval of the CDF holds the row's uniform.
+
+    Rows and entries meet in ``bins`` equal parts of the uniform, so a row meets about a part of its
+    cell's entries, and the rows of one large cell are dealt out.  An entry is in each part that its
+    interval touches: a cell has at most ``bins`` rows more than entries."""
+    part = lambda x: F.least(F.floor(x * bins), F.lit(bins - 1))
+    spread = cells.withColumn("__bin", F.explode(F.sequence(part(F.col("cdf_before")), part(F.col("cdf")))))
+    rows = df.withColumn("__u", u).withColumn("__bin", part(F.col("__u")))
+    return rows.join(spread, [*keys, "__bin"]).filter((F.col("__u") >= F.col("cdf_before")) & (F.col("__u") < F.col("cdf"))).drop("__u", "__bin")
 
 
 def commuters(df: DataFrame) -> DataFrame:

@@ -126,3 +126,14 @@ def test_files_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/trips").first().geometry == "LINESTRING (0.000 0.000, 1.000 2.000)"
     (tmp_path / "p.csv").write_text("year,n\n2030,5\n2040,6\n")
     assert tables.read_projection(spark, f"{tmp_path}/p.csv", 2040).count() == 1
+
+
+def test_weighted_draw_against_a_scan(spark):
+    rng = np.random.default_rng(3)
+    entries = [(k, i, float(w)) for k in range(3) for i, w in enumerate(rng.integers(0, 9, (1, 70, 400)[k]) + (k == 0))]
+    cdf = zones.weighted_cdf(spark.createDataFrame(entries, "cell int, entry int, weight double"), ["cell"], ["entry"]).select("cell", "entry", "cdf_before", "cdf")
+    values = [0.0, 1 / 64, 0.5, 63 / 64, 0.999999, *rng.random(300)]
+    rows = [(n, n % 4, float(x)) for n, x in enumerate(values)]
+    got = zones.weighted_draw(spark.createDataFrame(rows, "id int, cell int, x double"), F.col("x"), cdf, ["cell"]).select("id", "entry").collect()
+    steps = cdf.collect()
+    assert sorted(got) == sorted((n, s.entry) for n, k, x in rows for s in steps if s.cell == k and s.cdf_before <= x < s.cdf)
