@@ -91,69 +91,252 @@ def draw_distances(legs: DataFrame, dist: DataFrame, seed: int) -> DataFrame:
     return weighted_draw(legs, uniform(seed, "distance", F.col("leg_id")), dist, ["mode", "bin"]).select("leg_id", "distance")
 
 
-def _relax(start: np.ndarray, end: np.ndarray, reach: np.ndarray, rng: np.random.Generator, steps: int, eps: float = 75.0) -> np.ndarray:
-    """Places of a chain's free activities such that the legs are as long as ``reach``.
+def _uniforms(seed: int, keys: np.ndarray, first: np.ndarray, many: int) -> np.ndarray:
+    """``many`` numbers in [0, 1) for each key, from place ``first`` of its own sequence."""
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    with np.errstate(over="ignore"):
+        own = mixed(keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        h = mixed(own[:, None] + (first[:, None] + np.arange(1, many + 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(11)) * 2.0**-53
+
+
+class _Nearest:
+    """The nearest of given places, the smallest id among equals, by a grid of about two places a cell."""
+
+    def __init__(self, ids: np.ndarray, xy: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, xy = ids[order], xy[order]
+        self.low, self.high = xy.min(axis=0), xy.max(axis=0)
+        span = np.maximum(self.high - self.low, 1.0)
+        self.width = max(np.sqrt(span[0] * span[1] * 2 / len(xy)), span.max() / 4096)
+        self.shape = np.floor(span / self.width).astype(np.int64) + 1
+        at = np.floor((xy - self.low) / self.width).astype(np.int64)
+        cell = at[:, 1] * self.shape[0] + at[:, 0]
+        self.rank = np.argsort(cell, kind="stable")
+        self.begin = np.searchsorted(cell[self.rank], np.arange(self.shape.prod() + 1))
+        self.xy, self.sorted_xy = xy, xy[self.rank]
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        """Places in ``ids`` and ``xy``: a block of cells around each point, doubled until no cell outside can be nearer."""
+        out = np.full(len(points), -1)
+        left, reach = np.arange(len(points)), 1
+        while len(left):
+            inside = np.clip(points[left], self.low, self.high)
+            at = np.floor((inside - self.low) / self.width).astype(np.int64)
+            rows = at[:, 1, None] + np.arange(-reach, reach + 1)
+            on = (rows >= 0) & (rows < self.shape[1])
+            rows = np.clip(rows, 0, self.shape[1] - 1) * self.shape[0]
+            first = self.begin[rows + np.maximum(at[:, 0, None] - reach, 0)]
+            many = np.where(on, self.begin[rows + np.minimum(at[:, 0, None] + reach, self.shape[0] - 1) + 1] - first, 0)
+            total = many.sum(axis=1)
+            sure = np.zeros(len(left), bool)
+            step = max(1, 1_000_000 // max(1, int(total.max())))
+            for s in range(0, len(left), step):
+                some = s + np.flatnonzero(total[s : s + step])
+                if not len(some):
+                    continue
+                each = many[some].ravel()
+                i = np.repeat(first[some].ravel() - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                d = ((self.sorted_xy[i] - np.repeat(points[left[some]], total[some], axis=0)) ** 2).sum(axis=1)
+                begin = np.cumsum(total[some]) - total[some]
+                least = np.minimum.reduceat(d, begin)
+                out[left[some]] = np.minimum.reduceat(np.where(d == np.repeat(least, total[some]), self.rank[i], len(self.ids)), begin)
+                # Of places in the box, none is nearer than by the way to the box and from there.
+                sure[some] = least < ((points[left[some]] - inside[some]) ** 2).sum(axis=1) + (reach * self.width) ** 2
+            if reach >= self.shape.max():
+                break
+            left, reach = left[~sure], reach * 2
+        return out
+
+
+class _Distances:
+    """Distributions of distances by mode and travel-time bin, to draw from."""
+
+    def __init__(self, bins: pd.DataFrame, dist: pd.DataFrame):
+        dist = dist.merge(bins, on=["mode", "bin"]).sort_values(["mode", "bin", "cdf"])
+        cells = dist.drop_duplicates(["mode", "bin"])
+        self.cdf, self.distance = dist["cdf"].to_numpy(float), dist["distance"].to_numpy(float)
+        new = np.r_[True, ((dist["mode"].to_numpy()[1:] != dist["mode"].to_numpy()[:-1]) | (dist["bin"].to_numpy()[1:] != dist["bin"].to_numpy()[:-1]))][: len(dist)]
+        self.first = np.flatnonzero(new)
+        self.last = np.r_[self.first[1:], len(dist)] - 1
+        self.key = np.cumsum(new) - 1 + self.cdf
+        self.upper = {m: (g["upper"].to_numpy(float), k) for m, g, k in self._modes(cells)}
+
+    @staticmethod
+    def _modes(cells: pd.DataFrame) -> Iterator[tuple]:
+        at = 0
+        for mode, group in cells.groupby("mode", sort=True):
+            yield mode, group, at
+            at += len(group)
+
+    def cells(self, modes: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The cell of each leg: the first bin with distances that reaches its travel time, or the mode's last one."""
+        out = np.empty(modes.shape, np.int64)
+        for mode in set(modes.ravel().tolist()):
+            if mode not in self.upper:
+                raise ValueError(f"no distances for mode {mode}")
+            upper, at = self.upper[mode]
+            own = modes == mode
+            out[own] = at + np.minimum(np.searchsorted(upper, times[own], side="left"), len(upper) - 1)
+        return out
+
+    def draw(self, cells: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return self.distance[np.clip(np.searchsorted(self.key, cells + u, side="left"), self.first[cells], self.last[cells])]
+
+
+def _gap(reach: np.ndarray, direct: np.ndarray) -> np.ndarray:
+    """How far leg lengths (last axis) are from closing a chain over the direct distance; 0 if they can."""
+    total = reach.sum(axis=-1)
+    return np.maximum(np.maximum(2 * reach.max(axis=-1) - total - direct, direct - total), 0.0)
+
+
+def _reaches(lengths: _Distances, cells: np.ndarray, keys: np.ndarray, direct: np.ndarray, seed: int, attempt: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leg lengths of each chain: its first draw that can close, or of ``draws`` the one that misses least; True where it can."""
+    n, legs = cells.shape
+    reach, gap = np.zeros((n, legs)), np.full(n, np.inf)
+    left, done, step = np.arange(n), 0, 1
+    while len(left) and done < draws:
+        step = min(step, draws - done)
+        for part in np.array_split(left, -(-len(left) * step * legs // 2_000_000)):
+            u = _uniforms(seed, keys[part], (attempt[part] * draws + done) * legs, step * legs).reshape(len(part), step, legs)
+            drawn = lengths.draw(np.broadcast_to(cells[part][:, None], u.shape), u)
+            if legs == 2:  # around a single place the ways there and back are one
+                drawn[direct[part] < 1e-3, :, 1] = drawn[direct[part] < 1e-3, :, 0]
+            miss = _gap(drawn, direct[part][:, None])
+            k = miss.argmin(axis=1)
+            least = miss[np.arange(len(part)), k]
+            better = least < gap[part]
+            reach[part[better]], gap[part[better]] = drawn[np.arange(len(part)), k][better], least[better]
+        left = left[gap[left] > 0]
+        done, step = done + step, step * 4
+    return reach, gap == 0
+
+
+def _relaxed(start: np.ndarray, end: np.ndarray, reach: np.ndarray, u: np.ndarray, steps: int, eps: float = 75.0, alpha: float = 0.1, lateral: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of chains' free activities such that the legs are as long as ``reach``, and where that holds.
 
     One free place is where two circles meet; more are moved along their legs until these fit.
+    ``u``: for each chain an even number of uniforms, at least two for each free place.
     """
-    n = len(reach) - 1
-    direct = float(np.hypot(*(end - start)))
-    if n == 1 and direct > 0:
-        a, b = reach
-        along = np.clip((a * a - b * b + direct * direct) / (2 * direct), -a, a)
-        off = np.sqrt(max(0.0, a * a - along * along)) * (1 if rng.random() < 0.5 else -1)
-        unit = (end - start) / direct
-        return (start + unit * along + np.array([-unit[1], unit[0]]) * off)[None, :]
-    free = start + (end - start) * (np.arange(1, n + 1) / (n + 1))[:, None] + rng.normal(0, max(1.0, reach.max() * 0.1), (n, 2))
+    n, legs = reach.shape
+    direct = np.hypot(*(end - start).T)
+    angle = 2 * np.pi * u[:, 0]
+    unit = np.where(direct[:, None] > 1e-12, (end - start) / np.maximum(direct, 1e-12)[:, None], np.stack([np.cos(angle), np.sin(angle)], axis=1))
+    normal = np.stack([unit[:, 1], -unit[:, 0]], axis=1)
+    total = reach.sum(axis=1)
+    share = np.where(total[:, None] > 1e-12, np.cumsum(reach[:, :-1], axis=1) / np.maximum(total, 1e-12)[:, None], np.linspace(0, 1, legs - 1))
+    if legs == 2:
+        a, b = reach.T
+        far, near = direct > total, direct < np.abs(a - b)
+        safe = np.maximum(direct, 1e-12)
+        along = 0.5 * (a * a - b * b + direct * direct) / safe
+        off = np.sqrt(np.maximum(0.0, a * a - along * along)) * np.where(u[:, 1] < 0.5, 1.0, -1.0)
+        ratio = np.where(total > 0, share[:, 0], 1.0)
+        along = np.select([direct <= 1e-12, far, near], [a, ratio * direct, ratio * np.maximum(a, b)], along)
+        off = np.where((direct <= 1e-12) | far | near, 0.0, off)
+        return (start + unit * along[:, None] + normal * off[:, None])[:, None], np.where(direct <= 1e-12, a == b, ~(far | near))
+    path = np.concatenate([start[:, None], start[:, None] + unit[:, None] * (share * direct[:, None])[..., None], end[:, None]], axis=1)
+    valid = np.zeros(n, bool)
+    left = np.flatnonzero(_gap(reach, direct) == 0)
+    noise = np.sqrt(-2 * np.log(1 - u[:, 0::2])) * np.cos(2 * np.pi * u[:, 1::2])
+    path[left, 1:-1] += (normal[:, None] * (2 * lateral * (noise[:, : legs - 1] - 0.5))[..., None])[left]
+    before, after = np.ones(legs), np.ones(legs)
+    before[0] = after[-1] = 2.0  # an end of the chain doesn't give way
+    p, want = path[left], reach[left]
     for _ in range(steps):
-        path = np.vstack([start, free, end])
-        leg = np.diff(path, axis=0)
-        length = np.maximum(np.hypot(leg[:, 0], leg[:, 1]), 1e-9)
-        miss = reach - length
-        if np.abs(miss).max() < eps:
+        leg = p[:, :-1] - p[:, 1:]
+        length = np.sqrt(leg[..., 0] ** 2 + leg[..., 1] ** 2)
+        miss = want - length
+        fits = (np.abs(miss) < eps).all(axis=1)
+        if fits.any():
+            path[left[fits]], valid[left[fits]] = p[fits], True
+            keep = ~fits
+            left, p, want, leg, length, miss = left[keep], p[keep], want[keep], leg[keep], length[keep], miss[keep]
+        if not len(left):
             break
-        push = leg / length[:, None] * miss[:, None] * 0.5
-        free = free + 0.5 * (push[:-1] - push[1:])
-    return free
+        push = 0.5 * alpha * (miss / np.maximum(length, 1.0))[..., None] * leg
+        p[:, 1:-1] += push[:, 1:] * after[1:, None] - push[:, :-1] * before[:-1, None]
+    path[left] = p
+    return path[:, 1:-1], valid
 
 
-def assign_secondary(problems: DataFrame, facilities: dict[str, list[tuple[int, float, float]]], seed: int, tries: int = 20, steps: int = 100) -> DataFrame:
-    """Facilities for the free activities of each problem.
+def _relax(start: np.ndarray, end: np.ndarray, reach: np.ndarray, rng: np.random.Generator, steps: int) -> np.ndarray:
+    """The free places of one chain."""
+    return _relaxed(start[None], end[None], np.asarray(reach, float)[None], rng.random((1, 2 * len(reach))), steps)[0][0]
 
-    problems: problem_id, ox, oy, dx, dy, purposes (of the free activities) and distances (arrays of
-    arrays: a set of leg lengths for each try).  Each try relaxes the places, snaps them to the nearest facility of
-    their purpose and measures how far the legs are off; the best try counts.  ``facilities``: for each
-    purpose (id, x, y), a table of a checked size.  Returns problem_id, position, facility_id, x, y, error.
+
+THRESHOLDS = {"car": 200.0, "car_passenger": 200.0, "pt": 200.0, "bike": 100.0, "walk": 100.0}  # metres that a leg may be off
+
+
+def assign_secondary(problems: DataFrame, bins: DataFrame, dist: DataFrame, facilities: DataFrame, seed: int, tries: int = 100, draws: int = 1000, steps: int = 1000) -> DataFrame:
+    """Facilities for the free activities of each problem, however many these are.
+
+    problems: problem_id, ox, oy, dx, dy, purposes (of the free activities), modes and travel_times (of
+    the legs, one more).  bins and dist: ``time_bins`` and ``distance_distributions``.  facilities:
+    facility_id, purpose, x, y.  Each try draws leg lengths that can close the chain (up to ``draws``
+    times), relaxes the places, snaps them to the nearest facility of their purpose and measures how far
+    a leg is off beyond its mode's threshold; the first try without fault counts, or else the best.
+    Numbers depend on the problem only.  Facilities are held in each task, so their number is checked;
+    so are the distributions, one entry for each distinct distance.  Returns problem_id, position,
+    facility_id, x, y, error (metres beyond the threshold) and valid.
     """
-    if sum(map(len, facilities.values())) > 2_000_000:
+    if facilities.count() > 2_000_000:
         raise ValueError("too many facilities to hold in each task: pass those of one region at a time")
-    held = {k: (np.array([v[0] for v in rows]), np.array([v[1:] for v in rows], float)) for k, rows in facilities.items()}
+    lengths = _Distances(bins.toPandas(), dist.groupBy("mode", "bin", "distance").agg(F.max("cdf").alias("cdf")).toPandas())
+    places = facilities.select("facility_id", "purpose", "x", "y").toPandas()
+    held = {k: _Nearest(g["facility_id"].to_numpy(np.int64), g[["x", "y"]].to_numpy(float)) for k, g in places.groupby("purpose")}
+
+    def solved(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
+        keys = pdf["problem_id"].to_numpy(np.int64)
+        start, end = pdf[["ox", "oy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float)
+        purposes, modes = (np.array([list(x) for x in pdf[c]], object).reshape(len(pdf), k) for c, k in (("purposes", size), ("modes", size + 1)))
+        cells = lengths.cells(modes, np.array([list(x) for x in pdf["travel_times"]], float).reshape(len(pdf), size + 1))
+        allowed = np.vectorize(THRESHOLDS.__getitem__, otypes=[float])(modes)
+        direct = np.hypot(*(end - start).T)
+        score = np.full(len(pdf), np.inf)  # metres beyond the threshold, -1 without fault
+        found, where = np.zeros((len(pdf), size), np.int64), np.zeros((len(pdf), size, 2))
+
+        def attempted(part: np.ndarray, first: int, many: int) -> None:
+            row, k = np.repeat(part, many), np.tile(np.arange(first, first + many), len(part))
+            reach, closes = _reaches(lengths, cells[row], keys[row], direct[row], seed, k, draws)
+            free, fits = _relaxed(start[row], end[row], reach, _uniforms(seed + 1, keys[row], k * 2 * (size + 1), 2 * (size + 1)), steps)
+            own, xy = np.zeros((len(row), size), np.int64), np.zeros((len(row), size, 2))
+            for purpose in set(purposes[part].ravel().tolist()):
+                here = purposes[row] == purpose
+                i = held[purpose](free[here])
+                own[here], xy[here] = held[purpose].ids[i], held[purpose].xy[i]
+            leg = np.diff(np.concatenate([start[row][:, None], xy, end[row][:, None]], axis=1), axis=1)
+            off = np.maximum(0.0, np.abs(reach - np.hypot(leg[..., 0], leg[..., 1])) - allowed[row]).max(axis=1)
+            off[closes & fits & (off == 0)] = -1
+            best = np.arange(len(part)) * many + off.reshape(-1, many).argmin(axis=1)
+            best = best[off[best] < score[part]]
+            score[row[best]], found[row[best]], where[row[best]] = off[best], own[best], xy[best]
+
+        # Tries come in larger and larger lots for the problems that are left.
+        left, done, lot = np.arange(len(pdf)), 0, 1
+        while len(left) and done < tries:
+            lot = min(lot, tries - done)
+            for part in np.array_split(left, -(-len(left) * lot * (size + 1) // 100_000)):
+                attempted(part, done, lot)
+            left = left[score[left] >= 0]
+            done, lot = done + lot, lot * 3
+        error, valid = np.maximum(score, 0.0), score < 0
+        flat = {"problem_id": np.repeat(keys, size), "position": np.tile(np.arange(size), len(pdf)), "facility_id": found.ravel(), "x": where[..., 0].ravel(), "y": where[..., 1].ravel()}
+        return pd.DataFrame(flat | {"error": np.repeat(error, size), "valid": np.repeat(valid, size)})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                start, end = np.array([r.ox, r.oy]), np.array([r.dx, r.dy])
-                rng, best = np.random.default_rng([seed, int(r.problem_id)]), None
-                for reach in list(r.distances)[:tries]:
-                    reach = np.asarray(reach, float)
-                    free = _relax(start, end, reach, rng, steps)
-                    ids, places = [], []
-                    for place, purpose in zip(free, r.purposes, strict=True):
-                        own, xy = held[purpose]
-                        k = int(((xy - place) ** 2).sum(axis=1).argmin())
-                        ids.append(int(own[k]))
-                        places.append(xy[k])
-                    legs = np.diff(np.vstack([start, *places, end]), axis=0)
-                    error = float(np.abs(np.hypot(legs[:, 0], legs[:, 1]) - reach).max())
-                    if best is None or error < best[0]:
-                        best = (error, ids, places)
-                if best:
-                    out += [(r.problem_id, k, i, float(p[0]), float(p[1]), best[0]) for k, (i, p) in enumerate(zip(best[1], best[2], strict=True))]
-            yield pd.DataFrame(out, columns=["problem_id", "position", "facility_id", "x", "y", "error"])
+            for size, group in pdf.groupby(pdf["purposes"].map(len)):
+                yield solved(group, int(size))
 
     # Long chains are the hard ones: dealt out by their number, they don't meet in one task.
-    return problems.repartition("problem_id").mapInPandas(solve, "problem_id long, position int, facility_id long, x double, y double, error double")
+    dealt = problems.repartition(problems.sparkSession.sparkContext.defaultParallelism * 4, "problem_id")
+    return dealt.mapInPandas(solve, "problem_id long, position int, facility_id long, x double, y double, error double, valid boolean")
 
 
 def assemble_locations(acts: DataFrame, home: DataFrame, work: DataFrame, education: DataFrame, secondary: DataFrame) -> DataFrame:

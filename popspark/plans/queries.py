@@ -1114,16 +1114,16 @@ def _(t):
 
 @query("m19_assign_secondary")
 def _(t):
-    problems = places.assignment_problems(_indexed(t)).filter("size <= 3")
+    problems = places.assignment_problems(_indexed(t))
     k = F.col("person_id") * 100 + F.col("chain")
-    lengths = F.transform("travel_times", lambda s: (s * 10).cast("double"))
-    tries = F.array(*(F.transform(lengths, lambda x, f=f: x * f) for f in (0.8, 1.0, 1.2)))
     rows = problems.select(
         k.alias("problem_id"), (k * 7919 % 100000).cast("double").alias("ox"), (k * 104729 % 100000).cast("double").alias("oy"), (k * 7919 % 100000 + 2000).cast("double").alias("dx"), (k * 104729 % 100000 + 1000).cast("double").alias("dy"),
-        F.slice("purposes", F.lit(1), F.col("size")).alias("purposes"), tries.alias("distances"),
+        F.slice("purposes", F.lit(1), F.col("size")).alias("purposes"), "modes", "travel_times",
     )
-    shops = [(r.enterprise_id, float(r.x), float(r.y)) for r in t("enterprises").select("enterprise_id", "x", "y").orderBy("enterprise_id").limit(5000).collect()]  # one region's facilities
-    return places.assign_secondary(rows, {p: shops for p in ("shop", "leisure", "other")}, 15, steps=30).select("problem_id", "position", "facility_id")
+    dist = places.resample_cdf(_dist(t), fn.lookup(F.col("mode"), {"car": 0.8, "car_passenger": 1.0, "pt": 1.0}, 0.0))
+    offers = recode.offers(t("enterprises"))
+    shops = offers.select(F.col("enterprise_id").alias("facility_id"), F.explode(F.array_compact(F.array(*(F.when(F.col(f"offers_{p}"), p) for p in ("shop", "leisure", "other"))))).alias("purpose"), "x", "y")
+    return places.assign_secondary(rows, places.time_bins(t("trips"), 200), dist, shops, 15).select("problem_id", "position", "facility_id")
 
 
 @query("m20_freight_locations", f"SELECT trip_id, p.zone_id, enterprise_id FROM (SELECT o_orderkey AS trip_id, o_orderkey % 25 AS zone_id, {hashed(16, 'origin', 'o_orderkey')} AS u FROM orders) p JOIN (SELECT zone_id, enterprise_id, row_number() OVER (PARTITION BY zone_id ORDER BY enterprise_id) AS rank, count(*) OVER (PARTITION BY zone_id) AS many FROM {{enterprises}}) e ON e.zone_id = p.zone_id AND rank = floor(u * many) + 1")

@@ -137,3 +137,29 @@ def test_weighted_draw_against_a_scan(spark):
     got = zones.weighted_draw(spark.createDataFrame(rows, "id int, cell int, x double"), F.col("x"), cdf, ["cell"]).select("id", "entry").collect()
     steps = cdf.collect()
     assert sorted(got) == sorted((n, s.entry) for n, k, x in rows for s in steps if s.cell == k and s.cdf_before <= x < s.cdf)
+
+
+def test_the_grid_finds_the_nearest_place():
+    rng = np.random.default_rng(5)
+    xy, points = rng.integers(0, 300, (700, 2)).astype(float), rng.uniform(-2000, 2500, (500, 2))
+    points[:300] = rng.integers(0, 300, (300, 2))
+    d = ((points[:, None] - xy[None]) ** 2).sum(axis=2)
+    assert places._Nearest(np.arange(700), xy)(points).tolist() == d.argmin(axis=1).tolist()
+    assert places._Nearest(np.array([7]), np.array([[3.0, 3.0]]))(points[:2]).tolist() == [0, 0]
+
+
+def test_secondary_places_come_from_all_facilities_and_chains(spark):
+    rng = np.random.default_rng(6)
+    trips = [(p, n, "car", 600, float(d), 1) for p in range(60) for n, d in enumerate(rng.uniform(500, 1500, 5))]
+    bins = spark.createDataFrame([("car", 0, 2**31)], "mode string, bin int, upper long")
+    dist = places.distance_distributions(spark.createDataFrame(trips, "person_id long, trip_id long, mode string, travel_time long, distance double, weight int"), bins)
+    # The near facilities have the largest ids; the 6000 before them are far away.
+    shops = spark.createDataFrame([(i, "shop", 900_000.0 + i, 0.0) for i in range(6000)] + [(6000 + 60 * a + b, "shop", 50.0 * a, 50.0 * b) for a in range(60) for b in range(60)], "facility_id long, purpose string, x double, y double")
+    sizes = {1: 1, 2: 2, 3: 4, 4: 7}
+    rows = [(k, 1500.0, 1500.0, 1800.0, 1500.0, ["shop"] * n, ["car"] * (n + 1), [600] * (n + 1)) for k, n in sizes.items()]
+    problems = spark.createDataFrame(rows, "problem_id long, ox double, oy double, dx double, dy double, purposes array<string>, modes array<string>, travel_times array<long>")
+    got = places.assign_secondary(problems, bins, dist, shops, 1).collect()
+    assert {k: sorted(r.position for r in got if r.problem_id == k) for k in sizes} == {k: list(range(n)) for k, n in sizes.items()}
+    assert all(r.valid and r.error == 0 and r.facility_id >= 6000 for r in got)
+    again = places.assign_secondary(problems.repartition(3), bins, dist, shops, 1).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
