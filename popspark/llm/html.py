@@ -6,7 +6,9 @@ lines, and lines above a threshold (the spread of the smoothed ratios) are conte
 lines then name the region of the page: the article (or main) element that holds most of their
 characters, or else the smallest element around all of them.  Every block of that region belongs
 to the text, short ones too, except what elements or names mark as something else: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.  Where a name's
+element holds most of the content lines' characters, and the page's heading, its main element or
+nine tenths of its content, the lines overrule the name: it is a wrapper of the article.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ NAMES = frozenset(
     "pagination popup promo promos promotion rail recommended related replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors "
     "subscribe subscription toolbar topbar widget widgets".split()
 )
+# Of these, words that are part of other names too; they count alone, at the end, or before a word for a part of a page.
+LOOSE = frozenset("discussion header login notice notices rail reply respond skip social".split())
+PARTS = frozenset("area bar block box button buttons container content feed icon icons inner item items left link links list media menu panel primary right row secondary section text top wrap wrapper".split())
+STATES = frozenset("has no with without".split())  # the element has a menu, it isn't one
 SEMANTIC = frozenset(("article", "main"))
 UNNAMED = frozenset(("html", "body", "article", "main"))  # their names say something about the page
 HEADINGS = frozenset(("h1",))
@@ -58,6 +64,7 @@ class _Page(HTMLParser):
         # tag, number, something else, inside a block that is something else
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self.tag_of = [""]
+        self.named: list[int] = []  # elements that hold blocks and that a name marks as something else
         self.text: list[str] = []
         self.tags = 0
         self.blocks: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
@@ -85,7 +92,14 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         self.tag_of.append(tag)
-        other = self.stack[-1][2] or tag in OTHER or (bool(attrs) and tag not in UNNAMED and self.marked(attrs))
+        other = self.stack[-1][2] or tag in OTHER
+        if not other and attrs and tag not in UNNAMED:
+            other = self.marked(attrs)
+            if not other and self.named_other(attrs):
+                if tag in BLOCKS:
+                    self.named.append(len(self.tag_of) - 1)
+                else:
+                    other = True
         self.stack.append((tag, len(self.tag_of) - 1, other, other if tag in BLOCKS else self.stack[-1][3]))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -108,16 +122,27 @@ class _Page(HTMLParser):
     @staticmethod
     def marked(attrs: list) -> bool:
         for name, value in attrs:
-            if name in ("class", "id"):
-                if any(x.lower() in NAMES for x in _PARTS.findall(value or "")) or any(_JOINT.sub("", x).lower() in NAMES for x in (value or "").split()):
-                    return True
-            elif name == "role":
+            if name == "role":
                 if (value or "").strip().lower() in ROLES:
                     return True
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in (value or "").replace(" ", "").lower()):
                 return True
         return False
 
+    @staticmethod
+    def named_other(attrs: list) -> bool:
+        for name, value in attrs:
+            if name in ("class", "id"):
+                for word in (value or "").split():
+                    parts = [x.lower() for x in _PARTS.findall(word)]
+                    if _JOINT.sub("", word).lower() in NAMES:
+                        return True
+                    if parts and parts[0] in STATES:
+                        continue
+                    if any(x in NAMES and (x not in LOOSE or i == len(parts) - 1 or parts[i + 1] in PARTS | NAMES) for i, x in enumerate(parts)):
+                        return True
+        return False
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
@@ -162,6 +187,26 @@ def content_lines(lengths: np.ndarray, tags: np.ndarray, sigma: float = SIGMA) -
     return smooth > smooth.std()
 
 
+def _unmarked(page: _Page, lengths: np.ndarray, chosen: np.ndarray) -> list[int]:
+    """The blocks that neither elements nor names mark as something else, without the names that the content lines overrule."""
+    blocks, named = page.blocks, set(page.named)
+    rest = [i for i, b in enumerate(blocks) if not b[3]]
+    of = {i: [e for e in blocks[i][2] if e in named] for i in rest} if named else {}
+    content = [i for i in rest if chosen[i]]
+    total = sum(int(lengths[i]) for i in content)
+    held: dict[int, int] = {}
+    for i in content:
+        for e in of.get(i, ()):
+            held[e] = held.get(e, 0) + int(lengths[i])
+    for e in sorted(e for e, n in held.items() if 2 * n > total):  # from the outermost, as elements are numbered as they open
+        free = sum(int(lengths[i]) for i in content if named.isdisjoint(of[i]))
+        inside = [i for i in rest if e in of[i]]
+        if 10 * free < total or any(blocks[i][4] or any(page.tag_of[x] == "main" for x in blocks[i][2] if x > e) for i in inside):
+            named.discard(e)
+    own = [i for i in rest if named.isdisjoint(of.get(i, ()))]
+    return own or (rest if content else [])
+
+
 def main_text(html: str) -> str:
     """The main text of a page: its blocks, in page order, joined by two line breaks."""
     page = parse(html)
@@ -170,7 +215,7 @@ def main_text(html: str) -> str:
         return ""
     lengths = np.array([len(b[0]) for b in blocks])
     chosen = content_lines(lengths, np.array([b[1] for b in blocks]))
-    own = [i for i, b in enumerate(blocks) if not b[3]]
+    own = _unmarked(page, lengths, chosen)
     votes = [i for i in own if chosen[i]] or own
     if not votes:
         return ""

@@ -223,6 +223,23 @@ def test_main_text(spark, empty):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_names_of_wrappers_do_not_drop_the_article():
+    article = "<h1>Title</h1><p>First paragraph of the article, with enough text to count as content.</p><p>A second one, which is just about as long as the first.</p>"
+    text = "Title\n\nFirst paragraph of the article, with enough text to count as content.\n\nA second one, which is just about as long as the first."
+    side = '<div class="sidebar"><p>Something about the side.</p></div><div class="cookie-notice"><p>We use cookies.</p></div>'
+    for name in ("content-sidebar-wrap", "has-sidebar", "elementor-widget-container", "social-science", "with-banner"):
+        assert html.main_text(f'<body><nav>Home</nav><div class="{name}">{article}{side}</div><footer>End</footer></body>') == text, name
+        assert html.main_text(f'<body><div id="{name}"><div class="widget">{article}</div>{side}</div></body>') == text, name
+    # A section whose name only looks like a menu's stays, though it is not most of the page.
+    assert html.main_text(f'<body>{article}<div class="social-science"><p>A short part.</p></div></body>') == text + "\n\nA short part."
+    # Comments longer than the article are still comments.
+    comments = "<p>Some reader says a lot about this article, and then says it all again.</p>" * 9
+    assert html.main_text(f'<body>{article}<div class="comments">{comments}</div></body>') == text
+    # Content in parts that are all marked by names is better than nothing.
+    assert html.main_text(f'<div class="widget"><p>{"one " * 30}</p></div><div class="widget"><p>{"two " * 30}</p></div>') == "one " * 29 + "one\n\n" + "two " * 29 + "two"
+
+
+
 def test_urls(spark):
     rng = random.Random(4)
     made = [f"http://{rng.choice(['www.', 'm.', ''])}{rng.choice('abc')}.example.{rng.choice(['com', 'net'])}/{rng.choice(['en', 'fr', 'es'])}/{i}?a={i % 3}" for i in range(600)]
