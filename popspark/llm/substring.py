@@ -6,15 +6,17 @@ id.  Shards have to hold equal strings together, so they are cut by content:
 1. ``_pack``: documents become blocks of some megabytes, compressed, written once.
 2. ``_fingerprints``: each block sends the hashes of the minimizers of its windows (windows.py) to
    hash buckets, each hash once; a bucket answers with a bit for each: do two documents have it?
-   Only windows whose minimizer is shared can repeat.
+   Only windows whose minimizer is shared can repeat.  It also names the hot ones, which have many runs.
 3. ``_pieces``: each block sends the bytes of those runs of windows, each distinct string once with
-   its smallest and largest document id, to the shard its minimizer names.
+   its smallest and largest document id, to the shard its minimizer names.  Of a hot minimizer, each
+   window goes by itself, to the shard that its bytes name.
 4. ``_shard``: a shard builds the suffix array of its strings (suffix.py) and the permuted common
    prefixes; suffixes that share ``span`` bytes form a group, whose smallest document id is the
    answer for the windows that begin there.
 5. ``_apply``: each block marks the windows whose answer is smaller than their document's id.
 
-What a task holds is bounded by the block and by the shard, whose number follows the input.  A
+What a task holds is bounded by the block and by the shard, whose number follows the input; the
+strings around a common phrase, of which each document has its own, are dealt out by windows.  A
 passage that any number of documents share comes once from each block.  Blocks meet their answers
 by the block's number, so no step depends on how many rows a key has.
 """
@@ -37,6 +39,8 @@ SPAN = 50
 BLOCK = 8 << 20  # bytes of text in a block
 BUCKET = 1_000_000  # hashes in a bucket, about
 SHARD = 5 << 20  # bytes of strings sent to a shard, about
+HOT = 4096  # runs of a minimizer from which its windows are dealt out
+FEW = 16  # runs of a minimizer in a block that count as one
 LAST = np.iinfo(np.int64).max  # the id that a null id counts as
 
 ROW = "key long, src long, kind int, weight long, payload binary"
@@ -105,6 +109,7 @@ class _Block:
         begin = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]]) if len(key) else order
         self.key = sorted_key[begin]
         doc = r.doc[order]
+        self.many = np.diff(np.r_[begin, len(key)]) if len(key) else order
         self.several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin) if len(key) else np.zeros(0, bool)
         self.number = np.empty(len(key), np.int64)
         self.number[order] = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]]) - 1 if len(key) else 0
@@ -122,61 +127,89 @@ def _fingerprints(span: int, buckets: int) -> Callable:
             for key, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = _Block(payload.as_py(), span, buckets)
                 low = (block.key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                yield _rows([(b, key, 1, s.stop - s.start, np.packbits(block.several[s]).tobytes() + low[s].tobytes()) for b, s in block.by_bucket()])
+                rows = []
+                for b, s in block.by_bucket():
+                    often = np.flatnonzero(block.many[s] > FEW)
+                    counts = often.astype(np.int32).tobytes() + block.many[s][often].astype(np.int32).tobytes()
+                    rows.append((b, key, 1, s.stop - s.start, np.packbits(block.several[s]).tobytes() + low[s].tobytes() + counts))
+                yield _rows(rows)
 
     return fingerprints
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """For each block's hashes in a bucket: a bit if more than one document has it."""
+def _shared(hot: int) -> Callable:
+    def shared(key: tuple, table: pa.Table) -> pa.Table:
+        return _answers(key, table, hot)
+
+    return shared
+
+
+def _answers(key: tuple, table: pa.Table, hot: int) -> pa.Table:
+    """For each block's hashes in a bucket: a bit if more than one document has it; then the numbers of the hot ones."""
     sizes = table.column("weight").to_pylist()
-    low, several = [], []
+    low, several, runs = [], [], []
     for size, payload in zip(sizes, table.column("payload"), strict=True):
         raw, bits = payload.as_buffer(), -(-size // 8)
         several.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=size).astype(bool))
         low.append(np.frombuffer(raw, np.uint32, size, bits))
+        often, counts = np.frombuffer(raw.to_pybytes()[bits + 4 * size :], np.int32).reshape(2, -1)
+        runs.append(np.ones(size, np.int64))
+        runs[-1][often] = counts
     value = np.concatenate(low)
     order = np.argsort(value, kind="stable")
     new = np.r_[True, np.diff(value[order]) != 0]
     begin = np.flatnonzero(new)
     many = np.diff(np.r_[begin, len(value)])
     shared = (many > 1) | np.logical_or.reduceat(np.concatenate(several)[order], begin)
-    bit = np.empty(len(value), bool)
+    bit, is_hot = np.empty(len(value), bool), np.empty(len(value), bool)
     bit[order] = np.repeat(shared, many)
+    is_hot[order] = np.repeat(shared & (np.add.reduceat(np.concatenate(runs)[order], begin) > hot), many)
     rows, at, bucket = [], 0, key[0].as_py()
     for src, size in zip(table.column("src").to_pylist(), sizes, strict=True):
         own = bit[at : at + size]
-        rows.append((src, bucket, 1, int(own.sum()), np.packbits(own).tobytes()))
+        rows.append((src, bucket, 1, int(own.sum()), np.packbits(own).tobytes() + np.flatnonzero(is_hot[at : at + size]).astype(np.int32).tobytes()))
         at += size
     return pa.Table.from_batches([_rows(rows)])
 
 
 class _Pieces:
-    """The distinct strings of a block's runs whose minimizer is shared, sorted by shard."""
+    """The distinct strings of a block's runs whose minimizer is shared, sorted by shard: of a hot one, each window by itself."""
 
     def __init__(self, block: _Block, answers: dict[int, bytes], span: int, shards: int):
-        shared = block.several.copy()
+        shared, hot = block.several.copy(), np.zeros(len(block.several), bool)
         for b, s in block.by_bucket():
             if b in answers:
-                shared[s] |= np.unpackbits(np.frombuffer(answers[b], np.uint8), count=s.stop - s.start).astype(bool)
+                many = s.stop - s.start
+                bits = -(-many // 8)
+                shared[s] |= np.unpackbits(np.frombuffer(answers[b], np.uint8, bits), count=many).astype(bool)
+                hot[s.start + np.frombuffer(answers[b][bits:], np.int32)] = True
         r = block.runs
-        self.run = run = np.flatnonzero(shared[block.number]) if len(block.number) else np.zeros(0, np.int64)
+        run = np.flatnonzero(shared[block.number]) if len(block.number) else np.zeros(0, np.int64)
+        each = np.where(hot[block.number[run]], (r.last - r.first)[run] + 1, 1)
+        alone = np.repeat(hot[block.number[run]], each)
+        self.begin = np.repeat(r.first[run] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        run = np.repeat(run, each)
+        self.doc = r.doc[run]
         self.width = width = -(-(2 * span - windows.GRAM) // 8) * 8
-        size = (r.last - r.first)[run] + span
+        size = np.where(alone, 0, (r.last - r.first)[run]) + span
         data = np.concatenate([block.data, np.zeros(width, np.uint8)])
-        rows = windows.padded(data, r.first[run], size, width)
+        rows = windows.padded(data, self.begin, size, width)
         one, number = windows.distinct(rows, size)
-        doc = block.ids[r.doc[run]]
+        doc = block.ids[self.doc]
         low, high = np.full(len(one), LAST), np.full(len(one), np.iinfo(np.int64).min)
         np.minimum.at(low, number, doc)
         np.maximum.at(high, number, doc)
-        hashes = windows.mix(r.hash[run][one].copy())
+        hashes = r.hash[run][one]
+        own = np.flatnonzero(alone[one])
+        for word in rows[one[own]].view("<u8").T:
+            hashes[own] = (hashes[own] * np.uint64(0x9FB21C651E98DF25) + word) ^ (hashes[own] >> np.uint64(28))
+        hashes = windows.mix(hashes)
         shard = (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.rows, self.size, self.low, self.high, self.shard = rows[one[order]], size[one[order]], low[order], high[order], shard[order]
-        self.piece = place[number]  # of each run in ``run``
+        self.piece = place[number]  # of each string of the block, at ``begin`` in ``doc``
 
     def by_shard(self) -> Iterator[tuple[int, slice]]:
         some, first, many = np.unique(self.shard, return_index=True, return_counts=True)
@@ -281,10 +314,9 @@ def _removed(block: _Block, bits: dict[int, bytes], found: dict[int, bytes], spa
         base = np.cumsum(many) - many
         each = many[p.piece]
         index = np.repeat(base[p.piece] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        run = np.repeat(p.run, each)
-        hit = value[index] < block.ids[block.runs.doc[run]]
-        index, run = index[hit], run[hit]
-        begin = block.runs.first[run]
+        string = np.repeat(np.arange(len(p.piece)), each)
+        hit = value[index] < block.ids[p.doc[string]]
+        index, begin = index[hit], p.begin[string[hit]]
         change += np.bincount(begin + first[index], minlength=len(change)).astype(np.int32)
         change -= np.bincount(begin + last[index] + span, minlength=len(change)).astype(np.int32)
     return np.cumsum(change[:-1]) > 0
@@ -333,12 +365,12 @@ def _whole(data: np.ndarray, gone: np.ndarray) -> bytes:
     return data[~all_gone[char]].tobytes()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = False, extra: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = False, extra: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a ``span``-byte string that also starts in a document with a smaller id.
 
     Returns for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, kept (with ``texts``: the remaining bytes, whole characters only) and extra (the
-    columns named in ``extra`` as JSON).
+    columns named in ``extra`` as JSON).  Minimizers with more than about ``hot`` runs are dealt out by windows.
 
     Texts count as UTF-8 bytes, null as empty; matches never cross documents, and are judged on the
     input.  Rows of one id don't take from each other.  A null id counts as larger than all others,
@@ -353,7 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = blocks.agg(F.sum("weight")).first()[0] or 0
     buckets = max(16, total // 12 // BUCKET)
     sent = blocks.select("key", "payload").mapInArrow(_fingerprints(span, buckets), ROW)
-    bits = saved(sent.groupBy("key").applyInArrow(_shared, ROW))
+    bits = saved(sent.groupBy("key").applyInArrow(_shared(hot), ROW))
     shared = bits.agg(F.sum("weight")).first()[0] or 0
     shards = max(24, shared * 100 // SHARD)
     bits = bits.filter("weight > 0")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,28 @@ def test_repeats(docs, rows, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_repeats_with_hot_minimizers(docs, rows):
+    out = substring.remove_repeats(docs, hot=2)
+    assert by_row(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == without_repeats(rows)
+
+
+def test_strings_around_a_common_phrase_are_dealt_out():
+    rng = np.random.default_rng(4)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    texts = [letters(60) + b"a phrase of forty-eight characters, which all have" + letters(60) for _ in range(300)]
+    packed = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(range(300)), pa.array([""] * 300), pa.array([x.decode() for x in texts])], names=["n", "id", "extra", "text"])
+    (blocks,) = substring._pack([packed])
+    sent = pa.Table.from_batches(substring._fingerprints(50, 1)([pa.RecordBatch.from_arrays([blocks.column("key"), blocks.column("payload")], names=["key", "payload"])]))
+    block = substring._Block(blocks.column("payload")[0].as_py(), 50, 1)
+    share = {}
+    for hot in (20, 10_000):
+        answer = substring._shared(hot)((pa.scalar(0),), sent).column("payload")[0].as_py()
+        p = substring._Pieces(block, {0: answer}, 50, 24)
+        share[hot] = np.bincount(p.shard, minlength=24).max() / len(p.shard)
+        assert (p.shard < 24).all() and len(p.begin) == len(p.piece)
+    assert share[20] < 0.1 and share[10_000] > 0.3
+
+
 def plain_best_fit(lengths, capacity):
     """Sequences that best fit takes, longest first, without any reduction before."""
     rooms = []
