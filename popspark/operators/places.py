@@ -26,8 +26,9 @@ def work_gravity(persons: DataFrame, enterprises: DataFrame, seed: int, rounds:
     """A work place in the quota's zone: the largest of log(employees left) - (distance - commute)^2 /
     (2 spread^2) + Gumbel noise, which draws by employees times a Gaussian.  In each round an
     enterprise accepts persons up to the employees it has left, by hash order; after the last round
-    the rest take their best place whatever its capacity.  Persons: person_id, work_zone_id, x, y,
-    commute_distance."""
+    the rest take their best place whatever its capacity.  Persons whose zone has no enterprise choose
+    among all.  Persons: person_id, work_zone_id, x, y, commute_distance."""
+    zones = enterprises.select(F.col("zone_id").alias("work_zone_id")).distinct()
     left, placed, capacity = persons, None, enterprises.select("enterprise_id", "zone_id", F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("employees").cast("long").alias("left"))
     for k in range(rounds + 1):
         last = k == rounds
@@ -35,7 +36,9 @@ def work_gravity(persons: DataFrame, enterprises: DataFrame, seed: int, rounds:
         d = crowfly(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"))
         u = F.greatest(uniform(seed + k, "gumbel", F.col("person_id"), F.col("enterprise_id")), F.lit(1e-12))
         score = F.log(F.greatest(F.col("left"), F.lit(1)).cast("double")) - F.pow(d - F.col("commute_distance"), 2) / (2 * spread * spread) - F.log(-F.log(u))
-        best = left.join(room, left["work_zone_id"] == room["zone_id"]).groupBy("person_id").agg(F.max_by(F.struct("enterprise_id", "wx", "wy", "left", d.alias("distance")), score).alias("b"))
+        own = left.join(room, left["work_zone_id"] == room["zone_id"])
+        pairs = own.unionByName(left.join(zones, "work_zone_id", "left_anti").select(*left.columns).crossJoin(room))
+        best = pairs.groupBy("person_id").agg(F.max_by(F.struct("enterprise_id", "wx", "wy", "left", d.alias("distance")), score).alias("b"))
         best = best.select("person_id", "b.*")
         order = F.row_number().over(Window.partitionBy("enterprise_id").orderBy(uniform(seed + k, "accept", F.col("person_id"))))
         got = (best if last else best.withColumn("rank", order).filter("rank <= left")).select("person_id", "enterprise_id", F.col("wx").alias("work_x"), F.col("wy").alias("work_y"), "distance")

@@ -163,3 +163,11 @@ def test_secondary_places_come_from_all_facilities_and_chains(spark):
     assert all(r.valid and r.error == 0 and r.facility_id >= 6000 for r in got)
     again = places.assign_secondary(problems.repartition(3), bins, dist, shops, 1).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_persons_of_a_zone_without_enterprises_get_a_work_place(spark):
+    persons = spark.createDataFrame([(k, k % 3, 0.0, 0.0, 1000) for k in range(12)], "person_id long, work_zone_id long, x double, y double, commute_distance long")
+    enterprises = spark.createDataFrame([(1, 0, 1000.0, 0.0, 2), (2, 1, 0.0, 1000.0, 2), (3, 1, 90000.0, 0.0, 50)], "enterprise_id long, zone_id long, x double, y double, employees long")
+    got = places.work_gravity(persons, enterprises, 3).collect()
+    assert sorted(r.person_id for r in got) == list(range(12))
+    assert all(r.enterprise_id == 1 for r in got if r.person_id % 3 == 0)
