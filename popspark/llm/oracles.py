@@ -106,9 +106,8 @@ def op10() -> str:
 WITH known(g, tid, tpos) AS (VALUES {values}), template(tid, size, label) AS (VALUES {names}),
 d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 h AS (SELECT r, tid, tpos, i - tpos AS diagonal FROM (SELECT r, i, array_to_string(w[i + 1 : i + {k}], ' ') AS g FROM (SELECT r, w, unnest(range(0, len(w) - {k - 1})) AS i FROM d WHERE len(w) >= {k})) JOIN known USING (g)),
-n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= CASE WHEN tid < {base} THEN 0 ELSE {licenses.GAP} END THEN 0 ELSE 1 END AS begins FROM h WINDOW o AS (PARTITION BY r, tid ORDER BY diagonal)),
-s AS (SELECT r, tid, tpos, diagonal, sum(begins) OVER (PARTITION BY r, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
-c AS (SELECT r, tid, min(diagonal) AS diagonal, len(list_distinct(flatten(list([{", ".join(f"tpos + {j}" for j in range(k))}])))) AS covered FROM s GROUP BY r, tid, span),
+v AS (SELECT r, tid, diagonal, CASE WHEN tid < {base} THEN {licenses.LOOSE + 1} ELSE 1 END * diagonal AS along, flatten(list([{", ".join(f"tpos + {j}" for j in range(k))}])) AS places FROM h GROUP BY r, tid, diagonal),
+c AS (SELECT r, tid, diagonal, len(list_distinct(flatten(list(places) OVER (PARTITION BY r, tid ORDER BY along RANGE BETWEEN CURRENT ROW AND {licenses.LOOSE} FOLLOWING)))) AS covered FROM v),
 x AS (SELECT r, diagonal, label, covered / size AS share, tid < {base} AND covered = size AS base, CASE WHEN tid < {base} THEN covered = size ELSE covered / size >= {licenses.COVER} END AS found FROM c JOIN template USING (tid)),
 y AS (SELECT r, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label) FILTER (found))), ',') AS labels, max(share) AS score FROM x GROUP BY r)
