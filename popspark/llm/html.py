@@ -2,18 +2,20 @@
 
 The standard library's parser streams its events.  Each block of text is a line with a ratio: its
 characters over the tags since the line before.  The ratios are smoothed by a Gaussian over the
-lines, and lines above a threshold (the spread of the smoothed ratios) are content.  The content
-lines then name the region of the page: the article (or main) element that holds most of their
-characters, or else the smallest element around all of them.  Every block of that region belongs
-to the text, short ones too, except what elements or names mark as something else: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.  Where a name's
-element holds most of the content lines' characters, and the page's heading, its main element or
-nine tenths of its content, the lines overrule the name: it is a wrapper of the article.
+lines, and lines above a threshold (the spread of the smoothed ratios) are content.  Elements and
+names only exclude: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments.  Of the lines that are left, content lines close to each other form clusters, and
+the clusters choose the regions of the page: the main one (that with most characters) the smallest
+part of the page around its lines, or the article that holds most of it; without an article, clusters
+of some size choose theirs as well.  All lines of these regions belong to the text, short ones too.
+Where a name's element holds most of the content lines' characters, and the page's heading, its main
+element or nine tenths of its content, the lines overrule the name: it is a wrapper of the article.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SIGMA = 1.5  # lines
-CHUNK = 1 << 16  # characters fed to the parser at once
+GAP = 8  # other lines between two content lines of a cluster at most
+SIZE = 0.2  # of the main cluster's characters that another cluster has at least
 
 # Elements of HTML by what they do to a text.
 BLOCKS = frozenset(
@@ -48,6 +51,7 @@ STATES = frozenset("has no with without".split())  # the element has a menu, it
 SEMANTIC = frozenset(("article", "main"))
 UNNAMED = frozenset(("html", "body", "article", "main"))  # their names say something about the page
 HEADINGS = frozenset(("h1",))
+REGIONS = frozenset("article body center details dialog div html main section table td th".split())  # what can be a region of a page
 # What an opening tag closes, up to the elements that bound the search.
 CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -57,28 +61,33 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Page(HTMLParser):
-    """Collects blocks: text, tags before it, chain of element numbers around it, heading or not."""
+    """Collects lines (text, tags before it, element, whether something else) and elements.
+
+    Elements are numbered as they open, so what an element holds has the numbers after its own.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         # tag, number, something else, inside a block that is something else
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.opened: Counter[str] = Counter()  # by tag, of the stack
+        self.parent = [0]
         self.tag_of = [""]
         self.named: list[int] = []  # elements that hold blocks and that a name marks as something else
         self.text: list[str] = []
         self.tags = 0
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool]] = []
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             self.text = []
             if text:
-                chain = tuple(x[1] for x in self.stack)
-                self.blocks.append((text, self.tags, chain, self.stack[-1][3], any(x[0] in HEADINGS for x in self.stack)))
+                self.blocks.append((text, self.tags, self.stack[-1][1], self.stack[-1][3]))
                 self.tags = 0
 
     def pop_to(self, depth: int) -> None:
+        self.opened.subtract(x[0] for x in self.stack[depth:])
         del self.stack[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -91,6 +100,7 @@ class _Page(HTMLParser):
             self.close_for(tag)
         if tag in VOID:
             return
+        self.parent.append(self.stack[-1][1])
         self.tag_of.append(tag)
         other = self.stack[-1][2] or tag in OTHER
         if not other and attrs and tag not in UNNAMED:
@@ -101,6 +111,7 @@ class _Page(HTMLParser):
                 else:
                     other = True
         self.stack.append((tag, len(self.tag_of) - 1, other, other if tag in BLOCKS else self.stack[-1][3]))
+        self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -110,6 +121,8 @@ class _Page(HTMLParser):
     def close_for(self, tag: str) -> None:
         """Elements that end because ``tag`` begins: an open paragraph, or a sibling of its kind."""
         ends, bounds = CLOSES.get(tag, (frozenset(), frozenset()))
+        if not self.opened["p"] and not any(self.opened[x] for x in ends):
+            return
         cut = len(self.stack)
         for i in range(len(self.stack) - 1, 0, -1):
             name = self.stack[i][0]
@@ -147,11 +160,14 @@ class _Page(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+        if not self.opened[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 if tag in BLOCKS or tag in OTHER:
                     self.pop_to(i)
                 else:
+                    self.opened[tag] -= 1
                     del self.stack[i]
                 return
             if tag not in BLOCKS and tag not in OTHER and self.stack[i][0] in BLOCKS:
@@ -166,8 +182,7 @@ class _Page(HTMLParser):
 def parse(html: str) -> _Page:
     page = _Page()
     try:
-        for s in range(0, len(html), CHUNK):
-            page.feed(html[s : s + CHUNK])
+        page.feed(html)
         page.close()
     except AssertionError:  # a marked section that the parser doesn't know: it is text
         page = _Page()
@@ -177,63 +192,124 @@ def parse(html: str) -> _Page:
     return page
 
 
-def content_lines(lengths: np.ndarray, tags: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """True for the lines whose smoothed text-to-tag ratio is above the spread of all."""
-    ratio = lengths / np.maximum(tags, 1)
+def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """The ratios under a Gaussian over the lines; the first and the last line go on beyond the ends."""
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    kernel /= kernel.sum()
-    smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel, "valid")
-    return smooth > smooth.std()
-
-
-def _unmarked(page: _Page, lengths: np.ndarray, chosen: np.ndarray) -> list[int]:
-    """The blocks that neither elements nor names mark as something else, without the names that the content lines overrule."""
-    blocks, named = page.blocks, set(page.named)
-    rest = [i for i, b in enumerate(blocks) if not b[3]]
-    of = {i: [e for e in blocks[i][2] if e in named] for i in rest} if named else {}
-    content = [i for i in rest if chosen[i]]
-    total = sum(int(lengths[i]) for i in content)
-    held: dict[int, int] = {}
-    for i in content:
-        for e in of.get(i, ()):
-            held[e] = held.get(e, 0) + int(lengths[i])
-    for e in sorted(e for e, n in held.items() if 2 * n > total):  # from the outermost, as elements are numbered as they open
-        free = sum(int(lengths[i]) for i in content if named.isdisjoint(of[i]))
-        inside = [i for i in rest if e in of[i]]
-        if 10 * free < total or any(blocks[i][4] or any(page.tag_of[x] == "main" for x in blocks[i][2] if x > e) for i in inside):
-            named.discard(e)
-    own = [i for i in rest if named.isdisjoint(of.get(i, ()))]
-    return own or (rest if content else [])
+    return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), "valid")
+
+
+class _Tree:
+    """A page's elements and lines as arrays: what an element holds lies between its number and ``last``."""
+
+    def __init__(self, page: _Page):
+        parent, tag_of = page.parent, page.tag_of
+        n = len(parent)
+        last = list(range(n))
+        for e in range(n - 1, 0, -1):
+            last[parent[e]] = max(last[parent[e]], last[e])
+        heading, main, article = [False] * n, [0] * n, [0] * n
+        for e in range(1, n):
+            up, tag = parent[e], tag_of[e]
+            heading[e] = heading[up] or tag in HEADINGS
+            main[e] = e if tag == "main" else main[up]
+            article[e] = e if tag in SEMANTIC else article[up]
+        self.parent, self.tag_of, self.last, self.article = parent, tag_of, np.array(last), article
+        self.of = np.array([b[2] for b in page.blocks], np.int64)  # each line's element
+        self.lengths = np.array([len(b[0]) for b in page.blocks], np.int64)
+        self.heading, self.main = np.array(heading)[self.of], np.array(main)[self.of]
+        self.named = page.named
+
+    def inside(self, element: int) -> np.ndarray:
+        return (self.of >= element) & (self.of <= self.last[element])
+
+    def around(self, lines: np.ndarray) -> int:
+        """The smallest region of the page that holds all the lines."""
+        a, b = int(self.of[lines].min()), int(self.of[lines].max())
+        while a != b:  # what holds the first and the last holds all between
+            if a > b:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        while a and self.tag_of[a] not in REGIONS:
+            a = self.parent[a]
+        return a
+
+    def article_of(self, lines: np.ndarray) -> int:
+        """The innermost article (or main) element with more than half of the lines' characters, or 0."""
+        order = np.argsort(self.of[lines], kind="stable")
+        of, upto = self.of[lines][order], np.cumsum(self.lengths[lines][order])
+        e = self.article[int(of[np.searchsorted(upto, upto[-1] / 2)])]  # what has more than half holds the middle
+        while e:
+            a, b = np.searchsorted(of, e, "left"), np.searchsorted(of, self.last[e], "right")
+            if b > a and 2 * (upto[b - 1] - (upto[a - 1] if a else 0)) > upto[-1]:
+                return e
+            e = self.article[self.parent[e]]
+        return 0
+
+
+def _unmarked(tree: _Tree, rest: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of the lines ``rest`` those that no name marks as something else, without the names that the content lines overrule."""
+    marks = np.zeros(len(tree.last) + 1, np.int64)
+    for e in tree.named:
+        marks[e] += 1
+        marks[tree.last[e] + 1] -= 1
+    marks = np.cumsum(marks[:-1])  # names around each element
+    content = rest[chosen[rest]]
+    lengths, of = tree.lengths[content], tree.of[content]
+    upto = np.r_[0, np.cumsum(np.bincount(of, lengths, len(tree.last)))]
+    total = upto[-1]
+    named = np.array(tree.named, np.int64)
+    named = named[2 * (upto[tree.last[named] + 1] - upto[named]) > total] if len(named) else named
+    for e in named.tolist():  # each inside the one before
+        inside = tree.inside(e)[rest]
+        if 10 * lengths[marks[of] == 0].sum() < total or tree.heading[rest][inside].any() or (tree.main[rest][inside] > e).any():
+            marks[e : tree.last[e] + 1] -= 1
+    own = rest[marks[tree.of[rest]] == 0]
+    return own if len(own) or not len(content) else rest
+
+
+def content_lines(page: _Page) -> np.ndarray:
+    """The numbers of the lines that belong to the main text."""
+    none = np.zeros(0, np.int64)
+    if not page.blocks:
+        return none
+    tree = _Tree(page)
+    ratio = tree.lengths / np.maximum([b[1] for b in page.blocks], 1)
+    smooth = smoothed(ratio)
+    threshold = smooth.std()
+    chosen = smooth > threshold
+    own = _unmarked(tree, np.flatnonzero([not b[3] for b in page.blocks]), chosen)
+    if not len(own):
+        return none
+    # Lines whose own ratio is as high come first, as smoothing reaches beyond the ends of a region.
+    votes = next(v for v in (chosen[own] & (ratio[own] > threshold), chosen[own], np.ones(len(own), bool)) if v.any())
+    at = np.flatnonzero(votes)
+    cluster = np.cumsum(np.r_[0, np.diff(at) > GAP + 1])
+    size = np.bincount(cluster, tree.lengths[own[at]])
+    main = own[at[cluster == size.argmax()]]
+    if region := tree.article_of(main):
+        inside = tree.inside(region)
+    else:
+        inside = np.zeros(len(page.blocks), bool)
+        for k in np.flatnonzero(size >= SIZE * size.max()):
+            a, b = np.searchsorted(cluster, [k, k + 1])
+            inside |= tree.inside(tree.around(own[at[a:b]]))
+    lines = own[inside[own]]
+    if not tree.heading[lines].any():
+        before = own[tree.heading[own] & (own < lines[0])]
+        lines = np.r_[before[-1:], lines]
+    return lines
 
 
 def main_text(html: str) -> str:
-    """The main text of a page: its blocks, in page order, joined by two line breaks."""
+    """The main text of a page: its lines, in page order, joined by two line breaks.
+
+    Empty without text; of equal clusters the first is the main one; repeated lines stay.  Pages are
+    parsed whole, in time that follows their length, however deep their elements are nested.
+    """
     page = parse(html)
-    blocks = page.blocks
-    if not blocks:
-        return ""
-    lengths = np.array([len(b[0]) for b in blocks])
-    chosen = content_lines(lengths, np.array([b[1] for b in blocks]))
-    own = _unmarked(page, lengths, chosen)
-    votes = [i for i in own if chosen[i]] or own
-    if not votes:
-        return ""
-    held: dict[int, int] = {}
-    for i in votes:
-        for element in blocks[i][2]:
-            held[element] = held.get(element, 0) + int(lengths[i])
-    total = sum(int(lengths[i]) for i in votes)
-    named = [e for e, n in held.items() if page.tag_of[e] in SEMANTIC and 2 * n >= total]
-    if named:
-        region = max(named)  # the innermost: elements are numbered as they open
-    else:
-        region = max(e for e, n in held.items() if n == total)
-    inside = [i for i in own if region in blocks[i][2]]
-    if not any(blocks[i][4] for i in inside):
-        before = [i for i in own if blocks[i][4] and i < inside[0]]
-        inside = before[-1:] + inside
-    return "\n\n".join(blocks[i][0] for i in inside)
+    return "\n\n".join(page.blocks[i][0] for i in content_lines(page).tolist())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
