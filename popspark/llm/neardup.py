@@ -12,8 +12,8 @@
 5. Large-star and small-star give components.  Buckets that still hold classes of several
    components hold pairs that no pivot has settled.  Components with alike signatures in a bucket
    are drawn together, and within each such cluster all classes of different components meet:
-   block by block, by signature, then on the full sets.  Only links leave a block, one for each two
-   components it joins, and the components are made anew.
+   block by block, by signature, then on the full sets.  A component never meets itself.  Only
+   links leave a block, one for each two components it joins, and the components are made anew.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, slices, utf8
@@ -34,7 +34,10 @@ from .windows import _powers, mix
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 42, 5
-BLOCK = 1024  # classes of a bucket or cluster that are compared with as many at once
+BLOCK = 1024  # classes of a bucket or cluster that are compared with as many at once, about
+HEAVY = 2000  # shingles that weigh as much as a class by itself, so that blocks of long texts have fewer classes
+SALTS = 16  # parts in which the rows of one group meet what is known of it
+PART = 20_000  # rows of blocks in a partition, about
 
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -259,11 +262,45 @@ def _links(shingle: int, threshold: int):
     return links
 
 
-def _in_blocks(rows: DataFrame, group: str, many: str) -> DataFrame:
-    """Rows for each pair of blocks (lo, hi) of their group that they belong to; ``many``: rows of the group."""
-    rows = rows.withColumn("blocks", F.ceil(F.col(many) / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks", many)
+def _salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to a small ``table`` with one row for each key; the rows of a key are dealt out."""
+    parts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(parts, [*keys, "salt"]).drop("salt")
+
+
+def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (group, root, rep, weight, ..) for each pair of blocks (lo, hi) in which they meet others.
+
+    A component that fills blocks has some of its own, and its rows meet all blocks but these; the
+    others share blocks, which meet all.  So a large component next to a few other classes goes once
+    to each block of these, and is never compared with itself.
+    """
+    sums = saved(rows.groupBy(group, "root").agg(F.sum("weight").alias("weight")))
+    large = sums.filter(F.col("weight") > BLOCK).withColumn("own", F.ceil(F.col("weight") / BLOCK))
+    small = sums.filter(F.col("weight") <= BLOCK).groupBy(group).agg(F.ceil(F.sum("weight") / BLOCK).alias("shared"))
+    # The windows only see components of BLOCK classes and more.
+    before = Window.partitionBy(group).orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0))).select(group, "root", "own", "first")
+    in_large = large.groupBy(group).agg(F.sum("own").alias("owned"))
+    totals = small.join(in_large, group, "full").select(group, F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("owned", F.lit(0)).alias("owned"))
+    plan = _salted(sums.withColumn("rep", F.col("root")), totals, [group]).join(large, [group, "root"], "left").select(group, "root", "shared", "owned", "own", "first")
+    placed = _salted(rows, plan, [group, "root"])
+    h, mine = F.xxhash64("rep"), F.col("shared") + F.col("first")
+    placed = placed.withColumn("block", F.when(F.col("own").isNull(), F.pmod(h, "shared")).otherwise(mine + F.pmod(h, "own")))
+    met = F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("owned") - 1)
+    met = F.filter(met, lambda b: F.col("own").isNull() | (b < mine) | (b >= mine + F.col("own")))
+    placed = placed.withColumn("other", F.explode(met))
+    return placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "shared", "owned", "own", "first", "weight")
+
+
+def _dealt(blocks: DataFrame, group: str, *tables: DataFrame) -> DataFrame:
+    """The rows of ``_in_blocks`` with what ``tables`` have of them, each pair of blocks in one
+    partition, and about PART rows in each."""
+    blocks = saved(blocks)
+    many = blocks.count() // PART + 8
+    for table in tables:
+        blocks = blocks.join(table, "rep")
+    return blocks.repartition(many, group, "lo", "hi").groupBy(group, "lo", "hi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -280,8 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = saved(texts.mapInArrow(_sketch(shingle), _SKETCH))
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = saved(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    own = named.select("set_key", F.col("doc_id").alias("rep"), "bands", "signature").join(classes, ["set_key", "rep"], "left_semi").dropDuplicates(["rep", "set_key"])
-    own = saved(own.select("rep", "bands", "signature"))
+    own = named.select("set_key", F.col("doc_id").alias("rep"), "bands", "signature", (1 + F.col("n_shingles") / HEAVY).alias("weight")).join(classes, ["set_key", "rep"], "left_semi").dropDuplicates(["rep", "set_key"])
+    own = saved(own.select("rep", "bands", "signature", "weight"))
     signatures = own.select("rep", "signature")
 
     # Members of buckets with company.
@@ -310,15 +347,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "many", F.coalesce("root", "rep").alias("root"))
     placed = saved(placed)
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
-    open_rows = _in_blocks(placed.join(mixed, "bucket").join(signatures, "rep"), "bucket", "many")
-    alike = saved(open_rows.groupBy("bucket", "lo", "hi").applyInArrow(_roots_alike(threshold), "u long, v long").distinct())
+    open_rows = placed.join(mixed, "bucket").select("bucket", "rep", "root", F.lit(1.0).alias("weight"))
+    open_rows = _dealt(_in_blocks(open_rows, "bucket"), "bucket", signatures)
+    alike = saved(open_rows.applyInArrow(_roots_alike(threshold), "u long, v long").distinct())
     if not alike.isEmpty():
         clusters = components(alike).withColumnRenamed("root", "cluster").withColumnRenamed("node", "root")
         clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("root"), "cluster").distinct())
-        within = placed.select("rep", "root").distinct().join(clusters, "root")
-        counts = within.groupBy("cluster").agg(F.count("*").alias("many"))
-        within = _in_blocks(within.join(counts, "cluster").join(signatures, "rep").join(held, "rep"), "cluster", "many")
-        more = within.groupBy("cluster", "lo", "hi").applyInArrow(_links(shingle, threshold), "u long, v long")
+        within = _salted(placed.select("rep", "root").distinct(), clusters, ["root"]).join(own.select("rep", "weight"), "rep")
+        within = _dealt(_in_blocks(within, "cluster"), "cluster", signatures, held)
+        more = within.applyInArrow(_links(shingle, threshold), "u long, v long")
         roots = components(links.unionByName(more))
 
     of = classes.join(roots, classes.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("class_root"))
