@@ -33,12 +33,13 @@ def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    model = urls.train(urls.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return urls.judge(pages, model=model).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media.media_columns(table(spark, sf_dir, "documents"), with_fingerprints=False)
-    return out.drop("fingerprints", "media")
+    return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

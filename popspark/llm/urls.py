@@ -1,4 +1,9 @@
-"""URL filters: rules, and gradient-boosted trees on lexical features for what no rule settles."""
+"""URL filters: rules, and gradient-boosted trees on lexical features for what no rule settles.
+
+The trees are fitted on labelled urls.  A part of these is held out to choose the threshold, and
+another to see whether the verdicts are better than the more frequent label alone; if they aren't,
+the urls say nothing about the labels, and the trees block nothing.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,9 @@ from pyspark.sql import functions as F
 
 SAMPLE = 20_000  # labelled urls that the trees are fitted on at most
 TREES, DEPTH = 20, 4
+FIT, CHOOSE, TEST = 3, 1, 1  # fifths of the labelled urls: to fit on, to choose the threshold by, to test on
+THRESHOLDS = tuple(k / 20 for k in range(1, 20))
+BETTER = 2.0  # standard errors by which the verdicts on the test part have to beat the more frequent label
 PRIOR = 20  # labelled urls that a suffix's mean counts the overall mean as
 SEED = 5
 
@@ -87,13 +95,29 @@ def with_features(urls: DataFrame, url_col: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class HeldOut:
+    """What the test part says: urls, the share of its more frequent label, the share of right verdicts."""
+
+    urls: int
+    base: float
+    right: float
+
+    @property
+    def informative(self) -> bool:
+        return self.urls > 0 and self.right - self.base > BETTER * (self.base * (1 - self.base) / self.urls) ** 0.5
+
+
 @dataclass
 class UrlModel:
-    """Trees and the suffix rates they know; without trees one verdict for all."""
+    """Trees, the suffix rates they know and the probability from which they block (none: never);
+    without trees one probability for all."""
 
     trees: object | None
     rates: list[tuple[str, float]]
     mean: float
+    threshold: float | None = None
+    held_out: HeldOut | None = None
 
     def block_probability(self, urls: DataFrame, url_col: str) -> DataFrame:
         """Adds block_probability to urls that ``split_url`` has cut."""
@@ -114,28 +138,46 @@ def _rated(rows: DataFrame, rates: list[tuple[str, float]], mean: float) -> Data
     return rows.join(F.broadcast(table), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(mean)))
 
 
+def labelled_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id") -> DataFrame:
+    """The urls of pages that have a label, once for each: url, label (1: of low quality or toxic, 0: neither)."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    kinds = labels.select(F.col(label_id_col).alias("of"), bad.cast("double").alias("label")).filter("label is not null")
+    return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).join(kinds, F.col("id") == F.col("of")).select("url", "label")
+
+
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
-    """Fit on labelled urls (label 1: block, 0: allow).
+    """Fit on labelled urls (label 1: block, 0: allow), and say what the held-out ones showed.
 
     At most ``sample`` of them are used, those with the smallest hashes of their urls, so the sample
-    is the same in every run and as large for any input.  Rows without a label are left out.  With
-    no labels at all nothing is blocked; with labels of one kind that is the verdict.
+    is the same in every run and as large for any input; all rows of a url are in one part.  Rows
+    without a label are left out.  Without labels, with labels of one kind only, and where the test
+    part shows no gain, nothing is blocked.
     """
     rows = split_url(labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label")).filter("label is not null"), "url")
     # One task fits the sample in a fixed order, so that reruns give the same trees.
     rows = with_features(rows, "url").withColumn("at", F.xxhash64("url")).orderBy("at", "url").limit(sample).repartition(1).sortWithinPartitions("at", "url").persist()
+    part = F.pmod(F.xxhash64(F.lit(SEED), F.col("at")), F.lit(FIT + CHOOSE + TEST))
+    fitted = rows.filter(part < FIT)
     try:
-        by = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()  # a row for each suffix of the sample
+        by = fitted.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()  # a row for each suffix of the sample
         total, blocked = sum(r.n for r in by), sum(r.blocked for r in by)
-        if not total:
-            return UrlModel(None, [], 0.0)
+        if blocked in (0, total):  # also without any
+            return UrlModel(None, [], blocked / total if total else 0.0)
         mean = blocked / total
-        if blocked in (0, total):
-            return UrlModel(None, [], mean)
         rates = sorted((r.suffix, (r.blocked + PRIOR * mean) / (r.n + PRIOR)) for r in by)
-        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(_rated(rows, rates, mean)).select("vector", "label")
-        model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=SEED, maxMemoryInMB=64).fit(ready)
-        return UrlModel(model, rates, mean)
+        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(_rated(fitted, rates, mean)).select("vector", "label")
+        forest = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=SEED, maxMemoryInMB=64).fit(ready)
+        model = UrlModel(forest, rates, mean)
+        base = ("url", "host", "path", "rest", "label")
+        judged = model.block_probability(rows.filter(part >= FIT).select(*base, (part >= FIT + CHOOSE).alias("test")), "url")
+        right = [F.avg(((F.col("block_probability") >= t) == (F.col("label") == 1)).cast("double")).alias(f"t{k}") for k, t in enumerate(THRESHOLDS)]
+        seen = {r.test: r for r in judged.groupBy("test").agg(F.count("*").alias("n"), F.avg("label").alias("mean"), *right).collect()}  # two rows
+        if len(seen) == 2:
+            k = max(range(len(THRESHOLDS)), key=lambda k: (seen[False][f"t{k}"], k))
+            test = seen[True]
+            model.held_out = HeldOut(test.n, max(test["mean"], 1 - test["mean"]), test[f"t{k}"])
+            model.threshold = THRESHOLDS[k] if model.held_out.informative else None
+        return model
     finally:
         rows.unpersist()
 
@@ -143,20 +185,18 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, model: UrlModel | None = None) -> DataFrame:
     """A verdict on every row: page_id, host, path, rule, verdict (allow or block), block_probability.
 
-    The longest rule that fits decides.  Where none fits the model does: block from a probability of
-    one half on; ``block_probability`` is null where a rule decides.  Without a model the rules
-    themselves label urls to train one.  Null and malformed urls have an empty host and path and go
-    to the model.  Repeated rows give repeated rows, an empty table an empty one; other columns play
-    no part.
+    The longest rule that fits decides.  Where none fits the model does: block from its threshold on,
+    if it has one; ``block_probability`` is null where a rule decides.  Without a model, what no rule
+    blocks is allowed.  Null and malformed urls have an empty host and path and go to the model.
+    Repeated rows give repeated rows, an empty table an empty one; other columns play no part.
     """
+    model = model or UrlModel(None, [], 0.0)
     cut = split_url(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")), "url")
     cut = cut.withColumn("hit", matching(rules, F.col("host"), F.col("path")))
-    if model is None:
-        labelled = cut.filter("hit is not null").select("url", (F.col("hit.verdict") == "block").cast("double").alias("label"))
-        model = train(labelled)
     scored = model.block_probability(cut, "url")
+    blocks = F.lit(False) if model.threshold is None else F.col("block_probability") >= model.threshold
     return scored.select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
-        F.coalesce("hit.verdict", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("hit.verdict", F.when(blocks, "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("hit").isNull(), F.col("block_probability")).alias("block_probability"),
     )
