@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests, a notebook) a local folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="popspark-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The session's spark.checkpoint.dir.  Only where that is unset and Spark runs in one process
+    (tests, a notebook) a local folder; executors elsewhere would each write to a disk of their own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="popspark-"))
+    return context.getCheckpointDir()
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -31,6 +37,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder: for wide rows of which later steps read few columns."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: Column) -> Column:
     """The maximal runs of other characters than white space, as an array; null text has none."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, words
+from .common import SPACE, saved, words, written
 
 ROUNDS = 8
 GOOD_SHARE = 0.8  # to begin with
@@ -60,27 +60,33 @@ def _covered(words: Column) -> Column:
     return once(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(repeated(g)))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash and what the rules look at, for each row."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """doc_id, text_hash and what the rules look at, for each row; ``carry`` comes along as ``carried``.
+
+    Marks, capitals and symbols are cut out of the text once; what is counted is counted in these few.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    count = lambda characters: (F.length("text") - F.length(F.translate("text", characters, ""))).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("lines"))
-    return rows.select(
+    count = lambda characters: (F.length("marks") - F.length(F.translate("marks", characters, ""))).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (F.lit(None) if carry is None else carry).alias("carried"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    rows = rows.select("doc_id", "text", "carried", words(F.col("text")).alias("words"), lines.alias("lines"), F.regexp_replace("text", f"[^A-Z.?!{SYMBOLS}]+", "").alias("marks"))
+    out = rows.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
-        F.size(F.filter("words", lambda w: F.right(w, F.lit(1)).isin(list(SYMBOLS)))).cast("long").alias("n_symbol_words"),
-        sum((F.contains(F.col("text"), F.lit(c)).cast("long") for c in SYMBOLS), F.lit(0).cast("long")).alias("n_symbol_kinds"),
+        F.when(count(SYMBOLS) > 0, F.regexp_count("text", F.lit(rf"[{SYMBOLS}](?![^\x20\x09-\x0D])"))).otherwise(0).cast("long").alias("n_symbol_words"),
+        sum((F.contains(F.col("marks"), F.lit(c)).cast("long") for c in SYMBOLS), F.lit(0).cast("long")).alias("n_symbol_kinds"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("words")).cast("long").alias("n_repeat_words"),
         count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
         count("!").alias("n_shouts"),
         count(".?!").alias("n_ends"),
+        "carried",
     )
+    return out.drop("carried") if carry is None else out
 
 
 def votes() -> list[Column]:
@@ -125,9 +131,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     judged each, and weigh as many documents in the estimates; an empty table gives an empty one.
     Other columns play no part.  Every text is measured whole.
     """
-    rows = saved(measures(docs, id_col, text_col).select("*", *votes()))
+    return _judged(saved(measures(docs, id_col, text_col).select("*", *votes())), rounds, keep)
+
+
+def _judged(rows: DataFrame, rounds: int, keep: float) -> DataFrame:
     names = [f"vote_{r}" for r in RULES]
     patterns = saved(rows.groupBy(*names).agg(F.count("*").alias("n")))  # 3 ** len(RULES) rows at most
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     judged = rows.withColumn("base_failed", failed).withColumn("quality", _posterior(estimate(patterns, rounds)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever their names.
+
+    Nulls, repeats and empty tables are as in ``judge``: every row is judged by itself.  The rows are
+    written with their votes and read again, so that nothing is joined or shuffled but the patterns.
+    """
+    rows = written(measures(docs, id_col, text_col, F.struct("*")).select("*", *votes()))
+    return _judged(rows, rounds, keep).filter("kept").select("carried.*")
