@@ -101,9 +101,10 @@ class _Block:
     def __init__(self, payload: bytes, span: int, buckets: int):
         self.ids, self.lengths, self.data, self.extra_lengths, self.extra = _load(payload, np.int64, np.int64, np.uint8, np.int64, np.uint8)
         self.runs = r = windows.runs(self.data, self.lengths, span)
-        top = r.hash >> np.uint64(32)
-        bucket = (top * np.uint64(buckets)) >> np.uint64(32)
-        key = (bucket << np.uint64(32)) | (r.hash & np.uint64(0xFFFFFFFF))
+        # Minimizers are the smallest of many hashes; mixed anew, they are spread evenly over the buckets.
+        spread = windows.mix(r.hash.copy())
+        bucket = ((spread >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        key = (bucket << np.uint64(32)) | (spread & np.uint64(0xFFFFFFFF))
         order = np.argsort(key)
         sorted_key = key[order]
         begin = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]]) if len(key) else order
@@ -263,9 +264,9 @@ def _shard(span: int) -> Callable:
 
         sa = suffix.suffix_array(np.r_[t, np.int16(0)], span)
         data = np.r_[np.where(t > 1, t - 2, 0).astype(np.uint8), np.zeros(span + 8, np.uint8)]
-        same = suffix.repeats(data, np.r_[is_start, False], sa, span)
+        prefix = suffix.common_prefixes(data, np.r_[is_start, False], sa, span)
         order = sa[np.r_[is_start, False][sa]]
-        begins = np.flatnonzero(~same[order])
+        begins = np.flatnonzero(prefix[order] < span)
         group = np.minimum.reduceat(least[of[order]], begins)
         answer = np.empty(total, np.int64)
         answer[order] = np.repeat(group, np.diff(np.r_[begins, len(order)]))

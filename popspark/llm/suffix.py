@@ -8,8 +8,8 @@ work is linear in the text and no step is per suffix.  The recursion names pairs
 alphabet of names is too large for one step a bucket), and stops as soon as every name is unique
 or the names cover ``horizon`` characters: suffixes that agree that far are left in any order.
 
-``repeats`` reads off the permuted common prefixes: in text order, whether the suffix shares its
-first ``span`` bytes with the suffix before it in the array.
+``common_prefixes`` gives the permuted common prefixes: in text order, how many bytes (up to ``span``)
+a suffix shares with the suffix before it in the array.
 """
 
 from __future__ import annotations
@@ -176,9 +176,9 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), np.dtype("<u8"), buffer=data, strides=(1,))
 
 
-def repeats(data: np.ndarray, starts: np.ndarray, sa: np.ndarray, span: int) -> np.ndarray:
-    """Permuted common prefixes: for each position, True if it begins a string (``starts``) and so
-    does the position before it in ``sa``, and both share their first ``span`` (8 or more) bytes.
+def common_prefixes(data: np.ndarray, starts: np.ndarray, sa: np.ndarray, span: int) -> np.ndarray:
+    """Permuted common prefixes: for each position, how many of its first ``span`` (8 or more) bytes it
+    shares with the position before it in ``sa``; 0 unless both begin a string (``starts``).
 
     data: the bytes, with at least ``span`` + 8 more at the end.
     """
@@ -189,8 +189,14 @@ def repeats(data: np.ndarray, starts: np.ndarray, sa: np.ndarray, span: int) ->
     here = np.flatnonzero(starts[:n] & (ahead >= 0))
     here = here[starts[ahead[here]]]
     words = words_at(data)
+    out = np.zeros(n, np.int16)
+    done = 0
     for k in [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])]:
-        here = here[words[here + k] == words[ahead[here] + k]]
-    out = np.zeros(n, bool)
-    out[here] = True
+        differ = words[here + k] ^ words[ahead[here] + k]
+        ends = differ != 0
+        low = differ[ends]
+        # The lowest set bit lies in the first byte that differs.
+        out[here[ends]] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        here, done = here[~ends], k + 8
+    out[here] = done
     return out
