@@ -11,6 +11,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 MOST = 2  # times a source's own size
 SEED = 17
+FEW = 10_000  # sources whose rates are sent to every task
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -20,7 +21,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     sizes by weight; what a source gets beyond ``most`` times its size goes to the others by weight,
     until none is above.  In the order of limit over weight the sources at their limit come first,
     so the level (tokens for a unit of weight) that the others reach is the largest of the levels
-    that follow from any number of leading sources at their limit.
+    that follow from any number of leading sources at their limit.  The windows see a row for each
+    source, in one task.  No rows give no targets.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -48,7 +50,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
     sizes = saved(sizes)
     by = targets(sizes).withColumnRenamed("source", "of")
-    joined = sizes.join(by, sizes.source.eqNullSafe(by.of)).drop("of")
+    by = saved(by)
+    joined = sizes.join(F.broadcast(by) if by.count() <= FEW else by, sizes.source.eqNullSafe(by.of)).drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("rate", rate)
     whole = F.floor("rate")
@@ -57,11 +60,20 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as ``mixture`` takes them."""
+    """The rows of ``docs``, all columns and whatever their names, as often as ``mixture`` takes them.
+
+    Null texts, ids and sources, repeated rows and empty tables are as in ``mixture``.  Up to FEW
+    sources the rates go to the rows, which stay where they are; beyond, Spark picks the join.
+    """
     sizes = docs.select(F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
-    by = saved(targets(sizes)).select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    rows = docs.join(by, docs[source_col].cast("string").eqNullSafe(by["__of"]))
-    whole = F.floor("__rate")
-    copies = whole + (uniform(seed, docs[id_col]) < F.col("__rate") - whole).cast("long")
+    by = saved(targets(sizes))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    by = by.select(F.struct(F.col("source").alias("name"), rate.alias("rate")).alias("of"))
+    if by.count() <= FEW:
+        by = F.broadcast(by)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"))
+    rows = rows.join(by, F.col("source").eqNullSafe(F.col("of.name")))
+    whole = F.floor("of.rate")
+    copies = whole + (uniform(seed, F.col("id")) < F.col("of.rate") - whole).cast("long")
     copy = F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))
-    return rows.withColumn("__copy", copy).drop("__copy", "__of", "__rate")
+    return rows.withColumn("copy", copy).select("row.*")
