@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
+from .population import ranks
 
 WEEKDAYS = (1, 2, 3, 4, 5)
 
@@ -66,22 +67,44 @@ def freight_departures(trips: DataFrame, hourly: DataFrame, seed: int) -> DataFr
 
 def freight_locations(trips: DataFrame, enterprises: DataFrame, zone_col: str, seed: int, salt: str) -> DataFrame:
     """A place of the zone for each trip, all with the same chance: ranks within zones, and a pick by hash."""
-    w = Window.partitionBy("zone_id").orderBy("enterprise_id")
-    ranked = enterprises.withColumn("rank", F.row_number().over(w))
+    ranked = ranks(enterprises.select("zone_id", "enterprise_id", "x", "y"), ["zone_id"], ["enterprise_id"], "rank")
     many = enterprises.groupBy("zone_id").agg(F.count("*").alias("many"))
-    picked = trips.join(many, trips[zone_col] == many["zone_id"]).withColumn("rank", F.floor(uniform(seed, salt, F.col("trip_id")) * F.col("many")) + 1)
-    return picked.join(ranked.select("zone_id", "rank", "enterprise_id", "x", "y"), ["zone_id", "rank"]).select("trip_id", "zone_id", "enterprise_id", "x", "y")
+    picked = trips.join(many, trips[zone_col] == many["zone_id"]).withColumn("rank", F.floor(uniform(seed, salt, F.col("trip_id")) * F.col("many")))
+    return picked.join(ranked, ["zone_id", "rank"]).select("trip_id", "zone_id", "enterprise_id", "x", "y")
+
+
+def freight_places(trips: DataFrame, enterprises: DataFrame, levels: list[str], borders: DataFrame, zone_col: str, country: str, seed: int, salt: str) -> DataFrame:
+    """Where each trip (trip_id and a zone id in ``zone_col``) begins or ends: trip_id, zone_id, enterprise_id, x, y.
+
+    A zone of the country, at any level, gets one of its enterprises (``levels``: their columns with
+    the zone ids of each level), all with the same chance; a zone abroad the border point that is
+    nearest to its centre (borders: zone_id, border_x, border_y, as from ``spatial.border_points``)."""
+    own = F.contains(F.col(zone_col), F.lit(country))
+    # A row for each enterprise and level; ids tell their level by their length.
+    at = enterprises.select("enterprise_id", "x", "y", F.explode(F.array(*levels)).alias("zone_id")).filter("zone_id is not null")
+    inside = freight_locations(trips.filter(own), at, zone_col, seed, salt)
+    abroad = trips.filter(~own).join(borders, trips[zone_col] == borders["zone_id"])
+    kind = enterprises.schema["enterprise_id"].dataType
+    return inside.unionByName(abroad.select("trip_id", "zone_id", F.lit(None).cast(kind).alias("enterprise_id"), F.col("border_x").alias("x"), F.col("border_y").alias("y")))
 
 
 # Transit feeds: a dict of slot name to table.
 
+# The identifiers of the public feed format and the columns that refer to them.
 REFERENCES = {
-    "agency": ("agency_id", (("routes", "agency_id"),)),
+    "agency": ("agency_id", (("routes", "agency_id"), ("fare_attributes", "agency_id"), ("attributions", "agency_id"))),
+    "levels": ("level_id", (("stops", "level_id"),)),
     "stops": ("stop_id", (("stops", "parent_station"), ("stop_times", "stop_id"), ("transfers", "from_stop_id"), ("transfers", "to_stop_id"), ("pathways", "from_stop_id"), ("pathways", "to_stop_id"))),
-    "routes": ("route_id", (("trips", "route_id"),)),
-    "trips": ("trip_id", (("stop_times", "trip_id"), ("frequencies", "trip_id"))),
+    "routes": ("route_id", (("trips", "route_id"), ("fare_rules", "route_id"), ("attributions", "route_id"))),
+    "shapes": ("shape_id", (("trips", "shape_id"),)),
+    "trips": ("trip_id", (("stop_times", "trip_id"), ("frequencies", "trip_id"), ("attributions", "trip_id"))),
     "calendar": ("service_id", (("calendar_dates", "service_id"), ("trips", "service_id"))),
+    "calendar_dates": ("service_id", (("calendar", "service_id"), ("trips", "service_id"))),
+    "fare_attributes": ("fare_id", (("fare_rules", "fare_id"),)),
+    "pathways": ("pathway_id", ()),
+    "attributions": ("attribution_id", ()),
 }
+DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 Feed = dict[str, DataFrame]
 
@@ -149,9 +172,10 @@ def despace_stop_ids(feed: Feed, replacement: str = ":::") -> Feed:
 
 
 def merge_feeds(first: Feed, second: Feed, suffix: str = "_merged") -> Feed:
-    """Both feeds' rows; an id that both use for different rows gets the suffix in the second."""
+    """Both feeds' rows; an id with several rows among both gets the suffix in the second, and wherever
+    that refers to it.  Slots without the identifier are merged as they are."""
     for slot, (key, _) in REFERENCES.items():
-        if slot in first and slot in second:
+        if all(slot in f and key in f[slot].columns for f in (first, second)):
             both = first[slot].unionByName(second[slot], allowMissingColumns=True).distinct()
             twice = both.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("old_id"))
             second = rename_ids(second, slot, twice.withColumn("new_id", F.concat("old_id", F.lit(suffix))))
@@ -160,3 +184,20 @@ def merge_feeds(first: Feed, second: Feed, suffix: str = "_merged") -> Feed:
         tables = [f[slot] for f in (first, second) if slot in f]
         out[slot] = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1], allowMissingColumns=True).distinct()
     return out
+
+
+def merge_all(feeds: list[Feed]) -> Feed:
+    """Any number of feeds, one after the other; colliding ids of the k-th get the suffix _m<k>."""
+    out = feeds[0]
+    for k, feed in enumerate(feeds[1:], 2):
+        out = merge_feeds(out, feed, f"_m{k}")
+    return out
+
+
+def order_days(feed: Feed) -> Feed:
+    """The calendar's weekdays as its last columns, from monday on."""
+    out = dict(feed)
+    if "calendar" in out:
+        df = out["calendar"]
+        out["calendar"] = df.select(*(c for c in df.columns if c not in DAYS), *(d for d in DAYS if d in df.columns))
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
+from ..session import saved
 from .zones import weighted_cdf, weighted_draw
 
 
@@ -34,22 +35,21 @@ def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory
     for k in range(mandatory, len(columns) + 1):
         fine = F.when(n[k] >= need, k).otherwise(fine)
     placed = counted.withColumn("level", F.when(need >= 1, fine).otherwise(level))
-    cell = lambda k: F.concat_ws("|", F.lit(str(k)), *(F.col(c).cast("string") for c in columns[:k]))
+    # A cell is its level and the values of as many columns; structs tell ("a|b", "c") from ("a", "b|c").
+    cell = lambda k: F.struct(*((F.col(c) if i < k else F.lit(None)).cast("string").alias(c) for i, c in enumerate(columns)))
     chosen = cell(0)
     for k in range(1, len(columns) + 1):
         chosen = F.when(F.col("level") == k, cell(k)).otherwise(chosen)
-    placed = placed.select("target_id", "level", chosen.alias("cell"), uniform(seed, "match", F.col("target_id")).alias("u"))
+    placed = saved(placed.select("target_id", "level", chosen.alias("cell")))
     cells = None
     for k in range(len(columns) + 1):
-        part = source.select("donor_id", "weight", cell(k).alias("cell"))
+        part = source.select("donor_id", "weight", F.lit(k).alias("level"), cell(k).alias("cell"))
         cells = part if cells is None else cells.unionByName(part)
-    # Only cells that some target is in, each with its donors' cumulative weights as one array.
-    cells = cells.join(placed.select("cell").distinct(), "cell", "left_semi")
-    cdf = weighted_cdf(cells, ["cell"], ["donor_id"])
-    arrays = cdf.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("cdf", "donor_id"))).alias("donors"))
-    drawn = placed.join(arrays, "cell")
-    at = F.size(F.filter("donors", lambda d: d["cdf"] <= F.col("u")))
-    return drawn.select("target_id", "level", F.get("donors", F.least(at, F.size("donors") - 1))["donor_id"].alias("donor_id"))
+    # Only cells that some target is in.  The level of all donors is one cell, which is cut into more parts.
+    cells = cells.join(placed.select("level", "cell").distinct(), ["level", "cell"], "left_semi")
+    cdf = weighted_cdf(cells, ["level", "cell"], ["donor_id"]).select("level", "cell", "donor_id", "cdf_before", "cdf")
+    bins = F.when(F.col("level") == 0, 4096).otherwise(64)
+    return weighted_draw(placed, uniform(seed, "match", F.col("target_id")), cdf, ["level", "cell"], bins).select("target_id", "level", "donor_id")
 
 
 def match_levels(matches: DataFrame, levels: int) -> DataFrame:
@@ -95,7 +95,10 @@ def multinomial_counts(totals: DataFrame, cdf: DataFrame, seed: int) -> DataFram
     return drawn.groupBy("origin_id", "destination_id").agg(F.count("*").alias("count"))
 
 
-def ipu(types: DataFrame, group: str, controls: list[str], sweeps: int, tolerance: float = 0.0) -> DataFrame:
+LIMITS = ((1e-2, 1.0), (1e-5, 1.0))  # relative and absolute error of household and of person controls
+
+
+def ipu(types: DataFrame, group: str, controls: list[str], sweeps: int, tolerance: float = 0.0, households: tuple[str, ...] = (), limits: tuple | None = None) -> DataFrame:
     """Weights of household types that meet the controls of each group.
 
     types: group, type_id, households (how many have this type), n_<control> (members or households of
@@ -103,22 +106,47 @@ def ipu(types: DataFrame, group: str, controls: list[str], sweeps: int, toleranc
     types with a control are multiplied by target over current sum, control after control in the
     given order.  Types are households with equal counts, so a group's table is small whatever its
     population; groups are independent.
+
+    A group stops after the sweep in which every sum is within ``tolerance`` (if that is given), or (with
+    ``limits``) as soon as, after all controls of one kind, both kinds, those named in ``households``
+    (which come first) and the others, have errors within their limits: relative, the sum of |sum - target| over the sum of targets, and
+    absolute, the same with each difference weighted by its target.
     """
 
+    def close(error: np.ndarray, target: np.ndarray, limit: tuple[float, float]) -> bool:
+        total = np.abs(target).sum()
+        return not total or (error.sum() / total <= limit[0] and (error * np.abs(target)).sum() / total <= limit[1])
+
+    of_households = np.array([c in households for c in controls], bool)
+    ends = np.r_[of_households[1:] != of_households[:-1], True]
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("type_id")
         n = pdf[[f"n_{c}" for c in controls]].to_numpy(float)
         many = pdf["households"].to_numpy(float)
         target = pdf[[f"t_{c}" for c in controls]].to_numpy(float)[0]
         weight = np.ones(len(pdf))
+
+        def errors() -> np.ndarray:
+            return np.abs((weight * many) @ n - target)
+
+        def converged() -> bool:
+            error = errors()
+            return all(close(error[kind], target[kind], limit) for kind, limit in ((of_households, limits[0]), (~of_households, limits[1])))
+
         for _ in range(sweeps):
             for k in range(len(controls)):
                 own = n[:, k] > 0
                 now = float((weight * many * n[:, k]).sum())
                 if now > 0 and target[k] > 0:
                     weight[own] *= target[k] / now
-            if tolerance and np.abs((weight * many) @ n - target).max() <= tolerance:
-                break
+                if limits and ends[k] and converged():
+                    break
+            else:
+                if tolerance and errors().max() <= tolerance:
+                    break
+                continue
+            break
         return pd.DataFrame({group: pdf[group].to_numpy(), "type_id": pdf["type_id"].to_numpy(), "weight": weight})
 
     kind = dict(types.dtypes)

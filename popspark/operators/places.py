@@ -11,43 +11,98 @@ from pyspark.sql import functions as F
 
 from ..constants import FIXED_PURPOSES
 from ..functions.scalar import crowfly, uniform
+from ..session import saved
+from .population import ranks
+from .spatial import sample_points
 from .zones import weighted_cdf, weighted_draw
 
 
-def work_in_zone(persons: DataFrame, enterprises: DataFrame, seed: int) -> DataFrame:
-    """An enterprise of the work zone for each person, by employees."""
+def work_in_zone(persons: DataFrame, enterprises: DataFrame, seed: int, polygons: DataFrame | None = None) -> DataFrame:
+    """An enterprise of the work zone for each person, by employees.  Persons whose zone has none get a
+    random point of the zone (``polygons``: its shapes) without an enterprise, or no place without these."""
     cdf = weighted_cdf(enterprises.filter("employees > 0"), ["zone_id"], ["enterprise_id"], "employees")
-    cells = cdf.select(F.col("zone_id").alias("work_zone_id"), "enterprise_id", F.col("x").alias("work_x"), F.col("y").alias("work_y"), "cdf_before", "cdf")
-    drawn = weighted_draw(persons, uniform(seed, "work", F.col("person_id")), cells, ["work_zone_id"])
-    return drawn.select("person_id", "work_zone_id", "enterprise_id", "work_x", "work_y")
-
-
-def work_gravity(persons: DataFrame, enterprises: DataFrame, seed: int, rounds: int = 3, spread: float = 2000.0) -> DataFrame:
-    """A work place in the quota's zone: the largest of log(employees left) - (distance - commute)^2 /
-    (2 spread^2) + Gumbel noise, which draws by employees times a Gaussian.  In each round an
-    enterprise accepts persons up to the employees it has left, by hash order; after the last round
-    the rest take their best place whatever its capacity.  Persons whose zone has no enterprise choose
-    among all.  Persons: person_id, work_zone_id, x, y, commute_distance."""
-    zones = enterprises.select(F.col("zone_id").alias("work_zone_id")).distinct()
-    left, placed, capacity = persons, None, enterprises.select("enterprise_id", "zone_id", F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("employees").cast("long").alias("left"))
+    cells = cdf.select(F.col("zone_id").alias("work_zone_id"), "enterprise_id", F.col("x").cast("double").alias("work_x"), F.col("y").cast("double").alias("work_y"), "cdf_before", "cdf")
+    drawn = weighted_draw(persons, uniform(seed, "work", F.col("person_id")), cells, ["work_zone_id"]).select("person_id", "work_zone_id", "enterprise_id", "work_x", "work_y")
+    if polygons is None:
+        return drawn
+    rest = ranks(persons.join(cells.select("work_zone_id").distinct(), "work_zone_id", "left_anti").select("person_id", "work_zone_id"), ["work_zone_id"], ["person_id"], "unit")
+    points = sample_points(polygons, rest.groupBy(F.col("work_zone_id").alias("zone_id")).agg(F.count("*").alias("n")), seed)
+    placed = rest.join(points.withColumnRenamed("zone_id", "work_zone_id"), ["work_zone_id", "unit"])
+    none = F.lit(None).cast(enterprises.schema["enterprise_id"].dataType)
+    return drawn.unionByName(placed.select("person_id", "work_zone_id", none.alias("enterprise_id"), F.col("x").alias("work_x"), F.col("y").alias("work_y")))
+
+
+SPREAD = 150.0  # metres: least standard deviation of distances from the commute's
+NEAR = 1000.0  # metres: shorter commutes may end in the home zone
+OWN = 1 / 60  # weight of the home zone for these
+LEAST = 0.1  # employees that an enterprise keeps
+CELL = 2000.0  # metres
+SURE = 8.0  # standard deviations beyond which a cell is not looked into: weights there are below e^-32 of the best
+
+
+def work_gravity(persons: DataFrame, enterprises: DataFrame, seed: int, quotas: DataFrame | None = None, rounds: int = 4) -> DataFrame:
+    """A work place for each person: person_id, enterprise_id, work_x, work_y, distance.
+
+    persons: person_id, home_zone_id, x, y, commute_distance.  quotas: home_zone_id, work_zone_id, count
+    (persons of a zone over their work zones); without them persons have a work_zone_id each.  enterprises: enterprise_id, zone_id, x, y, employees.
+
+    A person may work in the zones that are left in the quota of the home zone; with a commute below
+    NEAR also in the home zone, at OWN of the weight; in all enterprises if these zones have none.  The
+    draw is by employees left (LEAST at least) times a Gaussian of the difference between distance and
+    commute, whose deviation is SPREAD or half the smallest difference: the largest logarithm plus
+    Gumbel noise.  In each round quotas and enterprises accept as many as they have left, by hash
+    order; after the last round the rest take their best place.
+
+    Persons meet the grid cells of their zones, and enterprises only in cells that can matter.
+    """
+    if quotas is None:
+        persons = persons.withColumn("home_zone_id", F.col("work_zone_id"))
+        quotas = persons.groupBy("home_zone_id", "work_zone_id").agg(F.count("*").alias("count"))
+    left = persons.select("person_id", "home_zone_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("commute_distance").cast("double").alias("commute"))
+    firms = enterprises.select("enterprise_id", "zone_id", F.col("x").cast("double").alias("wx"), F.col("y").cast("double").alias("wy"), F.col("employees").cast("double").alias("left"))
+    firms = firms.filter("wx is not null and wy is not null and left is not null and zone_id is not null")
+    firms = saved(firms.withColumn("cx", F.floor(F.col("wx") / CELL)).withColumn("cy", F.floor(F.col("wy") / CELL)))
+    cells = saved(firms.select("zone_id", "cx", "cy").distinct())
+    left, quotas, placed = saved(left), saved(quotas.select("home_zone_id", F.col("work_zone_id").alias("zone_id"), F.col("count").alias("room"))), None
+    half = CELL * 0.5**0.5
     for k in range(rounds + 1):
-        last = k == rounds
-        room = capacity if last else capacity.filter("left > 0")
+        last, open_quotas = k == rounds, quotas.filter("room > 0")
+        zones = left.join(open_quotas.drop("room"), "home_zone_id").withColumn("factor", F.lit(1.0))
+        own = left.filter(F.col("commute") < NEAR).withColumn("zone_id", F.col("home_zone_id")).join(open_quotas.drop("room"), ["home_zone_id", "zone_id"], "left_anti")
+        zones = zones.unionByName(own.withColumn("factor", F.lit(OWN)))
+        met = zones.join(cells, "zone_id")
+        # Without a firm in any of their zones persons meet the cells of all zones.
+        lost = left.join(met.select("person_id").distinct(), "person_id", "left_anti").withColumn("factor", F.lit(1.0))
+        met = met.unionByName(lost.join(cells))
+        off = F.abs(crowfly(F.col("x"), F.col("y"), (F.col("cx") + 0.5) * CELL, (F.col("cy") + 0.5) * CELL) - F.col("commute"))
+        met = met.withColumn("off", off).withColumn("best", F.min("off").over(Window.partitionBy("person_id")) + half)
+        met = met.filter(F.col("off") - half <= F.col("best") + SURE * F.greatest(F.lit(SPREAD), F.col("best") / 2)).drop("off", "best")
         d = crowfly(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"))
+        pairs = met.join(firms, ["zone_id", "cx", "cy"]).withColumn("distance", d).withColumn("dx", F.abs(F.col("distance") - F.col("commute")))
+        deviation = F.greatest(F.lit(SPREAD), F.min("dx").over(Window.partitionBy("person_id")) / 2)
         u = F.greatest(uniform(seed + k, "gumbel", F.col("person_id"), F.col("enterprise_id")), F.lit(1e-12))
-        score = F.log(F.greatest(F.col("left"), F.lit(1)).cast("double")) - F.pow(d - F.col("commute_distance"), 2) / (2 * spread * spread) - F.log(-F.log(u))
-        own = left.join(room, left["work_zone_id"] == room["zone_id"])
-        pairs = own.unionByName(left.join(zones, "work_zone_id", "left_anti").select(*left.columns).crossJoin(room))
-        best = pairs.groupBy("person_id").agg(F.max_by(F.struct("enterprise_id", "wx", "wy", "left", d.alias("distance")), score).alias("b"))
+        score = F.log(F.greatest(F.col("left"), F.lit(LEAST)) * F.col("factor")) - 0.5 * F.pow(F.col("dx") / deviation, 2) - F.log(-F.log(u))
+        best = pairs.withColumn("score", score).groupBy("person_id").agg(F.max_by(F.struct("home_zone_id", "zone_id", "enterprise_id", "wx", "wy", "left", "distance"), "score").alias("b"))
         best = best.select("person_id", "b.*")
-        order = F.row_number().over(Window.partitionBy("enterprise_id").orderBy(uniform(seed + k, "accept", F.col("person_id"))))
-        got = (best if last else best.withColumn("rank", order).filter("rank <= left")).select("person_id", "enterprise_id", F.col("wx").alias("work_x"), F.col("wy").alias("work_y"), "distance")
-        got = got.checkpoint() if got.sparkSession.sparkContext.getCheckpointDir() else got.persist()
+        if not last:
+            chance = uniform(seed + k, "accept", F.col("person_id"))
+            best = best.join(open_quotas, ["home_zone_id", "zone_id"], "left")
+            turn = F.row_number().over(Window.partitionBy("home_zone_id", "zone_id").orderBy(chance, "person_id"))
+            best = best.withColumn("turn", turn).filter("room is null or turn <= room")
+            turn = F.row_number().over(Window.partitionBy("enterprise_id").orderBy(chance, "person_id"))
+            best = best.withColumn("turn", turn).filter(F.col("turn") <= F.ceil(F.greatest("left", F.lit(LEAST))))
+        got = saved(best.select("person_id", "home_zone_id", "zone_id", "enterprise_id", "wx", "wy", "distance"))
         placed = got if placed is None else placed.unionByName(got)
-        left = left.join(got.select("person_id"), "person_id", "left_anti")
+        if last:
+            break
+        left = saved(left.join(got.select("person_id"), "person_id", "left_anti"))
+        if left.isEmpty():
+            break
+        taken = got.groupBy("home_zone_id", "zone_id").agg(F.count("*").alias("taken"))
+        quotas = saved(quotas.join(taken, ["home_zone_id", "zone_id"], "left").select("home_zone_id", "zone_id", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")))
         taken = got.groupBy("enterprise_id").agg(F.count("*").alias("taken"))
-        capacity = capacity.join(taken, "enterprise_id", "left").withColumn("left", F.greatest(F.lit(0), F.col("left") - F.coalesce("taken", F.lit(0)))).drop("taken")
-    return placed
+        firms = saved(firms.join(taken, "enterprise_id", "left").withColumn("left", F.col("left") - F.coalesce("taken", F.lit(0))).drop("taken"))
+    return placed.select("person_id", "enterprise_id", F.col("wx").alias("work_x"), F.col("wy").alias("work_y"), "distance")
 
 
 def time_bins(trips: DataFrame, n: int) -> DataFrame:

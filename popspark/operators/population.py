@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as c
 from ..functions.scalar import uniform
+from ..session import saved
 
 
 def build_census(persons: DataFrame, link: DataFrame, households: DataFrame) -> DataFrame:
@@ -135,11 +136,13 @@ def chain_ends(trips: DataFrame) -> DataFrame:
 
 
 def activities(trips: DataFrame) -> DataFrame:
-    """Activities from trips: each begins with a trip's arrival; the first at home begins open."""
+    """Activities from trips: each begins with a trip's arrival; the first at home begins open.  Where
+    trips have origins, x and y come along."""
     w = Window.partitionBy("person_id").orderBy("trip_index")
+    place = [F.col("origin_x").alias("x"), F.col("origin_y").alias("y")] if "origin_x" in trips.columns else []
     return trips.select(
         "person_id", F.col("trip_index").alias("activity_index"), F.col("preceding_purpose").alias("purpose"),
-        F.lag("arrival_time").over(w).alias("start_time"), F.col("departure_time").alias("end_time"), F.lit(False).alias("is_last"),
+        F.lag("arrival_time").over(w).alias("start_time"), F.col("departure_time").alias("end_time"), F.lit(False).alias("is_last"), *place,
     )
 
 
@@ -147,7 +150,8 @@ def closing_activity(trips: DataFrame) -> DataFrame:
     """The activity after each person's last trip, without an end."""
     w = Window.partitionBy("person_id").orderBy(F.col("trip_index").desc())
     last = trips.withColumn("rank", F.row_number().over(w)).filter("rank = 1")
-    return last.select("person_id", (F.col("trip_index") + 1).alias("activity_index"), F.col("following_purpose").alias("purpose"), F.col("arrival_time").alias("start_time"), F.lit(None).cast("long").alias("end_time"), F.lit(True).alias("is_last"))
+    place = [F.col("destination_x").alias("x"), F.col("destination_y").alias("y")] if "destination_x" in trips.columns else []
+    return last.select("person_id", (F.col("trip_index") + 1).alias("activity_index"), F.col("following_purpose").alias("purpose"), F.col("arrival_time").alias("start_time"), F.lit(None).cast("long").alias("end_time"), F.lit(True).alias("is_last"), *place)
 
 
 def without_trips(persons: DataFrame, trips: DataFrame) -> DataFrame:
@@ -188,20 +192,35 @@ def downsample(df: DataFrame, rate: float, seed: int, key: str = "household_id")
     return df.filter(uniform(seed, "sample", F.col(key)) < rate)
 
 
-def new_ids(df: DataFrame, order: list[str], parts: int = 32) -> DataFrame:
-    """Dense ids from 0 in the order of a hash of the columns: ranks inside hash parts, and offsets
-    from the parts' counts, so that no task sorts the whole table."""
-    part = F.pmod(F.xxhash64(*order), F.lit(parts))
-    df = df.withColumn("__part", part)
-    counts = df.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return df.join(F.broadcast(counts.select("__part", before.alias("__base"))), "__part").withColumn("new_id", F.col("__base") + inside).drop("__part", "__base")
+RANKED = 100_000  # rows that are ranked together, about
+
+
+def ranks(df: DataFrame, by: list[str], order: list[str], name: str, together: int = RANKED) -> DataFrame:
+    """Adds the rank (from 0) of each row in its group: dense, in the order of a hash part and ``order``.
+
+    A group of any size is ranked in parts, each of which begins after those before it; their number
+    follows the table's rows.  Rows that are equal in ``order`` are interchangeable."""
+    df = saved(df)
+    parts = df.count() // together + 1
+    df = df.withColumn("__part", F.floor(uniform(0, "rank", *map(F.col, order)) * parts))
+    counts = df.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__of"), before.alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    same = [df[c].eqNullSafe(counts[f"__{c}"]) for c in by]
+    out = df.withColumn(name, inside).join(counts, [*same, df["__part"] == counts["__of"]])
+    return out.withColumn(name, F.col("__base") + F.col(name)).drop("__part", "__of", "__base", *(f"__{c}" for c in by))
+
+
+def new_ids(df: DataFrame, order: list[str]) -> DataFrame:
+    """Dense ids from 0, so that no task sorts the whole table."""
+    return ranks(df, [], order, "new_id")
 
 
 def first_per(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__rank = 1").drop("__rank")
 
 
-def sorted_output(df: DataFrame, keys: list[str], parts: int = 8) -> DataFrame:
-    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+def sorted_output(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted over all partitions: ranges of the keys, as many as the session's shuffle partitions."""
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -1,32 +1,49 @@
 """Points, polygons and neighbours, by grid cells and equi-joins.
 
-Polygon layers: zone_id and ring (an array of struct<x, y>, the last point joined to the first).
+Polygon layers: zone_id and rings (an array of rings: all parts and their holes), or ring where there
+is only one.  A ring is an array of struct<x, y>, the last point joined to the first.  A point is inside
+if its ray crosses an odd number of edges of all rings, so parts and holes need no telling apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
+from ..session import saved
 
+FEW = 10_000  # zones that are sent to every task
 
-def _inside(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting along the ring: an odd number of its edges lies to the right of the point."""
+
+def _crossed(x: Column, y: Column, ring: Column) -> Column:
+    """How many edges of the ring lie to the right of the point."""
     edges = F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
-    crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-    return F.size(crossed) % 2 == 1
+    return F.size(F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])))
+
+
+def _inside(x: Column, y: Column, rings: Column) -> Column:
+    return F.aggregate(rings, F.lit(0), lambda n, ring: n + _crossed(x, y, ring)) % 2 == 1
+
+
+def _rings(polygons: DataFrame) -> DataFrame:
+    return polygons if "rings" in polygons.columns else polygons.withColumn("rings", F.array("ring"))
+
+
+def _spans(rings: Column, axis: str) -> tuple[Column, Column]:
+    values = F.transform(F.flatten(rings), lambda p: p[axis].cast("double"))
+    return F.array_min(values), F.array_max(values)
 
 
 def _covered(polygons: DataFrame, cell: float) -> DataFrame:
-    """A row for each polygon and grid cell that its bounding box meets."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda a: F.sequence(F.floor(F.array_min(a) / cell), F.floor(F.array_max(a) / cell))
-    return polygons.withColumn("cx", F.explode(span(xs))).withColumn("cy", F.explode(span(ys)))
+    """A row for each polygon and grid cell that the bounding box of one of its rings meets."""
+    def cells(ring: Column) -> Column:
+        span = lambda a: F.sequence(F.floor(_spans(F.array(ring), a)[0] / cell), F.floor(_spans(F.array(ring), a)[1] / cell))
+        return F.flatten(F.transform(span("x"), lambda cx: F.transform(span("y"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+    return polygons.withColumn("c", F.explode(F.array_distinct(F.flatten(F.transform("rings", cells))))).select("*", "c.cx", "c.cy").drop("c")
 
 
 def point_in_zone(points: DataFrame, polygons: DataFrame, cell: float = 10_000.0) -> DataFrame:
@@ -35,7 +52,8 @@ def point_in_zone(points: DataFrame, polygons: DataFrame, cell: float = 10_000.0
     Points and polygons meet in grid cells; the exact test follows.
     """
     where = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    hit = where.join(_covered(polygons, cell), ["cx", "cy"]).filter(_inside(F.col("x"), F.col("y"), F.col("ring")))
+    layer = _covered(_rings(polygons).select("zone_id", "rings"), cell)
+    hit = where.join(layer, ["cx", "cy"]).filter(_inside(F.col("x"), F.col("y"), F.col("rings")))
     found = hit.groupBy("point_id").agg(F.min("zone_id").alias("zone_id"))
     return points.join(found, "point_id", "left")
 
@@ -46,51 +64,78 @@ def impute_quality_class(points: DataFrame, polygons: DataFrame, cell: float = 1
 
 
 def centroids(polygons: DataFrame) -> DataFrame:
-    """Centres of the polygons by the shoelace formula."""
-    r = F.col("ring")
-    edges = F.transform(r, lambda p, i: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), F.get(r, (i + 1) % F.size(r))["x"].alias("x1"), F.get(r, (i + 1) % F.size(r))["y"].alias("y1")))
+    """Centres of the polygons by the shoelace formula; holes run the other way round than parts."""
+    def edges(ring: Column) -> Column:
+        return F.transform(ring, lambda p, i: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), F.get(ring, (i + 1) % F.size(ring))["x"].alias("x1"), F.get(ring, (i + 1) % F.size(ring))["y"].alias("y1")))
+
     cross = lambda e: e["x0"] * e["y1"] - e["x1"] * e["y0"]
     total = lambda f: F.aggregate(F.transform("edges", f), F.lit(0.0), lambda a, b: a + b)
     area = total(cross) / 2
-    return polygons.withColumn("edges", edges).select("zone_id", (total(lambda e: (e["x0"] + e["x1"]) * cross(e)) / (area * 6)).alias("x"), (total(lambda e: (e["y0"] + e["y1"]) * cross(e)) / (area * 6)).alias("y"))
+    out = _rings(polygons).withColumn("edges", F.flatten(F.transform("rings", edges)))
+    return out.select("zone_id", (total(lambda e: (e["x0"] + e["x1"]) * cross(e)) / (area * 6)).alias("x"), (total(lambda e: (e["y0"] + e["y1"]) * cross(e)) / (area * 6)).alias("y"))
 
 
 def nearest_centroid(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """The zone with the nearest centre.  The zones' centres are a fixed, small table that is held as one array."""
-    held = centres.agg(F.sort_array(F.collect_list(F.struct("zone_id", "x", "y"))).alias("centres"))
-    off = lambda c, a: (c[a] - F.col(a)).cast("double")
-    d = lambda c: off(c, "x") * off(c, "x") + off(c, "y") * off(c, "y")
-    best = F.array_min(F.transform("centres", lambda c: F.struct(d(c).alias("d"), c["zone_id"].alias("zone_id"))))
-    return points.join(F.broadcast(held)).withColumn("zone_id", best["zone_id"]).drop("centres")
+    """The zone with the nearest centre (the smallest id of equals); null for a point without coordinates."""
+    near = knn(points, centres.withColumnRenamed("zone_id", "facility_id"), 1).select("point_id", F.col("facility_id").alias("zone_id"))
+    return points.join(near, "point_id", "left")
+
 
+def border_points(zones: DataFrame, border: DataFrame) -> DataFrame:
+    """The vertex of the border (polygons with rings) that is nearest to each zone's centre: zone_id, border_x, border_y."""
+    vertices = _rings(border).select(F.explode(F.flatten("rings")).alias("p")).select(F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y")).distinct()
+    vertices = vertices.withColumn("facility_id", F.struct("x", "y"))
+    near = knn(zones.withColumnRenamed("zone_id", "point_id").select("point_id", "x", "y"), vertices, 1)
+    return near.select(F.col("point_id").alias("zone_id"), F.col("facility_id.x").alias("border_x"), F.col("facility_id.y").alias("border_y"))
 
-def knn(points: DataFrame, facilities: DataFrame, k: int, cell: float) -> DataFrame:
+
+def knn(points: DataFrame, facilities: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """The k nearest facilities of each point: point_id, facility_id, distance, rank.
 
-    Points look into their cell and its neighbours, then into twice as wide cells as long as fewer than
-    k are surely found (a distance of at most one cell's width); each round only concerns the points
-    that are left.
+    Points look into the grid cell of the nearest place in the facilities' bounding box and its
+    neighbours, then into twice as wide cells as long as fewer than k are surely found: no facility
+    beyond these cells is nearer than the way to the box and one cell's width from there.  Each round
+    concerns the places that are left; the last one's cells cover the box.  ``cell`` (the first width)
+    defaults to a quarter of a facility in a cell on average.  Persons at one place are one place, and
+    of facilities at one place the k smallest ids count.  Points and facilities without coordinates
+    have no neighbours; without facilities the result is empty; equal distances go by id.
     """
-    from itertools import product
-
-    out, width = None, cell
-    left = points
-    many = facilities.count()
+    sides = facilities.select("facility_id", F.col("x").cast("double").alias("fx"), F.col("y").cast("double").alias("fy")).filter("fx is not null and fy is not null")
+    for key in (F.pmod(F.xxhash64("facility_id"), F.lit(16)), F.lit(0)):  # the hot place, if there is one, in parts first
+        first = Window.partitionBy("fx", "fy", "part").orderBy("facility_id")
+        sides = sides.withColumn("part", key).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("part", "r")
+    sides = saved(sides)
+    box = sides.agg(F.count("*").alias("n"), F.min("fx").alias("x0"), F.max("fx").alias("x1"), F.min("fy").alias("y0"), F.max("fy").alias("y1")).first()
+    located = points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
+    kind = facilities.schema["facility_id"].dataType.simpleString()
+    if not box.n:
+        return located.limit(0).selectExpr("point_id", f"cast(null as {kind}) facility_id", "cast(null as double) distance", "cast(null as int) rank")
+    span = max(box.x1 - box.x0, box.y1 - box.y0, 1e-9)
+    width = min(cell or span / max(2 * box.n**0.5, 1), span)
+    clip = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+    left = located.select("x", "y").distinct().withColumn("bx", clip("x", box.x0, box.x1)).withColumn("by", clip("y", box.y0, box.y1))
+    left, out, square = saved(left), None, lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+    order = Window.partitionBy("x", "y").orderBy("distance", "facility_id")
     while True:
-        near = left.withColumn("cx", F.floor(F.col("x") / width)).withColumn("cy", F.floor(F.col("y") / width))
+        last = width >= span
+        at = lambda c, lo: F.floor((F.col(c) - lo) / width)  # noqa: B023, E731
+        near = left.withColumn("cx", at("bx", box.x0)).withColumn("cy", at("by", box.y0))
         around = F.explode(F.array(*(F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a, b in product((-1, 0, 1), repeat=2))))
-        near = near.select("point_id", "x", "y", around.alias("c")).select("point_id", "x", "y", "c.cx", "c.cy")
-        sides = facilities.select("facility_id", F.col("x").alias("fx"), F.col("y").alias("fy")).withColumn("cx", F.floor(F.col("fx") / width)).withColumn("cy", F.floor(F.col("fy") / width))
-        d = F.sqrt((F.col("x") - F.col("fx")) * (F.col("x") - F.col("fx")) + (F.col("y") - F.col("fy")) * (F.col("y") - F.col("fy")))
-        w = Window.partitionBy("point_id").orderBy("distance", "facility_id")
-        ranked = near.join(sides, ["cx", "cy"]).select("point_id", "facility_id", d.alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        sure = ranked.groupBy("point_id").agg(F.count_if(F.col("distance") <= width).alias("sure")).filter(F.col("sure") >= min(k, many)).select("point_id")
-        done = ranked.join(sure, "point_id", "left_semi")
+        near = near.select("x", "y", "bx", "by", around.alias("c")).select("x", "y", "bx", "by", "c.cx", "c.cy")
+        cells = sides.withColumn("cx", at("fx", box.x0)).withColumn("cy", at("fy", box.y0))
+        ranked = near.join(cells, ["cx", "cy"]).select("x", "y", "bx", "by", "facility_id", F.sqrt(square("x", "fx") + square("y", "fy")).alias("distance"))
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if not last:
+            reach = square("x", "bx") + square("y", "by") + F.lit(width * width)
+            sure = ranked.withColumn("sure", F.col("distance") * F.col("distance") < reach).withColumn("sure", F.count_if("sure").over(Window.partitionBy("x", "y")))
+            ranked = sure.filter(F.col("sure") >= min(k, box.n))
+        done = saved(ranked.select("x", "y", "facility_id", "distance", "rank"))
         out = done if out is None else out.unionByName(done)
-        left = left.join(sure, "point_id", "left_anti")
-        if left.isEmpty():
-            return out
-        width *= 2
+        if not last:
+            left = saved(left.join(done.select("x", "y").distinct(), ["x", "y"], "left_anti"))
+        if last or left.isEmpty():
+            return located.join(out, ["x", "y"]).select("point_id", "facility_id", "distance", "rank")
+        width = min(width * 2, span)
 
 
 def density(points: DataFrame, population: DataFrame, radius: float) -> DataFrame:
@@ -99,8 +144,6 @@ def density(points: DataFrame, population: DataFrame, radius: float) -> DataFram
     People at one place count as one row with a number; places meet points in cells of the radius's
     width and their neighbours.
     """
-    from itertools import product
-
     places = population.groupBy("x", "y").agg(F.count("*").alias("n")).select(F.col("x").alias("px"), F.col("y").alias("py"), "n")
     places = places.withColumn("cx", F.floor(F.col("px") / radius)).withColumn("cy", F.floor(F.col("py") / radius))
     near = points.withColumn("c", F.explode(F.array(*(F.struct((F.floor(F.col("x") / radius) + a).alias("cx"), (F.floor(F.col("y") / radius) + b).alias("cy")) for a, b in product((-1, 0, 1), repeat=2)))))
@@ -115,10 +158,10 @@ def cutout(df: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
     boxed = df.filter(F.col("x").between(min(xs), max(xs)) & F.col("y").between(min(ys), max(ys)))
     points = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ring))
-    return boxed.withColumn("__ring", points).filter(_inside(F.col("x"), F.col("y"), F.col("__ring"))).drop("__ring")
+    return boxed.filter(_crossed(F.col("x"), F.col("y"), points) % 2 == 1)
 
 
-def education_places(persons: DataFrame, facilities: DataFrame, k: int, cell: float, seed: int) -> DataFrame:
+def education_places(persons: DataFrame, facilities: DataFrame, k: int, cell: float | None, seed: int) -> DataFrame:
     """One of the k nearest facilities, each with the same chance."""
     near = knn(persons, facilities, k, cell)
     found = near.groupBy("point_id").agg(F.max("rank").alias("found"))
@@ -126,27 +169,34 @@ def education_places(persons: DataFrame, facilities: DataFrame, k: int, cell: fl
     return near.join(found, "point_id").filter(F.col("rank") == pick).select("point_id", "facility_id", "distance")
 
 
-def sample_points(polygons: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
+def sample_points(polygons: DataFrame, counts: DataFrame, seed: int, unit_lot: int = 10_000) -> DataFrame:
     """``n`` points in each zone by rejection from its bounding box: zone_id, unit, x, y.
 
-    Every unit has its own sequence of uniforms, so the result does not depend on the partitions.
+    Every unit has its own sequence of hash uniforms, of which the first place inside counts, so the
+    result does not depend on the partitions.  A zone's units are dealt out in lots; the rounds look
+    at more and more places of the units that are left.  A zone without an area is refused.
     """
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for zone, ring, n in zip(pdf["zone_id"], pdf["ring"], pdf["n"], strict=True):
-                p = np.array([[q["x"], q["y"]] for q in ring])
-                lo, hi, q = p.min(axis=0), p.max(axis=0), np.roll(p, -1, axis=0)
-                for unit in range(int(n)):
-                    rng = np.random.default_rng([seed, abs(hash(int(zone))), unit])
-                    while True:
-                        x, y = lo + rng.random(2) * (hi - lo)
-                        up = (p[:, 1] > y) != (q[:, 1] > y)
-                        at = (q[up, 0] - p[up, 0]) * (y - p[up, 1]) / (q[up, 1] - p[up, 1]) + p[up, 0]
-                        if (x < at).sum() % 2:
-                            break
-                    rows.append((zone, unit, x, y))
-            yield pd.DataFrame(rows, columns=["zone_id", "unit", "x", "y"])
-
-    return polygons.join(counts, "zone_id").select("zone_id", "ring", "n").mapInPandas(draw, "zone_id long, unit long, x double, y double")
+    layer = _rings(polygons).select("zone_id", "rings")
+    (x0, x1), (y0, y1) = _spans(F.col("rings"), "x"), _spans(F.col("rings"), "y")
+    layer = layer.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1})
+    if layer.filter("x0 = x1 or y0 = y1").count():
+        raise ValueError("a zone has no area")
+    layer = F.broadcast(layer) if layer.count() <= FEW else layer
+    lots = counts.filter("n > 0").select("zone_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / unit_lot))).alias("lot"))
+    first = F.col("lot") * unit_lot
+    units = lots.repartition("zone_id", "lot").select("zone_id", F.explode(F.sequence(first, F.least(first + unit_lot, F.col("n").cast("long")) - 1)).alias("unit"))
+    left, out, begin, many = units, None, 0, 1
+    while True:
+        def place(t: Column) -> Column:
+            draw = lambda salt, a, b: F.col(a) + uniform(seed, salt, F.col("zone_id"), F.col("unit"), t) * (F.col(b) - F.col(a))
+            return F.struct(draw("point-x", "x0", "x1").alias("x"), draw("point-y", "y0", "y1").alias("y"))
+
+        tries = F.transform(F.sequence(F.lit(begin), F.lit(begin + many - 1)), place)
+        found = F.get(F.filter(tries, lambda p: _inside(p["x"], p["y"], F.col("rings"))), F.lit(0))
+        seen = saved(left.join(layer, "zone_id").select("zone_id", "unit", found.alias("p")))
+        done = seen.filter("p is not null").select("zone_id", "unit", "p.x", "p.y")
+        out = done if out is None else out.unionByName(done)
+        left = seen.filter("p is null").select("zone_id", "unit")
+        if left.isEmpty():
+            return out
+        begin, many = begin + many, min(many * 4, 64)

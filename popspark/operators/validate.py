@@ -17,7 +17,9 @@ def chain_counts(chains: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def shares(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    """Percentages of the total, which is one row."""
+    total = counts.agg(F.sum("n").alias("__total"))
+    return counts.join(F.broadcast(total)).withColumn("share", F.col("n") * 100.0 / F.col("__total")).drop("__total")
 
 
 def top_chains(compared: DataFrame, n: int) -> DataFrame:
@@ -48,8 +50,8 @@ def mean_distance(trips: DataFrame, by: str, weight: str = "weight", distance: s
 
 def mode_purpose_share(trips: DataFrame, weight: str = "weight") -> DataFrame:
     sums = trips.groupBy("mode", "purpose").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
-    total = Window.partitionBy()
-    return sums.select("mode", "purpose", (F.col("n") / F.sum("n").over(total)).alias("share"), (F.col("weight") / F.sum("weight").over(total)).alias("weighted_share"))
+    total = sums.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))  # one row
+    return sums.join(F.broadcast(total)).select("mode", "purpose", (F.col("n") / F.col("all_n")).alias("share"), (F.col("weight") / F.col("all_weight")).alias("weighted_share"))
 
 
 def distance_hist(trips: DataFrame, by: str, top: float = 25.0, edges: int = 120, weight: str = "weight") -> DataFrame:

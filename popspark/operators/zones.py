@@ -50,8 +50,8 @@ def zone_shapes(zones: DataFrame, shapes: dict[str, DataFrame]) -> DataFrame:
 
 
 def zone_distances(zones: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Distances between all zones: a row for each pair, as the result has one; zones without a
-    centroid are far from all others."""
+    """Distances between all zones: a row for each pair, as the result has one, so this is for zones (some
+    thousands), not for places; zones without a centroid are far from all others."""
     placed = zones.select("zone_id").join(centroids, "zone_id", "left")
     a = placed.select(F.col("zone_id").alias("origin_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     b = placed.select(F.col("zone_id").alias("destination_id"), F.col("x").alias("dx"), F.col("y").alias("dy"))
@@ -87,13 +87,14 @@ def weighted_cdf(df: DataFrame, by: list[str], order: list[str], weight: str = "
     return df.withColumn("cdf", upto / F.sum(weight).over(w)).withColumn("cdf_before", (upto - F.col(weight)) / F.sum(weight).over(w))
 
 
-def weighted_draw(df: DataFrame, u: Column, cells: DataFrame, keys: list[str], bins: int = 64) -> DataFrame:
+def weighted_draw(df: DataFrame, u: Column, cells: DataFrame, keys: list[str], bins: int | Column = 64) -> DataFrame:
     """For each row the entry of its cell whose interval of the CDF holds the row's uniform.
 
     Rows and entries meet in ``bins`` equal parts of the uniform, so a row meets about a part of its
     cell's entries, and the rows of one large cell are dealt out.  An entry is in each part that its
-    interval touches: a cell has at most ``bins`` rows more than entries."""
-    part = lambda x: F.least(F.floor(x * bins), F.lit(bins - 1))
+    interval touches: a cell has at most ``bins`` rows more than entries.  ``bins`` may depend on the keys."""
+    bins = bins if isinstance(bins, Column) else F.lit(bins)
+    part = lambda x: F.least(F.floor(x * bins), bins - 1)
     spread = cells.withColumn("__bin", F.explode(F.sequence(part(F.col("cdf_before")), part(F.col("cdf")))))
     rows = df.withColumn("__u", u).withColumn("__bin", part(F.col("__u")))
     return rows.join(spread, [*keys, "__bin"]).filter((F.col("__u") >= F.col("cdf_before")) & (F.col("__u") < F.col("cdf"))).drop("__u", "__bin")
@@ -104,7 +105,7 @@ def commuters(df: DataFrame) -> DataFrame:
 
 
 def work_demand(df: DataFrame, zones: DataFrame) -> DataFrame:
-    return df.groupBy("work_zone_id").agg(F.count("*").alias("demand")).join(F.broadcast(zones.select(F.col("zone_id").alias("work_zone_id"), "zone_level")), "work_zone_id")
+    return df.groupBy("work_zone_id").agg(F.count("*").alias("demand")).join(zones.select(F.col("zone_id").alias("work_zone_id"), "zone_level"), "work_zone_id")
 
 
 def apportion(pdf: DataFrame, totals: DataFrame) -> DataFrame:

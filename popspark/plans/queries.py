@@ -6,6 +6,7 @@ shapes as well.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as c
 from ..functions import scalar as fn
 from ..operators import freight, matching, places, population, recode, spatial, validate, zones
+from ..session import shared_folder
 from ..sources import tables
 from .fixtures import shape, with_shapes
 
@@ -274,14 +276,14 @@ def _(t):
     return population.build_census(p.select("person_id", "municipality_id", "age"), p.select("person_id", "municipality_id", "household_id"), p.select("household_id").distinct()).select("person_id", "household_id", "age")
 
 
-@query("j02_attach", "SELECT t.person_id, t.trip_id, s.passenger_stages FROM {trips} t LEFT JOIN (SELECT person_id, trip_id, sum((mode_code = 8)::INT)::BIGINT AS passenger_stages FROM {stages} WHERE stage_order < 4 GROUP BY 1, 2) s USING (person_id, trip_id)")
+@query("j02_attach", "SELECT t.person_id, t.trip_id, s.passenger_stages FROM {trips} t LEFT JOIN (SELECT person_id, trip_id, sum((mode_code = 8)::INT)::BIGINT AS passenger_stages FROM {stages} GROUP BY 1, 2) s USING (person_id, trip_id)")
 def _(t):
-    return population.attach(t("trips").select("person_id", "trip_id"), population.passenger_trips(t("stages").filter("stage_order < 4")), ["person_id", "trip_id"])
+    return population.attach(t("trips").select("person_id", "trip_id"), population.passenger_trips(t("stages")), ["person_id", "trip_id"])
 
 
-@query("j03_survey_persons", "SELECT person_id, age, household_id FROM {survey} JOIN (SELECT person_id, household_id FROM {persons} WHERE person_id % 2 = 0) USING (person_id)")
+@query("j03_survey_persons", "SELECT person_id, age, household_id FROM {survey} JOIN (SELECT person_id, household_id FROM {persons}) USING (person_id)")
 def _(t):
-    return t("survey").select("person_id", "age").join(t("persons").filter("person_id % 2 = 0").select("person_id", "household_id"), "person_id")
+    return t("survey").select("person_id", "age").join(t("persons").select("person_id", "household_id"), "person_id")
 
 
 @query("j04_activity_durations", "SELECT person_id, trip_id, lead(departure_time) OVER w - arrival_time AS activity_duration, lead(arrival_time) OVER w - departure_time AS legacy_duration FROM {trips} WINDOW w AS (PARTITION BY person_id ORDER BY trip_id)")
@@ -430,22 +432,21 @@ def _(t):
     return spatial.point_in_zone(centres, _polygons(t)).select(F.col("point_id").alias("old_id"), F.col("zone_id").alias("new_id"))
 
 
-KNN = "(SELECT point_id, enterprise_id AS facility_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY point_id ORDER BY d, enterprise_id) AS rank FROM (SELECT person_id AS point_id, enterprise_id, sqrt((home_x + 0.5 - x)::DOUBLE * (home_x + 0.5 - x) + (home_y + 0.5 - y)::DOUBLE * (home_y + 0.5 - y)) AS d FROM (SELECT * FROM {persons} WHERE household_id % 10 = 0), {enterprises}))"
+KNN = "(SELECT point_id, enterprise_id AS facility_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY point_id ORDER BY d, enterprise_id) AS rank FROM (SELECT person_id AS point_id, enterprise_id, sqrt((home_x + 0.5 - x)::DOUBLE * (home_x + 0.5 - x) + (home_y + 0.5 - y)::DOUBLE * (home_y + 0.5 - y)) AS d FROM {persons}, {enterprises}))"
 
 
 def _knn_sides(t):
-    households = t("persons").filter("household_id % 10 = 0").select(F.col("person_id").alias("point_id"), (F.col("home_x") + 0.5).alias("x"), (F.col("home_y") + 0.5).alias("y"))
-    return households, t("enterprises").select(F.col("enterprise_id").alias("facility_id"), "x", "y")
+    return _points(t), t("enterprises").select(F.col("enterprise_id").alias("facility_id"), "x", "y")
 
 
 @query("j17_knn", f"SELECT * FROM {KNN} WHERE rank <= 5")
 def _(t):
-    return spatial.knn(*_knn_sides(t), 5, 5000.0).withColumn("distance", F.round("distance", 6))
+    return spatial.knn(*_knn_sides(t), 5).withColumn("distance", F.round("distance", 6))
 
 
 @query("j18_snap", f"SELECT point_id, facility_id FROM {KNN} WHERE rank = 1")
 def _(t):
-    return spatial.knn(*_knn_sides(t), 1, 5000.0).select("point_id", "facility_id")
+    return spatial.knn(*_knn_sides(t), 1).select("point_id", "facility_id")
 
 
 @query("j19_density", "SELECT e.enterprise_id AS point_id, coalesce(sum(n), 0)::BIGINT AS density FROM {enterprises} e LEFT JOIN (SELECT home_x, home_y, count(*) AS n FROM {persons} GROUP BY 1, 2) p ON (x - home_x) * (x - home_x) + (y - home_y) * (y - home_y) <= 6250000 GROUP BY 1")
@@ -454,11 +455,13 @@ def _(t):
     return spatial.density(points, t("persons").select(F.col("home_x").alias("x"), F.col("home_y").alias("y")), c.DENSITY_RADIUS).select("point_id", "density")
 
 
-@query("j20_border_point", "SELECT z.zone_id AS point_id, arg_min(b.zone_id, (z.x - b.x) * (z.x - b.x) + (z.y - b.y) * (z.y - b.y)) AS zone_id FROM (SELECT zone_id, x - 37 AS x, y - 91 AS y FROM {zones}) z, (SELECT zone_id, x, y FROM {zones} WHERE canton_id = 1) b GROUP BY 1")
+CORNERS = "(SELECT DISTINCT min_x + a AS bx, min_y + b AS \"by\" FROM {zones}, (SELECT unnest([0, 20000]) AS a), (SELECT unnest([0, 20000]) AS b) WHERE canton_id = 1)"
+
+
+@query("j20_border_point", f"SELECT z.zone_id, arg_min(bx, d)::DOUBLE AS border_x, arg_min(\"by\", d)::DOUBLE AS border_y FROM (SELECT z.zone_id, bx, \"by\", (z.x - 37 - bx) * (z.x - 37 - bx) + (z.y - 91 - \"by\") * (z.y - 91 - \"by\") AS d FROM {{zones}} z, {CORNERS}) z GROUP BY 1")
 def _(t):
     z = t("zones")
-    border = z.filter("canton_id = 1").select("zone_id", "x", "y")
-    return spatial.nearest_centroid(z.select(F.col("zone_id").alias("point_id"), (F.col("x") - 37).alias("x"), (F.col("y") - 91).alias("y")), border).select("point_id", "zone_id")
+    return spatial.border_points(z.select("zone_id", (F.col("x") - 37).alias("x"), (F.col("y") - 91).alias("y")), _polygons(t).join(z.filter("canton_id = 1").select("zone_id"), "zone_id"))
 
 
 def _located(t):
@@ -798,9 +801,9 @@ def _(t):
     return zones.pair_by_rank(persons, counts)
 
 
-@query("w16_new_ids", "SELECT count(*) AS n, min(r) AS least, max(r) AS most, count(DISTINCT r) AS ids FROM (SELECT row_number() OVER () - 1 AS r FROM {trips})")
+@query("w16_new_ids", f"SELECT order_id, row_number() OVER (ORDER BY floor({hashed(0, 'rank', 'order_id')} * ((SELECT count(*) FROM {{trips}}) // {population.RANKED} + 1)), order_id) - 1 AS new_id FROM {{trips}}")
 def _(t):
-    return population.new_ids(t("trips").select("order_id"), ["order_id"]).agg(F.count("*").alias("n"), F.min("new_id").alias("least"), F.max("new_id").alias("most"), F.countDistinct("new_id").alias("ids"))
+    return population.new_ids(t("trips").select("order_id"), ["order_id"])
 
 
 @query("w17_link_indices", f"SELECT person_id, activity_index, CASE WHEN activity_index > 0 THEN activity_index - 1 END AS preceding_trip_index, CASE WHEN NOT is_last THEN activity_index END AS following_trip_index FROM {FULL}")
@@ -931,6 +934,34 @@ def _(t):
     return feed["stop_times"].groupBy("stop_id").agg(F.count("*").alias("n"))
 
 
+@query("g05_merge_all", """SELECT 'fare_rules' AS slot, 'f' || n_nationkey::VARCHAR || CASE WHEN k > 1 AND n_nationkey % 2 = 0 THEN '_m' || k::VARCHAR ELSE '' END AS a, 'r' || n_nationkey::VARCHAR || CASE WHEN k > 1 THEN '_m' || k::VARCHAR ELSE '' END AS b FROM nation, (SELECT unnest([1, 2, 3]) AS k)
+UNION ALL SELECT 'stops', 's' || n_nationkey::VARCHAR || CASE WHEN k > 1 THEN '_m' || k::VARCHAR ELSE '' END, 'l' || n_regionkey::VARCHAR || CASE WHEN k > 1 THEN '_m' || k::VARCHAR ELSE '' END FROM nation, (SELECT unnest([1, 2, 3]) AS k)""")
+def _(t):
+    n, r = t("nation"), t("region")
+    name = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+
+    def feed(k):
+        return {
+            "levels": r.select(name("l", "r_regionkey").alias("level_id"), F.lit(k).alias("level_index")),
+            "stops": n.select(name("s", "n_nationkey").alias("stop_id"), name("l", "n_regionkey").alias("level_id"), F.lit(k).alias("stop_code")),
+            "routes": n.select(name("r", "n_nationkey").alias("route_id"), F.lit(k).alias("route_type")),
+            "fare_attributes": n.select(name("f", "n_nationkey").alias("fare_id"), F.when(F.col("n_nationkey") % 2 == 0, k).otherwise(0).alias("price")),
+            "fare_rules": n.select(name("f", "n_nationkey").alias("fare_id"), name("r", "n_nationkey").alias("route_id")),
+        }
+
+    out = freight.merge_all([feed(1), feed(2), feed(3)])
+    rules = out["fare_rules"].select(F.lit("fare_rules").alias("slot"), F.col("fare_id").alias("a"), F.col("route_id").alias("b"))
+    return rules.unionByName(out["stops"].select(F.lit("stops").alias("slot"), F.col("stop_id").alias("a"), F.col("level_id").alias("b")))
+
+
+@query("g07_order_days", "SELECT o_orderstatus AS service_id, position - 1 AS place, day FROM (SELECT DISTINCT o_orderstatus FROM orders), (SELECT unnest(range(1, 10)) AS position, unnest(['service_id', 'start_date', 'monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday']) AS day)")
+def _(t):
+    one = lambda c: F.lit(1).alias(c)
+    calendar = t("orders").select(F.col("o_orderstatus").alias("service_id")).distinct().select(*map(one, ("friday", "monday")), "service_id", *map(one, ("sunday", "saturday", "tuesday", "thursday")), one("start_date"), one("wednesday"))
+    ordered = freight.order_days({"calendar": calendar})["calendar"]
+    return ordered.select("service_id", F.posexplode(F.array(*map(F.lit, ordered.columns))).alias("place", "day"))
+
+
 # Sampling, matching, fitting
 
 @query("m01_downsample", f"SELECT person_id FROM {{persons}} WHERE {hashed(3, 'sample', 'household_id')} < 0.4")
@@ -942,17 +973,24 @@ COLUMNS = ["sex", "age_class", "number_of_cars_class", "region"]
 TARGETS = "(SELECT person_id AS target_id, sex, age // 15 AS age_class, person_id % 4 AS number_of_cars_class, municipality_id AS region FROM {persons} WHERE person_id % 10 <> 0)"
 
 
-def _hot_deck_sql(select: str) -> str:
-    k = len(COLUMNS)
-    cell = lambda n, a: " || '|' || ".join([f"'{n}'", *(f"{a}.{x}::VARCHAR" for x in COLUMNS[:n])])
-    counts = ", ".join(f"(SELECT count(*) FROM {{donors}} d WHERE {' AND '.join(f'd.{x} = t.{x}' for x in COLUMNS[:n])}) AS n{n}" for n in range(1, k + 1))
-    fine = "CASE " + " ".join(f"WHEN n{n} >= least(5, n2) THEN {n}" for n in range(k, 1, -1)) + " END"
-    level = f"CASE WHEN least(5, n2) >= 1 THEN {fine} WHEN n1 >= 1 THEN 1 ELSE 0 END"
+def _hot_deck_steps(name: str, targets: str, columns: list[str], mandatory: int, min_obs: int, seed: int) -> str:
+    """CTEs that end in <name>_drawn (target_id, level, donor_id)."""
+    k = len(columns)
+    cell = lambda n, a: " || '|' || ".join([f"'{n}'", *(f"{a}.{x}::VARCHAR" for x in columns[:n])])
+    counts = ", ".join(f"(SELECT count(*) FROM {{donors}} d WHERE {' AND '.join(f'd.{x} = t.{x}' for x in columns[:n])}) AS n{n}" for n in range(1, k + 1))
+    need = f"least({min_obs}, n{mandatory})"
+    fine = "CASE " + " ".join(f"WHEN n{n} >= {need} THEN {n}" for n in range(k, mandatory - 1, -1)) + " END"
+    coarse = " ".join(f"WHEN n{n} >= 1 THEN {n}" for n in range(mandatory - 1, 0, -1))
+    level = f"CASE WHEN {need} >= 1 THEN {fine} {coarse} ELSE 0 END"
     own = "CASE level " + " ".join(f"WHEN {n} THEN {cell(n, 'p')}" for n in range(k + 1)) + " END"
     cells = " UNION ALL ".join(f"SELECT donor_id, weight, {cell(n, 'd')} AS cell FROM {{donors}} d" for n in range(k + 1))
-    return f"""WITH p AS (SELECT *, {level} AS level FROM (SELECT t.*, {counts} FROM {TARGETS} t)), q AS (SELECT target_id, level, {own} AS cell, {hashed(5, 'match', 'target_id')} AS u FROM p),
-c AS (SELECT cell, donor_id, sum(weight) OVER (PARTITION BY cell ORDER BY donor_id) / sum(weight) OVER (PARTITION BY cell) AS cdf, (sum(weight) OVER (PARTITION BY cell ORDER BY donor_id) - weight) / sum(weight) OVER (PARTITION BY cell) AS before FROM ({cells}))
-{select}"""
+    return f"""{name}_p AS (SELECT *, {level} AS level FROM (SELECT t.*, {counts} FROM {targets} t)), {name}_q AS (SELECT target_id, level, {own} AS cell, {hashed(seed, 'match', 'target_id')} AS u FROM {name}_p p),
+{name}_c AS (SELECT cell, donor_id, sum(weight) OVER (PARTITION BY cell ORDER BY donor_id) / sum(weight) OVER (PARTITION BY cell) AS cdf, (sum(weight) OVER (PARTITION BY cell ORDER BY donor_id) - weight) / sum(weight) OVER (PARTITION BY cell) AS before FROM ({cells})),
+{name}_drawn AS (SELECT target_id, level, donor_id FROM {name}_q q JOIN {name}_c c ON c.cell = q.cell AND u >= before AND u < cdf)"""
+
+
+def _hot_deck_sql(select: str) -> str:
+    return f"WITH {_hot_deck_steps('m', TARGETS, COLUMNS, 2, 5, 5)} {select}"
 
 
 def _targets(t):
@@ -960,21 +998,27 @@ def _targets(t):
     return t("persons").filter("person_id % 10 <> 0").select(k.alias("target_id"), "sex", F.expr("age div 15").alias("age_class"), (k % 4).alias("number_of_cars_class"), F.col("municipality_id").alias("region"))
 
 
-@query("m02_hot_deck", _hot_deck_sql("SELECT target_id, level, donor_id FROM q JOIN c ON c.cell = q.cell AND u >= before AND u < cdf"))
+@query("m02_hot_deck", _hot_deck_sql("SELECT * FROM m_drawn"))
 def _(t):
     return matching.hot_deck(t("donors"), _targets(t), COLUMNS, 2, 5, 5)
 
 
-@query("a23_match_levels", _hot_deck_sql("SELECT level, n, sum(n) OVER (ORDER BY level DESC)::BIGINT AS at_least FROM (SELECT level, count(*) AS n FROM q GROUP BY 1)"))
+@query("a23_match_levels", _hot_deck_sql("SELECT level, n, sum(n) OVER (ORDER BY level DESC)::BIGINT AS at_least FROM (SELECT level, count(*) AS n FROM m_q GROUP BY 1)"))
 def _(t):
     return matching.match_levels(matching.hot_deck(t("donors"), _targets(t), COLUMNS, 2, 5, 5), len(COLUMNS))
 
 
-@query("m03_match_population", f"SELECT count(*) AS persons, true AS all_matched FROM {{persons}} JOIN {HEADS} USING (household_id)")
+CENSUS = f"(SELECT person_id, household_id, head_id, sex, age // 15 AS age_class, municipality_id AS region FROM {{persons}} JOIN {HEADS} USING (household_id))"
+MATCHED_HEADS = "(SELECT household_id, h.donor_id AS mz_head_id, d.number_of_cars_class FROM h_drawn h JOIN census c ON c.person_id = h.target_id JOIN {donors} d ON d.donor_id = h.donor_id)"
+
+
+@query("m03_match_population", f"""WITH census AS MATERIALIZED {CENSUS}, heads AS (SELECT person_id AS target_id, sex, region FROM census WHERE person_id = head_id),
+{_hot_deck_steps("h", "heads", ["sex", "region"], 1, 3, 9)}, own AS MATERIALIZED (SELECT person_id AS target_id, c.household_id, mz_head_id, number_of_cars_class, sex, age_class FROM census c JOIN {MATCHED_HEADS} m USING (household_id)),
+{_hot_deck_steps("o", "own", ["number_of_cars_class", "sex", "age_class"], 2, 3, 10)}
+SELECT target_id AS person_id, household_id, mz_head_id, donor_id AS mz_person_id FROM own JOIN o_drawn USING (target_id)""")
 def _(t):
     census = population.head_of_household(recode.recode_marital(t("persons"))).withColumn("age_class", F.expr("age div 15")).withColumn("region", F.col("municipality_id"))
-    out = matching.match_population(census, t("donors"), ["sex", "region"], ["sex", "age_class"], 3, 9)
-    return out.agg(F.count("*").alias("persons"), F.min(F.col("mz_person_id").isNotNull() & F.col("mz_head_id").isNotNull()).alias("all_matched"))
+    return matching.match_population(census, t("donors"), ["sex", "region"], ["sex", "age_class"], 3, 9)
 
 
 ZONE_CDF = "(SELECT zone_id, enterprise_id, x, y, sum(employees) OVER w / sum(employees) OVER (PARTITION BY zone_id) AS cdf, (sum(employees) OVER w - employees) / sum(employees) OVER (PARTITION BY zone_id) AS before FROM {enterprises} WINDOW w AS (PARTITION BY zone_id ORDER BY enterprise_id))"
@@ -997,12 +1041,22 @@ def _types(t):
 
 
 def _ipu_sql(sweeps: int) -> str:
-    steps = ["w0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS weight FROM types)"]
+    """Controls one after the other; after all of one kind a canton whose errors are within the limits stops."""
+    kinds = (("all",), ("men", "young"))
+    steps = ["w0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS weight, false AS done FROM types)"]
     k = 0
     for _ in range(sweeps):
-        for name in ("all", "men", "young"):
-            now = f"sum(weight * households * n_{name}) OVER (PARTITION BY canton_id)"
-            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n_{name} > 0 AND {now} > 0 AND t_{name} > 0 THEN weight * (t_{name} / {now}) ELSE weight END AS weight) FROM w{k})")
+        for kind in kinds:
+            for name in kind:
+                now = f"sum(weight * households * n_{name}) OVER (PARTITION BY canton_id)"
+                steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN NOT done AND n_{name} > 0 AND {now} > 0 AND t_{name} > 0 THEN weight * (t_{name} / {now}) ELSE weight END AS weight) FROM w{k})")
+                k += 1
+            within = []
+            for own, (relative, absolute) in zip(kinds, matching.LIMITS, strict=True):
+                error = lambda name: f"abs(sum(weight * households * n_{name}) OVER (PARTITION BY canton_id) - t_{name})"
+                total = " + ".join(f"abs(t_{n})" for n in own)
+                within += [f"({' + '.join(error(n) for n in own)}) / ({total}) <= {relative}", f"({' + '.join(f'{error(n)} * abs(t_{n})' for n in own)}) / ({total}) <= {absolute}"]
+            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (done OR ({' AND '.join(within)}) AS done) FROM w{k})")
             k += 1
     return f"""WITH h AS (SELECT household_id, min(municipality_id) AS canton_id, count(*) AS size, count(*) FILTER (sex = 1) AS n_men, count(*) FILTER (age < 18) AS n_young FROM {{persons}} GROUP BY 1),
 g AS (SELECT canton_id, size, n_men, n_young, count(*) AS households, 1 AS n_all, size * 10000 + n_men * 100 + n_young AS type_id FROM h GROUP BY 1, 2, 3, 4),
@@ -1010,9 +1064,9 @@ types AS (SELECT *, sum(households * n_all) OVER c * 1.2::DOUBLE AS t_all, sum(h
 {", ".join(steps)} SELECT canton_id, type_id, round(weight, 6) AS weight FROM w{k}"""
 
 
-@query("m05_ipu", _ipu_sql(3))
+@query("m05_ipu", _ipu_sql(6))
 def _(t):
-    return matching.ipu(_types(t), "canton_id", ["all", "men", "young"], 3).withColumn("weight", F.round("weight", 6))
+    return matching.ipu(_types(t), "canton_id", ["all", "men", "young"], 6, households=("all",), limits=matching.LIMITS).withColumn("weight", F.round("weight", 6))
 
 
 @query("m06_replicate", f"SELECT person_id, household_id, unnest(range(1, copies + 1)) AS copy FROM {{persons}} JOIN (SELECT household_id, (floor(w) + ({hashed(4, 'replicate', 'household_id')} < w - floor(w))::INT)::BIGINT AS copies FROM (SELECT DISTINCT household_id, 0.3::DOUBLE + household_id % 7 / 4.0::DOUBLE AS w FROM {{persons}})) USING (household_id)")
@@ -1062,22 +1116,25 @@ def _(t):
 
 @query("m12_work_gravity", "SELECT count(*) AS persons, count(DISTINCT person_id) AS placed, true AS in_zone FROM {persons}")
 def _(t):
-    persons = t("persons").select("person_id", F.col("municipality_id").alias("work_zone_id"), F.col("home_x").alias("x"), F.col("home_y").alias("y"), (F.col("person_id") * 31 % 30000).alias("commute_distance"))
-    out = places.work_gravity(persons, t("enterprises"), 11).join(t("enterprises").select("enterprise_id", "zone_id"), "enterprise_id").join(persons.select("person_id", "work_zone_id"), "person_id")
-    return out.agg(F.count("*").alias("persons"), F.countDistinct("person_id").alias("placed"), F.min(F.col("zone_id") == F.col("work_zone_id")).alias("in_zone"))
+    o = F.col("home_zone_id")
+    persons = t("persons").select("person_id", F.col("municipality_id").alias("home_zone_id"), F.col("home_x").alias("x"), F.col("home_y").alias("y"), (F.col("person_id") * 31 % 30000).alias("commute_distance"))
+    n = persons.groupBy("home_zone_id").agg(F.count("*").alias("n"))
+    two = F.explode(F.array(F.struct(((o + 3) % 25).alias("work_zone_id"), F.expr("n div 2").alias("count")), F.struct(((o + 7) % 25).alias("work_zone_id"), F.expr("n - n div 2").alias("count"))))
+    quotas = n.select("home_zone_id", two.alias("q")).select("home_zone_id", "q.work_zone_id", "q.count")
+    out = places.work_gravity(persons, t("enterprises"), 11, quotas).join(t("enterprises").select("enterprise_id", "zone_id"), "enterprise_id").join(persons.select("person_id", "home_zone_id", "commute_distance"), "person_id")
+    allowed = F.col("zone_id").isin((o + 3) % 25, (o + 7) % 25) | ((F.col("zone_id") == o) & (F.col("commute_distance") < places.NEAR))
+    return out.agg(F.count("*").alias("persons"), F.countDistinct("person_id").alias("placed"), F.min(allowed).alias("in_zone"))
 
 
 @query("m13_education_places", f"SELECT point_id, facility_id FROM {KNN} WHERE rank = floor({hashed(12, 'education', 'point_id')} * 5) + 1")
 def _(t):
-    return spatial.education_places(*_knn_sides(t), 5, 5000.0, 12).select("point_id", "facility_id")
+    return spatial.education_places(*_knn_sides(t), 5, None, 12).select("point_id", "facility_id")
 
 
-@query("m14_sample_points", "SELECT zone_id, count(*) AS n, true AS inside FROM {persons} JOIN (SELECT zone_id FROM {zones}) ON zone_id = municipality_id GROUP BY 1")
+@query("m14_sample_points", f"SELECT zone_id, unit, round(min_x + {hashed(13, 'point-x', 'zone_id', 'unit', '0')} * 20000, 6) AS x, round(min_y + {hashed(13, 'point-y', 'zone_id', 'unit', '0')} * 20000, 6) AS y FROM {{zones}} JOIN (SELECT municipality_id AS zone_id, unnest(range(0, count(*))) AS unit FROM {{persons}} GROUP BY 1) USING (zone_id)")
 def _(t):
-    counts = t("persons").groupBy(F.col("municipality_id").alias("zone_id")).agg(F.count("*").alias("n"))
-    out = spatial.sample_points(_polygons(t), counts, 13)
-    z = F.floor(F.col("x") / 20000) + 5 * F.floor(F.col("y") / 20000)
-    return out.groupBy("zone_id").agg(F.count("*").alias("n"), F.min(z == F.col("zone_id")).alias("inside"))
+    counts = t("persons").groupBy(F.col("municipality_id").cast("long").alias("zone_id")).agg(F.count("*").alias("n"))
+    return spatial.sample_points(_polygons(t), counts, 13).select("zone_id", "unit", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 BINS = """bins AS (SELECT mode, bin, CASE WHEN bin = many - 1 THEN 2147483648 ELSE travel_time END AS upper FROM (SELECT mode, travel_time, row_number() OVER (PARTITION BY mode ORDER BY travel_time) - 1 AS bin, count(*) OVER (PARTITION BY mode) AS many FROM
@@ -1132,6 +1189,25 @@ def _(t):
     return freight.freight_locations(trips, t("enterprises"), "origin_zone", 16, "origin").select("trip_id", "zone_id", "enterprise_id")
 
 
+NUTS = "CASE o_orderkey % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'CH' || (o_orderkey % 7 % 5)::VARCHAR WHEN 2 THEN 'DE' || (o_orderkey % 3)::VARCHAR ELSE 'CH' || lpad((o_orderkey % 25)::VARCHAR, 2, '0') END"
+ABROAD = ((0, 120011.0, 31007.0), (1, -5003.0, 77003.0), (2, 44017.0, 130001.0))  # zones and their centres
+BORDER = [(0.0, 0.0), (50000.0, 0.0), (100000.0, 0.0), (100000.0, 50000.0), (100000.0, 100000.0), (50000.0, 100000.0), (0.0, 100000.0), (0.0, 50000.0)]
+
+
+@query("m20_freight_places", f"""WITH p AS (SELECT o_orderkey AS trip_id, {NUTS} AS zone_id, {hashed(16, 'origin', 'o_orderkey')} AS u FROM orders),
+e AS (SELECT enterprise_id, x, y, unnest(['CH', 'CH' || (zone_id % 5)::VARCHAR, 'CH' || lpad(zone_id::VARCHAR, 2, '0')]) AS zone_id FROM {{enterprises}}),
+r AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY floor({hashed(0, 'rank', 'enterprise_id')} * ((SELECT count(*) FROM e) // {population.RANKED} + 1)), enterprise_id) - 1 AS rank, count(*) OVER (PARTITION BY zone_id) AS many FROM e)
+SELECT trip_id, p.zone_id, enterprise_id, x::DOUBLE AS x, y::DOUBLE AS y FROM p JOIN r ON r.zone_id = p.zone_id AND rank = floor(u * many)
+UNION ALL SELECT trip_id, zone_id, NULL, CASE zone_id WHEN 'DE0' THEN 100000.0 WHEN 'DE1' THEN 0.0 ELSE 50000.0 END, CASE zone_id WHEN 'DE0' THEN 50000.0 WHEN 'DE1' THEN 100000.0 ELSE 100000.0 END FROM p WHERE zone_id LIKE 'DE%'""")
+def _(t):
+    trips = t("orders").select(F.col("o_orderkey").alias("trip_id"), F.expr(NUTS.replace("::VARCHAR", "").replace("lpad((o_orderkey % 25)", "lpad(string(o_orderkey % 25)")).alias("origin_id"))
+    z, spark = F.col("zone_id"), t("zones").sparkSession
+    firms = t("enterprises").select("enterprise_id", "x", "y", F.lit("CH").alias("n0"), F.concat(F.lit("CH"), (z % 5).cast("string")).alias("n1"), F.concat(F.lit("CH"), F.lpad(z.cast("string"), 2, "0")).alias("n2"))
+    centres = spark.createDataFrame([(f"DE{k}", x, y) for k, x, y in ABROAD], "zone_id string, x double, y double")
+    border = spark.createDataFrame([([dict(zip("xy", p, strict=True)) for p in BORDER],)], "ring array<struct<x: double, y: double>>")
+    return freight.freight_places(trips, firms, ["n0", "n1", "n2"], spatial.border_points(centres, border), "origin_id", "CH", 16, "origin").select("trip_id", "zone_id", "enterprise_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
 @query("m21_freight_departures", f"SELECT o_orderkey AS trip_id, (floor({hashed(17, 'hour', 'o_orderkey')} * 24) * 3600 + floor({hashed(17, 'second', 'o_orderkey')} * 3600))::BIGINT AS departure_time FROM orders")
 def _(t):
     hours = t("nation").filter("n_nationkey < 24").select(F.col("n_nationkey").alias("hour"), (F.col("n_nationkey") / 24.0).alias("cdf_before"), ((F.col("n_nationkey") + 1) / 24.0).alias("cdf"))
@@ -1140,15 +1216,33 @@ def _(t):
 
 # Exports
 
-@query("s12_person_plans", f"SELECT person_id, count(*) AS n_activities, count(*) - 1 AS n_legs FROM {FULL} GROUP BY 1")
+PLAN = "struct<activities: array<struct<purpose: string, start_time: bigint, end_time: bigint, x: double, y: double>>, legs: array<struct<mode: string, departure_time: bigint>>, vehicles: map<string, string>>"
+
+
+def _read_plans(plans):
+    """What the plans' JSON says: purposes, modes, sums of coordinates and times, and the car."""
+    p = plans.withColumn("p", F.from_json("plan", PLAN))
+    total = lambda c: F.aggregate(F.transform(c, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+    return p.select(
+        "person_id", "n_activities", "n_legs", F.array_join("p.activities.purpose", "-").alias("purposes"), F.array_join("p.legs.mode", "-").alias("modes"),
+        total(F.col("p.activities.x")).alias("x"), total(F.col("p.activities.y")).alias("y"), total(F.col("p.activities.start_time")).alias("starts"), total(F.col("p.legs.departure_time")).alias("departures"), F.col("p.vehicles")["car"].alias("car"),
+    )
+
+
+@query("s12_person_plans", f"""SELECT person_id, n_activities, n_activities - 1 AS n_legs, purposes, coalesce(modes, '') AS modes, x, y, starts, coalesce(departures, 0) AS departures, person_id::VARCHAR || ':car' AS car FROM
+  (SELECT l.person_id, count(*) AS n_activities, string_agg(l.purpose, '-' ORDER BY l.activity_index) AS purposes, sum(l.x)::DOUBLE AS x, sum(l.y)::DOUBLE AS y, coalesce(sum(f.start_time), 0)::DOUBLE AS starts FROM {LOCATED} l JOIN {FULL} f ON f.person_id = l.person_id AND f.activity_index = l.activity_index GROUP BY 1)
+  LEFT JOIN (SELECT person_id, string_agg(mode, '-' ORDER BY trip_index) AS modes, sum(departure_time)::DOUBLE AS departures FROM {INDEXED} GROUP BY 1) USING (person_id)""")
 def _(t):
     acts = population.complete_activities(population.activities(_indexed(t)), population.closing_activity(_indexed(t)), t("persons"))
-    return tables.person_plans(acts, _indexed(t)).select("person_id", "n_activities", "n_legs")
+    acts = acts.join(_located(t).select("person_id", "activity_index", "x", "y"), ["person_id", "activity_index"])
+    return _read_plans(tables.person_plans(acts, _indexed(t), recode.vehicles(t("persons"), "car", "person_id")))
 
 
-@query("s13_household_export", "SELECT household_id, string_agg(person_id::VARCHAR, ',' ORDER BY person_id) AS members, arg_min(person_id % 9 * 1000, person_id) AS income FROM {persons} GROUP BY 1")
+@query("s13_household_export", "SELECT household_id, string_agg(person_id::VARCHAR, ',' ORDER BY person_id) AS members, arg_min([1000, 3000, 5000, 7000, 9000, 11000, 13000, 15000, 17000][person_id % 9 + 1], person_id) AS income, arg_min(CASE WHEN person_id % 5 >= 3 THEN '3+' ELSE (person_id % 5)::VARCHAR END, person_id) AS car_label, arg_min(CASE person_id % 3 WHEN 2 THEN 'FOR_ALL' WHEN 1 THEN 'FOR_SOME' ELSE 'FOR_NONE' END, person_id) AS bike_label FROM {persons} GROUP BY 1")
 def _(t):
-    return tables.household_export(t("persons").select("household_id", "person_id", (F.col("person_id") % 9 * 1000).alias("income")))
+    k = F.col("person_id")
+    rows = t("persons").select("household_id", "person_id", (k % 9).alias("income_class"), F.least(k % 5, F.lit(3)).alias("number_of_cars_class"), (k % 3).alias("number_of_bikes_class"))
+    return tables.household_export(recode.household_labels(rows, tuple(range(1000, 18000, 2000))), ("car_label", "bike_label"))
 
 
 @query("s14_facility_export", "SELECT enterprise_id::VARCHAR AS facility_id, x, y, 'work' || CASE WHEN noga LIKE '85%' THEN ',education' ELSE '' END || CASE WHEN noga LIKE '56%' THEN ',leisure' ELSE '' END || CASE WHEN noga LIKE '47%' THEN ',shop' ELSE '' END || ',other' AS activities FROM {enterprises} UNION ALL SELECT DISTINCT 'home' || household_id::VARCHAR, home_x, home_y, 'home' FROM {persons}")
@@ -1168,10 +1262,131 @@ def _(t):
     return tables.freight_plans(t("orders").select(F.col("o_orderkey").alias("trip_id"), (F.col("o_orderkey") % 120000).alias("departure_time")))
 
 
-@query("s18_survey_plans", "SELECT person_id, count(*) + 1 AS n_activities, count(*) AS n_legs FROM {trips} WHERE person_id % 3 = 0 GROUP BY 1")
+@query("s18_survey_plans", """SELECT person_id, count(*) + 1 AS n_activities, count(*) AS n_legs, 'home-' || string_agg(purpose, '-' ORDER BY trip_id) AS purposes, string_agg(mode, '-' ORDER BY trip_id) AS modes, (sum(origin_x) + arg_max(destination_x, trip_id))::DOUBLE AS x,
+  (sum(origin_y) + arg_max(destination_y, trip_id))::DOUBLE AS y, sum(arrival_time)::DOUBLE AS starts, sum(departure_time)::DOUBLE AS departures, NULL::VARCHAR AS car FROM {trips} GROUP BY 1""")
+def _(t):
+    places_ = t("trips").select("person_id", (F.col("trip_id") - 1).alias("trip_index"), "origin_x", "origin_y", "destination_x", "destination_y")
+    trips = _indexed(t).join(places_, ["person_id", "trip_index"])
+    return _read_plans(tables.person_plans(population.activities(trips).unionByName(population.closing_activity(trips)), trips))
+
+
+# Readers and writers: the tables are written in the inputs' formats and read again.
+
+def _written(t, what: str) -> str:
+    return f"{shared_folder(t('nation').sparkSession)}/{what}-{uuid.uuid4().hex}"
+
+
+def _as_csv(df, path: str, sep: str = ";", encoding: str = "UTF-8") -> str:
+    df.write.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    return path
+
+
+@query("s01_read_delimited", "SELECT person_id, age::INT AS age, 'Größe ' || sex::VARCHAR AS label FROM {persons}")
+def _(t):
+    raw = t("persons").select(F.col("person_id").alias("Id"), F.concat(F.lit(" "), F.col("age").cast("string")).alias("Änderung"), F.concat(F.lit("Größe "), F.col("sex").cast("string")).alias("label"), F.lit("x").alias("unused"))
+    path = _as_csv(raw, _written(t, "s01"), encoding="ISO-8859-1")
+    return tables.read_delimited(raw.sparkSession, path, {"Id": "long", "Änderung": "int", "label": "string"}, {"Id": "person_id", "Änderung": "age"})
+
+
+@query("s02_read_parts", "SELECT person_id, (person_id % 7 + 0.5)::DOUBLE AS weight FROM {persons}")
+def _(t):
+    rows = t("persons").select("person_id", (F.col("person_id") % 7 + F.lit(0.5)).alias("w"))
+    paths = [(_as_csv(rows.filter(f"person_id % 2 = {k}").withColumnRenamed("w", f"w{k}"), _written(t, "s02")), f"w{k}") for k in (0, 1)]
+    return tables.read_parts(rows.sparkSession, paths, {"person_id": "long"}).select("person_id", "weight")
+
+
+@query("s03_read_survey", "SELECT o_orderkey AS order_id, strftime(o_orderdate::DATE, '%Y%m') AS month FROM orders")
+def _(t):
+    path = _as_csv(t("orders").select(F.col("o_orderkey").alias("order_id"), F.to_date("o_orderdate").cast("string").alias("day")), _written(t, "s03"), ",", "ISO-8859-1")
+    return tables.read_survey(t("orders").sparkSession, path, {"order_id": "long"}, "day").select("order_id", F.date_format("day", "yyyyMM").alias("month"))
+
+
+@query("s04_read_enterprises", "SELECT x::DOUBLE AS x, y::DOUBLE AS y, noga, employees::DOUBLE AS number_employees, row_number() OVER (ORDER BY x, y, noga, employees) - 1 AS enterprise_id FROM {enterprises}")
+def _(t):
+    raw = t("enterprises").select(F.col("employees").alias("EMPTOT"), F.col("x").alias("METER_X"), F.col("y").alias("METER_Y"), F.col("noga").alias("NOGA08_CD"), F.lit("x").alias("unused"))
+    return tables.read_enterprises(raw.sparkSession, _as_csv(raw, _written(t, "s04"), ",", "ISO-8859-1"))
+
+
+@query("s05_read_freight", "SELECT agent_id, journey_id, leg_order, week FROM {legs} JOIN (SELECT agent_id, max(week) AS w FROM {legs} GROUP BY 1) USING (agent_id)")
+def _(t):
+    legs, folder = t("legs"), _written(t, "s05")
+    _as_csv(legs.select("agent_id", "journey_id", "leg_order", "week"), f"{folder}/transport.csv")
+    _as_csv(legs.select("agent_id", "journey_id").distinct(), f"{folder}/journeych.csv")
+    _as_csv(legs.groupBy("agent_id").agg(F.max("week").alias("last_week")), f"{folder}/week.csv")
+    read = tables.read_freight(legs.sparkSession, folder)
+    return freight.freight_legs(read["transport"], read["journey"], read["week"]).select(*(F.col(c).cast("long") for c in ("agent_id", "journey_id", "leg_order", "week")))
+
+
+@query("s05_read_departure_times", "SELECT n_nationkey::INT AS hour, round((sum(n_regionkey + 1) OVER (ORDER BY n_nationkey) - n_regionkey - 1) / sum(n_regionkey + 1) OVER (), 9) AS cdf_before, round(sum(n_regionkey + 1) OVER (ORDER BY n_nationkey) / sum(n_regionkey + 1) OVER (), 9) AS cdf FROM nation WHERE n_nationkey < 24")
+def _(t):
+    raw = t("nation").filter("n_nationkey < 24").select(F.col("n_nationkey").alias("hour"), (F.col("n_regionkey") + 1).alias("share"))
+    return tables.read_departure_times(raw.sparkSession, _as_csv(raw, _written(t, "s05"))).select("hour", F.round("cdf_before", 9).alias("cdf_before"), F.round("cdf", 9).alias("cdf"))
+
+
+@query("s06_read_projection", "SELECT zone_id, zone_id * 40 AS n FROM {zones}")
+def _(t):
+    rows = t("zones").select("zone_id", F.explode(F.array(F.lit(2030), F.lit(2040))).alias("year"))
+    path = _as_csv(rows.withColumn("n", F.col("zone_id") * (F.col("year") - 2000)), _written(t, "s06"), ",")
+    return tables.read_projection(rows.sparkSession, path, 2040).select(F.col("zone_id").cast("long"), F.col("n").cast("long"))
+
+
+PARTED = "(SELECT home_x // 20000 + 5 * (home_y // 20000) AS zone_id, home_x % 20000 AS dx, home_y % 20000 AS dy FROM {persons})"
+
+
+@query("s07_read_zones", f"SELECT z.zone_id::VARCHAR AS zone_id, z.name, 2 AS parts, 3 AS rings, count(p.dx) AS persons FROM {{zones}} z LEFT JOIN (SELECT * FROM {PARTED} WHERE (dx < 8000 OR dx >= 12000) AND NOT (dx BETWEEN 2000 AND 3999 AND dy BETWEEN 2000 AND 3999)) p ON p.zone_id = z.zone_id GROUP BY 1, 2")
+def _(t):
+    """Each zone as two parts, the first with a hole; points are then looked up in what is read."""
+    def ring(x0, y0, x1, y1):
+        points = ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+        return F.array(*(F.array((F.col("min_x") + a).cast("double"), (F.col("min_y") + b).cast("double")) for a, b in points))
+
+    parts = F.array(F.array(ring(0, 0, 8000, 20000), ring(2000, 2000, 4000, 4000)), F.array(ring(12000, 0, 20000, 20000)))
+    feature = F.struct(F.struct(F.col("zone_id").alias("code"), "name").alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry"))
+    path = _written(t, "s07")
+    t("zones").select(F.to_json(feature)).write.text(path)
+    layer = tables.read_zones(t("zones").sparkSession, path, "code", "name")
+    inside = spatial.point_in_zone(_points(t), layer).groupBy("zone_id").agg(F.count("*").alias("persons"))
+    return layer.select("zone_id", "name", "parts", F.size("rings").alias("rings")).join(inside, "zone_id", "left").withColumn("persons", F.coalesce("persons", F.lit(0)))
+
+
+@query("s08_read_feed", f"SELECT 'stop_times' AS slot, trip_id::VARCHAR AS a, stop_id AS b FROM {TIMES} UNION ALL SELECT 'trips', o_orderkey::VARCHAR, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0")
+def _(t):
+    feed = freight.clean_references(freight.drop_empty_service(_feed(t)))
+    feed["calendar"] = feed["trips"].select("service_id").distinct()
+    folder = _written(t, "s08")
+    tables.write_feed(feed, f"{folder}/inner/feed")
+    read = tables.read_feed(t("orders").sparkSession, folder)
+    times = read["stop_times"].select(F.lit("stop_times").alias("slot"), F.col("trip_id").alias("a"), F.col("stop_id").alias("b"))
+    return times.unionByName(read["trips"].select(F.lit("trips").alias("slot"), F.col("trip_id").alias("a"), F.col("service_id").alias("b")))
+
+
+@query("s09_select_inputs", "SELECT max('zones_' || n_name || '.csv') AS path FROM nation")
+def _(t):
+    names = [f"in/{kind}_{r.n_name}.csv" for kind in ("zones", "other") for r in t("nation").select("n_name").collect()]  # 25 nations
+    return t("nation").limit(1).select(F.lit(tables.select_inputs(names, "^zones")[3:]).alias("path"))
+
+
+@query("s10_write_population", "SELECT person_id, age, canton_id FROM {persons}")
+def _(t):
+    folder = _written(t, "s10")
+    tables.write_population({"persons": t("persons").select("person_id", "age", "canton_id")}, folder, "canton_id")
+    return t("persons").sparkSession.read.option("sep", ";").option("header", True).csv(f"{folder}/persons").select(*(F.col(c).cast("long") for c in ("person_id", "age", "canton_id")))
+
+
+@query("s11_write_spatial", "SELECT order_id, printf('LINESTRING (%.3f %.3f, %.3f %.3f)', origin_x::DOUBLE, origin_y::DOUBLE, destination_x::DOUBLE, destination_y::DOUBLE) AS geometry FROM {trips}")
+def _(t):
+    folder = _written(t, "s11")
+    ends = {"ox": "origin_x", "oy": "origin_y", "dx": "destination_x", "dy": "destination_y"}
+    tables.write_spatial({"trips": t("trips").select("order_id", *(F.col(c).cast("double").alias(a) for a, c in ends.items()))}, folder)
+    return t("trips").sparkSession.read.parquet(f"{folder}/trips").select("order_id", "geometry")
+
+
+@query("s16_write_feed", "SELECT 'stop_id,location_type,ext_note' AS line, 1 AS n UNION ALL SELECT 'stop ' || p_partkey::VARCHAR || ',' || CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '' END || ',x', 1 FROM part WHERE p_partkey % 5 <> 0")
 def _(t):
-    trips = _indexed(t).filter("person_id % 3 = 0")
-    return tables.person_plans(population.activities(trips).unionByName(population.closing_activity(trips)), trips).select("person_id", "n_activities", "n_legs")
+    """The lines of the stops' file: one file, one header."""
+    folder = _written(t, "s16")
+    tables.write_feed(_feed(t), folder)
+    return t("part").sparkSession.read.text(f"{folder}/stops.txt").groupBy(F.col("value").alias("line")).agg(F.count("*").cast("int").alias("n"))
 
 
 @query("flagship_chain_shares", f"WITH c AS (SELECT chain, sum(weight) AS n FROM {CHAINS} GROUP BY 1) SELECT chain, n::BIGINT AS n, round(n * 100.0 / (SELECT sum(n) FROM c), 9) AS share FROM c ORDER BY n DESC, chain LIMIT 20")

@@ -1,8 +1,10 @@
-"""One session builder."""
+"""One session builder, and tables written in between."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -11,3 +13,21 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir.  Only where that is unset and Spark runs in one process a
+    local folder is taken; executors elsewhere would each write to a disk of their own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="popspark-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that later rounds don't compute it again and it outlives executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 FEED_REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
 FEED_OPTIONAL = ("calendar", "calendar_dates", "fare_attributes", "fare_rules", "shapes", "frequencies", "transfers", "pathways", "levels", "feed_info", "translations", "attributions")
 
@@ -28,6 +30,41 @@ def read_survey(spark: SparkSession, path: str, fields: dict[str, str], date: st
     return df.withColumn(date, F.to_date(date)) if date else df
 
 
+ENTERPRISE_FIELDS = {"METER_X": "double", "METER_Y": "double", "NOGA08_CD": "string", "EMPTOT": "double"}  # fixed values: columns of the register
+ENTERPRISE_NAMES = {"METER_X": "x", "METER_Y": "y", "NOGA08_CD": "noga", "EMPTOT": "number_employees"}
+
+
+def read_enterprises(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The enterprise register: x, y, noga, number_employees and enterprise_id from 0 on.
+
+    The id is the rank by all four columns: sorted ranges are numbered by themselves and begin after
+    those before, so it doesn't depend on the file's parts, and no task sees the whole table.  Rows
+    that are equal in all columns are interchangeable."""
+    df = read_delimited(spark, path, ENTERPRISE_FIELDS, ENTERPRISE_NAMES, sep)
+    order = [F.col(c).asc_nulls_first() for c in df.columns]
+    ranged = saved(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("base"))  # a row for each range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("rank", rank).join(F.broadcast(base), "part").select(*df.columns, (F.col("base") + F.col("rank")).alias("enterprise_id"))
+
+
+FREIGHT_FILES = {"transport": "transport.csv", "journey": "journeych.csv", "week": "week.csv"}  # fixed values: files of the survey
+
+
+def read_freight(spark: SparkSession, folder: str, files: dict[str, str] | None = None, sep: str = ";") -> dict[str, DataFrame]:
+    """The freight survey's tables by name, all columns as text; a survey with one file is read alike."""
+    return {name: spark.read.csv(f"{folder}/{file}", header=True, sep=sep) for name, file in (files or FREIGHT_FILES).items()}
+
+
+def read_departure_times(spark: SparkSession, path: str, sep: str = ";", hour: str = "hour", share: str = "share") -> DataFrame:
+    """The hourly shares of departures as intervals: hour, cdf_before, cdf (24 rows, so that one window sums them)."""
+    rows = spark.read.csv(path, header=True, sep=sep).select(F.col(hour).cast("int").alias("hour"), F.col(share).cast("double").alias("share"))
+    upto = F.sum("share").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("share").over(Window.partitionBy())
+    return rows.select("hour", ((upto - F.col("share")) / total).alias("cdf_before"), (upto / total).alias("cdf"))
+
+
 def read_projection(spark: SparkSession, path: str, year: int, year_col: str = "year", sep: str = ",") -> DataFrame:
     """The rows of one year; fails if there are none."""
     df = spark.read.csv(path, header=True, sep=sep).filter(F.col(year_col).cast("int") == year)
@@ -36,29 +73,94 @@ def read_projection(spark: SparkSession, path: str, year: int, year_col: str = "
     return df
 
 
+def _turned(ring: Column, hole: Column) -> Column:
+    """The ring counter-clockwise, a hole clockwise."""
+    points = F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    cross = F.transform(ring, lambda p, i: p[0] * F.get(ring, (i + 1) % F.size(ring))[1] - F.get(ring, (i + 1) % F.size(ring))[0] * p[1])
+    area = F.aggregate(cross, F.lit(0.0), lambda a, b: a + b)
+    return F.when((area > 0) != hole, points).otherwise(F.reverse(points))
+
+
 def read_zones(spark: SparkSession, path: str, id_field: str, name_field: str) -> DataFrame:
-    """A polygon layer (a GeoJSON feature in each line): zone_id, name, ring, and the box around it."""
-    geometry = f"struct<properties:struct<{id_field}:string,{name_field}:string>,geometry:struct<coordinates:array<array<array<double>>>>>"
-    rows = spark.read.text(path).select(F.from_json("value", geometry).alias("f")).filter("f.geometry.coordinates is not null")
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    out = rows.select(F.col(f"f.properties.{id_field}").alias("zone_id"), F.col(f"f.properties.{name_field}").alias("name"), ring.alias("ring"))
-    edge = lambda f, k: f(F.transform("ring", lambda p: p[k]))
+    """A polygon layer (a GeoJSON feature in each line): zone_id, name, rings (all parts and holes), ring
+    (the first part's outer one), parts (how many there are) and the box around all of them.
+
+    Features without a geometry are left out; other kinds than polygons and multi-part ones are refused."""
+    head = f"struct<properties:struct<`{id_field}`:string,`{name_field}`:string>,geometry:struct<type:string,coordinates:string>>"
+    rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(F.from_json("value", head).alias("f")).filter("f.geometry is not null")
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    ring = "array<array<double>>"
+    one = F.array(F.from_json(text, f"array<{ring}>"))
+    many = F.from_json(text, f"array<array<{ring}>>")
+    refused = F.raise_error(F.concat(F.lit("geometry of an unknown kind: "), F.coalesce(kind, F.lit("none")))).cast(f"array<array<{ring}>>")
+    # A polygon may come without its kind; then its depth tells.
+    parts = F.when(F.col("f.geometry").isNull(), F.lit(None)).when(kind == "Polygon", one).when(kind == "MultiPolygon", many).when(kind.isNull() & text.isNotNull(), F.coalesce(F.when(many[0][0][0][0].isNotNull(), many), one)).otherwise(refused)
+    rows = rows.select(F.col(f"f.properties.`{id_field}`").alias("zone_id"), F.col(f"f.properties.`{name_field}`").alias("name"), parts.alias("coordinates"))
+    rings = F.flatten(F.transform("coordinates", lambda part: F.transform(part, lambda r, i: _turned(r, i > 0))))
+    out = rows.select("zone_id", "name", rings.alias("rings"), F.size("coordinates").alias("parts")).withColumn("ring", F.col("rings")[0])
+    edge = lambda f, k: f(F.transform(F.flatten("rings"), lambda p: p[k]))
     return out.select("*", edge(F.array_min, "x").alias("min_x"), edge(F.array_max, "x").alias("max_x"), edge(F.array_min, "y").alias("min_y"), edge(F.array_max, "y").alias("max_y"))
 
 
-def read_feed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """A transit feed: a table for each file; fails without the required ones."""
-    feed = {}
-    for slot in (*FEED_REQUIRED, *FEED_OPTIONAL):
-        try:
-            feed[slot] = spark.read.csv(f"{folder}/{slot}.txt", header=True, ignoreLeadingWhiteSpace=True)
-        except Exception as problem:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-    missing = [s for s in FEED_REQUIRED if s not in feed]
-    if missing or not ({"calendar", "calendar_dates"} & set(feed)):
-        raise ValueError(f"{folder} lacks {', '.join(missing) or 'a calendar'}")
-    return feed
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the text files (or folders of parts) below a folder, relative to it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop):
+        return []
+    root, found, todo = system.getFileStatus(hadoop).getPath().toString(), [], [hadoop]
+    while todo:
+        for status in system.listStatus(todo.pop()):
+            path = status.getPath().toString()
+            if path.endswith(".txt"):
+                found.append(path[len(root) :].lstrip("/"))
+            elif status.isDirectory():
+                todo.append(status.getPath())
+    return found
+
+
+def feed_slots(names: list[str], where: str) -> dict[str, str]:
+    """Which of the names is which slot: those beside agency.txt, in the outermost folder that has one.
+    Fails without the required ones or without a calendar."""
+    prefixes = sorted((n[: -len("agency.txt")] for n in names if n.endswith("agency.txt")), key=lambda p: (len(p), p))
+    if not prefixes:
+        raise ValueError(f"{where} has no transit feed")
+    slots = {s: f"{prefixes[0]}{s}.txt" for s in (*FEED_REQUIRED, *FEED_OPTIONAL) if f"{prefixes[0]}{s}.txt" in names}
+    missing = [s for s in FEED_REQUIRED if s not in slots]
+    if missing or not {"calendar", "calendar_dates"} & set(slots):
+        raise ValueError(f"{where} lacks {', '.join(missing) or 'a calendar'}")
+    return slots
+
+
+def read_feed(spark: SparkSession, path: str, unpacked: str | None = None) -> dict[str, DataFrame]:
+    """A transit feed, from a folder or an archive (.zip): a table for each slot.
+
+    The files may lie in a folder inside.  An archive cannot be read in parts, so it is unpacked in one
+    stream, without being held, into the folder ``unpacked`` (shared by driver and executors; beside the
+    archive by default), where it is read like any other feed."""
+    if path.endswith(".zip"):
+        target = unpacked or f"{path[:-4]}-unpacked"
+        _unpack(spark, path, target)
+        path = target
+    slots = feed_slots(_files(spark, path), path)
+    return {slot: spark.read.csv(f"{path}/{name}", header=True, ignoreLeadingWhiteSpace=True) for slot, name in slots.items()}
+
+
+def _unpack(spark: SparkSession, path: str, folder: str) -> None:
+    """The archive's feed files into the folder, streamed."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    source = hadoop(path)
+    stream = spark._jvm.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
+    try:
+        while (entry := stream.getNextEntry()) is not None:
+            name = entry.getName()
+            if name.endswith(".txt") and ".." not in name.split("/"):
+                target = hadoop(f"{folder}/{name}")
+                out = target.getFileSystem(conf).create(target, True)
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                out.close()
+    finally:
+        stream.close()
 
 
 def select_inputs(paths: list[str], pattern: str) -> str:
@@ -86,19 +188,48 @@ def write_spatial(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def write_feed(feed: dict[str, DataFrame], folder: str) -> None:
-    for slot, df in feed.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{slot}.txt")
-
-
-def person_plans(acts: DataFrame, trips: DataFrame) -> DataFrame:
-    """One row for each person: activities and legs in order as JSON."""
-    a = acts.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("activity_index", "purpose", "start_time", "end_time"))).alias("activities"))
+    """One file for each slot, with a header.  Tasks write parts without one, which are then joined under
+    the header by the file system, so that no task holds a slot."""
+    spark = next(iter(feed.values())).sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for slot in (*FEED_REQUIRED, *FEED_OPTIONAL):
+        if slot not in feed:
+            continue
+        df, parts = feed[slot], f"{folder}/.{slot}"
+        df.write.mode("overwrite").csv(parts)
+        target = hadoop(f"{folder}/{slot}.txt")
+        system = target.getFileSystem(conf)
+        out = system.create(target, True)
+        head = ",".join('"' + c.replace('"', '""') + '"' if re.search('[",\n]', c) else c for c in df.columns)
+        out.write(bytearray((head + "\n").encode()))
+        for status in sorted(system.listStatus(hadoop(parts)), key=lambda s: s.getPath().getName()):
+            if status.getPath().getName().startswith("part-"):
+                part = system.open(status.getPath())
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                part.close()
+        out.close()
+        system.delete(hadoop(parts), True)
+
+
+def person_plans(acts: DataFrame, trips: DataFrame, vehicles: DataFrame | None = None) -> DataFrame:
+    """One row for each person: activities (with coordinates and facility, where ``acts`` has them) and
+    legs in order, and the person's vehicles by mode, as JSON.  acts: person_id, activity_index, purpose,
+    start_time, end_time; trips: person_id, trip_index, mode, departure_time, arrival_time; vehicles:
+    owner_id, mode, vehicle_id."""
+    places = [c for c in ("x", "y", "facility_id") if c in acts.columns]
+    a = acts.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("activity_index", "purpose", "start_time", "end_time", *places))).alias("activities"))
     t = trips.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("trip_index", "mode", "departure_time", "arrival_time"))).alias("legs"))
-    return a.join(t, "person_id", "left").select("person_id", F.size("activities").alias("n_activities"), F.coalesce(F.size("legs"), F.lit(0)).alias("n_legs"), F.to_json(F.struct("activities", "legs")).alias("plan"))
+    out, parts = a.join(t, "person_id", "left"), ["activities", "legs"]
+    if vehicles is not None:
+        v = vehicles.groupBy(F.col("owner_id").alias("person_id")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("mode", "vehicle_id")))).alias("vehicles"))
+        out, parts = out.join(v, "person_id", "left"), [*parts, "vehicles"]
+    return out.select("person_id", F.size("activities").alias("n_activities"), F.coalesce(F.size("legs"), F.lit(0)).alias("n_legs"), F.to_json(F.struct(*parts)).alias("plan"))
 
 
-def household_export(persons: DataFrame) -> DataFrame:
-    return persons.groupBy("household_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("person_id")), lambda p: p.cast("string")), ",").alias("members"), F.min_by("income", "person_id").alias("income"))
+def household_export(persons: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+    """Households: members in order, income, and the class labels (columns of ``persons``) of the first member."""
+    first = [F.min_by(c, "person_id").alias(c) for c in ("income", *labels)]
+    return persons.groupBy("household_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("person_id")), lambda p: p.cast("string")), ",").alias("members"), *first)
 
 
 def facility_export(destinations: DataFrame, homes: DataFrame) -> DataFrame:

@@ -1,6 +1,13 @@
 """Small literal cases: class bounds, ties, gaps, and properties."""
 
+import hashlib
+import json
+import os
+import zipfile
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -171,3 +178,169 @@ def test_persons_of_a_zone_without_enterprises_get_a_work_place(spark):
     got = places.work_gravity(persons, enterprises, 3).collect()
     assert sorted(r.person_id for r in got) == list(range(12))
     assert all(r.enterprise_id == 1 for r in got if r.person_id % 3 == 0)
+
+
+def test_zones_with_parts_and_holes(spark, tmp_path):
+    square = lambda x, y, n: [[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]]
+    hole = square(2, 2, 2)  # the same way round as its part
+    lines = [
+        {"properties": {"id": "a", "name": "A"}, "geometry": {"type": "MultiPolygon", "coordinates": [[square(0, 0, 10), hole], [square(20, 0, 4)[::-1]]]}},
+        {"properties": {"id": "b", "name": "B"}, "geometry": {"type": "Polygon", "coordinates": [square(50, 50, 2)]}},
+        {"properties": {"id": "c", "name": "C"}, "geometry": None},
+    ]
+    (tmp_path / "z.json").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
+    layer = tables.read_zones(spark, f"{tmp_path}/z.json", "id", "name")
+    got = {r.zone_id: r for r in layer.collect()}
+    assert set(got) == {"a", "b"} and (got["a"].parts, len(got["a"].rings), got["a"].max_x) == (2, 3, 24.0)
+    points = [(0, 1.0, 1.0), (1, 3.0, 3.0), (2, 21.0, 1.0), (3, 15.0, 1.0), (4, 51.0, 51.0), (5, None, 1.0)]
+    found = {r.point_id: r.zone_id for r in spatial.point_in_zone(spark.createDataFrame(points, "point_id long, x double, y double"), layer, 3.0).collect()}
+    assert found == {0: "a", 1: None, 2: "a", 3: None, 4: "b", 5: None}
+    centre = {r.zone_id: (r.x, r.y) for r in spatial.centroids(layer).collect()}
+    area, x, y = 100 - 4 + 16, (100 * 5 - 4 * 3 + 16 * 22), (100 * 5 - 4 * 3 + 16 * 2)
+    assert np.allclose(centre["a"], (x / area, y / area)) and np.allclose(centre["b"], (51, 51))
+    drawn = spatial.sample_points(layer, spark.createDataFrame([("a", 500)], "zone_id string, n long"), 3, unit_lot=70).collect()
+    assert len({r.unit for r in drawn}) == len(drawn) == 500
+    assert all((r.x < 10 and not (2 < r.x < 4 and 2 < r.y < 4)) or (20 <= r.x < 24 and r.y < 4) for r in drawn)
+    again = spatial.sample_points(layer, spark.createDataFrame([("a", 500)], "zone_id string, n long"), 3, unit_lot=500).collect()
+    assert sorted(again) == sorted(drawn)
+    (tmp_path / "bad.json").write_text(json.dumps({"properties": {"id": "d", "name": "D"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}) + "\n")
+    with pytest.raises(Exception, match="unknown kind"):
+        tables.read_zones(spark, f"{tmp_path}/bad.json", "id", "name").collect()
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_facilities_far_away_missing_or_at_one_place(spark, k):
+    rng = np.random.default_rng(4)
+    points = [(i, *map(float, rng.uniform(-1e7 if i % 5 == 0 else 0, 1000, 2))) for i in range(60)] + [(100, None, 1.0), (101, 1.0, None), (102, 5.0, 5.0), (103, 5.0, 5.0)]
+    sites = [(i, *map(float, rng.uniform(0, 300, 2))) for i in range(40)] + [(i, 7.0, 7.0) for i in range(200, 240)] + [(300, None, None)]
+    df, places_ = spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(sites, "facility_id long, x double, y double")
+    got = {(r.point_id, r["rank"]): r.facility_id for r in spatial.knn(df, places_, k).collect()}
+    known = [s for s in sites if s[1] is not None]
+    want = {}
+    for i, x, y in points:
+        if x is not None and y is not None:
+            for r, s in enumerate(sorted(known, key=lambda s: (np.sqrt((s[1] - x) ** 2 + (s[2] - y) ** 2), s[0]))[:k], 1):
+                want[i, r] = s[0]
+    assert got == want
+    empty = spatial.knn(df, places_.limit(0), k)
+    assert empty.columns == ["point_id", "facility_id", "distance", "rank"] and empty.count() == 0
+    assert spatial.knn(df.limit(0), places_, k).count() == 0
+    few = spatial.knn(df, places_.filter("facility_id = 3"), k)
+    assert few.count() == 62 and few.select("rank").distinct().count() == 1
+
+
+def test_education_places_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    points, sites = rng.uniform(0, 100, (80, 2)), rng.uniform(0, 100, (50, 2))
+    frame = lambda name, a: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{name} long, x double, y double")
+    got = {r.point_id: r.facility_id for r in spatial.education_places(frame("point_id", points), frame("facility_id", sites), 5, None, 9).collect()}
+    d = np.hypot(*(points[:, None] - sites[None]).transpose(2, 0, 1))
+    u = lambda i: int(hashlib.md5(f"9:education:{i}".encode()).hexdigest()[:8], 16) / 2**32
+    assert got == {i: int(np.argsort(d[i])[int(u(i) * 5)]) for i in range(80)}
+
+
+def test_feed_archives(spark, tmp_path):
+    slots = {s: "id\n1\n" for s in (*tables.FEED_REQUIRED, "calendar_dates")}
+    with zipfile.ZipFile(tmp_path / "feed.zip", "w") as archive:
+        for slot, text in slots.items():
+            archive.writestr(f"some/folder/{slot}.txt", text)
+        archive.writestr("some/folder/readme.md", "x")
+    read = tables.read_feed(spark, f"{tmp_path}/feed.zip", f"{tmp_path}/unpacked")
+    assert set(read) == set(slots) and all(df.columns == ["id"] and df.count() == 1 for df in read.values())
+    for names, message in ((["a.txt"], "no transit feed"), (["agency.txt", "stops.txt"], "routes"), ([f"{s}.txt" for s in tables.FEED_REQUIRED], "a calendar")):
+        with pytest.raises(ValueError, match=message):
+            tables.feed_slots(names, "here")
+    assert tables.feed_slots([f"{p}{s}.txt" for p in ("", "x/") for s in slots], "here")["stops"] == "stops.txt"
+    odd = spark.createDataFrame([("a,b", 'say "x"'), (None, "")], "`k,1` string, v string")
+    tables.write_feed({"agency": odd.repartition(2)}, f"{tmp_path}/out")
+    assert os.listdir(f"{tmp_path}/out").count("agency.txt") == 1 and os.path.isfile(f"{tmp_path}/out/agency.txt")
+    assert spark.read.csv(f"{tmp_path}/out/agency.txt", header=True, escape="\\").columns == ["k,1", "v"]
+
+
+def test_enterprise_ids_do_not_depend_on_parts(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(float(a), float(b), str(c), float(d)) for a, b, c, d in rng.integers(0, 6, (300, 4))]
+    df = spark.createDataFrame(rows, "METER_X double, METER_Y double, NOGA08_CD string, EMPTOT double")
+    for n in (1, 7):
+        df.repartition(n).write.option("header", True).csv(f"{tmp_path}/{n}")
+        got = tables.read_enterprises(spark, f"{tmp_path}/{n}").orderBy("enterprise_id").collect()
+        assert [r.enterprise_id for r in got] == list(range(300)) and [tuple(r)[:4] for r in got] == sorted(rows)
+
+
+def test_hot_deck_cells_are_told_apart(spark):
+    donors = spark.createDataFrame([(1, "a|b", "c", 1), (2, "a", "b|c", 1)], "donor_id long, p string, q string, weight int")
+    targets = spark.createDataFrame([(i, "a", "b|c") for i in range(50)] + [(99, None, "c")], "target_id long, p string, q string")
+    got = matching.hot_deck(donors, targets, ["p", "q"], 1, 1, 3).collect()
+    assert {r.donor_id for r in got if r.target_id != 99} == {2} and [r.level for r in got if r.target_id == 99] == [0]
+
+
+def test_ipu_stops_within_the_limits(spark):
+    rows = [(1, k, 10, 1, k % 3, 200.0, 170.0) for k in range(1, 9)]
+    types = spark.createDataFrame(rows, "canton long, type_id long, households long, n_all long, n_kids long, t_all double, t_kids double")
+
+    def errors(limits):
+        w = {r.type_id: r.weight for r in matching.ipu(types, "canton", ["all", "kids"], 2000, households=("all",), limits=limits).collect()}
+        return abs(sum(10 * x for x in w.values()) - 200) / 200, abs(sum(10 * (k % 3) * x for k, x in w.items()) - 170) / 170
+
+    loose, tight = errors(((0.05, 100.0), (0.05, 100.0))), errors(((1e-6, 1.0), (1e-6, 1.0)))
+    assert max(loose) <= 0.05 and max(tight) <= 1e-6 < max(loose)
+
+
+def test_ranks_in_parts(spark):
+    df = spark.range(500).select((F.col("id") % 3 == 0).alias("g"), F.col("id")).unionByName(spark.createDataFrame([(None, 7)], "g boolean, id long"))
+    for together in (7, 10_000):
+        got = population.ranks(df, ["g"], ["id"], "rank", together).collect()
+        for g in (True, False, None):
+            own = sorted(r["rank"] for r in got if r.g == g)
+            assert own == list(range(len(own))) and own
+    assert [r.new_id for r in population.new_ids(df.select("id").distinct(), ["id"]).orderBy("id").collect()] == list(range(500))
+
+
+def test_work_places_by_quota_capacity_and_distance(spark):
+    rng = np.random.default_rng(6)
+    persons = [(i, i % 2, float(x), float(y), float(c)) for i, (x, y, c) in enumerate(rng.uniform(0, 9000, (120, 3)))]
+    firms = [(k, int(k % 4), float(x), float(y), float(e)) for k, (x, y, e) in enumerate(np.c_[rng.uniform(0, 9000, (60, 2)), rng.integers(1, 9, 60)])]
+    quotas = [(0, 1, 40), (0, 2, 20), (1, 3, 60)]
+    p = spark.createDataFrame(persons, "person_id long, home_zone_id int, x double, y double, commute_distance double")
+    q = spark.createDataFrame(quotas, "home_zone_id int, work_zone_id int, count int")
+    e = spark.createDataFrame(firms, "enterprise_id long, zone_id int, x double, y double, employees double")
+
+    def scored(i, home, x, y, commute, zones, seed=5):
+        rows = [(f, np.hypot(x - f[2], y - f[3]), 1.0 if f[1] in zones else 1 / 60) for f in firms if f[1] in zones or (f[1] == home and commute < 1000)]
+        off = [abs(d - commute) for _, d, _ in rows]
+        std = max(150.0, min(off) / 2)
+        u = [max(int(hashlib.md5(f"{seed}:gumbel:{i}:{f[0]}".encode()).hexdigest()[:8], 16) / 2**32, 1e-12) for f, _, _ in rows]
+        score = [np.log(max(f[4], 0.1) * w) - 0.5 * (o / std) ** 2 - np.log(-np.log(v)) for (f, _, w), o, v in zip(rows, off, u, strict=True)]
+        return rows[int(np.argmax(score))][0][0]
+
+    # Without rounds before it the last one is a plain draw, here again by a scan of all firms.
+    got = {r.person_id: r.enterprise_id for r in places.work_gravity(p, e, 5, q, rounds=0).collect()}
+    assert got == {i: scored(i, h, x, y, c, {z for o, z, _ in quotas if o == h}) for i, h, x, y, c in persons}
+    # With rounds quotas and capacities hold as long as there is room.
+    roomy = e.withColumn("employees", F.lit(50.0))
+    out = places.work_gravity(p, roomy, 5, q, rounds=8).join(e.select("enterprise_id", "zone_id"), "enterprise_id").join(p.select("person_id", "home_zone_id", "commute_distance"), "person_id").collect()
+    assert len(out) == 120
+    counts = Counter((r.home_zone_id, r.zone_id) for r in out)
+    assert all(counts[o, z] <= n for o, z, n in quotas)
+    assert all(r.commute_distance < places.NEAR for r in out if r.zone_id == r.home_zone_id)
+    # A zone that has no firm: all firms, by distance; a random point with shapes.
+    lone = spark.createDataFrame([(1, 9, 100.0, 100.0, 3000.0)], "person_id long, home_zone_id int, x double, y double, commute_distance double")
+    far = places.work_gravity(lone, e, 5, spark.createDataFrame([(9, 77, 1)], "home_zone_id int, work_zone_id int, count int")).first()
+    assert abs(far.distance - 3000) < 1500
+    shapes = spark.createDataFrame([Row(zone_id=77, ring=[Row(x=a, y=b) for a, b in ((0.0, 0.0), (10.0, 0.0), (0.0, 10.0))])])
+    asked = spark.createDataFrame([(i, 77 if i < 5 else 1) for i in range(9)], "person_id long, work_zone_id long")
+    placed = places.work_in_zone(asked, e.withColumn("zone_id", F.col("zone_id").cast("long")), 3, shapes).collect()
+    assert {r.person_id for r in placed} == set(range(9))
+    assert all((r.enterprise_id is None and r.work_x + r.work_y < 10) == (r.work_zone_id == 77) for r in placed)
+    assert places.work_in_zone(asked, e, 3).count() == 4
+
+
+def test_income_is_imputed_by_the_attributes(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(age), float(i % 2), 1.0, -1 if i % 4 == 0 else int(age > 50) * 3 + int(rng.random() < 0.2)) for i, age in enumerate(rng.integers(18, 90, 2000))]
+    out = matching.impute_income(spark.createDataFrame(rows, "person_id long, age double, sex double, weight double, income_class int"), ["age", "sex"], 3).collect()
+    known = {r[0]: r[4] for r in rows}
+    assert len(out) == 2000 and all(r.imputed == (known[r.person_id] < 0) and (r.imputed or r.income_class == known[r.person_id]) for r in out)
+    assert all((r.income_class >= 3) == (r.age > 50) for r in out)
+    share = np.mean([r.income_class % 3 == 1 for r in out if r.imputed])  # drawn from the leaf's shares, not its most frequent class
+    assert 0.12 < share < 0.28
