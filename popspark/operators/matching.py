@@ -12,20 +12,25 @@ from ..session import saved
 from .zones import weighted_cdf, weighted_draw
 
 
+FEW = 100_000  # cells of donors whose counts are sent to every task
+
+
 def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory: int, min_obs: int, seed: int) -> DataFrame:
     """For each target (target_id) a donor (donor_id, weight) from the finest cell of attributes with
     enough donors: columns go one by one from the end, down to the first ``mandatory`` ones; if even
     these have too few the required number falls to what they have; then fewer columns still.
 
-    Donors are counted once for each prefix of the columns.  With n(L) donors in the target's cell
+    Donors are counted once, and these counts summed for each prefix of the columns.  With n(L) donors in the target's cell
     of the first L columns, M mandatory and K columns: m = min(min_obs, n(M)); the level is the largest
     L in M..K with n(L) >= m if m >= 1, else the largest below M with any, else 0 (all donors).  The
     draw is by the weights, in the order of the donors' attributes and ids.
     """
+    finest = saved(source.groupBy(*columns).agg(F.count("*").alias("n")))
+    few = finest.count() <= FEW
     counted = target
     for level in range(1, len(columns) + 1):
-        own = source.groupBy(*columns[:level]).agg(F.count("*").alias(f"__n{level}"))
-        counted = counted.join(own, columns[:level], "left")
+        own = finest.groupBy(*columns[:level]).agg(F.sum("n").alias(f"__n{level}"))
+        counted = counted.join(F.broadcast(own) if few else own, columns[:level], "left")
     n = [None, *(F.coalesce(f"__n{k}", F.lit(0)) for k in range(1, len(columns) + 1))]
     need = F.least(F.lit(min_obs), n[mandatory])
     level = F.lit(0)

@@ -187,6 +187,13 @@ def _(t):
     return t("persons").select("person_id", x.alias("x"), y.alias("y"))
 
 
+@query("p23_wgs84_to_lv95", """SELECT person_id, round(2600072.37 + 211455.93 * l - 10938.51 * l * p - 0.36 * l * p * p - 44.54 * l * l * l, 2) AS x, round(1200147.07 + 308807.95 * p + 3745.25 * l * l + 76.63 * p * p - 194.56 * l * l * p + 119.79 * p * p * p, 2) AS y
+  FROM (SELECT person_id, ((45.8::DOUBLE + home_y / 50000.0::DOUBLE) * 3600 - 169028.66) / 10000 AS p, ((5.9::DOUBLE + home_x / 25000.0::DOUBLE) * 3600 - 26782.5) / 10000 AS l FROM {persons})""")
+def _(t):
+    x, y = fn.wgs84_to_lv95(F.lit(5.9) + F.col("home_x") / 25000.0, F.lit(45.8) + F.col("home_y") / 50000.0)
+    return t("persons").select("person_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
 @query("p24_crowfly", "SELECT order_id, round(sqrt(((origin_x - destination_x) * (origin_x - destination_x) + (origin_y - destination_y) * (origin_y - destination_y))::DOUBLE), 6) AS crowfly_distance FROM {trips}")
 def _(t):
     return t("trips").select("order_id", F.round(fn.crowfly(*map(F.col, ("origin_x", "origin_y", "destination_x", "destination_y"))), 6).alias("crowfly_distance"))
@@ -583,7 +590,7 @@ def _(t):
 
 @query("a08_od_pdf", f"SELECT mode, origin_id, destination_id, weight, round(weight / sum(weight) OVER (PARTITION BY mode, origin_id), 9) AS probability FROM {OD} UNION ALL SELECT 'walk', zone_id, zone_id, 0, 1.0 FROM {{zones}}")
 def _(t):
-    origins = t("zones").select(F.col("zone_id").alias("origin_id")).crossJoin(F.broadcast(t("zones").limit(1).select(F.explode(F.array(*map(F.lit, ("car", "pt", "bike", "walk", "car_passenger")))).alias("mode"))))
+    origins = t("zones").select(F.col("zone_id").alias("origin_id"), F.explode(F.array(*map(F.lit, ("car", "pt", "bike", "walk", "car_passenger")))).alias("mode"))
     return zones.od_pdf(_od(t), origins, ["mode"]).withColumn("probability", F.round("probability", 9))
 
 
