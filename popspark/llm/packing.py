@@ -24,7 +24,7 @@ from .common import Remembered, saved, slices
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END = 0  # the identifier after each document
-CHUNK = 4000  # pieces that are ranked together, about
+CHUNK = 1000  # pieces that are ranked together, about
 
 
 class Share(NamedTuple):
@@ -65,8 +65,9 @@ class _Instance:
         self.sequences += times
 
 
-def reduce_instance(own: _Instance) -> None:
-    """Fix every set that provably dominates all other sets with its longest piece.
+def reduce_instance(own: _Instance, at_once: bool = True) -> None:
+    """Fix every set that provably dominates all other sets with its longest piece; equal sets
+    ``at_once``, as long as enough of each length is left for the same reasons to hold.
 
     From the longest piece j on, with room r beside it: alone, if nothing fits; with the longest
     piece a that fits, if no two others fit, if it fills the sequence, or if it is as long as the
@@ -107,9 +108,8 @@ def reduce_instance(own: _Instance) -> None:
             if best is None:
                 break
             need = {x: best.count(x) for x in best}
-            # All at once while that leaves enough of each length for the same reasons to hold.
-            times = max(1, min((int(left[x]) - 4) // n for x, n in need.items()))
-            own.fix(best, int(left[j]) if len(best) == 1 else times)
+            times = max(1, min((int(left[x]) - 4) // n for x, n in need.items())) if at_once else 1
+            own.fix(best, int(left[j]) if len(best) == 1 and at_once else times)
 
 
 def _longest_two(left: np.ndarray, have: np.ndarray, room: int) -> int:
@@ -149,7 +149,8 @@ def best_fit(own: _Instance) -> None:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Share], int]:
-    """The shares of all lengths, and the number of sequences."""
+    """The shares of all lengths, and the number of sequences.  No pieces give no shares; a length
+    below 1 or above ``capacity`` is refused."""
     own = _Instance(counts, capacity)
     reduce_instance(own)
     best_fit(own)
@@ -197,7 +198,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """The pieces of each document: its identifiers and ``end``, cut into pieces of ``capacity`` if
-    there are more; then the first piece takes what is over."""
+    there are more; then the first piece takes what is over.  Null text is empty: the end alone.  A
+    null id stays null, repeated rows are cut each, an empty table gives an empty one."""
     tail = int(end).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +233,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     pieces = saved(cut(docs, id_col, text_col, tokenizer, capacity, end))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     shares, _ = plan(counts, capacity)
-    chunks = sum(counts.values()) // CHUNK + 1
-    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)))
+    spark = docs.sparkSession
+    # A row for each of at most ``capacity`` lengths: a length has chunks as it has pieces.
+    deals = spark.createDataFrame([(length, many // CHUNK + 1) for length, many in counts.items()], "length long, chunks long")
+    # By their places in the written table, so that any number of equal rows is dealt out as well.
+    dealt = pieces.withColumn("place", F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(deals), "length")
+    dealt = dealt.withColumn("chunk", F.pmod("place", "chunks")).drop("place", "chunks")
     many = dealt.groupBy("length", "chunk").agg(F.count("*").alias("many"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     many = many.select("length", "chunk", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("at", F.row_number().over(inside) - 1).join(many, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("at"))
     # A few shares for each of at most ``capacity`` lengths.
-    table = docs.sparkSession.createDataFrame([tuple(s) for s in shares], "length long, first long, many long, each long, sequence long, place long")
+    table = spark.createDataFrame([tuple(s) for s in shares], "length long, first long, many long, each long, sequence long, place long")
     table = F.broadcast(table.withColumnRenamed("length", "of"))
     k = F.col("rank") - F.col("first")
     return ranked.join(table, (F.col("length") == F.col("of")) & (k >= 0) & (k < F.col("many"))).select(
