@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,13 +36,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the checkpoint folder: for wide rows of which later steps read few columns."""
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The maximal runs of other characters than white space, as an array; null text has none."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
@@ -76,25 +68,32 @@ def utf8(col: pa.Array) -> list[bytes]:
 class Remembered(dict):
     """``make(word)`` for words that come again and again, within bounded memory.
 
-    A word's value is kept for good at its second coming; words that came once wait among the
-    newcomers, who go when they are too many.  Long words are made anew each time.
+    A word's value is kept from its second coming on; of the first one a bit at the word's hash
+    remains (so a few words are kept at once).  Long words are made anew each time.
     """
 
-    NEW, KEPT, LONGEST = 600_000, 400_000, 64
+    KEPT, SEEN, BITS, LONGEST = 400_000, 2_000_000, 24, 64
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.new = make, {}
+        self.make = make
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen, self.many = bytearray(1 << (self.BITS - 3)), 0
 
     def __missing__(self, word):
-        if (value := self.new.pop(word, None)) is not None:
-            if len(self) >= self.KEPT:
-                self.clear()
-            self[word] = value
-            return value
         value = self.make(word)
         if len(word) <= self.LONGEST:
-            if len(self.new) >= self.NEW:
-                self.new.clear()
-            self.new[word] = value
+            at = hash(word) & ((1 << self.BITS) - 1)
+            byte, bit = at >> 3, 1 << (at & 7)
+            if self.seen[byte] & bit:
+                if len(self) >= self.KEPT:
+                    self.clear()
+                self[word] = value
+            else:
+                if self.many >= self.SEEN:
+                    self.forget()
+                self.seen[byte] |= bit
+                self.many += 1
         return value

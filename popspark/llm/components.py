@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """From edges (u, v) between whole numbers: (node, root), the smallest node of its component.
 
     Edges may repeat, go either way or lead to their own node; nodes without an edge to another
-    don't occur in the result.  Both steps shrink every node's neighbourhood towards the smallest
+    don't occur in the result, nor do edges with a null end or an empty table's.  Both steps shrink every node's neighbourhood towards the smallest
     number, so the rounds follow the logarithm of the number of nodes, and no task or driver ever
     holds a component.  The partitions follow the number of edges, so that few edges don't leave
     many small files in each round.

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, words, written
+from .common import SPACE, saved, words
 
 ROUNDS = 8
 GOOD_SHARE = 0.8  # to begin with
@@ -131,22 +131,28 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     judged each, and weigh as many documents in the estimates; an empty table gives an empty one.
     Other columns play no part.  Every text is measured whole.
     """
-    return _judged(saved(measures(docs, id_col, text_col).select("*", *votes())), rounds, keep)
+    rows = saved(measures(docs, id_col, text_col).select("*", *votes()))
+    return _judged(rows, _estimated(rows, rounds), keep)
 
 
-def _judged(rows: DataFrame, rounds: int, keep: float) -> DataFrame:
-    names = [f"vote_{r}" for r in RULES]
-    patterns = saved(rows.groupBy(*names).agg(F.count("*").alias("n")))  # 3 ** len(RULES) rows at most
+def _estimated(rows: DataFrame, rounds: int) -> dict[str, float]:
+    patterns = rows.groupBy(*(f"vote_{r}" for r in RULES)).agg(F.count("*").alias("n"))
+    return estimate(saved(patterns), rounds)  # 3 ** len(RULES) patterns at most
+
+
+def _judged(rows: DataFrame, parameters: dict[str, float], keep: float) -> DataFrame:
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    judged = rows.withColumn("base_failed", failed).withColumn("quality", _posterior(estimate(patterns, rounds)))
+    judged = rows.withColumn("base_failed", failed).withColumn("quality", _posterior(parameters))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever their names.
 
-    Nulls, repeats and empty tables are as in ``judge``: every row is judged by itself.  The rows are
-    written with their votes and read again, so that nothing is joined or shuffled but the patterns.
+    Nulls, repeats and empty tables are as in ``judge``: every row is judged by itself.  The texts are
+    measured twice, for the estimates and for the verdicts, so that nothing but the patterns is
+    written, joined or shuffled.
     """
-    rows = written(measures(docs, id_col, text_col, F.struct("*")).select("*", *votes()))
-    return _judged(rows, rounds, keep).filter("kept").select("carried.*")
+    # The row's place keeps the filter above the measures, which would else be computed for each rule again.
+    rows = measures(docs, id_col, text_col, F.struct("*")).select("*", *votes(), F.monotonically_increasing_id().alias("place"))
+    return _judged(rows, _estimated(rows, rounds), keep).filter("kept and place >= 0").select("carried.*")

@@ -15,10 +15,11 @@ id.  Shards have to hold equal strings together, so they are cut by content:
    answer for the windows that begin there.
 5. ``_apply``: each block marks the windows whose answer is smaller than their document's id.
 
-What a task holds is bounded by the block and by the shard, whose number follows the input; the
-strings around a common phrase, of which each document has its own, are dealt out by windows.  A
-passage that any number of documents share comes once from each block.  Blocks meet their answers
-by the block's number, so no step depends on how many rows a key has.
+What a task holds is bounded by the block (or one document, if that is longer: some tens of bytes for
+each of its bytes) and by the shard, whose number follows the input; the strings around a common
+phrase, of which each document has its own, are dealt out by windows.  A passage that any number of
+documents share comes once from each block.  Blocks meet their answers by the block's number, so no
+step depends on how many rows a key has.
 """
 
 from __future__ import annotations
