@@ -12,23 +12,23 @@ from popspark.llm.common import checkpoint_folder, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the quality rules keep.
-
-    A row is told by its id and a hash of its text, so of rows with one id only the rejected texts go.
-    """
-    bad = quality.judge(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (own == bad["__hash"]), "left_anti")
+    """What the quality rules keep: every row is judged by itself, null ids and repeated rows too."""
+    return quality.keep_good(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the near duplicates of documents with a smaller id."""
+    """Without the near duplicates of documents with a smaller id.
+
+    Rows of one id stay or go together; rows with a null id stay, and so do texts without words."""
     gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without passages that stand in a document with a smaller id; every document stays, if only with an empty text."""
+    """Without passages that stand in a document with a smaller id; every document stays, if only with an empty text.
+
+    A null text becomes an empty one; of a character that only partly goes all bytes stay; rows of one
+    id don't take from each other; a null id counts as the largest.  Other columns come along as JSON."""
     others = [f for f in docs.schema if f.name not in ("doc_id", "text", "n_chars")]
     out = substring.remove_repeats(docs, texts=True, extra=[f.name for f in others])
     fields = F.from_json("extra", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)) if others else None
@@ -38,12 +38,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; copies are equal rows.  Null sources are a source, null ids a key."""
     return mixing.emit(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in the sequences."""
+    """The pieces of the documents and their places in the sequences; equal rows are packed each, a null id stays null."""
     return packing.pack(docs)
 
 
@@ -55,7 +55,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-# Token identifiers and the packing have no SQL; tests/llm holds run() against brute force.
+# Token identifiers and the packing have no SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
