@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality
+from . import interaction, licenses, mixing, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,4 +116,58 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN y USING (r)"""
 
 
-ORACLE = {"op1_quality_rules": op1(), "op2_mix_sources": op2(), "op4_suffix_dedup": OP4, "op9_minhash_dedup": OP9, "op10_license_scan": op10()}
+def op11() -> str:
+    """Trees level by level: siblings of a node are the others of its run.  The check sum runs over the bits of the id's digits."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    bits = "list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: {bits.replace('[c,', '[xor(a, x),').replace('lambda a, z: xor(a >> 1, (a & 1)', 'lambda b, z: xor(b >> 1, (b & 1)')}))"
+    up = "SELECT level + 1, tree, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM {0} WHERE n > 1 GROUP BY level, tree, i // 16, n"
+    others = "SELECT r, level, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < p.i), '') AS a, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > p.i), '') AS b FROM {0} p JOIN {1} x USING (level, tree) WHERE x.i // 16 = p.i // 16 AND x.n > 1 GROUP BY r, level"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf("text")} END AS claimed FROM documents),
+s AS MATERIALIZED (SELECT source, row_number() OVER (ORDER BY source COLLATE "C" NULLS FIRST) - 1 AS tree, count(*) AS n FROM d GROUP BY source),
+l AS MATERIALIZED (SELECT r, doc_id, leaf, claimed, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+nodes(level, tree, i, h, n) AS (SELECT 0, tree, i, leaf, n FROM l UNION ALL {up.format("nodes")}),
+sub AS MATERIALIZED (SELECT tree, h, max(level) OVER () AS most FROM nodes WHERE n = 1),
+tops(level, tree, i, h, n) AS (SELECT 0, 0, tree, h, count(*) OVER () FROM sub UNION ALL {up.format("tops")}),
+root AS (SELECT h AS root FROM tops WHERE n = 1),
+way AS MATERIALIZED (SELECT r, x.level, x.tree, l.i // (16 ** x.level)::BIGINT AS i FROM l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) x USING (tree)),
+way2 AS MATERIALIZED (SELECT r, x.level, 0 AS tree, l.tree // (16 ** x.level)::BIGINT AS i FROM l CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) x),
+steps AS MATERIALIZED (SELECT * FROM ({others.format("way", "nodes")}) UNION ALL SELECT r, level + 1000, a, b FROM ({others.format("way2", "tops")})),
+listed AS (SELECT r, list({{'a': a, 'b': b}} ORDER BY level) AS w, string_agg(a || b, '' ORDER BY level) AS all_of FROM steps GROUP BY r),
+f AS (SELECT l.r, doc_id, leaf, tree, sha256(coalesce(all_of, '')) AS proof_sha256,
+  list_reduce(list_prepend({{'a': claimed, 'b': ''}}, coalesce(w, [])), lambda x, y: {{'a': sha256(y.a || x.a || y.b), 'b': ''}}).a AS folded_root FROM l LEFT JOIN listed USING (r))
+SELECT doc_id, leaf, sub.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f JOIN sub USING (tree) CROSS JOIN root"""
+
+
+def op12() -> str:
+    names = [*interaction.FILTERS, interaction.COPY]
+    fails = ", ".join(f"'{k}'" for k in names)
+    conditions = ", ".join([f"({c})" for c in interaction.FILTERS.values()] + ["is_copy"])
+    orders = " CROSS JOIN ".join(f"(SELECT unnest([{fails}]) AS f{k}) t{k}" for k in range(len(names)))
+    apart = " AND ".join(f"f{a} <> f{b}" for a in range(len(names)) for b in range(a))
+    return f"""
+WITH m AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), doc_id IS NULL AND min(doc_id) OVER (PARTITION BY coalesce(text, '')) IS NOT NULL) AS is_copy FROM documents),
+c AS (SELECT doc_id, part, is_copy, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, length(t) - length(translate(t, '{UPPER}', '')) AS n_capitals, length(t) AS n_chars, length(t) - length(translate(t, '#$%&*|', '')) AS n_symbols FROM m),
+g AS (SELECT doc_id, max((quality = 1)::INT) = 1 AS good, max((toxic = 1)::INT) = 1 AS toxic FROM labels GROUP BY doc_id),
+d AS MATERIALIZED (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_filter([{fails}], lambda x, k: [{conditions}][k]) AS failed FROM c LEFT JOIN g USING (doc_id)),
+o AS (SELECT {" || ".join(f"f{k}" for k in range(len(names)))} AS filter_order FROM {orders} WHERE {apart}),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, string_split(filter_order[: step - 1], '') AS before FROM o, (SELECT unnest(range(1, {len(names) + 1})) AS step)),
+x AS MATERIALIZED (SELECT part, filter_order, step, f, good, toxic, len(failed) = 1 AS alone, list_contains(failed, f) AS fails, list_has_any(failed, before) AS gone FROM d CROSS JOIN s),
+y AS (SELECT part, filter_order, step, f, count(*) FILTER (NOT fails AND NOT gone) AS kept, count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant,
+  count(*) FILTER (fails AND alone) AS unique_fails, count(*) FILTER (fails AND NOT gone AND good) AS good_lost, count(*) FILTER (fails AND NOT gone AND toxic) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y"""
+
+
+ORACLE = {
+    "op1_quality_rules": op1(),
+    "op2_mix_sources": op2(),
+    "op4_suffix_dedup": OP4,
+    "op9_minhash_dedup": OP9,
+    "op10_license_scan": op10(),
+    "op11_merkle_manifest": op11(),
+    "op12_filter_interaction": op12(),
+}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, licenses, media, mixing, neardup, packing, quality, substring, tokens, urls
+from . import html, interaction, licenses, media, merkle, mixing, neardup, packing, privacy, quality, substring, tokens, urls
 from .common import table
 
 
@@ -50,4 +51,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_count_tokens, op4_suffix_dedup, op5_best_fit_packing, op6_extract_html, op7_filter_urls, op8_media_columns, op9_minhash_dedup, op10_license_scan)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower).otherwise(F.col("text"))  # a null id leaves the text
+    return merkle.audit(merkle.manifest(table(spark, sf_dir, "documents"), handed_in={"text": tampered}))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_mix_sources, op3_count_tokens, op4_suffix_dedup, op5_best_fit_packing, op6_extract_html, op7_filter_urls, op8_media_columns, op9_minhash_dedup,
+        op10_license_scan, op11_merkle_manifest, op12_filter_interaction, op13_personal_data,
+    )
+}
