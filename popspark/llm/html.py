@@ -4,12 +4,15 @@ The standard library's parser streams its events.  Each block of text is a line
 characters over the tags since the line before.  The ratios are smoothed by a Gaussian over the
 lines, and lines above a threshold (the spread of the smoothed ratios) are content.  Elements and
 names only exclude: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments.  Of the lines that are left, content lines close to each other form clusters, and
-the clusters choose the regions of the page: the main one (that with most characters) the smallest
-part of the page around its lines, or the article that holds most of it; without an article, clusters
-of some size choose theirs as well.  All lines of these regions belong to the text, short ones too.
-Where a name's element holds most of the content lines' characters, and the page's heading, its main
-element or nine tenths of its content, the lines overrule the name: it is a wrapper of the article.
+reader comments; a header within an article is the article's.  A name that only holds such a word
+among others excludes lines that are not content by their ratio; one that is such a word excludes all,
+unless its element is a wrapper of the article (it holds most of the content lines' characters, and
+the page's heading, its main element or nine tenths of its content).  Of the lines that are left,
+content lines close to each other form clusters, and the clusters choose the regions of the page.
+Where most of the main cluster (that with most characters) is in articles, these are all articles
+that hold content lines; else the smallest part of the page around each cluster of some size, and
+the lines without links that follow in the element around it.  All lines of these regions belong to
+the text, short ones too.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ NAMES = frozenset(
 )
 # Of these, words that are part of other names too; they count alone, at the end, or before a word for a part of a page.
 LOOSE = frozenset("discussion header login notice notices rail reply respond skip social".split())
-PARTS = frozenset("area bar block box button buttons container content feed icon icons inner item items left link links list media menu panel primary right row secondary section text top wrap wrapper".split())
+PARTS = frozenset("area bar block body box button buttons container content feed icon icons inner item items left link links list media menu panel posts articles stories products videos primary right row secondary section top wrap wrapper".split())
 STATES = frozenset("has no with without".split())  # the element has a menu, it isn't one
 SEMANTIC = frozenset(("article", "main"))
 UNNAMED = frozenset(("html", "body", "article", "main"))  # their names say something about the page
@@ -74,6 +77,9 @@ class _Page(HTMLParser):
         self.parent = [0]
         self.tag_of = [""]
         self.named: list[int] = []  # elements that hold blocks and that a name marks as something else
+        self.weak: set[int] = set()  # of these, those whose name has other words too
+        self.linked: list[bool] = []  # lines that mostly are links
+        self.in_links = self.in_all = 0  # characters of the line
         self.text: list[str] = []
         self.tags = 0
         self.blocks: list[tuple[str, int, int, bool]] = []
@@ -84,7 +90,9 @@ class _Page(HTMLParser):
             self.text = []
             if text:
                 self.blocks.append((text, self.tags, self.stack[-1][1], self.stack[-1][3]))
+                self.linked.append(2 * self.in_links > self.in_all)
                 self.tags = 0
+            self.in_links = self.in_all = 0
 
     def pop_to(self, depth: int) -> None:
         self.opened.subtract(x[0] for x in self.stack[depth:])
@@ -102,14 +110,17 @@ class _Page(HTMLParser):
             return
         self.parent.append(self.stack[-1][1])
         self.tag_of.append(tag)
-        other = self.stack[-1][2] or tag in OTHER
+        article = any(self.opened[x] for x in SEMANTIC)
+        other = self.stack[-1][2] or tag in OTHER and not (article and tag == "header")
         if not other and attrs and tag not in UNNAMED:
             other = self.marked(attrs)
-            if not other and self.named_other(attrs):
-                if tag in BLOCKS:
-                    self.named.append(len(self.tag_of) - 1)
-                else:
-                    other = True
+            name = "" if other else self.named_other(attrs, article)
+            if name and tag in BLOCKS:
+                self.named.append(len(self.tag_of) - 1)
+                if name == "weak":
+                    self.weak.add(len(self.tag_of) - 1)
+            elif name == "whole":
+                other = True
         self.stack.append((tag, len(self.tag_of) - 1, other, other if tag in BLOCKS else self.stack[-1][3]))
         self.opened[tag] += 1
 
@@ -143,18 +154,26 @@ class _Page(HTMLParser):
         return False
 
     @staticmethod
-    def named_other(attrs: list) -> bool:
+    def named_other(attrs: list, article: bool = False) -> str:
+        """``whole`` where a name is a word for something else, with words for a part of a page at most; ``weak`` where it
+        has such a word among others; else empty.  Headers of an article are none."""
+        found = ""
         for name, value in attrs:
             if name in ("class", "id"):
                 for word in (value or "").split():
                     parts = [x.lower() for x in _PARTS.findall(word)]
-                    if _JOINT.sub("", word).lower() in NAMES:
-                        return True
+                    joined = _JOINT.sub("", word).lower()
+                    if article and (joined == "header" or set(parts) & NAMES == {"header"}):
+                        continue
+                    if joined in NAMES:
+                        return "whole"
                     if parts and parts[0] in STATES:
                         continue
                     if any(x in NAMES and (x not in LOOSE or i == len(parts) - 1 or parts[i + 1] in PARTS | NAMES) for i, x in enumerate(parts)):
-                        return True
-        return False
+                        if all(x in PARTS | NAMES or x.isdigit() for x in parts):
+                            return "whole"
+                        found = "weak"
+        return found
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -177,10 +196,20 @@ class _Page(HTMLParser):
         _, _, other, block = self.stack[-1]
         if other == block:  # else a script, a button or an advert within a line
             self.text.append(data)
+            self.in_all += len(data)
+            self.in_links += len(data) if self.opened["a"] else 0
+
+
+def closed(html: str) -> str:
+    """The page with comments and tags that nothing closes as text, for each of which the parser would look through the rest."""
+    end = max(html.rfind("-->"), html.rfind("--!>")) + 1
+    html = html[:end] + html[end:].replace("<!--", "&lt;!--")
+    end = html.rfind(">") + 1
+    return html[:end] + html[end:].replace("<", "&lt;")
 
 
 def parse(html: str) -> _Page:
-    page = _Page()
+    page, html = _Page(), closed(html)
     try:
         page.feed(html)
         page.close()
@@ -218,11 +247,20 @@ class _Tree:
         self.of = np.array([b[2] for b in page.blocks], np.int64)  # each line's element
         self.lengths = np.array([len(b[0]) for b in page.blocks], np.int64)
         self.heading, self.main = np.array(heading)[self.of], np.array(main)[self.of]
-        self.named = page.named
+        self.named, self.weak = page.named, page.weak
 
     def inside(self, element: int) -> np.ndarray:
         return (self.of >= element) & (self.of <= self.last[element])
 
+    def inside_any(self, elements: list[int]) -> np.ndarray:
+        marks = np.zeros(len(self.last) + 1, np.int64)
+        np.add.at(marks, elements, 1)
+        np.add.at(marks, self.last[elements] + 1, -1)
+        return np.cumsum(marks)[self.of] > 0
+
+    def holds(self, element: int, line: int) -> bool:
+        return element <= self.of[line] <= self.last[element]
+
     def around(self, lines: np.ndarray) -> int:
         """The smallest region of the page that holds all the lines."""
         a, b = int(self.of[lines].min()), int(self.of[lines].max())
@@ -235,31 +273,49 @@ class _Tree:
             a = self.parent[a]
         return a
 
-    def article_of(self, lines: np.ndarray) -> int:
-        """The innermost article (or main) element with more than half of the lines' characters, or 0."""
-        order = np.argsort(self.of[lines], kind="stable")
-        of, upto = self.of[lines][order], np.cumsum(self.lengths[lines][order])
-        e = self.article[int(of[np.searchsorted(upto, upto[-1] / 2)])]  # what has more than half holds the middle
-        while e:
-            a, b = np.searchsorted(of, e, "left"), np.searchsorted(of, self.last[e], "right")
-            if b > a and 2 * (upto[b - 1] - (upto[a - 1] if a else 0)) > upto[-1]:
-                return e
-            e = self.article[self.parent[e]]
-        return 0
-
-
-def _unmarked(tree: _Tree, rest: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Of the lines ``rest`` those that no name marks as something else, without the names that the content lines overrule."""
+    def upto(self, lines: np.ndarray) -> np.ndarray:
+        """Characters of the lines in elements numbered below each number, so an element's are a difference."""
+        return np.r_[0, np.cumsum(np.bincount(self.of[lines], self.lengths[lines], len(self.last)))].astype(np.int64)
+
+    def articles(self, main: np.ndarray, votes: np.ndarray) -> list[int]:
+        """The articles (or main elements) with content lines, if those of the main cluster mostly are in any.
+
+        Of nested ones the outer, if a good part of its content is its own, else those within it.
+        """
+        inside = np.array(self.article)[self.of[main]] > 0
+        if 2 * self.lengths[main][inside].sum() <= self.lengths[main].sum():
+            return []
+        own = np.bincount(np.array(self.article)[self.of[votes]], self.lengths[votes], len(self.last))
+        upto, out, opened = self.upto(votes), [], {0}
+        for e in [e for e in range(1, len(self.last)) if self.tag_of[e] in SEMANTIC]:
+            held = upto[self.last[e] + 1] - upto[e]
+            if not held or self.article[self.parent[e]] not in opened:
+                continue
+            if own[e] >= SIZE * held:
+                out.append(e)
+            else:
+                opened.add(e)
+        return out
+
+
+def _unmarked(tree: _Tree, rest: np.ndarray, chosen: np.ndarray, clear: np.ndarray) -> np.ndarray:
+    """Of the lines ``rest`` those that no name marks as something else, without the names that the content lines overrule.
+
+    ``chosen`` lines are content by the smoothed ratios, ``clear`` ones by their own as well.
+    """
+    content = rest[chosen[rest]]
+    named = np.array(tree.named, np.int64)
+    if len(named):
+        weak = np.array([e in tree.weak for e in tree.named])
+        held, text = (tree.upto(x)[tree.last[named] + 1] - tree.upto(x)[named] for x in (rest[clear[rest]], rest))
+        named = named[~(weak & (2 * held > text))]
     marks = np.zeros(len(tree.last) + 1, np.int64)
-    for e in tree.named:
-        marks[e] += 1
-        marks[tree.last[e] + 1] -= 1
+    np.add.at(marks, named, 1)
+    np.add.at(marks, tree.last[named] + 1, -1)
     marks = np.cumsum(marks[:-1])  # names around each element
-    content = rest[chosen[rest]]
     lengths, of = tree.lengths[content], tree.of[content]
-    upto = np.r_[0, np.cumsum(np.bincount(of, lengths, len(tree.last)))]
+    upto = tree.upto(content)
     total = upto[-1]
-    named = np.array(tree.named, np.int64)
     named = named[2 * (upto[tree.last[named] + 1] - upto[named]) > total] if len(named) else named
     for e in named.tolist():  # each inside the one before
         inside = tree.inside(e)[rest]
@@ -279,22 +335,30 @@ def content_lines(page: _Page) -> np.ndarray:
     smooth = smoothed(ratio)
     threshold = smooth.std()
     chosen = smooth > threshold
-    own = _unmarked(tree, np.flatnonzero([not b[3] for b in page.blocks]), chosen)
+    clear = chosen & (ratio > threshold)
+    own = _unmarked(tree, np.flatnonzero([not b[3] for b in page.blocks]), chosen, clear)
     if not len(own):
         return none
     # Lines whose own ratio is as high come first, as smoothing reaches beyond the ends of a region.
-    votes = next(v for v in (chosen[own] & (ratio[own] > threshold), chosen[own], np.ones(len(own), bool)) if v.any())
+    votes = next(v for v in (clear[own], chosen[own], np.ones(len(own), bool)) if v.any())
     at = np.flatnonzero(votes)
     cluster = np.cumsum(np.r_[0, np.diff(at) > GAP + 1])
     size = np.bincount(cluster, tree.lengths[own[at]])
-    main = own[at[cluster == size.argmax()]]
-    if region := tree.article_of(main):
-        inside = tree.inside(region)
-    else:
-        inside = np.zeros(len(page.blocks), bool)
+    regions = dict.fromkeys(tree.articles(own[at[cluster == size.argmax()]], own[at]))
+    if not regions:
         for k in np.flatnonzero(size >= SIZE * size.max()):
             a, b = np.searchsorted(cluster, [k, k + 1])
-            inside |= tree.inside(tree.around(own[at[a:b]]))
+            regions[tree.around(own[at[a:b]])] = int(own[at[b - 1]])  # the later cluster of one region counts
+    inside = tree.inside_any(list(regions))
+    free = np.zeros(len(page.blocks) + 1, bool)
+    free[own] = True
+    for e, i in regions.items():
+        if i is not None:
+            while i < len(inside) and tree.holds(e, i):
+                i += 1
+            while free[i] and tree.holds(tree.parent[e], i) and not page.linked[i]:
+                inside[i] = True
+                i += 1
     lines = own[inside[own]]
     if not tree.heading[lines].any():
         before = own[tree.heading[own] & (own < lines[0])]
