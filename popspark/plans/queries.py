@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from .. import constants as c
 from ..functions import scalar as fn
 from ..operators import freight, matching, places, population, recode, spatial, validate, zones
 from ..session import shared_folder
-from ..sources import tables
+from ..sources import layers, tables
 from .fixtures import shape, with_shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1356,6 +1357,42 @@ def _(t):
     return layer.select("zone_id", "name", "parts", F.size("rings").alias("rings")).join(inside, "zone_id", "left").withColumn("persons", F.coalesce("persons", F.lit(0)))
 
 
+LAYOUTS = "(SELECT unnest(['one line', 'many lines', 'line by line', 'text', 'rings']) AS layout)"
+
+
+@query("s07_zone_layouts", f"SELECT layout, z.zone_id::VARCHAR AS zone_id, z.name, z.min_x::DOUBLE AS min_x, z.min_y::DOUBLE AS min_y, count(p.dx) AS persons FROM {LAYOUTS} CROSS JOIN {{zones}} z LEFT JOIN (SELECT * FROM {PARTED} WHERE dx + dy < 19999 AND NOT (dx BETWEEN 2000 AND 3999 AND dy BETWEEN 2000 AND 3999)) p ON p.zone_id = z.zone_id GROUP BY ALL")
+def _(t):
+    """Triangular zones with a hole in five layouts, one of them in another coordinate system; points are looked up in each."""
+    spark, folder = t("zones").sparkSession, _written(t, "s07_layouts")
+
+    def rings(of, dx=0.0, dy=0.0):
+        corners = (((0, 0), (20000, 0), (0, 20000), (0, 0)), ((2000, 2000), (4000, 2000), (4000, 4000), (2000, 4000), (2000, 2000)))
+        return F.array(*(F.array(*(of((F.col("min_x") + a).cast("double") - dx, (F.col("min_y") + b).cast("double") - dy) for a, b in ring)) for ring in corners))
+
+    z = t("zones")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("zone_id").alias("code"), "name").alias("properties"), F.struct(F.lit("Polygon").alias("type"), rings(F.array).alias("coordinates")).alias("geometry"))
+    old = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("zone_id").alias("code"), "name").alias("properties"), F.struct(F.lit("Polygon").alias("type"), rings(F.array, 2e6, 1e6).alias("coordinates")).alias("geometry"))
+    whole = lambda f: F.struct(F.lit("FeatureCollection").alias("type"), F.lit("zones").alias("title"), F.collect_list(f).alias("features"))
+    z.agg(F.to_json(whole(feature)).alias("value")).write.text(f"{folder}/one_line")
+    z.agg(F.to_json(whole(old), {"pretty": "true"}).alias("value")).write.text(f"{folder}/many_lines")
+    z.select(F.to_json(feature).alias("value")).write.text(f"{folder}/line_by_line")
+    points = F.transform(rings(F.array), lambda ring: F.concat(F.lit("("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ", "), F.lit(")")))
+    z.select(F.col("zone_id").alias("code"), "name", F.concat(F.lit("POLYGON ("), F.array_join(points, ", "), F.lit(")")).alias("wkt")).write.csv(f"{folder}/text", header=True, sep=";")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    read = {
+        "one line": layers.read_geojson(spark, f"{folder}/one_line", "code", "name"),
+        "many lines": layers.read_geojson(spark, f"{folder}/many_lines", "code", "name", crs="lv03"),
+        "line by line": layers.read_geojson(spark, f"{folder}/line_by_line", "code", "name"),
+        "text": layers.read_wkt(spark, f"{folder}/text", "code", "name"),
+        "rings": layers.from_rings(z.select("zone_id", "name", rings(point).alias("rings"))),
+    }
+    out = []
+    for layout, layer in read.items():
+        inside = spatial.point_in_zone(_points(t), layer).groupBy("zone_id").agg(F.count("*").alias("persons"))
+        out.append(layer.select("zone_id", "name", "min_x", "min_y").join(inside, "zone_id", "left").select(F.lit(layout).alias("layout"), "zone_id", "name", "min_x", "min_y", F.coalesce("persons", F.lit(0)).alias("persons")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("s08_read_feed", f"SELECT 'stop_times' AS slot, trip_id::VARCHAR AS a, stop_id AS b FROM {TIMES} UNION ALL SELECT 'trips', o_orderkey::VARCHAR, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0")
 def _(t):
     feed = freight.clean_references(freight.drop_empty_service(_feed(t)))

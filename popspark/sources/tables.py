@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
+from .layers import read_geojson as read_zones  # noqa: F401
 
 FEED_REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
 FEED_OPTIONAL = ("calendar", "calendar_dates", "fare_attributes", "fare_rules", "shapes", "frequencies", "transfers", "pathways", "levels", "feed_info", "translations", "attributions")
@@ -73,35 +74,6 @@ def read_projection(spark: SparkSession, path: str, year: int, year_col: str = "
     return df
 
 
-def _turned(ring: Column, hole: Column) -> Column:
-    """The ring counter-clockwise, a hole clockwise."""
-    points = F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    cross = F.transform(ring, lambda p, i: p[0] * F.get(ring, (i + 1) % F.size(ring))[1] - F.get(ring, (i + 1) % F.size(ring))[0] * p[1])
-    area = F.aggregate(cross, F.lit(0.0), lambda a, b: a + b)
-    return F.when((area > 0) != hole, points).otherwise(F.reverse(points))
-
-
-def read_zones(spark: SparkSession, path: str, id_field: str, name_field: str) -> DataFrame:
-    """A polygon layer (a GeoJSON feature in each line): zone_id, name, rings (all parts and holes), ring
-    (the first part's outer one), parts (how many there are) and the box around all of them.
-
-    Features without a geometry are left out; other kinds than polygons and multi-part ones are refused."""
-    head = f"struct<properties:struct<`{id_field}`:string,`{name_field}`:string>,geometry:struct<type:string,coordinates:string>>"
-    rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(F.from_json("value", head).alias("f")).filter("f.geometry is not null")
-    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    ring = "array<array<double>>"
-    one = F.array(F.from_json(text, f"array<{ring}>"))
-    many = F.from_json(text, f"array<array<{ring}>>")
-    refused = F.raise_error(F.concat(F.lit("geometry of an unknown kind: "), F.coalesce(kind, F.lit("none")))).cast(f"array<array<{ring}>>")
-    # A polygon may come without its kind; then its depth tells.
-    parts = F.when(F.col("f.geometry").isNull(), F.lit(None)).when(kind == "Polygon", one).when(kind == "MultiPolygon", many).when(kind.isNull() & text.isNotNull(), F.coalesce(F.when(many[0][0][0][0].isNotNull(), many), one)).otherwise(refused)
-    rows = rows.select(F.col(f"f.properties.`{id_field}`").alias("zone_id"), F.col(f"f.properties.`{name_field}`").alias("name"), parts.alias("coordinates"))
-    rings = F.flatten(F.transform("coordinates", lambda part: F.transform(part, lambda r, i: _turned(r, i > 0))))
-    out = rows.select("zone_id", "name", rings.alias("rings"), F.size("coordinates").alias("parts")).withColumn("ring", F.col("rings")[0])
-    edge = lambda f, k: f(F.transform(F.flatten("rings"), lambda p: p[k]))
-    return out.select("*", edge(F.array_min, "x").alias("min_x"), edge(F.array_max, "x").alias("max_x"), edge(F.array_min, "y").alias("min_y"), edge(F.array_max, "y").alias("max_y"))
-
-
 def _files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the text files (or folders of parts) below a folder, relative to it."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
