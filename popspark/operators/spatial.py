@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
 from ..session import saved
-
-FEW = 10_000  # zones that are sent to every task
+from .zones import weighted_draw
 
 
 def _crossed(x: Column, y: Column, ring: Column) -> Column:
@@ -169,34 +168,79 @@ def education_places(persons: DataFrame, facilities: DataFrame, k: int, cell: fl
     return near.join(found, "point_id").filter(F.col("rank") == pick).select("point_id", "facility_id", "distance")
 
 
+def _strips(edges: DataFrame, heights: DataFrame) -> DataFrame:
+    """(zone_id, strip, y0, y1, x0, x1): each edge in each strip between neighbouring heights that it crosses."""
+    order = Window.partitionBy("zone_id").orderBy("y")
+    levels = heights.distinct().select("zone_id", "y", F.row_number().over(order).alias("level"), F.lead("y").over(order).alias("above"))
+    at = lambda end: levels.select("zone_id", F.col("y").alias(f"y{end}"), F.col("level").alias(f"level_{end}"))
+    crossed = edges.join(at("a"), ["zone_id", "ya"]).join(at("b"), ["zone_id", "yb"]).withColumn("strip", F.explode(F.sequence(F.col("level_a"), F.col("level_b") - 1)))
+    crossed = crossed.join(levels.select("zone_id", F.col("level").alias("strip"), F.col("y").alias("y0"), F.col("above").alias("y1")), ["zone_id", "strip"])
+    x = lambda y: F.when(y == F.col("yb"), F.col("xb")).otherwise(F.col("xa") + (y - F.col("ya")) * (F.col("xb") - F.col("xa")) / (F.col("yb") - F.col("ya")))
+    return crossed.select("zone_id", "strip", "y0", "y1", x(F.col("y0")).alias("x0"), x(F.col("y1")).alias("x1"))
+
+
+def trapezoids(polygons: DataFrame) -> DataFrame:
+    """The zones' inner parts between horizontal lines: zone_id, strip, y0, y1, left0, left1, right0, right1 (x at y0 and at y1), area.
+
+    The lines go through all points of the rings, and through the points where edges cross, so that
+    between two of them edges only meet at the lines; the first and second edge from the left bound an inner part, then
+    the third and fourth, as in the even-odd rule.  A zone's parts number its edges times the strips that
+    these cross.
+    """
+    edge = lambda ring: F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
+    rows = _rings(polygons).select("zone_id", F.explode(F.flatten(F.transform("rings", edge))).alias("e"))
+    rows = rows.select("zone_id", *(F.col(f"e.{end}.{axis}").cast("double").alias(f"{axis}{end}") for end in "ab" for axis in "xy")).filter("ya != yb")
+    up = F.col("ya") < F.col("yb")
+    edges = saved(rows.select("zone_id", *(F.when(up, F.col(f"{axis}{end}")).otherwise(F.col(f"{axis}{other}")).alias(f"{axis}{end}") for end, other in ("ab", "ba") for axis in "xy")))
+    heights = edges.select("zone_id", F.explode(F.array("ya", "yb")).alias("y"))
+    strips = saved(_strips(edges, heights))
+    # Edges in the order of their lower ends whose upper ends are in another order cross within the strip.
+    before = Window.partitionBy("zone_id", "strip").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    tangled = strips.withColumn("most", F.max("x1").over(before)).filter("most > x1").select("zone_id", "strip").distinct()
+    knots = strips.join(tangled, ["zone_id", "strip"], "left_semi")
+    if not knots.isEmpty():
+        l, r = knots.select("zone_id", "strip", "y0", "y1", F.col("x0").alias("l0"), F.col("x1").alias("l1")), knots.select("zone_id", "strip", F.col("x0").alias("r0"), F.col("x1").alias("r1"))  # noqa: E741
+        crossings = l.join(r, ["zone_id", "strip"]).filter("l0 < r0 and l1 > r1")
+        part = (F.col("r0") - F.col("l0")) / (F.col("r0") - F.col("l0") + F.col("l1") - F.col("r1"))
+        strips = _strips(edges, heights.unionByName(crossings.select("zone_id", (F.col("y0") + part * (F.col("y1") - F.col("y0"))).alias("y"))))
+    order = Window.partitionBy("zone_id", "strip").orderBy(F.col("x0") + F.col("x1"), "x0")
+    paired = strips.select("zone_id", "strip", "y0", "y1", F.col("x0").alias("left0"), F.col("x1").alias("left1"), F.lead("x0").over(order).alias("right0"), F.lead("x1").over(order).alias("right1"), (F.row_number().over(order) % 2).alias("odd"))
+    wide = F.greatest(F.col("right0") - F.col("left0"), F.lit(0.0)) + F.greatest(F.col("right1") - F.col("left1"), F.lit(0.0))
+    return paired.filter("odd = 1").drop("odd").withColumn("area", wide * (F.col("y1") - F.col("y0")) / 2).filter("area > 0")
+
+
 def sample_points(polygons: DataFrame, counts: DataFrame, seed: int, unit_lot: int = 10_000) -> DataFrame:
-    """``n`` points in each zone by rejection from its bounding box: zone_id, unit, x, y.
+    """``n`` points in each zone, equally likely everywhere: zone_id, unit (from 0), x, y.
 
-    Every unit has its own sequence of hash uniforms, of which the first place inside counts, so the
-    result does not depend on the partitions.  A zone's units are dealt out in lots; the rounds look
-    at more and more places of the units that are left.  A zone without an area is refused.
+    A first uniform of the unit falls into the zone's trapezoids by their areas, and what is left of it
+    says how high in this one; a second one says how far from the left.  So every unit takes one draw,
+    whatever the zone's shape, and the result does not depend on the partitions.  A zone's units are
+    dealt out in lots, and meet its trapezoids in parts of the uniform.  Zones of which points are asked
+    have to be in the layer and to have an area, else they are refused; a null or no count asks none.
     """
-    layer = _rings(polygons).select("zone_id", "rings")
-    (x0, x1), (y0, y1) = _spans(F.col("rings"), "x"), _spans(F.col("rings"), "y")
-    layer = layer.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1})
-    if layer.filter("x0 = x1 or y0 = y1").count():
-        raise ValueError("a zone has no area")
-    layer = F.broadcast(layer) if layer.count() <= FEW else layer
-    lots = counts.filter("n > 0").select("zone_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / unit_lot))).alias("lot"))
+    asked = saved(counts.filter("n > 0").groupBy("zone_id").agg(F.sum("n").cast("long").alias("n")))
+    unknown = asked.join(polygons.select("zone_id").distinct(), "zone_id", "left_anti").first()
+    if unknown:
+        raise ValueError(f"zone {unknown.zone_id} is not in the layer")
+    pieces = saved(trapezoids(polygons.join(asked.select("zone_id"), "zone_id", "left_semi")))
+    order = Window.partitionBy("zone_id").orderBy("strip", "left0", "left1", "right0")
+    upto = F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("area").over(Window.partitionBy("zone_id"))
+    pieces = pieces.withColumn("cdf", F.when(F.lead("strip").over(order).isNull(), F.lit(1.0)).otherwise(upto))
+    pieces = pieces.withColumn("cdf_before", F.coalesce(F.lag("cdf").over(order), F.lit(0.0))).filter("cdf > cdf_before")
+    known = pieces.groupBy("zone_id").agg(F.least(F.greatest(F.count("*"), F.lit(64)), F.lit(1 << 20)).alias("bins"))
+    flat = asked.join(known, "zone_id", "left_anti").first()
+    if flat:
+        raise ValueError(f"zone {flat.zone_id} has no area")
+    lots = asked.join(known, "zone_id").select("zone_id", "bins", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / unit_lot))).alias("lot"))
     first = F.col("lot") * unit_lot
-    units = lots.repartition("zone_id", "lot").select("zone_id", F.explode(F.sequence(first, F.least(first + unit_lot, F.col("n").cast("long")) - 1)).alias("unit"))
-    left, out, begin, many = units, None, 0, 1
-    while True:
-        def place(t: Column) -> Column:
-            draw = lambda salt, a, b: F.col(a) + uniform(seed, salt, F.col("zone_id"), F.col("unit"), t) * (F.col(b) - F.col(a))
-            return F.struct(draw("point-x", "x0", "x1").alias("x"), draw("point-y", "y0", "y1").alias("y"))
-
-        tries = F.transform(F.sequence(F.lit(begin), F.lit(begin + many - 1)), place)
-        found = F.get(F.filter(tries, lambda p: _inside(p["x"], p["y"], F.col("rings"))), F.lit(0))
-        seen = saved(left.join(layer, "zone_id").select("zone_id", "unit", found.alias("p")))
-        done = seen.filter("p is not null").select("zone_id", "unit", "p.x", "p.y")
-        out = done if out is None else out.unionByName(done)
-        left = seen.filter("p is null").select("zone_id", "unit")
-        if left.isEmpty():
-            return out
-        begin, many = begin + many, min(many * 4, 64)
+    units = lots.repartition("zone_id", "lot").select("zone_id", "bins", F.explode(F.sequence(first, F.least(first + unit_lot, F.col("n")) - 1)).alias("unit"))
+    draw = lambda salt: uniform(seed, salt, F.col("zone_id"), F.col("unit"), F.lit(0))
+    met = weighted_draw(units.withColumn("u", draw("point-y")), F.col("u"), pieces.join(known, "zone_id"), ["zone_id", "bins"], F.col("bins"))
+    met = met.withColumn("part", (F.col("u") - F.col("cdf_before")) / (F.col("cdf") - F.col("cdf_before")))
+    low, high = (F.greatest(F.col(f"right{k}") - F.col(f"left{k}"), F.lit(0.0)) for k in (0, 1))
+    # The share of the area below height t is (low * t + (high - low) * t * t / 2) / ((low + high) / 2).
+    t = F.when(low == high, F.col("part")).otherwise((F.sqrt(low * low + F.col("part") * (high * high - low * low)) - low) / (high - low))
+    met = met.withColumn("t", F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
+    left = F.col("left0") + F.col("t") * (F.col("left1") - F.col("left0"))
+    x = left + draw("point-x") * (low + F.col("t") * (high - low))
+    return met.select("zone_id", "unit", x.alias("x"), (F.col("y0") + F.col("t") * (F.col("y1") - F.col("y0"))).alias("y"))

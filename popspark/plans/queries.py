@@ -1145,6 +1145,23 @@ def _(t):
     return spatial.sample_points(_polygons(t), counts, 13).select("zone_id", "unit", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+# Of each zone an L with a hole in its lower part: strips from below, with left and right bounds in units of 1000.
+STRIPS = "(VALUES (0, 0, 2, 0, 0, 20, 20), (1, 2, 4, 0, 0, 5, 5), (2, 2, 4, 7, 7, 20, 20), (3, 4, 8, 0, 0, 20, 20), (4, 8, 20, 0, 0, 12, 6)) s(k, y0, y1, l0, l1, r0, r1)"
+DRAWN = f"""WITH s AS (SELECT *, (y1 - y0) * (r0 - l0 + r1 - l1) AS area FROM {STRIPS}),
+c AS (SELECT *, (sum(area) OVER (ORDER BY k) - area)::DOUBLE / sum(area) OVER () AS a, sum(area) OVER (ORDER BY k)::DOUBLE / sum(area) OVER () AS b FROM s),
+u AS (SELECT municipality_id AS zone_id, unnest(range(0, count(*))) AS unit FROM {{persons}} GROUP BY 1),
+d AS (SELECT zone_id, unit, {hashed(14, 'point-y', 'zone_id', 'unit', '0')} AS v, {hashed(14, 'point-x', 'zone_id', 'unit', '0')} AS w FROM u),
+t AS (SELECT *, r0 - l0 AS low, r1 - l1 AS high, CASE WHEN r0 - l0 = r1 - l1 THEN (v - a) / (b - a) ELSE (sqrt((r0 - l0) ** 2 + (v - a) / (b - a) * ((r1 - l1) ** 2 - (r0 - l0) ** 2)) - (r0 - l0)) / (r1 - l1 - r0 + l0) END AS t FROM d JOIN c ON v >= a AND v < b)"""
+
+
+@query("m14_sample_shapes", f"{DRAWN} SELECT zone_id, unit, round(min_x + 1000 * (l0 + t * (l1 - l0) + w * (low + t * (high - low))), 5) AS x, round(min_y + 1000 * (y0 + t * (y1 - y0)), 5) AS y FROM t JOIN {{zones}} USING (zone_id)")
+def _(t):
+    ring = lambda *points: F.array(*(F.struct((F.col("min_x") + 1000 * a).cast("double").alias("x"), (F.col("min_y") + 1000 * b).cast("double").alias("y")) for a, b in points))
+    outer, hole = ring((0, 0), (20, 0), (20, 8), (12, 8), (6, 20), (0, 20)), ring((5, 2), (5, 4), (7, 4), (7, 2))
+    counts = t("persons").groupBy(F.col("municipality_id").cast("long").alias("zone_id")).agg(F.count("*").alias("n"))
+    return spatial.sample_points(t("zones").select("zone_id", F.array(outer, hole).alias("rings")), counts, 14).select("zone_id", "unit", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
 BINS = """bins AS (SELECT mode, bin, CASE WHEN bin = many - 1 THEN 2147483648 ELSE travel_time END AS upper FROM (SELECT mode, travel_time, row_number() OVER (PARTITION BY mode ORDER BY travel_time) - 1 AS bin, count(*) OVER (PARTITION BY mode) AS many FROM
   (SELECT *, sum(c) OVER (PARTITION BY mode ORDER BY travel_time) AS upto FROM (SELECT mode, travel_time, count(*) AS c FROM {trips} GROUP BY 1, 2)) WHERE upto // 201 > (upto - c) // 201)),
 b AS (SELECT t.mode, bin, distance, person_id, trip_id, weight FROM (SELECT * FROM {trips} WHERE purpose NOT IN ('work', 'education')) t JOIN bins ON bins.mode = t.mode AND travel_time <= upper QUALIFY row_number() OVER (PARTITION BY person_id, trip_id ORDER BY bin) = 1),

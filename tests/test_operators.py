@@ -208,6 +208,33 @@ def test_zones_with_parts_and_holes(spark, tmp_path):
         tables.read_zones(spark, f"{tmp_path}/bad.json", "id", "name").collect()
 
 
+def test_points_in_zones_of_any_shape(spark):
+    star = [(5 + r * np.cos(a), 5 + r * np.sin(a)) for k in range(5) for r, a in [(5, np.pi / 2 + 4 * np.pi * k / 5)]]  # crosses itself, with a hole by the even-odd rule
+    comb = [(0, 0), (10, 0), (10, 9), (8, 1), (6, 9), (4, 1), (2, 9), (0, 1)]
+    shapes = {1: [star], 2: [comb], 3: [[(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(4, 4), (6, 4), (6, 6), (4, 6)]], 4: [[(0, 0), (1e-3, 10), (2e-3, 10)]], 5: [[(0, 0), (4, 8), (2, 4)]], 6: [[(0, 0), (10, 10), (10, 0), (0, 10)]]}
+    layer = spark.createDataFrame([Row(zone_id=z, rings=[[Row(x=float(a), y=float(b)) for a, b in ring] for ring in rings]) for z, rings in shapes.items()])
+    counts = spark.createDataFrame([(z, 4000) for z in (1, 2, 3, 4, 6)], "zone_id long, n long")
+    drawn = spatial.sample_points(layer, counts, 5, unit_lot=300).collect()
+    assert sorted((r.zone_id, r.unit) for r in drawn) == [(z, u) for z in (1, 2, 3, 4, 6) for u in range(4000)]
+
+    def inside(rings, x, y):
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for ring in rings for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+    outside = [r for r in drawn if r.zone_id != 4 and not inside(shapes[r.zone_id], r.x, r.y)]
+    assert len(outside) <= 3  # on an edge, by rounding
+    for z in (1, 2, 3, 6):  # every cell of a grid gets its share
+        mine = [(r.x, r.y) for r in drawn if r.zone_id == z]
+        rng = np.random.default_rng(1)
+        even = [(x, y) for x, y in rng.uniform(0, 10, (60000, 2)) if inside(shapes[z], x, y)]
+        share = lambda points: np.histogram2d(*zip(*points, strict=True), bins=4, range=[[0, 10], [0, 10]])[0].ravel() / len(points)
+        assert np.abs(share(mine) - share(even)).max() < 0.03
+    with pytest.raises(ValueError, match="zone 5 has no area"):
+        spatial.sample_points(layer, spark.createDataFrame([(5, 1)], "zone_id long, n long"), 5)
+    with pytest.raises(ValueError, match="zone 9 is not in the layer"):
+        spatial.sample_points(layer, spark.createDataFrame([(9, 1)], "zone_id long, n long"), 5)
+    assert spatial.sample_points(layer, spark.createDataFrame([(9, 0), (1, None)], "zone_id long, n long"), 5).count() == 0
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_facilities_far_away_missing_or_at_one_place(spark, k):
     rng = np.random.default_rng(4)
