@@ -34,9 +34,11 @@ from .windows import _powers, mix
 SHINGLE = 5
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 42, 5
-BLOCK = 1024  # classes of a bucket or cluster that are compared with as many at once, about
+BLOCK = 512  # classes of a bucket or cluster that are compared with as many at once, about
 HEAVY = 2000  # shingles that weigh as much as a class by itself, so that blocks of long texts have fewer classes
 SALTS = 16  # parts in which the rows of one group meet what is known of it
+LOADED = 1 << 18  # shingles of a block that are held at once
+HOT, FEWEST = 1000, 1000  # a key with more than one in HOT of all rows, and FEWEST at least, is dealt out
 PART = 20_000  # rows of blocks in a partition, about
 
 _GAP = np.zeros(256, bool)
@@ -231,37 +233,81 @@ def _roots_alike(threshold: int):
     return alike
 
 
+def _within(rows: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The rows in parts of ``most`` shingles, one row at least."""
+    part = np.cumsum(size[rows]) // most
+    for k in np.unique(part):
+        yield rows[part == k]
+
+
 def _links(shingle: int, threshold: int):
     """Links between members of different components in two blocks of a cluster: one for each two
-    components that are joined, (u, v) as their roots."""
+    components that are joined, (u, v) as their roots.
+
+    Signatures come first: only rows with an alike partner in a component not yet joined with theirs
+    have their texts unpacked, and their sets are held in parts of a fixed size.
+    """
     least = _least(threshold)
 
     def links(key: tuple, table: pa.Table) -> pa.Table:
         root, signature, left, right = _sides(table)
+        size, packed = table.column("n_shingles").to_numpy(), table.column("z")
         tool = zstandard.ZstdDecompressor()
-        sets = shingle_sets([tool.decompress(z) for z in table.column("z").to_pylist()], shingle)
-        size = np.array([len(x) for x in sets])
-        _, number = np.unique(np.concatenate(sets), return_inverse=True)
-        begin = np.cumsum(size) - size
-        members = np.concatenate([number[begin[i] : begin[i] + size[i]] for i in right])
-        starts = np.cumsum(size[right]) - size[right]
-        mark = np.zeros(int(number.max()) + 1, np.int32)
+        close = np.stack([(root[right] != root[i]) & ((signature[right] == signature[i]).sum(axis=1) >= least) for i in left])
         joined, out = _Joined(), []
-        for i in left:
-            close = (root[right] != root[i]) & ((signature[right] == signature[i]).sum(axis=1) >= least)
-            if not close.any():
-                continue
-            own = number[begin[i] : begin[i] + size[i]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[members], starts)
-            mark[own] = 0
-            linked = close & (100 * common >= threshold * (size[i] + size[right] - common))
-            out += [(int(root[i]), int(r)) for r in np.unique(root[right[linked]]) if joined.join(int(root[i]), int(r))]
+
+        def sets(rows: np.ndarray) -> list[np.ndarray]:
+            return shingle_sets([tool.decompress(packed[int(i)].as_py()) for i in rows], shingle)
+
+        def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which of the close pairs of rows i of ``left`` and j of ``right`` are in components not joined so far."""
+            a, b = (np.array([joined.find(int(r)) for r in root[x]], np.int64) for x in (left[i], right[j]))
+            return close[np.ix_(i, j)] & (a[:, None] != b[None, :])
+
+        for rows in _within(np.flatnonzero(close.any(axis=1)), size[left], LOADED):
+            own = None
+            for others in _within(np.flatnonzero(close[rows].any(axis=0)), size[right], LOADED):
+                open_pairs = apart(rows, others)
+                if not open_pairs.any():
+                    continue
+                own = own or sets(left[rows])
+                others, open_pairs = others[open_pairs.any(axis=0)], open_pairs[:, open_pairs.any(axis=0)]
+                theirs = sets(right[others])
+                values, members = np.unique(np.concatenate(theirs), return_inverse=True)
+                many = np.array([len(x) for x in theirs])
+                starts, mark = np.cumsum(many) - many, np.zeros(len(values), np.int32)
+                for k in np.flatnonzero(open_pairs.any(axis=1)):
+                    pairs = apart(rows[k : k + 1], others)[0]
+                    if not pairs.any():
+                        continue
+                    at = np.minimum(np.searchsorted(values, own[k]), len(values) - 1)
+                    at = at[values[at] == own[k]]
+                    mark[at] = 1
+                    common = np.add.reduceat(mark[members], starts)
+                    mark[at] = 0
+                    linked = pairs & (100 * common >= threshold * (len(own[k]) + many - common))
+                    u = int(root[left[rows[k]]])
+                    out += [(u, int(v)) for v in np.unique(root[right[others[linked]]]) if joined.join(u, int(v))]
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
     return links
 
 
+def _hot(counted: DataFrame, key: str, many: str) -> DataFrame:
+    """(key, parts) of the keys with more than one in HOT of all rows, which are fewer than HOT keys."""
+    total = counted.agg(F.sum(many)).first()[0] or 0
+    return saved(counted.filter(F.col(many) > max(total / HOT, FEWEST)).select(key, F.ceil(F.col(many) * HOT / total).cast("int").alias("parts")))
+
+
+def _met(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each key; the rows of hot keys are dealt out by column ``by``."""
+    hot = F.broadcast(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+    table = table.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return rows.join(table, [key, "part"]).drop("part")
+
+
 def _salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` joined to a small ``table`` with one row for each key; the rows of a key are dealt out."""
     parts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -316,19 +362,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = saved(texts.mapInArrow(_sketch(shingle), _SKETCH))
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = saved(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    own = named.select("set_key", F.col("doc_id").alias("rep"), "bands", "signature", (1 + F.col("n_shingles") / HEAVY).alias("weight")).join(classes, ["set_key", "rep"], "left_semi").dropDuplicates(["rep", "set_key"])
-    own = saved(own.select("rep", "bands", "signature", "weight"))
+    classes = saved(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    hot_sets = _hot(classes, "set_key", "copies")
+    own = named.select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "bands", "signature", (1 + F.col("n_shingles") / HEAVY).alias("weight")).join(classes, ["set_key", "rep"], "left_semi").dropDuplicates(["rep", "set_key"])
+    own = saved(own.select("rep", "n_shingles", "bands", "signature", "weight"))
     signatures = own.select("rep", "signature")
 
     # Members of buckets with company.
     rows = own.select("rep", F.explode("bands").alias("bucket"))
-    company = rows.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
-    members = saved(rows.join(company, "bucket"))
+    company = saved(rows.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1"))
+    hot = _hot(company, "bucket", "many")
+    members = saved(_met(rows, company, "bucket", hot, "rep"))
     central = members.groupBy("rep").agg(F.sum("many").alias("company"))
     pivots = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"))).alias("best"))
     pivots = pivots.select("bucket", (-F.col("best.rep")).alias("pivot"))
-    pairs = members.join(pivots, "bucket").filter("rep != pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct()
+    pairs = _met(members, pivots, "bucket", hot, "rep").filter("rep != pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct()
 
     # The texts of all that may be compared, once.
     compressed = texts.filter("doc_id is not null").mapInArrow(_compress, "rep long, z binary")
@@ -347,19 +395,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "many", F.coalesce("root", "rep").alias("root"))
     placed = saved(placed)
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
-    open_rows = placed.join(mixed, "bucket").select("bucket", "rep", "root", F.lit(1.0).alias("weight"))
+    open_rows = _met(placed, mixed, "bucket", hot, "rep").select("bucket", "rep", "root", F.lit(1.0).alias("weight"))
     open_rows = _dealt(_in_blocks(open_rows, "bucket"), "bucket", signatures)
     alike = saved(open_rows.applyInArrow(_roots_alike(threshold), "u long, v long").distinct())
     if not alike.isEmpty():
         clusters = components(alike).withColumnRenamed("root", "cluster").withColumnRenamed("node", "root")
         clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("root"), "cluster").distinct())
         within = _salted(placed.select("rep", "root").distinct(), clusters, ["root"]).join(own.select("rep", "weight"), "rep")
-        within = _dealt(_in_blocks(within, "cluster"), "cluster", signatures, held)
+        within = _dealt(_in_blocks(within, "cluster"), "cluster", own.select("rep", "signature", "n_shingles"), held)
         more = within.applyInArrow(_links(shingle, threshold), "u long, v long")
         roots = components(links.unionByName(more))
 
     of = classes.join(roots, classes.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("class_root"))
-    ids = named.select("doc_id", "set_key").join(of, "set_key").groupBy("doc_id").agg(F.min("class_root").alias("class_root"))
-    linked = sketches.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
+    ids = _met(named.select("doc_id", "set_key"), of, "set_key", hot_sets, "doc_id").groupBy("doc_id").agg(F.min("class_root").alias("class_root"))
+    sizes = sketches.select("doc_id", "n_shingles")
+    linked = sizes.filter("doc_id is not null").join(ids, "doc_id", "left")
+    linked = linked.unionByName(sizes.filter("doc_id is null").withColumn("class_root", F.lit(None).cast("long")))
     component = F.coalesce("class_root", "doc_id")
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
