@@ -30,8 +30,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import suffix, windows
 from .common import saved, slices, utf8
@@ -367,12 +368,32 @@ def _whole(data: np.ndarray, gone: np.ndarray) -> bytes:
     return data[~all_gone[char]].tobytes()
 
 
+LONGEST = 32_767  # bytes of a string between two windows
+
+# How other columns are written down: to the microsecond, in one time zone, and with nulls told from missing values.
+WRITTEN = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timeZone": "UTC", "ignoreNullFields": "false"}
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _numbered(docs: DataFrame, names: list[str]) -> StructType:
+    return StructType([StructField(f"c{k}", docs.schema[n].dataType) for k, n in enumerate(names)])
+
+
+def carried(docs: DataFrame, names: list[str]) -> dict[str, Column]:
+    """The columns ``names`` of ``docs`` as they were, out of the column extra of ``remove_repeats``."""
+    read = F.from_json("extra", _numbered(docs, names), WRITTEN | {"mode": "FAILFAST"})
+    return {n: read[f"c{k}"] for k, n in enumerate(names)}
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = False, extra: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a ``span``-byte string that also starts in a document with a smaller id.
 
     Returns for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, kept (with ``texts``: the remaining bytes, whole characters only) and extra (the
-    columns named in ``extra`` as JSON).  Minimizers with more than about ``hot`` runs are dealt out by windows.
+    columns named in ``extra``, to be read by ``carried``).  Minimizers with more than about ``hot`` runs are dealt out by windows.
 
     Texts count as UTF-8 bytes, null as empty; matches never cross documents, and are judged on the
     input.  Rows of one id don't take from each other.  A null id counts as larger than all others,
@@ -381,7 +402,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if span < windows.GRAM + 6:
         raise ValueError("span is too short for the minimizers")
-    packed = F.to_json(F.struct(*(F.col(c) for c in extra))) if extra else F.lit("")
+    if 2 * span > LONGEST:
+        raise ValueError("lengths of strings would not fit")
+    # By number, as names may hold anything.
+    packed = F.to_json(F.struct(*(F.col(_quoted(c)).alias(f"c{k}") for k, c in enumerate(extra))), WRITTEN) if extra else F.lit("")
     rows = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).cast("long").alias("id"), packed.alias("extra"), F.col(text_col).alias("text"))
     blocks = saved(rows.mapInArrow(_pack, ROW))
     total = blocks.agg(F.sum("weight")).first()[0] or 0
