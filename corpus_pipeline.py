@@ -21,20 +21,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows of one id stay or go together; rows with a null id stay, and so do texts without words."""
     gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages that stand in a document with a smaller id; every document stays, if only with an empty text.
 
     A null text becomes an empty one; of a character that only partly goes all bytes stay; rows of one
-    id don't take from each other; a null id counts as the largest.  Other columns come along as JSON."""
-    others = [f for f in docs.schema if f.name not in ("doc_id", "text", "n_chars")]
-    out = substring.remove_repeats(docs, texts=True, extra=[f.name for f in others])
-    fields = F.from_json("extra", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)) if others else None
+    id don't take from each other; a null id counts as the largest.  Other columns come along as they are,
+    whatever their names and kinds."""
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text", "n_chars")]
+    out = substring.remove_repeats(docs, texts=True, extra=others)
     text = F.decode("kept", "UTF-8")
     new = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*((new[c] if c in new else fields[c]).alias(c) for c in docs.columns))
+    new |= substring.carried(docs, others)
+    return out.select(*(new[c].alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
