@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
 from ..session import saved
+from .population import ordered_ranks
 from .zones import weighted_cdf, weighted_draw
 
+FEW = 10_000  # cells whose controls are sent to every task
+
 
 FEW = 100_000  # cells of donors whose counts are sent to every task
 
@@ -85,11 +88,12 @@ def replicate(households: DataFrame, persons: DataFrame, seed: int) -> tuple[Dat
 
 
 def scale_to_counts(persons: DataFrame, controls: DataFrame, cell: list[str], seed: int) -> DataFrame:
-    """As many persons in each cell as its control says: equal copies, the rest by the order of a hash."""
-    w = Window.partitionBy(*cell)
-    ranked = persons.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(uniform(seed, "scale", F.col("person_id")), "person_id")))
-    x = ranked.join(controls, cell)
-    copies = F.expr("target div n") + (F.col("rank") <= F.col("target") % F.col("n")).cast("long")
+    """As many persons in each cell as its control says: equal copies, the rest by the order of a hash.
+
+    A cell's persons are ranked in ranges of the hash, so a cell may hold most of them."""
+    ranked = ordered_ranks(persons.withColumn("__u", uniform(seed, "scale", F.col("person_id"))), cell, ["__u", "person_id"], "rank", "n")
+    x = ranked.join(F.broadcast(controls) if controls.count() <= FEW else controls, cell)
+    copies = F.expr("target div n") + (F.col("rank") < F.col("target") % F.col("n")).cast("long")
     return x.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*persons.columns, "copy")
 
 

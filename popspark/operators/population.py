@@ -195,6 +195,24 @@ def downsample(df: DataFrame, rate: float, seed: int, key: str = "household_id")
 RANKED = 100_000  # rows that are ranked together, about
 
 
+def ordered_ranks(df: DataFrame, by: list[str], order: list[str], name: str, size: str | None = None) -> DataFrame:
+    """Adds the rank (from 0) of each row in its group, in the order of the columns ``order`` (nulls first), and the group's ``size``.
+
+    Rows are dealt out by ranges of the group and the order, so the rows of one group, be it the whole
+    table, are ranked by many tasks; a range's ranks begin after those of the ranges before.  Rows that
+    are equal in ``order`` are interchangeable, and one range takes all of them.
+    """
+    ranged = saved(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    sizes = [F.sum("__n").over(Window.partitionBy(*by)).alias(size)] if size else []
+    counts = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__of"), before.alias("__base"), *sizes)
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    out = ranged.withColumn(name, inside).join(counts, [*same, F.col("__part") == F.col("__of")])
+    return out.withColumn(name, F.col("__base") + F.col(name)).drop("__part", "__of", "__base", *(f"__{c}" for c in by))
+
+
 def ranks(df: DataFrame, by: list[str], order: list[str], name: str, together: int = RANKED) -> DataFrame:
     """Adds the rank (from 0) of each row in its group: dense, in the order of a hash part and ``order``.
 

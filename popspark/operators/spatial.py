@@ -7,6 +7,7 @@ if its ray crosses an odd number of edges of all rings, so parts and holes need
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
 from ..session import saved
+from .population import ordered_ranks
 from .zones import weighted_draw
 
+LEAF = 16  # facilities that are compared one by one with the places that look at their leaf
+TILE = 4  # tiles of a level in a tile of the next, in each direction
+FEW = 10_000  # boxes that are sent to every task
+HOT, LOT = 1000, 10_000  # keys with more than one in HOT of all rows, and LOT at least, are dealt out
+
 
 def _crossed(x: Column, y: Column, ring: Column) -> Column:
     """How many edges of the ring lie to the right of the point."""
@@ -88,68 +95,121 @@ def border_points(zones: DataFrame, border: DataFrame) -> DataFrame:
     return near.select(F.col("point_id").alias("zone_id"), F.col("facility_id.x").alias("border_x"), F.col("facility_id.y").alias("border_y"))
 
 
-def knn(points: DataFrame, facilities: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+def _dealt(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` joined to ``table`` by ``keys``; keys with more than one in HOT of all rows (fewer than HOT keys) are
+    dealt out by the columns ``by``, each part meeting a copy of the key's rows in the table."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("many"))
+    total = rows.count()
+    hot = saved(counts.filter(F.col("many") > max(total / HOT, LOT)).select(*keys, F.ceil(F.col("many") / max(total / HOT, LOT)).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
+    rows = rows.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("parts")
+    table = table.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return rows.join(table, [*keys, "part"]).drop("part")
+
+
+def _packed(sides: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Facilities with their leaf (sx, sy), and the boxes of the leaves and of ever larger tiles of leaves.
+
+    Slabs of equal numbers by x are cut into leaves of equal numbers by y, so leaves follow the density,
+    and a coordinate far from all others widens only the boxes that hold it.
+    """
+    slabs = max(1, round((n / LEAF) ** 0.5))
+    size = -(-n // slabs)
+    placed = ordered_ranks(sides, [], ["fx", "fy", "facility_id"], "rank").withColumn("sx", F.floor(F.col("rank") / size).cast("long"))
+    inside = F.row_number().over(Window.partitionBy("sx").orderBy("fy", "fx", "facility_id")) - 1  # a slab has about sqrt(LEAF * n) facilities
+    leaves = saved(placed.withColumn("sy", F.floor(inside / LEAF).cast("long")).select("sx", "sy", "facility_id", "fx", "fy"))
+    lo, hi = (lambda c: [F.min(f"{c}{k}").alias(f"{k}0") for k in "xy"]), (lambda c: [F.max(f"{c}{k}").alias(f"{k}1") for k in "xy"])
+    boxes = [saved(leaves.groupBy("sx", "sy").agg(*lo("f"), *hi("f"), F.count("*").alias("n")))]
+    wide = max(slabs, -(-size // LEAF))
+    while wide > 1:
+        up = boxes[-1].groupBy(F.floor(F.col("sx") / TILE).alias("sx"), F.floor(F.col("sy") / TILE).alias("sy"))
+        boxes.append(saved(up.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))))
+        wide = -(-wide // TILE)
+    return leaves, boxes
+
+
+def knn(points: DataFrame, facilities: DataFrame, k: int) -> DataFrame:
     """The k nearest facilities of each point: point_id, facility_id, distance, rank.
 
-    Points look into the grid cell of the nearest place in the facilities' bounding box and its
-    neighbours, then into twice as wide cells as long as fewer than k are surely found: no facility
-    beyond these cells is nearer than the way to the box and one cell's width from there.  Each round
-    concerns the places that are left; the last one's cells cover the box.  ``cell`` (the first width)
-    defaults to a quarter of a facility in a cell on average.  Persons at one place are one place, and
-    of facilities at one place the k smallest ids count.  Points and facilities without coordinates
-    have no neighbours; without facilities the result is empty; equal distances go by id.
+    Facilities are packed into leaves of LEAF by their numbers, and these into tiles of tiles.  Places
+    go down the tiles: of those that they still look at, the ones whose farthest corners are nearest and
+    that hold k facilities give a bound, and tiles that begin beyond it are left out; so a place
+    meets a few tiles on each level, and a few leaves at last, wherever it is.  Tiles that many places
+    look at are dealt out.  Persons at one place are one place, and of facilities at one place the k
+    smallest ids count.  Points and facilities without coordinates have no neighbours; without
+    facilities the result is empty; equal distances go by id.
     """
     sides = facilities.select("facility_id", F.col("x").cast("double").alias("fx"), F.col("y").cast("double").alias("fy")).filter("fx is not null and fy is not null")
     for key in (F.pmod(F.xxhash64("facility_id"), F.lit(16)), F.lit(0)):  # the hot place, if there is one, in parts first
         first = Window.partitionBy("fx", "fy", "part").orderBy("facility_id")
         sides = sides.withColumn("part", key).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("part", "r")
     sides = saved(sides)
-    box = sides.agg(F.count("*").alias("n"), F.min("fx").alias("x0"), F.max("fx").alias("x1"), F.min("fy").alias("y0"), F.max("fy").alias("y1")).first()
+    n = sides.count()
     located = points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
-    kind = facilities.schema["facility_id"].dataType.simpleString()
-    if not box.n:
+    if not n:
+        kind = facilities.schema["facility_id"].dataType.simpleString()
         return located.limit(0).selectExpr("point_id", f"cast(null as {kind}) facility_id", "cast(null as double) distance", "cast(null as int) rank")
-    span = max(box.x1 - box.x0, box.y1 - box.y0, 1e-9)
-    width = min(cell or span / max(2 * box.n**0.5, 1), span)
-    clip = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
-    left = located.select("x", "y").distinct().withColumn("bx", clip("x", box.x0, box.x1)).withColumn("by", clip("y", box.y0, box.y1))
-    left, out, square = saved(left), None, lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    order = Window.partitionBy("x", "y").orderBy("distance", "facility_id")
-    while True:
-        last = width >= span
-        at = lambda c, lo: F.floor((F.col(c) - lo) / width)  # noqa: B023, E731
-        near = left.withColumn("cx", at("bx", box.x0)).withColumn("cy", at("by", box.y0))
-        around = F.explode(F.array(*(F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a, b in product((-1, 0, 1), repeat=2))))
-        near = near.select("x", "y", "bx", "by", around.alias("c")).select("x", "y", "bx", "by", "c.cx", "c.cy")
-        cells = sides.withColumn("cx", at("fx", box.x0)).withColumn("cy", at("fy", box.y0))
-        ranked = near.join(cells, ["cx", "cy"]).select("x", "y", "bx", "by", "facility_id", F.sqrt(square("x", "fx") + square("y", "fy")).alias("distance"))
-        ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        if not last:
-            reach = square("x", "bx") + square("y", "by") + F.lit(width * width)
-            sure = ranked.withColumn("sure", F.col("distance") * F.col("distance") < reach).withColumn("sure", F.count_if("sure").over(Window.partitionBy("x", "y")))
-            ranked = sure.filter(F.col("sure") >= min(k, box.n))
-        done = saved(ranked.select("x", "y", "facility_id", "distance", "rank"))
-        out = done if out is None else out.unionByName(done)
-        if not last:
-            left = saved(left.join(done.select("x", "y").distinct(), ["x", "y"], "left_anti"))
-        if last or left.isEmpty():
-            return located.join(out, ["x", "y"]).select("point_id", "facility_id", "distance", "rank")
-        width = min(width * 2, span)
-
-
-def density(points: DataFrame, population: DataFrame, radius: float) -> DataFrame:
-    """How many of the population (x, y) are within the radius of each point.
-
-    People at one place count as one row with a number; places meet points in cells of the radius's
-    width and their neighbours.
+    leaves, boxes = _packed(sides, n)
+    square = lambda a: a * a
+    beyond = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
+    across = lambda c: F.greatest(F.abs(F.col(f"{c}0") - F.col(c)), F.abs(F.col(f"{c}1") - F.col(c)))
+    place = Window.partitionBy("x", "y")
+    look = located.select("x", "y").distinct().withColumn("sx", F.lit(0).cast("long")).withColumn("sy", F.lit(0).cast("long"))
+    for tiles in reversed(boxes[:-1]):
+        below = tiles.withColumnsRenamed({"sx": "cx", "sy": "cy"}).withColumn("sx", F.floor(F.col("cx") / TILE)).withColumn("sy", F.floor(F.col("cy") / TILE))
+        look = saved(look)
+        met = look.join(F.broadcast(below), ["sx", "sy"]) if below.count() <= FEW else _dealt(look, below, ["sx", "sy"], ["x", "y"])
+        met = met.select("x", "y", F.col("cx").alias("sx"), F.col("cy").alias("sy"), "n", (square(beyond("x")) + square(beyond("y"))).alias("near"), (square(across("x")) + square(across("y"))).alias("far"))
+        held = F.sum("n").over(place.orderBy("far", "sx", "sy").rowsBetween(Window.unboundedPreceding, 0))
+        bound = F.min(F.when(F.col("held") >= k, F.col("far"))).over(place)
+        met = met.withColumn("held", held).withColumn("bound", bound)
+        look = met.filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-12))).select("x", "y", "sx", "sy")
+    met = _dealt(saved(look), leaves, ["sx", "sy"], ["x", "y"])
+    ranked = met.select("x", "y", "facility_id", F.sqrt(square(F.col("x") - F.col("fx")) + square(F.col("y") - F.col("fy"))).alias("distance"))
+    ranked = saved(ranked.withColumn("rank", F.row_number().over(place.orderBy("distance", "facility_id"))).filter(F.col("rank") <= k))
+    return located.join(ranked, ["x", "y"]).select("point_id", "facility_id", "distance", "rank")
+
+
+def density(points: DataFrame, population: DataFrame, radius: float, levels: int = 5) -> DataFrame:
+    """How many of the population (x, y) are within the radius of each point; 0 for a point without coordinates.
+
+    People are added up by place, and places by cells, from a 2**levels-th of the radius up to its half.
+    A point looks at the cells around it from the largest down: of a cell whose places (their bounding
+    box) are all within the circle it takes the number, one whose box the rim crosses it opens, and
+    in the smallest of these it looks at places one by one.  So what it meets follows the rim and
+    not the area.  Points at one place are one, and cells that many points look at are dealt out.
     """
-    places = population.groupBy("x", "y").agg(F.count("*").alias("n")).select(F.col("x").alias("px"), F.col("y").alias("py"), "n")
-    places = places.withColumn("cx", F.floor(F.col("px") / radius)).withColumn("cy", F.floor(F.col("py") / radius))
-    near = points.withColumn("c", F.explode(F.array(*(F.struct((F.floor(F.col("x") / radius) + a).alias("cx"), (F.floor(F.col("y") / radius) + b).alias("cy")) for a, b in product((-1, 0, 1), repeat=2)))))
-    near = near.select(*points.columns, "c.cx", "c.cy")
-    close = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")) <= radius * radius
-    counts = near.join(places, ["cx", "cy"]).filter(close).groupBy("point_id").agg(F.sum("n").alias("density"))
-    return points.join(counts, "point_id", "left").withColumn("density", F.coalesce("density", F.lit(0)))
+    places = population.filter("x is not null and y is not null").groupBy(F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).agg(F.count("*").alias("n"))
+    width = radius / 2**levels
+    places = saved(places.withColumn("cx", F.floor(F.col("px") / width)).withColumn("cy", F.floor(F.col("py") / width)))
+    cells = [saved(places.groupBy("cx", "cy").agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"), F.sum("n").alias("n")))]
+    for _ in range(levels - 1):
+        up = cells[-1].groupBy(F.floor(F.col("cx") / 2).alias("cx"), F.floor(F.col("cy") / 2).alias("cy"))
+        cells.append(saved(up.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))))
+    square = lambda a: a * a
+    beyond = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
+    across = lambda c: F.greatest(F.abs(F.col(f"{c}0") - F.col(c)), F.abs(F.col(f"{c}1") - F.col(c)))
+    at = saved(points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null").distinct())
+
+    def opened(rows: DataFrame, x: Column, y: Column, steps: range) -> DataFrame:
+        around = F.array(*(F.struct((x + a).alias("cx"), (y + b).alias("cy")) for a, b in product(steps, repeat=2)))
+        return rows.select("x", "y", F.explode(around).alias("c")).select("x", "y", "c.cx", "c.cy")
+
+    coarse = width * 2 ** (levels - 1)
+    look, inside = opened(at, F.floor(F.col("x") / coarse), F.floor(F.col("y") / coarse), range(-3, 4)), []
+    for level, table in enumerate(reversed(cells), 1):
+        met = _dealt(look, table, ["cx", "cy"], ["x", "y"]).withColumn("far", square(across("x")) + square(across("y")))
+        met = saved(met.filter(square(beyond("x")) + square(beyond("y")) <= radius * radius).select("x", "y", "cx", "cy", "n", (F.col("far") <= radius * radius).alias("whole")))
+        inside.append(met.filter("whole").select("x", "y", "n"))
+        rim = met.filter("not whole").select("x", "y", "cx", "cy")
+        look = rim if level == levels else opened(rim, F.col("cx") * 2, F.col("cy") * 2, range(2))
+    close = square(F.col("x") - F.col("px")) + square(F.col("y") - F.col("py")) <= radius * radius
+    inside.append(_dealt(look, places, ["cx", "cy"], ["x", "y"]).filter(close).select("x", "y", "n"))
+    counts = reduce(DataFrame.unionByName, inside).groupBy("x", "y").agg(F.sum("n").alias("density"))
+    found = points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(counts, ["x", "y"]).select("point_id", "density")
+    return points.join(found, "point_id", "left").withColumn("density", F.coalesce("density", F.lit(0)))
 
 
 def cutout(df: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
@@ -160,9 +220,9 @@ def cutout(df: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     return boxed.filter(_crossed(F.col("x"), F.col("y"), points) % 2 == 1)
 
 
-def education_places(persons: DataFrame, facilities: DataFrame, k: int, cell: float | None, seed: int) -> DataFrame:
+def education_places(persons: DataFrame, facilities: DataFrame, k: int, seed: int) -> DataFrame:
     """One of the k nearest facilities, each with the same chance."""
-    near = knn(persons, facilities, k, cell)
+    near = knn(persons, facilities, k)
     found = near.groupBy("point_id").agg(F.max("rank").alias("found"))
     pick = F.floor(uniform(seed, "education", F.col("point_id")) * F.col("found")) + 1
     return near.join(found, "point_id").filter(F.col("rank") == pick).select("point_id", "facility_id", "distance")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .population import ordered_ranks
+
 NO_GEOMETRY = 800_000.0  # metres between zones of which one has no shape
 
 
@@ -121,15 +123,22 @@ def expand_counts(counts: DataFrame, count: str = "count") -> DataFrame:
     return counts.filter(F.col(count) > 0).withColumn("unit", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).drop(count)
 
 
+RANKS = 1000  # ranks that meet the destinations together
+
+
 def order_commuters(df: DataFrame) -> DataFrame:
-    """Rank of each person by commute distance within its zone and mode."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("mode", "home_zone_id").orderBy("commute_distance", "person_id")))
+    """Rank (from 1) of each person by commute distance within its zone and mode; a zone's persons are ranked in ranges."""
+    return ordered_ranks(df, ["mode", "home_zone_id"], ["commute_distance", "person_id"], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def pair_by_rank(persons: DataFrame, counts: DataFrame) -> DataFrame:
     """Persons by commute distance meet destinations by zone distance: the ranks fall into the
-    destinations' cumulative counts."""
+    destinations' cumulative counts.  They meet by RANKS of them, so a large zone's persons are dealt
+    out, and each meets the destinations of its part only."""
     w = Window.partitionBy("mode", "origin_id").orderBy("distance", "destination_id").rowsBetween(Window.unboundedPreceding, 0)
     steps = counts.filter("count > 0").withColumn("upto", F.sum("count").over(w)).withColumn("after", F.col("upto") - F.col("count"))
-    ranked = order_commuters(persons).withColumnRenamed("home_zone_id", "origin_id")
-    return ranked.join(steps.select("mode", "origin_id", "destination_id", "upto", "after"), ["mode", "origin_id"]).filter("rank > after and rank <= upto").select("person_id", "mode", "origin_id", "destination_id")
+    part = lambda rank: F.floor((rank - 1) / RANKS).cast("long")
+    steps = steps.withColumn("part", F.explode(F.sequence(part(F.col("after") + 1), part(F.col("upto")))))
+    ranked = order_commuters(persons).withColumnRenamed("home_zone_id", "origin_id").withColumn("part", part(F.col("rank")))
+    met = ranked.join(steps.select("mode", "origin_id", "part", "destination_id", "upto", "after"), ["mode", "origin_id", "part"])
+    return met.filter("rank > after and rank <= upto").select("person_id", "mode", "origin_id", "destination_id")

@@ -1136,7 +1136,7 @@ def _(t):
 
 @query("m13_education_places", f"SELECT point_id, facility_id FROM {KNN} WHERE rank = floor({hashed(12, 'education', 'point_id')} * 5) + 1")
 def _(t):
-    return spatial.education_places(*_knn_sides(t), 5, None, 12).select("point_id", "facility_id")
+    return spatial.education_places(*_knn_sides(t), 5, 12).select("point_id", "facility_id")
 
 
 @query("m14_sample_points", f"SELECT zone_id, unit, round(min_x + {hashed(13, 'point-x', 'zone_id', 'unit', '0')} * 20000, 6) AS x, round(min_y + {hashed(13, 'point-y', 'zone_id', 'unit', '0')} * 20000, 6) AS y FROM {{zones}} JOIN (SELECT municipality_id AS zone_id, unnest(range(0, count(*))) AS unit FROM {{persons}} GROUP BY 1) USING (zone_id)")

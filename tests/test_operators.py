@@ -75,7 +75,7 @@ def test_nearest_facilities_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     points, places_ = rng.uniform(0, 1000, (40, 2)), rng.uniform(0, 300, (60, 2))
     frame = lambda name, a: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{name} long, x double, y double")
-    got = {(r.point_id, r["rank"]): r.facility_id for r in spatial.knn(frame("point_id", points), frame("facility_id", places_), 3, 50.0).collect()}
+    got = {(r.point_id, r["rank"]): r.facility_id for r in spatial.knn(frame("point_id", points), frame("facility_id", places_), 3).collect()}
     d = np.hypot(*(points[:, None] - places_[None]).transpose(2, 0, 1))
     assert got == {(i, k + 1): int(j) for i in range(40) for k, j in enumerate(np.argsort(d[i])[:3])}
 
@@ -256,11 +256,97 @@ def test_nearest_facilities_far_away_missing_or_at_one_place(spark, k):
     assert few.count() == 62 and few.select("rank").distinct().count() == 1
 
 
+@pytest.mark.parametrize("dealt", [False, True])
+def test_nearest_facilities_with_far_outliers_and_crowds(spark, monkeypatch, dealt):
+    """Dense and sparse parts and coordinates of 1e9 m; crowds of places at few leaves are dealt out."""
+    if dealt:
+        for name, value in (("LEAF", 2), ("TILE", 2), ("FEW", 0), ("HOT", 20), ("LOT", 10)):
+            monkeypatch.setattr(spatial, name, value)
+    rng = np.random.default_rng(6)
+    sites = [*map(tuple, rng.normal(0, 5, (120, 2))), *map(tuple, rng.uniform(-1e5, 1e5, (120, 2))), (1e9, 1e9), (-1e9, 3.0), (2e5, 2e5)]
+    points = [*map(tuple, rng.normal(0, 6, (150, 2))), *map(tuple, rng.uniform(-2e5, 2e5, (60, 2))), (1e9, -1e9), (9e8, 9e8)]
+    frame = lambda name, a: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{name} long, x double, y double")
+    got = {(r.point_id, r["rank"]): r.facility_id for r in spatial.knn(frame("point_id", points), frame("facility_id", sites), 4).collect()}
+    d = np.sqrt(((np.array(points)[:, None] - np.array(sites)[None]) ** 2).sum(axis=2))
+    assert got == {(i, r + 1): int(j) for i in range(len(points)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_density_against_all_pairs(spark, monkeypatch, dealt):
+    if dealt:
+        monkeypatch.setattr(spatial, "HOT", 20)
+        monkeypatch.setattr(spatial, "LOT", 10)
+    rng = np.random.default_rng(7)
+    people = [*map(tuple, rng.normal(0, 300, (900, 2)).round(1)), *map(tuple, rng.uniform(-9000, 9000, (300, 2)).round(1)), *[(10.0, 10.0)] * 50, (2510.0, 10.0), (10.0, -2490.0), (1e9, 1e9), (None, 1.0)]
+    points = [*map(tuple, rng.normal(0, 900, (60, 2)).round(1)), *map(tuple, rng.uniform(-12000, 12000, (60, 2)).round(1)), (10.0, 10.0), (10.0, 10.0), (1e9, 1e9), (None, 5.0)]
+    df = spark.createDataFrame([(i, *(None if v is None else float(v) for v in p)) for i, p in enumerate(points)], "point_id long, x double, y double")
+    crowd = spark.createDataFrame([tuple(None if v is None else float(v) for v in p) for p in people], "x double, y double")
+    got = {r.point_id: r.density for r in spatial.density(df, crowd, 2500.0).collect()}
+    near = lambda p: sum(q[0] is not None and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 2500.0**2 for q in people)
+    assert got == {i: 0 if p[0] is None else near(p) for i, p in enumerate(points)}
+
+
+def test_density_compares_the_rim_only(spark, monkeypatch):
+    """Four times the people in the circle: about twice the places that are compared one by one, by the finer cells."""
+    compared = {}
+    dealt = spatial._dealt
+
+    def counted(rows, table, keys, by):
+        out = dealt(rows, table, keys, by)
+        if "px" in table.columns:
+            compared[size, levels] = out.count()
+        return out
+
+    monkeypatch.setattr(spatial, "_dealt", counted)
+    point = spark.createDataFrame([(1, 0.3, 0.4)], "point_id long, x double, y double")
+    for size, levels in ((160, 3), (320, 4)):
+        grid = spark.range(size * size).select(((F.col("id") % size - size // 2) * (80 / size)).alias("x"), (F.floor(F.col("id") / size) - size // 2).cast("double").alias("y"))
+        grid = grid.withColumn("y", F.col("y") * (80 / size))
+        assert spatial.density(point, grid, 30.0, levels).first().density > 0.9 * np.pi * 900 * (size / 80) ** 2
+    assert 0 < compared[320, 4] < 2.8 * compared[160, 3] and compared[160, 3] < 0.5 * np.pi * 900 * 4
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT", 10)
+    monkeypatch.setattr(spatial, "LOT", 50)
+    rows = spark.range(1000).select((F.col("id") % 4 * (F.col("id") % 2)).alias("k"), F.col("id").alias("x"))
+    table = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (3, "d")], "k long, v string")
+    met = spatial._dealt(rows, table, ["k"], ["x"])
+    assert met.count() == 2 * 500 + 500 and "part" not in met.columns
+    assert max(r["count"] for r in met.groupBy("k", F.pmod(F.xxhash64("x"), F.lit(5))).count().collect()) <= 2 * 150  # parts of a key with half of all rows
+
+
+def test_ranks_of_a_group_with_all_rows_take_many_tasks(spark):
+    rows = [("a", int(v), i) for i, v in enumerate(np.random.default_rng(3).integers(0, 50, 3000))] + [("b", 1, 5000), (None, 2, 5001), (None, 1, 5002)]
+    df = spark.createDataFrame(rows, "g string, v long, i long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit one task
+    out = population.ordered_ranks(df, ["g"], ["v", "i"], "r", "n")
+    want = {}
+    for g in ("a", "b", None):
+        mine = sorted((v, i) for h, v, i in rows if h == g)
+        want |= {i: (k, len(mine)) for k, (_, i) in enumerate(mine)}
+    assert {r.i: (r.r, r.n) for r in out.collect()} == want
+    parts = df.repartitionByRange("g", "v", "i").filter("g = 'a'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 2 and max(p["count"] for p in parts) < 2000
+
+
+def test_rank_pairing_of_a_large_zone(spark, monkeypatch):
+    monkeypatch.setattr(zones, "RANKS", 7)
+    rng = np.random.default_rng(4)
+    persons = [(i, "car", 1, float(d)) for i, d in enumerate(rng.uniform(0, 9, 300))]
+    counts = [("car", 1, d, float(d % 5), int(n)) for d, n in enumerate(rng.multinomial(300, [0.02] * 50))]
+    got = zones.pair_by_rank(spark.createDataFrame(persons, "person_id long, mode string, home_zone_id long, commute_distance double"), spark.createDataFrame(counts, "mode string, origin_id long, destination_id long, distance double, count long"))
+    order = [p[0] for p in sorted(persons, key=lambda p: (p[3], p[0]))]
+    places_ = [c[2] for c in sorted(counts, key=lambda c: (c[3], c[2])) for _ in range(c[4])]
+    assert {r.person_id: r.destination_id for r in got.collect()} == dict(zip(order, places_, strict=True))
+
+
 def test_education_places_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     points, sites = rng.uniform(0, 100, (80, 2)), rng.uniform(0, 100, (50, 2))
     frame = lambda name, a: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], f"{name} long, x double, y double")
-    got = {r.point_id: r.facility_id for r in spatial.education_places(frame("point_id", points), frame("facility_id", sites), 5, None, 9).collect()}
+    got = {r.point_id: r.facility_id for r in spatial.education_places(frame("point_id", points), frame("facility_id", sites), 5, 9).collect()}
     d = np.hypot(*(points[:, None] - sites[None]).transpose(2, 0, 1))
     u = lambda i: int(hashlib.md5(f"9:education:{i}".encode()).hexdigest()[:8], 16) / 2**32
     assert got == {i: int(np.argsort(d[i])[int(u(i) * 5)]) for i in range(80)}
