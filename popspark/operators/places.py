@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from ..constants import FIXED_PURPOSES
 from ..functions.scalar import crowfly, uniform
 from ..session import saved
 from .population import ranks
-from .spatial import sample_points
+from .spatial import knn, sample_points
 from .zones import weighted_cdf, weighted_draw
 
 
@@ -275,126 +276,208 @@ def _reaches(lengths: _Distances, cells: np.ndarray, keys: np.ndarray, direct: n
     return reach, gap == 0
 
 
-def _relaxed(start: np.ndarray, end: np.ndarray, reach: np.ndarray, u: np.ndarray, steps: int, eps: float = 75.0, alpha: float = 0.1, lateral: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """Places of chains' free activities such that the legs are as long as ``reach``, and where that holds.
+def _closing(reach: np.ndarray, direct: np.ndarray) -> np.ndarray:
+    """The lengths nearest to ``reach``, by least squares, with which a chain over the direct distance closes.
 
-    One free place is where two circles meet; more are moved along their legs until these fit.
-    ``u``: for each chain an even number of uniforms, at least two for each free place.
+    Lengths that are too short together all grow alike; one that is longer than the rest and the way
+    shrinks by as much as each other grows.
     """
-    n, legs = reach.shape
-    direct = np.hypot(*(end - start).T)
-    angle = 2 * np.pi * u[:, 0]
-    unit = np.where(direct[:, None] > 1e-12, (end - start) / np.maximum(direct, 1e-12)[:, None], np.stack([np.cos(angle), np.sin(angle)], axis=1))
-    normal = np.stack([unit[:, 1], -unit[:, 0]], axis=1)
-    total = reach.sum(axis=1)
-    share = np.where(total[:, None] > 1e-12, np.cumsum(reach[:, :-1], axis=1) / np.maximum(total, 1e-12)[:, None], np.linspace(0, 1, legs - 1))
-    if legs == 2:
-        a, b = reach.T
-        far, near = direct > total, direct < np.abs(a - b)
-        safe = np.maximum(direct, 1e-12)
-        along = 0.5 * (a * a - b * b + direct * direct) / safe
-        off = np.sqrt(np.maximum(0.0, a * a - along * along)) * np.where(u[:, 1] < 0.5, 1.0, -1.0)
-        ratio = np.where(total > 0, share[:, 0], 1.0)
-        along = np.select([direct <= 1e-12, far, near], [a, ratio * direct, ratio * np.maximum(a, b)], along)
-        off = np.where((direct <= 1e-12) | far | near, 0.0, off)
-        return (start + unit * along[:, None] + normal * off[:, None])[:, None], np.where(direct <= 1e-12, a == b, ~(far | near))
-    path = np.concatenate([start[:, None], start[:, None] + unit[:, None] * (share * direct[:, None])[..., None], end[:, None]], axis=1)
-    valid = np.zeros(n, bool)
-    left = np.flatnonzero(_gap(reach, direct) == 0)
-    noise = np.sqrt(-2 * np.log(1 - u[:, 0::2])) * np.cos(2 * np.pi * u[:, 1::2])
-    path[left, 1:-1] += (normal[:, None] * (2 * lateral * (noise[:, : legs - 1] - 0.5))[..., None])[left]
-    before, after = np.ones(legs), np.ones(legs)
-    before[0] = after[-1] = 2.0  # an end of the chain doesn't give way
-    p, want = path[left], reach[left]
-    for _ in range(steps):
-        leg = p[:, :-1] - p[:, 1:]
-        length = np.sqrt(leg[..., 0] ** 2 + leg[..., 1] ** 2)
-        miss = want - length
-        fits = (np.abs(miss) < eps).all(axis=1)
-        if fits.any():
-            path[left[fits]], valid[left[fits]] = p[fits], True
-            keep = ~fits
-            left, p, want, leg, length, miss = left[keep], p[keep], want[keep], leg[keep], length[keep], miss[keep]
-        if not len(left):
-            break
-        push = 0.5 * alpha * (miss / np.maximum(length, 1.0))[..., None] * leg
-        p[:, 1:-1] += push[:, 1:] * after[1:, None] - push[:, :-1] * before[:-1, None]
-    path[left] = p
-    return path[:, 1:-1], valid
+    legs = reach.shape[1]
+    short = np.maximum(direct - reach.sum(axis=1), 0.0)
+    out = reach + (short / legs)[:, None]
+    longest = np.arange(legs) == out.argmax(axis=1)[:, None]
+    over = np.maximum(2 * out.max(axis=1) - out.sum(axis=1) - direct, 0.0)
+    return np.maximum(out + np.where(longest, -1.0, 1.0) * (over / legs)[:, None], 0.0)
+
 
+def _chained(start: np.ndarray, end: np.ndarray, reach: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Places of chains' free activities such that the legs are as long as ``_closing`` has them.
 
-def _relax(start: np.ndarray, end: np.ndarray, reach: np.ndarray, rng: np.random.Generator, steps: int) -> np.ndarray:
-    """The free places of one chain."""
-    return _relaxed(start[None], end[None], np.asarray(reach, float)[None], rng.random((1, 2 * len(reach))), steps)[0][0]
+    One place after the other: how far it is from the end is drawn among the distances that its own leg
+    allows and from which the legs that are left still reach the end; then it lies at one of two points.
+    ``u``: for each chain two uniforms for each free place.
+    """
+    n, legs = reach.shape
+    reach = _closing(reach, np.hypot(*(end - start).T))
+    at, out = start.astype(float), np.empty((n, legs - 1, 2))
+    for k in range(legs - 1):
+        own, rest = reach[:, k], reach[:, k + 1 :]
+        way = end - at
+        now = np.hypot(*way.T)
+        least = np.maximum(np.maximum(2 * rest.max(axis=1) - rest.sum(axis=1), 0.0), np.abs(now - own))
+        most = np.maximum(np.minimum(rest.sum(axis=1), now + own), least)  # they differ by rounding only, where there is one way
+        to_end = least + u[:, 2 * k] * (most - least)
+        there = now > 1e-9
+        angle = np.where(there, np.arctan2(way[:, 1], way[:, 0]), 2 * np.pi * u[:, 2 * k + 1])
+        cosine = np.where(there & (own > 0), (own**2 + now**2 - to_end**2) / np.maximum(2 * own * now, 1e-300), 1.0)
+        turn = np.where(there, np.arccos(np.clip(cosine, -1.0, 1.0)), 0.0) * np.where(u[:, 2 * k + 1] < 0.5, 1.0, -1.0)
+        at = at + own[:, None] * np.stack([np.cos(angle + turn), np.sin(angle + turn)], axis=1)
+        out[:, k] = at
+    return out
 
 
 THRESHOLDS = {"car": 200.0, "car_passenger": 200.0, "pt": 200.0, "bike": 100.0, "walk": 100.0}  # metres that a leg may be off
+OTHER_THRESHOLD = 100.0  # for any other mode
+HELD = 2_000_000  # facilities that are held in each task
 
 
-def assign_secondary(problems: DataFrame, bins: DataFrame, dist: DataFrame, facilities: DataFrame, seed: int, tries: int = 100, draws: int = 1000, steps: int = 1000) -> DataFrame:
-    """Facilities for the free activities of each problem, however many these are.
+class _Problems:
+    """Problems of one size, and what a try makes of them."""
 
-    problems: problem_id, ox, oy, dx, dy, purposes (of the free activities), modes and travel_times (of
-    the legs, one more).  bins and dist: ``time_bins`` and ``distance_distributions``.  facilities:
-    facility_id, purpose, x, y.  Each try draws leg lengths that can close the chain (up to ``draws``
-    times), relaxes the places, snaps them to the nearest facility of their purpose and measures how far
-    a leg is off beyond its mode's threshold; the first try without fault counts, or else the best.
-    Numbers depend on the problem only.  Facilities are held in each task, so their number is checked;
-    so are the distributions, one entry for each distinct distance.  Returns problem_id, position,
-    facility_id, x, y, error (metres beyond the threshold) and valid.
-    """
-    if facilities.count() > 2_000_000:
-        raise ValueError("too many facilities to hold in each task: pass those of one region at a time")
-    lengths = _Distances(bins.toPandas(), dist.groupBy("mode", "bin", "distance").agg(F.max("cdf").alias("cdf")).toPandas())
-    places = facilities.select("facility_id", "purpose", "x", "y").toPandas()
+    def __init__(self, pdf: pd.DataFrame, size: int, lengths: _Distances):
+        self.keys, self.size, self.lengths = pdf["problem_id"].to_numpy(np.int64), size, lengths
+        self.start, self.end = pdf[["ox", "oy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float)
+        self.purposes, modes = (np.array([list(x) for x in pdf[c]], object).reshape(len(pdf), k) for c, k in (("purposes", size), ("modes", size + 1)))
+        self.cells = lengths.cells(modes, np.array([list(x) for x in pdf["travel_times"]], float).reshape(len(pdf), size + 1))
+        self.allowed = np.vectorize(lambda m: THRESHOLDS.get(m, OTHER_THRESHOLD), otypes=[float])(modes)
+        self.direct = np.hypot(*(self.end - self.start).T)
+
+    def tried(self, row: np.ndarray, attempt: np.ndarray, seed: int, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leg lengths, whether the chain can close with these, and the places of the free activities."""
+        reach, closes = _reaches(self.lengths, self.cells[row], self.keys[row], self.direct[row], seed, attempt, draws)
+        u = _uniforms(seed + 1, self.keys[row], attempt * 2 * self.size, 2 * self.size)
+        return reach, closes, _chained(self.start[row], self.end[row], reach, u)
+
+    def off(self, row: np.ndarray, reach: np.ndarray, closes: np.ndarray, xy: np.ndarray) -> np.ndarray:
+        """Metres beyond the threshold with the facilities at ``xy``; -1 without fault."""
+        leg = np.diff(np.concatenate([self.start[row][:, None], xy, self.end[row][:, None]], axis=1), axis=1)
+        off = np.maximum(0.0, np.abs(reach - np.hypot(leg[..., 0], leg[..., 1])) - self.allowed[row]).max(axis=1)
+        off[closes & (off == 0)] = -1
+        return off
+
+
+_SOLVED = "problem_id long, position int, facility_id long, x double, y double, error double, valid boolean"
+
+
+def _lots(tries: int) -> list[tuple[int, int]]:
+    """(first, many): tries come in larger and larger lots for the problems that are left."""
+    out, done, lot = [], 0, 1
+    while done < tries:
+        out.append((done, min(lot, tries - done)))
+        done, lot = done + out[-1][1], lot * 3
+    return out
+
+
+def _held_solver(lengths: _Distances, places: pd.DataFrame, seed: int, tries: int, draws: int):
+    """All lots of tries in one task, which holds the facilities."""
     held = {k: _Nearest(g["facility_id"].to_numpy(np.int64), g[["x", "y"]].to_numpy(float)) for k, g in places.groupby("purpose")}
 
     def solved(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
-        keys = pdf["problem_id"].to_numpy(np.int64)
-        start, end = pdf[["ox", "oy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float)
-        purposes, modes = (np.array([list(x) for x in pdf[c]], object).reshape(len(pdf), k) for c, k in (("purposes", size), ("modes", size + 1)))
-        cells = lengths.cells(modes, np.array([list(x) for x in pdf["travel_times"]], float).reshape(len(pdf), size + 1))
-        allowed = np.vectorize(THRESHOLDS.__getitem__, otypes=[float])(modes)
-        direct = np.hypot(*(end - start).T)
-        score = np.full(len(pdf), np.inf)  # metres beyond the threshold, -1 without fault
+        own_ = _Problems(pdf, size, lengths)
+        score = np.full(len(pdf), np.inf)
         found, where = np.zeros((len(pdf), size), np.int64), np.zeros((len(pdf), size, 2))
 
         def attempted(part: np.ndarray, first: int, many: int) -> None:
             row, k = np.repeat(part, many), np.tile(np.arange(first, first + many), len(part))
-            reach, closes = _reaches(lengths, cells[row], keys[row], direct[row], seed, k, draws)
-            free, fits = _relaxed(start[row], end[row], reach, _uniforms(seed + 1, keys[row], k * 2 * (size + 1), 2 * (size + 1)), steps)
+            reach, closes, free = own_.tried(row, k, seed, draws)
             own, xy = np.zeros((len(row), size), np.int64), np.zeros((len(row), size, 2))
-            for purpose in set(purposes[part].ravel().tolist()):
-                here = purposes[row] == purpose
+            for purpose in set(own_.purposes[part].ravel().tolist()):
+                here = own_.purposes[row] == purpose
                 i = held[purpose](free[here])
                 own[here], xy[here] = held[purpose].ids[i], held[purpose].xy[i]
-            leg = np.diff(np.concatenate([start[row][:, None], xy, end[row][:, None]], axis=1), axis=1)
-            off = np.maximum(0.0, np.abs(reach - np.hypot(leg[..., 0], leg[..., 1])) - allowed[row]).max(axis=1)
-            off[closes & fits & (off == 0)] = -1
+            off = own_.off(row, reach, closes, xy)
             best = np.arange(len(part)) * many + off.reshape(-1, many).argmin(axis=1)
             best = best[off[best] < score[part]]
             score[row[best]], found[row[best]], where[row[best]] = off[best], own[best], xy[best]
 
-        # Tries come in larger and larger lots for the problems that are left.
-        left, done, lot = np.arange(len(pdf)), 0, 1
-        while len(left) and done < tries:
-            lot = min(lot, tries - done)
-            for part in np.array_split(left, -(-len(left) * lot * (size + 1) // 100_000)):
-                attempted(part, done, lot)
+        left = np.arange(len(pdf))
+        for first, many in _lots(tries):
+            if not len(left):
+                break
+            for part in np.array_split(left, -(-len(left) * many * (size + 1) // 100_000)):
+                attempted(part, first, many)
             left = left[score[left] >= 0]
-            done, lot = done + lot, lot * 3
-        error, valid = np.maximum(score, 0.0), score < 0
-        flat = {"problem_id": np.repeat(keys, size), "position": np.tile(np.arange(size), len(pdf)), "facility_id": found.ravel(), "x": where[..., 0].ravel(), "y": where[..., 1].ravel()}
-        return pd.DataFrame(flat | {"error": np.repeat(error, size), "valid": np.repeat(valid, size)})
+        flat = {"problem_id": np.repeat(own_.keys, size), "position": np.tile(np.arange(size), len(pdf)), "facility_id": found.ravel(), "x": where[..., 0].ravel(), "y": where[..., 1].ravel()}
+        return pd.DataFrame(flat | {"error": np.repeat(np.maximum(score, 0.0), size), "valid": np.repeat(score < 0, size)})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for size, group in pdf.groupby(pdf["purposes"].map(len)):
                 yield solved(group, int(size))
 
+    return solve
+
+
+def _by_rounds(problems: DataFrame, lengths: _Distances, facilities: DataFrame, seed: int, tries: int, draws: int) -> DataFrame:
+    """Each lot of tries is a round: tasks draw places, these meet the facilities by ``knn``, and tasks judge what they met."""
+    left, best = saved(problems), None
+    keep = "problem_id long, ox double, oy double, dx double, dy double, purposes array<string>, modes array<string>, travel_times array<double>"
+    left = left.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in keep.split(", ")))
+
+    def proposed(first: int, many: int):
+        def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for size, group in pdf.groupby(pdf["purposes"].map(len)):
+                    own, group = _Problems(group, int(size), lengths), group.reset_index(drop=True)
+                    for part in np.array_split(np.arange(len(group)), -(-len(group) * many * (int(size) + 1) // 100_000)):
+                        row, k = np.repeat(part, many), np.tile(np.arange(first, first + many), len(part))
+                        reach, closes, free = own.tried(row, k, seed, draws)
+                        out = group.iloc[row].reset_index(drop=True)
+                        yield out.assign(attempt=k, reach=list(reach), closes=closes, fx=list(free[..., 0]), fy=list(free[..., 1]))
+
+        return propose
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, group in pdf.groupby(pdf["purposes"].map(len)):
+                own, row = _Problems(group, int(size), lengths), np.arange(len(group))
+                array = lambda c: np.array([list(x) for x in group[c]], float)  # noqa: B023, E731
+                off = own.off(row, array("reach"), group["closes"].to_numpy(bool), np.stack([array("px"), array("py")], axis=2))
+                yield group[["problem_id", "attempt", "ids", "px", "py"]].assign(off=off)
+
+    kinds = [r.purpose for r in facilities.select("purpose").distinct().collect()]  # a handful
+    for first, many in _lots(tries):
+        if left.isEmpty():
+            break
+        tried = saved(left.mapInPandas(proposed(first, many), f"{keep}, attempt long, reach array<double>, closes boolean, fx array<double>, fy array<double>"))
+        points = tried.select("problem_id", "attempt", F.posexplode(F.arrays_zip("purposes", "fx", "fy")).alias("position", "p"))
+        points = points.select(F.struct("problem_id", "attempt", "position").alias("point_id"), "p.purposes", F.col("p.fx").alias("x"), F.col("p.fy").alias("y"))
+        met = []
+        for kind in kinds:
+            own = facilities.filter(F.col("purpose") == kind)
+            near = knn(points.filter(F.col("purposes") == kind), own, 1).select("point_id", "facility_id")
+            met.append(near.join(own.select("facility_id", "x", "y"), "facility_id"))
+        met = reduce(DataFrame.unionByName, met)
+        places = met.groupBy("point_id.problem_id", "point_id.attempt").agg(F.array_sort(F.collect_list(F.struct("point_id.position", "facility_id", "x", "y"))).alias("met"))
+        side = lambda c: F.transform("met", lambda m: m[c])
+        places = places.select("problem_id", "attempt", side("facility_id").alias("ids"), side("x").alias("px"), side("y").alias("py"))
+        judged = tried.join(places, ["problem_id", "attempt"]).mapInPandas(judge, "problem_id long, attempt long, ids array<long>, px array<double>, py array<double>, off double")
+        now = judged.groupBy("problem_id").agg(F.min(F.struct("off", "attempt", "ids", "px", "py")).alias("best"))
+        best = now if best is None else best.unionByName(now).groupBy("problem_id").agg(F.min("best").alias("best"))
+        best = saved(best)
+        left = saved(left.join(best.filter("best.off < 0").select("problem_id"), "problem_id", "left_anti"))
+    if best is None:
+        return problems.sparkSession.createDataFrame([], _SOLVED)
+    flat = best.select("problem_id", "best.off", F.posexplode(F.arrays_zip("best.ids", "best.px", "best.py")).alias("position", "p"))
+    return flat.select("problem_id", "position", F.col("p.ids").alias("facility_id"), F.col("p.px").alias("x"), F.col("p.py").alias("y"), F.greatest("off", F.lit(0.0)).alias("error"), (F.col("off") < 0).alias("valid"))
+
+
+def assign_secondary(problems: DataFrame, bins: DataFrame, dist: DataFrame, facilities: DataFrame, seed: int, tries: int = 100, draws: int = 1000, held: int = HELD) -> DataFrame:
+    """Facilities for the free activities of each problem, however many these are.
+
+    problems: problem_id, ox, oy, dx, dy, purposes (of the free activities), modes and travel_times (of
+    the legs, one more).  bins and dist: ``time_bins`` and ``distance_distributions``.  facilities:
+    facility_id, purpose, x, y.  Each try draws leg lengths that can close the chain (up to ``draws``
+    times), lays the chain out, snaps its places to the nearest facility of their purpose and measures
+    how far a leg is off beyond its mode's threshold; the first try without fault counts, or else the
+    best.  Numbers depend on the problem only.  Up to ``held`` facilities are held in each task; of more,
+    places and facilities meet by joins in rounds of tries, with the same result.  The distributions
+    (an entry for each distinct distance) are held.  Returns problem_id, position, facility_id, x, y,
+    error (metres beyond the threshold) and valid.  A problem with a purpose of which there is no
+    facility gets nulls and is not valid; a mode without distances is refused.
+    """
+    lengths = _Distances(bins.toPandas(), dist.groupBy("mode", "bin", "distance").agg(F.max("cdf").alias("cdf")).toPandas())
+    known = facilities.agg(F.collect_set("purpose").alias("known")).first().known  # a handful
+    met = F.forall("purposes", lambda p: p.isin(known)) if known else F.lit(False)
+    none = problems.filter(~F.coalesce(met, F.lit(False))).select(F.col("problem_id").cast("long").alias("problem_id"), F.posexplode("purposes").alias("position", "purpose"))
+    none = none.selectExpr("problem_id", "position", "cast(null as long) facility_id", "cast(null as double) x", "cast(null as double) y", "cast(null as double) error", "false valid")
+    problems = problems.filter(met)
+    if facilities.count() > held:
+        return _by_rounds(problems, lengths, facilities, seed, tries, draws).unionByName(none)
+    places = facilities.select("facility_id", "purpose", "x", "y").toPandas()
     # Long chains are the hard ones: dealt out by their number, they don't meet in one task.
     dealt = problems.repartition(problems.sparkSession.sparkContext.defaultParallelism * 4, "problem_id")
-    return dealt.mapInPandas(solve, "problem_id long, position int, facility_id long, x double, y double, error double, valid boolean")
+    return dealt.mapInPandas(_held_solver(lengths, places, seed, tries, draws), _SOLVED).unionByName(none)
 
 
 def assemble_locations(acts: DataFrame, home: DataFrame, work: DataFrame, education: DataFrame, secondary: DataFrame) -> DataFrame:

@@ -1208,6 +1208,28 @@ def _(t):
     return places.assign_secondary(rows, places.time_bins(t("trips"), 200), dist, shops, 15).select("problem_id", "position", "facility_id")
 
 
+# Legs of 500 m between ends 2236 m apart: the nearest lengths that close are equal, so the place sought is half-way.
+TWO_LEGS = f"""SELECT person_id * 100 + chain AS k, purposes[1] AS purpose, modes FROM (SELECT person_id, chain, list(following_purpose ORDER BY trip_index) AS purposes, list(mode ORDER BY trip_index) AS modes FROM
+  (SELECT *, coalesce(sum((following_purpose IN ('home', 'work', 'education'))::INT) OVER (PARTITION BY person_id ORDER BY trip_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chain FROM {INDEXED}) GROUP BY 1, 2) WHERE len(purposes) = 2 AND purposes[2] IN ('home', 'work', 'education')"""
+OFF = " ".join(f"WHEN '{m}' THEN {v}" for m, v in places.THRESHOLDS.items())
+
+
+@query("m19_two_leg_chains", f"""WITH p AS (SELECT *, k * 7919 % 100000 + 0.3713::DOUBLE AS ox, k * 104729 % 100000 + 0.7321::DOUBLE AS oy FROM ({TWO_LEGS})),
+f AS (SELECT enterprise_id, x, y, unnest(list_filter(['shop', 'leisure', 'other'], lambda o: o = 'other' OR (o = 'shop' AND noga LIKE '47%') OR (o = 'leisure' AND (noga LIKE '90%' OR noga LIKE '56%')))) AS purpose FROM {{enterprises}}),
+n AS (SELECT k, modes, ox, oy, arg_min({{'id': enterprise_id, 'x': x, 'y': y}}, {{'d': (x - ox - 1000) ** 2 + (y - oy - 500) ** 2, 'id': enterprise_id}}) AS f FROM p JOIN f USING (purpose) GROUP BY ALL)
+SELECT k AS problem_id, f.id AS facility_id, round(greatest(0, abs(500 - sqrt((f.x - ox) ** 2 + (f.y - oy) ** 2)) - CASE modes[1] {OFF} END, abs(500 - sqrt((f.x - ox - 2000) ** 2 + (f.y - oy - 1000) ** 2)) - CASE modes[2] {OFF} END), 5) AS error, false AS valid FROM n""")
+def _(t):
+    k = F.col("person_id") * 100 + F.col("chain")
+    ox, oy = (k * 7919 % 100000 + F.lit(0.3713)), (k * 104729 % 100000 + F.lit(0.7321))
+    rows = places.assignment_problems(_indexed(t)).filter("size = 1").select(k.alias("problem_id"), ox.alias("ox"), oy.alias("oy"), (ox + 2000).alias("dx"), (oy + 1000).alias("dy"), F.slice("purposes", 1, 1).alias("purposes"), "modes", "travel_times")
+    bins = t("trips").select("mode", F.lit(0).alias("bin"), F.lit(2**31).alias("upper")).distinct()
+    dist = bins.select("mode", "bin", F.lit(500.0).alias("distance"), F.lit(1.0).alias("cdf"))
+    offers = recode.offers(t("enterprises"))
+    shops = offers.select(F.col("enterprise_id").alias("facility_id"), F.explode(F.array_compact(F.array(*(F.when(F.col(f"offers_{p}"), p) for p in ("shop", "leisure", "other"))))).alias("purpose"), "x", "y")
+    # By joins, as for more facilities than a task holds.
+    return places.assign_secondary(rows, bins, dist, shops, 15, tries=1, held=0).select("problem_id", "facility_id", F.round("error", 5).alias("error"), "valid")
+
+
 @query("m20_freight_locations", f"SELECT trip_id, p.zone_id, enterprise_id FROM (SELECT o_orderkey AS trip_id, o_orderkey % 25 AS zone_id, {hashed(16, 'origin', 'o_orderkey')} AS u FROM orders) p JOIN (SELECT zone_id, enterprise_id, row_number() OVER (PARTITION BY zone_id ORDER BY enterprise_id) AS rank, count(*) OVER (PARTITION BY zone_id) AS many FROM {{enterprises}}) e ON e.zone_id = p.zone_id AND rank = floor(u * many) + 1")
 def _(t):
     trips = t("orders").select(F.col("o_orderkey").alias("trip_id"), (F.col("o_orderkey") % 25).alias("origin_zone"))

@@ -170,6 +170,27 @@ def test_secondary_places_come_from_all_facilities_and_chains(spark):
     assert all(r.valid and r.error == 0 and r.facility_id >= 6000 for r in got)
     again = places.assign_secondary(problems.repartition(3), bins, dist, shops, 1).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    # More facilities than are held: the same by joins.
+    hard = problems.unionByName(problems.selectExpr("problem_id + 10 problem_id", "ox", "oy", "ox + 9000 dx", "dy", "purposes", "modes", "travel_times"))
+    other = shops.filter("facility_id % 7 = 0").unionByName(shops.filter("facility_id = 5").withColumn("purpose", F.lit("leisure")))
+    held, joined = (sorted(map(tuple, places.assign_secondary(hard, bins, dist, other, 1, tries=5, held=n).collect())) for n in (10**6, 0))
+    assert held == joined and not all(r[-1] for r in held)
+    lost = places.assign_secondary(problems.withColumn("purposes", F.transform("purposes", lambda p: F.lit("swim"))), bins, dist, shops, 1).collect()
+    assert len(lost) == sum(sizes.values()) and all(r.facility_id is None and not r.valid for r in lost)
+
+
+def test_chains_are_as_long_as_drawn():
+    rng = np.random.default_rng(8)
+    for legs in (2, 3, 6):
+        start, end, reach = rng.uniform(0, 1000, (400, 2)), rng.uniform(0, 1000, (400, 2)), rng.uniform(0, 900, (400, legs))
+        end[:40] = start[:40]
+        gap = places._gap(reach, np.hypot(*(end - start).T))
+        free = places._chained(start, end, reach, rng.random((400, 2 * legs)))
+        length = np.hypot(*np.diff(np.concatenate([start[:, None], free, end[:, None]], axis=1), axis=1).transpose(2, 0, 1))
+        assert np.abs(length - reach)[gap == 0].max() < 1e-5 and (gap > 0).any()
+        # A chain that cannot close takes the nearest lengths with which it does: all are off by a share of what is missing.
+        assert np.allclose(np.abs(length - reach)[gap > 0], np.minimum(gap[gap > 0] / legs, 1e9)[:, None], atol=1e-4) or legs > 2
+        assert (np.abs(length - reach).max(axis=1) <= gap + 1e-4).all()
 
 
 def test_persons_of_a_zone_without_enterprises_get_a_work_place(spark):
