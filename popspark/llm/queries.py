@@ -35,7 +35,7 @@ def op6_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    model = urls.train(urls.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    model = urls.train(urls.content_labels(pages))
     return urls.judge(pages, model=model).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 

@@ -15,6 +15,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import html, quality
+from .common import saved
+
 SAMPLE = 20_000  # labelled urls that the trees are fitted on at most
 TREES, DEPTH = 20, 4
 FIT, CHOOSE, TEST = 3, 1, 1  # fifths of the labelled urls: to fit on, to choose the threshold by, to test on
@@ -139,12 +142,27 @@ def _rated(rows: DataFrame, rates: list[tuple[str, float]], mean: float) -> Data
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id") -> DataFrame:
-    """The urls of pages that have a label, once for each: url, label (1: of low quality or toxic, 0: neither)."""
+    """The urls of pages that have a label by their own id, once for each: url, label (1: of low quality or toxic, 0: neither)."""
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     kinds = labels.select(F.col(label_id_col).alias("of"), bad.cast("double").alias("label")).filter("label is not null")
     return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).join(kinds, F.col("id") == F.col("of")).select("url", "label")
 
 
+def content_labels(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Urls labelled by what their pages say: url, label (1: the quality rules reject the page's main text, 0: they keep it).
+
+    At most ``sample`` urls, those with the smallest hashes, so the sample is as large for any input; of
+    several pages of a url the one with the smallest id counts.  Only these pages are parsed and judged.
+    Null urls have no label; a page without html has no words, and is rejected.
+    """
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    chosen = rows.filter("url is not null").groupBy("url").agg(F.min("id").alias("id")).withColumn("at", F.xxhash64("url")).orderBy("at", "url").limit(sample)
+    chosen = F.broadcast(saved(chosen.select(F.col("url").alias("of"), F.col("id").alias("own"))))  # ``sample`` rows at most
+    texts = html.extract(rows.join(chosen, (F.col("url") == F.col("of")) & F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["url"]), "id", "url", "html")
+    judged = quality.judge(saved(texts), id_col="url", text_col="text")
+    return judged.select(F.col("doc_id").alias("url"), (~F.col("kept")).cast("double").alias("label"))
+
+
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
     """Fit on labelled urls (label 1: block, 0: allow), and say what the held-out ones showed.
 

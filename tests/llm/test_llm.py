@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, held-out accuracy and odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -306,6 +307,42 @@ def test_url_trees_block_what_they_have_shown_to_know(spark):
     assert [tuple(r) for r in urls.labelled_urls(pages, odd).collect()] == [(made[1][1], 1.0)]
 
 
+def test_urls_are_labelled_by_their_pages(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    good = lambda: "".join(f"<p>{' '.join(word() for _ in range(40))}. {word()} goes on.</p>" for _ in range(5))
+    rows = [(i, f"https://site.example.org/{'x9' * 9 if i % 3 == 0 else word()}/{i}", f"<article>{'<p>Buy $$$ ### now!!!</p>' * 4 if i % 3 == 0 else good()}</article>") for i in range(900)]
+    rows += [(1000, rows[1][1], "<p>later page of a url</p>"), (1001, None, "<p>x</p>"), (1002, "https://empty.example.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.url: r.label for r in urls.content_labels(pages).collect()}
+    assert got == {u: float(i % 3 == 0) for i, u, _ in rows[:900]} | {"https://empty.example.org/": 1.0}
+    few = urls.content_labels(pages, sample=100).collect()
+    assert len(few) == 100 and all(got[r.url] == r.label for r in few)
+    model = urls.train(urls.content_labels(pages), trees=5)
+    assert model.held_out.informative and model.threshold
+    blocked = {r.page_id for r in urls.judge(pages, rules=(), model=model).collect() if r.verdict == "block"}
+    assert len(blocked ^ set(range(0, 900, 3))) < 20
+    assert urls.content_labels(pages.limit(0)).count() == 0
+
+
+def test_url_features(spark):
+    made = ["https://www.a1.example.com/en/x.html?a=1&b=2#top", "http://b.net", "HTTPS://C.org/?q", "", None, "no url", "ftp://d/é/日?=#=", "http://e.f/" + "9" * 3000]
+    df = urls.with_features(urls.split_url(spark.createDataFrame(list(enumerate(made)), "i long, url string"), "url"), "url")
+    for r in df.collect():
+        url = made[r.i] or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path, tail = re.match(r"[^?#]*", rest[len(host) :])[0], re.sub(r"^[^?#]*", "", rest)
+        entropy = -sum(n / len(url) * math.log2(n / len(url)) for n in Counter(url).values())
+        digits = lambda t: sum(c in "0123456789" for c in t) / max(len(t), 1)
+        want = (len(url), len(host), len(path), host.count("."), path.count("/"), digits(url), digits(host), entropy, tail.count("="), "#" in tail, url.lower().startswith("https:"), len(path.split("/")[-1]))
+        own = (r.n_chars, r.host_chars, r.path_chars, r.domains, r.depth, r.digits, r.host_digits, r.entropy, r.parameters, r.has_fragment, r.secure, r.last_part_chars)
+        assert np.allclose(own, want), url
+        assert r.suffix == host.split(".")[-1]
+    rated = urls._rated(df.limit(2), [("com", 0.75)], 0.25).collect()
+    assert {r.suffix: r.suffix_rate for r in rated} == {"com": 0.75, "net": 0.25}
+
+
 def test_media(docs, rows, empty):
     out = media.media_columns(docs, with_media=True).collect()
     assert len(out) == len(rows)
