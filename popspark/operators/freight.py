@@ -78,14 +78,17 @@ def freight_places(trips: DataFrame, enterprises: DataFrame, levels: list[str],
 
     A zone of the country, at any level, gets one of its enterprises (``levels``: their columns with
     the zone ids of each level), all with the same chance; a zone abroad the border point that is
-    nearest to its centre (borders: zone_id, border_x, border_y, as from ``spatial.border_points``)."""
+    nearest to its centre (borders: zone_id, border_x, border_y, as from ``spatial.border_points``).  A
+    trip in a zone without an enterprise, abroad without a border point, or without a zone has null x and y."""
     own = F.contains(F.col(zone_col), F.lit(country))
     # A row for each enterprise and level; ids tell their level by their length.
     at = enterprises.select("enterprise_id", "x", "y", F.explode(F.array(*levels)).alias("zone_id")).filter("zone_id is not null")
     inside = freight_locations(trips.filter(own), at, zone_col, seed, salt)
     abroad = trips.filter(~own).join(borders, trips[zone_col] == borders["zone_id"])
     kind = enterprises.schema["enterprise_id"].dataType
-    return inside.unionByName(abroad.select("trip_id", "zone_id", F.lit(None).cast(kind).alias("enterprise_id"), F.col("border_x").alias("x"), F.col("border_y").alias("y")))
+    placed = inside.unionByName(abroad.select("trip_id", "zone_id", F.lit(None).cast(kind).alias("enterprise_id"), F.col("border_x").alias("x"), F.col("border_y").alias("y")))
+    lost = trips.join(placed.select("trip_id"), "trip_id", "left_anti").select("trip_id", F.col(zone_col).alias("zone_id"))
+    return placed.unionByName(lost, allowMissingColumns=True)
 
 
 # Transit feeds: a dict of slot name to table.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,7 +20,17 @@ FEW = 10_000  # cells whose controls are sent to every task
 FEW = 100_000  # cells of donors whose counts are sent to every task
 
 
-def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory: int, min_obs: int, seed: int) -> DataFrame:
+def requirements(first: int, following: Callable[[int], int]) -> list[int]:
+    """The numbers of donors asked for one after the other: ``first``, and what ``following`` makes of each, down to 1."""
+    out = [first]
+    while (after := following(out[-1])) >= 1:
+        if after >= out[-1]:
+            raise ValueError("the requirement has to decline")
+        out.append(after)
+    return out
+
+
+def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory: int, min_obs: int, seed: int, following: Callable[[int], int] | None = None) -> DataFrame:
     """For each target (target_id) a donor (donor_id, weight) from the finest cell of attributes with
     enough donors: columns go one by one from the end, down to the first ``mandatory`` ones; if even
     these have too few the required number falls to what they have; then fewer columns still.
@@ -26,7 +38,9 @@ def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory
     Donors are counted once, and these counts summed for each prefix of the columns.  With n(L) donors in the target's cell
     of the first L columns, M mandatory and K columns: m = min(min_obs, n(M)); the level is the largest
     L in M..K with n(L) >= m if m >= 1, else the largest below M with any, else 0 (all donors).  The
-    draw is by the weights, in the order of the donors' attributes and ids.
+    draw is by the weights, in the order of the donors' attributes and ids.  With ``following`` the
+    required numbers are min_obs and what it makes of each (``lambda m: m // 2`` halves them), and m is
+    the largest of these that n(M) reaches, 0 if it reaches none.
     """
     finest = saved(source.groupBy(*columns).agg(F.count("*").alias("n")))
     few = finest.count() <= FEW
@@ -36,6 +50,10 @@ def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory
         counted = counted.join(F.broadcast(own) if few else own, columns[:level], "left")
     n = [None, *(F.coalesce(f"__n{k}", F.lit(0)) for k in range(1, len(columns) + 1))]
     need = F.least(F.lit(min_obs), n[mandatory])
+    if following is not None:
+        need = F.lit(0)
+        for m in reversed(requirements(min_obs, following)):
+            need = F.when(n[mandatory] >= m, m).otherwise(need)
     level = F.lit(0)
     for k in range(1, mandatory):
         level = F.when(n[k] >= 1, k).otherwise(level)
@@ -78,6 +96,16 @@ def match_population(census: DataFrame, survey: DataFrame, head_columns: list[st
     return persons.select("person_id", "household_id", "mz_head_id").join(own.select(F.col("target_id").alias("person_id"), F.col("donor_id").alias("mz_person_id")), "person_id")
 
 
+def unmatched(census: DataFrame, matched: DataFrame) -> DataFrame:
+    """The persons whom ``match_population`` leaves out, and why: person_id, household_id, reason
+    (``no head``: nobody leads the household; ``head without donor``; ``no donor``: for the person)."""
+    left = census.join(matched.select("person_id"), "person_id", "left_anti").select("person_id", "household_id")
+    led = census.filter("is_head").select("household_id").distinct().withColumn("led", F.lit(True))
+    met = matched.select("household_id").distinct().withColumn("met", F.lit(True))
+    why = F.when(F.col("led").isNull(), "no head").when(F.col("met").isNull(), "head without donor").otherwise("no donor")
+    return left.join(led, "household_id", "left").join(met, "household_id", "left").select("person_id", "household_id", why.alias("reason"))
+
+
 def replicate(households: DataFrame, persons: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Households as often as the whole part of their weight, and once more with the rest's chance; with
     their members."""

@@ -981,12 +981,12 @@ COLUMNS = ["sex", "age_class", "number_of_cars_class", "region"]
 TARGETS = "(SELECT person_id AS target_id, sex, age // 15 AS age_class, person_id % 4 AS number_of_cars_class, municipality_id AS region FROM {persons} WHERE person_id % 10 <> 0)"
 
 
-def _hot_deck_steps(name: str, targets: str, columns: list[str], mandatory: int, min_obs: int, seed: int) -> str:
-    """CTEs that end in <name>_drawn (target_id, level, donor_id)."""
+def _hot_deck_steps(name: str, targets: str, columns: list[str], mandatory: int, min_obs: int, seed: int, steps: str | None = None) -> str:
+    """CTEs that end in <name>_drawn (target_id, level, donor_id).  ``steps``: the declining requirements, if they don't decline by one."""
     k = len(columns)
     cell = lambda n, a: " || '|' || ".join([f"'{n}'", *(f"{a}.{x}::VARCHAR" for x in columns[:n])])
     counts = ", ".join(f"(SELECT count(*) FROM {{donors}} d WHERE {' AND '.join(f'd.{x} = t.{x}' for x in columns[:n])}) AS n{n}" for n in range(1, k + 1))
-    need = f"least({min_obs}, n{mandatory})"
+    need = f"list_max(list_filter([0, {steps}], lambda m: m <= n{mandatory}))" if steps else f"least({min_obs}, n{mandatory})"
     fine = "CASE " + " ".join(f"WHEN n{n} >= {need} THEN {n}" for n in range(k, mandatory - 1, -1)) + " END"
     coarse = " ".join(f"WHEN n{n} >= 1 THEN {n}" for n in range(mandatory - 1, 0, -1))
     level = f"CASE WHEN {need} >= 1 THEN {fine} {coarse} ELSE 0 END"
@@ -1011,6 +1011,11 @@ def _(t):
     return matching.hot_deck(t("donors"), _targets(t), COLUMNS, 2, 5, 5)
 
 
+@query("m02_halving_schedule", f"WITH {_hot_deck_steps('m', TARGETS, COLUMNS, 2, 40, 5, '40, 20, 10, 5, 2, 1')} SELECT * FROM m_drawn")
+def _(t):
+    return matching.hot_deck(t("donors"), _targets(t), COLUMNS, 2, 40, 5, lambda m: m // 2)
+
+
 @query("a23_match_levels", _hot_deck_sql("SELECT level, n, sum(n) OVER (ORDER BY level DESC)::BIGINT AS at_least FROM (SELECT level, count(*) AS n FROM m_q GROUP BY 1)"))
 def _(t):
     return matching.match_levels(matching.hot_deck(t("donors"), _targets(t), COLUMNS, 2, 5, 5), len(COLUMNS))

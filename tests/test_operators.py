@@ -80,6 +80,33 @@ def test_nearest_facilities_against_all_pairs(spark):
     assert got == {(i, k + 1): int(j) for i in range(40) for k, j in enumerate(np.argsort(d[i])[:3])}
 
 
+def test_declining_requirements(spark):
+    assert matching.requirements(20, lambda m: m // 2) == [20, 10, 5, 2, 1] and matching.requirements(3, lambda m: m - 1) == [3, 2, 1]
+    with pytest.raises(ValueError, match="decline"):
+        matching.requirements(3, lambda m: m)
+    donors = spark.createDataFrame([(i, 0, i % 2, i % 4, 1) for i in range(9)], "donor_id long, a int, b int, c int, weight int")
+    targets = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 1, 3), (3, 1, 0, 0)], "target_id long, a int, b int, c int")
+    level = lambda *schedule: {r.target_id: r.level for r in matching.hot_deck(donors, targets, ["a", "b", "c"], 1, *schedule).collect()}
+    # 9 donors have a = 0; 5 and 4 by b; 3 and 2 by c.
+    assert level(9, 1) == {1: 1, 2: 1, 3: 0}
+    assert level(10, 1, lambda m: m // 2) == {1: 2, 2: 1, 3: 0}  # 10 is too many, 5 is asked for
+    assert level(12, 1, lambda m: m // 6) == {1: 3, 2: 3, 3: 0}  # then 2
+
+
+def test_persons_who_are_left_out_are_told(spark):
+    census = spark.createDataFrame([(1, 1, True, 0), (2, 1, False, 0), (3, 2, False, 0), (4, 3, True, 5)], "person_id long, household_id long, is_head boolean, a int")
+    matched = spark.createDataFrame([(1, 1)], "person_id long, household_id long")
+    assert {tuple(r) for r in matching.unmatched(census, matched).collect()} == {(2, 1, "no donor"), (3, 2, "no head"), (4, 3, "head without donor")}
+
+
+def test_freight_trips_without_a_place_stay(spark):
+    firms = spark.createDataFrame([(7, 1.0, 2.0, "CH0")], "enterprise_id long, x double, y double, n0 string")
+    borders = spark.createDataFrame([("DE1", 5.0, 6.0)], "zone_id string, border_x double, border_y double")
+    trips = spark.createDataFrame([(1, "CH0"), (2, "CH9"), (3, "DE1"), (4, "FR1"), (5, None)], "trip_id long, o string")
+    got = {r.trip_id: (r.zone_id, r.enterprise_id, r.x) for r in freight.freight_places(trips, firms, ["n0"], borders, "o", "CH", 1, "s").collect()}
+    assert got == {1: ("CH0", 7, 1.0), 2: ("CH9", None, None), 3: ("DE1", None, 5.0), 4: ("FR1", None, None), 5: (None, None, None)}
+
+
 def test_hot_deck_takes_the_finest_cell_with_enough(spark):
     donors = spark.createDataFrame([(i, i % 2, i % 3, 1) for i in range(30)], "donor_id long, a int, b int, weight int")
     targets = spark.createDataFrame([(1, 0, 0), (2, 1, 2), (3, 5, 0)], "target_id long, a int, b int")
