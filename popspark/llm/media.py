@@ -88,7 +88,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns per row: doc_id, n_bytes (UTF-8), payload_bytes, payload_sha256 (read back), tail_crc32
     (of the last 16 bytes read back), media_bytes, media_sha256 (the stored file), feature (pairs
-    and a digest of them), fingerprints (sorted, time-coded; null unless asked for) and media (the
+    and a digest of them), fingerprints (sorted, time-coded; null if not asked for) and media (the
     file; null unless asked for).  Null text counts as empty: one unit of spaces.  A null id stays
     null, repeated rows give repeated rows, an empty table an empty one, and other columns play no
     part.  Each text is handled whole, its spectra in parts.
