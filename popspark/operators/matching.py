@@ -73,7 +73,7 @@ def hot_deck(source: DataFrame, target: DataFrame, columns: list[str], mandatory
         cells = part if cells is None else cells.unionByName(part)
     # Only cells that some target is in.  The level of all donors is one cell, which is cut into more parts.
     cells = cells.join(placed.select("level", "cell").distinct(), ["level", "cell"], "left_semi")
-    cdf = weighted_cdf(cells, ["level", "cell"], ["donor_id"]).select("level", "cell", "donor_id", "cdf_before", "cdf")
+    cdf = weighted_cdf(cells, ["level", "cell"], ["donor_id"], ranged=True).select("level", "cell", "donor_id", "cdf_before", "cdf")
     bins = F.when(F.col("level") == 0, 4096).otherwise(64)
     return weighted_draw(placed, uniform(seed, "match", F.col("target_id")), cdf, ["level", "cell"], bins).select("target_id", "level", "donor_id")
 

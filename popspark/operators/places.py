@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import FIXED_PURPOSES
 from ..functions.scalar import crowfly, uniform
 from ..session import saved
-from .population import ranks
+from .population import ordered_ranks, ranks
 from .spatial import knn, sample_points
 from .zones import weighted_cdf, weighted_draw
 
@@ -122,15 +122,16 @@ def time_bins(trips: DataFrame, n: int) -> DataFrame:
 def distance_distributions(trips: DataFrame, bins: DataFrame) -> DataFrame:
     """Weighted CDF of distances by mode and travel-time bin."""
     binned = trips.join(bins, "mode").filter(F.col("travel_time") <= F.col("upper")).groupBy("person_id", "trip_id", "mode", "distance", "weight").agg(F.min("bin").alias("bin"))
-    return weighted_cdf(binned, ["mode", "bin"], ["distance", "person_id", "trip_id"]).select("mode", "bin", "distance", "person_id", "trip_id", "cdf_before", "cdf")
+    return weighted_cdf(binned, ["mode", "bin"], ["distance", "person_id", "trip_id"], ranged=True).select("mode", "bin", "distance", "person_id", "trip_id", "cdf_before", "cdf")
 
 
 def resample_cdf(dist: DataFrame, factor: float) -> DataFrame:
     """The CDF tilted by a factor that grows with the rank, ending at 1 again."""
-    w = Window.partitionBy("mode", "bin")
-    rank = F.row_number().over(w.orderBy("distance", "person_id", "trip_id")) - 1
-    tilted = dist.withColumn("tilted", F.col("cdf") * (F.lit(1.0) + F.lit(factor) * rank / F.count("*").over(w)))
-    return tilted.withColumn("cdf", F.col("tilted") / F.max("tilted").over(w)).drop("tilted")
+    ranked = ordered_ranks(dist, ["mode", "bin"], ["distance", "person_id", "trip_id"], "__rank", "__many")
+    tilted = ranked.withColumn("tilted", F.col("cdf") * (F.lit(1.0) + F.lit(factor) * F.col("__rank") / F.col("__many"))).drop("__rank", "__many")
+    tilted = saved(tilted)
+    most = tilted.groupBy("mode", "bin").agg(F.max("tilted").alias("__most"))
+    return tilted.join(most, ["mode", "bin"]).withColumn("cdf", F.col("tilted") / F.col("__most")).drop("tilted", "__most")
 
 
 def assignment_problems(trips: DataFrame) -> DataFrame:

@@ -213,6 +213,21 @@ def ordered_ranks(df: DataFrame, by: list[str], order: list[str], name: str, siz
     return out.withColumn(name, F.col("__base") + F.col(name)).drop("__part", "__of", "__base", *(f"__{c}" for c in by))
 
 
+def ordered_sums(df: DataFrame, by: list[str], order: list[str], value: str, upto: str, total: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row in its group, in the order of the columns ``order``, and the group's ``total``.
+
+    As in ``ordered_ranks`` the rows of one group are summed in ranges, to which the sums of the ranges before are added."""
+    ranged = saved(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__sum").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    sums = sums.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__of"), before.alias("__base"), F.sum("__sum").over(group).alias(total))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    out = ranged.withColumn(upto, inside).join(sums, [*same, F.col("__part") == F.col("__of")])
+    return out.withColumn(upto, F.col("__base") + F.col(upto)).drop("__part", "__of", "__base", *(f"__{c}" for c in by))
+
+
 def ranks(df: DataFrame, by: list[str], order: list[str], name: str, together: int = RANKED) -> DataFrame:
     """Adds the rank (from 0) of each row in its group: dense, in the order of a hash part and ``order``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .population import ordered_ranks
+from .population import ordered_ranks, ordered_sums
 
 NO_GEOMETRY = 800_000.0  # metres between zones of which one has no shape
 
@@ -82,8 +82,13 @@ def origin_pdf(od: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sums.withColumn("probability", F.col("weight") / F.sum("weight").over(Window.partitionBy(*by)))
 
 
-def weighted_cdf(df: DataFrame, by: list[str], order: list[str], weight: str = "weight") -> DataFrame:
-    """Cumulative share of the weight in the order within each group: (cdf_before, cdf]."""
+def weighted_cdf(df: DataFrame, by: list[str], order: list[str], weight: str = "weight", ranged: bool = False) -> DataFrame:
+    """Cumulative share of the weight in the order within each group: (cdf_before, cdf].
+
+    ``ranged``: a group is summed by many tasks, in ranges of the order, so it may hold most of the rows; else by one."""
+    if ranged:
+        x = ordered_sums(df, by, order, weight, "__upto", "__total")
+        return x.withColumn("cdf", F.col("__upto") / F.col("__total")).withColumn("cdf_before", (F.col("__upto") - F.col(weight)) / F.col("__total")).drop("__upto", "__total")
     w = Window.partitionBy(*by)
     upto = F.sum(weight).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("cdf", upto / F.sum(weight).over(w)).withColumn("cdf_before", (upto - F.col(weight)) / F.sum(weight).over(w))

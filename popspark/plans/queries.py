@@ -752,7 +752,7 @@ def _(t):
 
 @query("w08_weighted_cdf", "SELECT order_id, round(sum(weight) OVER (PARTITION BY mode ORDER BY distance, order_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY mode), 9) AS cdf FROM {trips}")
 def _(t):
-    return zones.weighted_cdf(t("trips"), ["mode"], ["distance", "order_id"]).select("order_id", F.round("cdf", 9).alias("cdf"))
+    return zones.weighted_cdf(t("trips"), ["mode"], ["distance", "order_id"], ranged=True).select("order_id", F.round("cdf", 9).alias("cdf"))
 
 
 @query("w09_closing_activity", CLOSING)

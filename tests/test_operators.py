@@ -379,6 +379,21 @@ def test_ranks_of_a_group_with_all_rows_take_many_tasks(spark):
     assert len(parts) > 2 and max(p["count"] for p in parts) < 2000
 
 
+def test_sums_of_a_group_with_all_rows_take_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", int(v), i, int(w)) for i, (v, w) in enumerate(rng.integers(1, 50, (2000, 2)))] + [(None, 1, 3000, 4), ("b", 2, 3001, 5)]
+    df = spark.createDataFrame(rows, "g string, v long, i long, weight long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit one task
+    ranged = {r.i: (r.cdf_before, r.cdf) for r in zones.weighted_cdf(df, ["g"], ["v", "i"], ranged=True).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranged == {r.i: (r.cdf_before, r.cdf) for r in zones.weighted_cdf(df, ["g"], ["v", "i"]).collect()} and len(ranged) == 2002
+    dist = df.filter("g = 'a'").selectExpr("'car' mode", "0 bin", "v * 1.0D distance", "i person_id", "1L trip_id").join(spark.createDataFrame([(i, float(b)) for i, (_, b) in ranged.items()], "person_id long, cdf double"), "person_id")
+    got = {r.person_id: r.cdf for r in places.resample_cdf(dist, 0.5).collect()}
+    order = sorted((v, i) for g, v, i, _ in rows if g == "a")
+    tilted = {i: ranged[i][1] * (1 + 0.5 * k / len(order)) for k, (_, i) in enumerate(order)}
+    assert got.keys() == tilted.keys() and all(abs(got[i] - t / max(tilted.values())) < 1e-12 for i, t in tilted.items())
+
+
 def test_rank_pairing_of_a_large_zone(spark, monkeypatch):
     monkeypatch.setattr(zones, "RANKS", 7)
     rng = np.random.default_rng(4)
