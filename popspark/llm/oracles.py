@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import interaction, licenses, mixing, quality
+from . import interaction, licenses, mixing, privacy, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -162,6 +162,44 @@ y AS (SELECT part, filter_order, step, f, count(*) FILTER (NOT fails AND NOT gon
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y"""
 
 
+def op13() -> str:
+    """Matches and the gaps between them give places; then terms near mentions, and counts over all documents."""
+    lower = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digits}[-1 - i]::INT ELSE 2 * {digits}[-1 - i]::INT - CASE WHEN {digits}[-1 - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: NOT regexp_matches(x, '^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$'))) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+    }
+
+    def found(source: str, pattern: str) -> str:
+        return f"""(SELECT r, m, s, s + length(m) AS e FROM (SELECT r, ms[i] AS m, (sum(length(gs[i])) OVER w + sum(length(ms[i])) OVER w)::BIGINT - length(ms[i]) AS s
+  FROM (SELECT r, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM {source})) WINDOW w AS (PARTITION BY r ORDER BY i)))"""
+
+    base = " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {n} AS o, s, e, '{k}:' || {lower('m') if k in ('email', 'ip') else digits} AS entity FROM {found('d', pattern)} WHERE {good}" for n, (k, (pattern, good)) in enumerate(kinds.items()))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    general = f"left(term, {privacy.GENERAL}) || '*'"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS MATERIALIZED ({base}),
+bs AS MATERIALIZED (SELECT r, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS base FROM b GROUP BY r),
+w AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s) AS j FROM (SELECT r, {lower('m')} AS term, s, e FROM {found('(SELECT d.* FROM d SEMI JOIN b ON b.r = d.r)', privacy.TERM)}) x
+  WHERE length(term) >= {privacy.SHORTEST} AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = x.r AND b.s < x.e AND b.e > x.s)),
+m AS MATERIALIZED (SELECT b.r, b.s, entity, count(w.r) AS k FROM b LEFT JOIN w ON w.r = b.r AND w.s < b.s GROUP BY b.r, b.s, b.e, entity),
+near AS MATERIALIZED (SELECT DISTINCT m.r, entity, term, w.s, w.e FROM m JOIN w ON w.r = m.r AND j > k - {privacy.REACH} AND j <= k + {privacy.REACH}),
+pairs AS MATERIALIZED (SELECT entity, unit, count(DISTINCT near.r) AS n_both FROM (SELECT r, entity, unnest([term, {general}]) AS unit FROM near) near JOIN d USING (r) GROUP BY ALL HAVING count(DISTINCT t) >= {privacy.SUPPORT}),
+own AS (SELECT entity, count(DISTINCT r) AS n_entity FROM b GROUP BY entity),
+seen AS (SELECT unit, count(*) AS n_unit FROM (SELECT r, unnest(list_distinct(list_concat(ws, list_transform(ws, lambda term: {general})))) AS unit
+  FROM (SELECT r, list_filter(regexp_extract_all({lower('t')}, '{privacy.TERM}'), lambda x: length(x) >= {privacy.SHORTEST}) AS ws FROM d)) SEMI JOIN pairs USING (unit) GROUP BY unit),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+tells AS MATERIALIZED (SELECT entity, unit FROM pairs JOIN own USING (entity) JOIN seen USING (unit), n WHERE n_entity < n AND ln(n * n_both / (n_entity::DOUBLE * n_unit)) >= {privacy.DISCLOSES} * ln(n / n_entity)),
+hits AS (SELECT r, s, e, max(CASE WHEN g.unit IS NULL THEN '{privacy.METHOD[0]}' ELSE '{privacy.METHOD[1]}' END) AS kind FROM near JOIN tells x ON x.entity = near.entity AND x.unit = term LEFT JOIN tells g ON g.entity = near.entity AND g.unit = {general} GROUP BY r, s, e),
+hs AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kind, s) AS method FROM hits GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, concat_ws(',', base, method) AS spans FROM d LEFT JOIN bs USING (r) LEFT JOIN hs USING (r)"""
+
+
 ORACLE = {
     "op1_quality_rules": op1(),
     "op2_mix_sources": op2(),
@@ -170,4 +208,5 @@ ORACLE = {
     "op10_license_scan": op10(),
     "op11_merkle_manifest": op11(),
     "op12_filter_interaction": op12(),
+    "op13_personal_data": op13(),
 }

@@ -8,7 +8,7 @@ import time
 
 import pytest
 
-from popspark.llm import privacy
+from popspark.llm import oracles, privacy
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -133,6 +133,17 @@ def test_scan(docs, rows, monkeypatch):
     assert sorted((tuple(r) for r in privacy.scan(docs).collect()), key=repr) == want
 
 
+def test_sql_agrees(rows):
+    """The query's SQL over documents in which terms are generalised and removed."""
+    import duckdb
+    import pyarrow as pa
+
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})  # noqa: F841
+    cursor = duckdb.connect().execute(oracles.ORACLE["op13_personal_data"])
+    assert [d[0] for d in cursor.description] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert sorted(cursor.fetchall(), key=repr) == expected(rows)
+
+
 def test_sanitise(docs, rows):
     out = {r.doc_id: r for r in privacy.sanitise(docs).collect() if r.doc_id is not None}
     assert "[email]" in out[61].text and "[...]" in out[61].text and "zyx*" in out[61].text and "yrkon" not in out[61].text
