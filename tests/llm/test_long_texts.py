@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from popspark.llm import licenses, media, mixing, neardup, packing, quality, substring, tokens, urls
+from popspark.llm import interaction, licenses, media, merkle, mixing, neardup, packing, privacy, quality, substring, tokens, urls
 
 SIZE = 12 << 20
 
@@ -73,3 +74,13 @@ def test_long_urls(spark):
     url = "https://www.example.com/en/" + "x1?" * 2_000_000
     (row,) = urls.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).collect()
     assert (row.host, row.path, row.verdict) == ("www.example.com", re.match("[^?]*", url[23:])[0], "allow")
+
+
+def test_manifest_filters_and_personal_data_of_long_texts(docs, text):
+    measured = by_id(interaction.measures(docs.withColumn("lang", F.lit("en"))))
+    assert (measured[1].n_words, measured[1].n_distinct, measured[1].n_chars, measured[1].n_capitals) == (len(text.split()), len(set(text.split())), len(text), 5)
+    checked = merkle.audit(merkle.manifest(docs.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text")))).collect()
+    leaf = hashlib.sha256(f"1:1{1}:a2:en{len(str(len(text)))}:{len(text)}{len(text)}:{text}".encode()).hexdigest()
+    assert len(checked) == 4 and all(r.verified for r in checked) and leaf in {r.leaf for r in checked}
+    found = by_id(privacy.scan(docs.withColumn("text", F.concat("text", F.lit(" ann@example.org")))))
+    assert all(r.n_email == 1 for r in found.values()) and found[1].spans.startswith(f"email:{len(text) + 1}:{len(text) + 16}")
