@@ -52,7 +52,8 @@ def work_gravity(persons: DataFrame, enterprises: DataFrame, seed: int, quotas:
     draw is by employees left (LEAST at least) times a Gaussian of the difference between distance and
     commute, whose deviation is SPREAD or half the smallest difference: the largest logarithm plus
     Gumbel noise.  In each round quotas and enterprises accept as many as they have left, by hash
-    order; after the last round the rest take their best place.
+    order; after the last round the rest take their best place.  A person without coordinates or commute
+    has no distances to compare, and no place.
 
     Persons meet the grid cells of their zones, and enterprises only in cells that can matter.
     """
@@ -88,10 +89,9 @@ def work_gravity(persons: DataFrame, enterprises: DataFrame, seed: int, quotas:
         if not last:
             chance = uniform(seed + k, "accept", F.col("person_id"))
             best = best.join(open_quotas, ["home_zone_id", "zone_id"], "left")
-            turn = F.row_number().over(Window.partitionBy("home_zone_id", "zone_id").orderBy(chance, "person_id"))
-            best = best.withColumn("turn", turn).filter("room is null or turn <= room")
-            turn = F.row_number().over(Window.partitionBy("enterprise_id").orderBy(chance, "person_id"))
-            best = best.withColumn("turn", turn).filter(F.col("turn") <= F.ceil(F.greatest("left", F.lit(LEAST))))
+            # Persons of one quota, or of one enterprise, are ranked in ranges of the hash.
+            best = ordered_ranks(best.withColumn("chance", chance), ["home_zone_id", "zone_id"], ["chance", "person_id"], "turn").filter("room is null or turn < room").drop("turn")
+            best = ordered_ranks(best, ["enterprise_id"], ["chance", "person_id"], "turn").filter(F.col("turn") < F.ceil(F.greatest("left", F.lit(LEAST))))
         got = saved(best.select("person_id", "home_zone_id", "zone_id", "enterprise_id", "wx", "wy", "distance"))
         placed = got if placed is None else placed.unionByName(got)
         if last:
