@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,11 @@ FEW = 10_000  # cells whose controls are sent to every task
 FEW = 100_000  # cells of donors whose counts are sent to every task
 
 
+def population_controls(persons: DataFrame, keys: list[str], growth: str) -> DataFrame:
+    """Persons of each group times the growth (a decimal number), in whole units: exact, as halves go to even numbers."""
+    return persons.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.bround(F.col("n") * F.lit(Decimal(growth))).cast("long").alias("target"))
+
+
 def requirements(first: int, following: Callable[[int], int]) -> list[int]:
     """The numbers of donors asked for one after the other: ``first``, and what ``following`` makes of each, down to 1."""
     out = [first]

@@ -621,8 +621,7 @@ def _(t):
 
 @query("a13_population_controls", f"SELECT canton_id, sex, nationality, {digits('age', c.STATPOP.age_bounds)} AS age_class, round_even(count(*) * 1.1, 0)::BIGINT AS target FROM {{persons}} GROUP BY ALL")
 def _(t):
-    rows = recode.age_class(t("persons")).groupBy("canton_id", "sex", "nationality", "age_class").agg(F.count("*").alias("n"))
-    return rows.select("canton_id", "sex", "nationality", "age_class", F.bround(F.col("n") * F.lit(1.1)).cast("long").alias("target"))
+    return matching.population_controls(recode.age_class(t("persons")), ["canton_id", "sex", "nationality", "age_class"], "1.1")
 
 
 CHAINS = "(SELECT person_id, weight, 'home-' || string_agg(purpose, '-' ORDER BY trip_id) AS chain FROM {days} GROUP BY 1, 2)"

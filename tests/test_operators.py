@@ -520,3 +520,9 @@ def test_income_is_imputed_by_the_attributes(spark):
     assert all((r.income_class >= 3) == (r.age > 50) for r in out)
     share = np.mean([r.income_class % 3 == 1 for r in out if r.imputed])  # drawn from the leaf's shares, not its most frequent class
     assert 0.12 < share < 0.28
+
+
+def test_controls_round_halves_to_even(spark):
+    # 55 persons of one group: 60.5 is rounded to 60, in floating point 55 * 1.1 is a little more.
+    persons = spark.range(55).select(F.lit(1).alias("canton_id"))
+    assert [r.target for r in matching.population_controls(persons, ["canton_id"], "1.1").collect()] == [60]
