@@ -185,17 +185,17 @@ def write_feed(feed: dict[str, DataFrame], folder: str) -> None:
 
 def person_plans(acts: DataFrame, trips: DataFrame, vehicles: DataFrame | None = None) -> DataFrame:
     """One row for each person: activities (with coordinates and facility, where ``acts`` has them) and
-    legs in order, and the person's vehicles by mode, as JSON.  acts: person_id, activity_index, purpose,
+    legs in order (none: empty), and the person's vehicles by mode, as JSON.  acts: person_id, activity_index, purpose,
     start_time, end_time; trips: person_id, trip_index, mode, departure_time, arrival_time; vehicles:
     owner_id, mode, vehicle_id."""
     places = [c for c in ("x", "y", "facility_id") if c in acts.columns]
     a = acts.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("activity_index", "purpose", "start_time", "end_time", *places))).alias("activities"))
     t = trips.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("trip_index", "mode", "departure_time", "arrival_time"))).alias("legs"))
-    out, parts = a.join(t, "person_id", "left"), ["activities", "legs"]
+    out, parts = a.join(t, "person_id", "left").withColumn("legs", F.coalesce("legs", F.array())), ["activities", "legs"]
     if vehicles is not None:
         v = vehicles.groupBy(F.col("owner_id").alias("person_id")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("mode", "vehicle_id")))).alias("vehicles"))
         out, parts = out.join(v, "person_id", "left"), [*parts, "vehicles"]
-    return out.select("person_id", F.size("activities").alias("n_activities"), F.coalesce(F.size("legs"), F.lit(0)).alias("n_legs"), F.to_json(F.struct(*parts)).alias("plan"))
+    return out.select("person_id", F.size("activities").alias("n_activities"), F.size("legs").alias("n_legs"), F.to_json(F.struct(*parts)).alias("plan"))
 
 
 def household_export(persons: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:

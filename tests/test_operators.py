@@ -526,3 +526,10 @@ def test_controls_round_halves_to_even(spark):
     # 55 persons of one group: 60.5 is rounded to 60, in floating point 55 * 1.1 is a little more.
     persons = spark.range(55).select(F.lit(1).alias("canton_id"))
     assert [r.target for r in matching.population_controls(persons, ["canton_id"], "1.1").collect()] == [60]
+
+
+def test_plans_of_persons_without_trips_have_no_legs(spark):
+    acts = spark.createDataFrame([(1, 0, "home", None, None)], "person_id long, activity_index int, purpose string, start_time long, end_time long")
+    trips = spark.createDataFrame([], "person_id long, trip_index int, mode string, departure_time long, arrival_time long")
+    row = tables.person_plans(acts, trips).first()
+    assert row.n_legs == 0 and json.loads(row.plan)["legs"] == []
