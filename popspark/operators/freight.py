@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
-from .population import ranks
+from .population import ordered_ranks, ranks
 
 WEEKDAYS = (1, 2, 3, 4, 5)
 
@@ -66,8 +66,12 @@ def freight_departures(trips: DataFrame, hourly: DataFrame, seed: int) -> DataFr
 
 
 def freight_locations(trips: DataFrame, enterprises: DataFrame, zone_col: str, seed: int, salt: str) -> DataFrame:
-    """A place of the zone for each trip, all with the same chance: ranks within zones, and a pick by hash."""
-    ranked = ranks(enterprises.select("zone_id", "enterprise_id", "x", "y"), ["zone_id"], ["enterprise_id"], "rank")
+    """A place of the zone for each trip, all with the same chance: ranks within zones by id, and a pick by hash."""
+    ranked = ordered_ranks(enterprises.select("zone_id", "enterprise_id", "x", "y"), ["zone_id"], ["enterprise_id"], "rank")
+    return _picked(trips, enterprises, ranked, zone_col, seed, salt)
+
+
+def _picked(trips: DataFrame, enterprises: DataFrame, ranked: DataFrame, zone_col: str, seed: int, salt: str) -> DataFrame:
     many = enterprises.groupBy("zone_id").agg(F.count("*").alias("many"))
     picked = trips.join(many, trips[zone_col] == many["zone_id"]).withColumn("rank", F.floor(uniform(seed, salt, F.col("trip_id")) * F.col("many")))
     return picked.join(ranked, ["zone_id", "rank"]).select("trip_id", "zone_id", "enterprise_id", "x", "y")
@@ -83,7 +87,8 @@ def freight_places(trips: DataFrame, enterprises: DataFrame, levels: list[str],
     own = F.contains(F.col(zone_col), F.lit(country))
     # A row for each enterprise and level; ids tell their level by their length.
     at = enterprises.select("enterprise_id", "x", "y", F.explode(F.array(*levels)).alias("zone_id")).filter("zone_id is not null")
-    inside = freight_locations(trips.filter(own), at, zone_col, seed, salt)
+    # A level above the zones has all enterprises in few ids; their order here is that of hash parts.
+    inside = _picked(trips.filter(own), at, ranks(at.select("zone_id", "enterprise_id", "x", "y"), ["zone_id"], ["enterprise_id"], "rank"), zone_col, seed, salt)
     abroad = trips.filter(~own).join(borders, trips[zone_col] == borders["zone_id"])
     kind = enterprises.schema["enterprise_id"].dataType
     placed = inside.unionByName(abroad.select("trip_id", "zone_id", F.lit(None).cast(kind).alias("enterprise_id"), F.col("border_x").alias("x"), F.col("border_y").alias("y")))

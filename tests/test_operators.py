@@ -533,3 +533,11 @@ def test_plans_of_persons_without_trips_have_no_legs(spark):
     trips = spark.createDataFrame([], "person_id long, trip_index int, mode string, departure_time long, arrival_time long")
     row = tables.person_plans(acts, trips).first()
     assert row.n_legs == 0 and json.loads(row.plan)["legs"] == []
+
+
+def test_freight_places_are_ranked_by_id_in_zones_of_any_size(spark):
+    firms = spark.range(120_000).select(F.lit(1).alias("zone_id"), (F.col("id") * 3).alias("enterprise_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    trips = spark.range(50).select(F.col("id").alias("trip_id"), F.lit(1).alias("zone"))
+    got = {r.trip_id: r.enterprise_id for r in freight.freight_locations(trips, firms, "zone", 16, "origin").collect()}
+    u = {k: int(hashlib.md5(f"16:origin:{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(50)}
+    assert got == {k: int(u[k] * 120_000) * 3 for k in u}
