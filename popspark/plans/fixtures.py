@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -68,9 +69,54 @@ def _needs(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", SHAPES[name])
 
 
+DEALT = 250_000  # rows of a task, about
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """By the keys in parts whose number follows ``rows``: adaptive execution leaves a given number as it
+    is, while partitions of its own grow to 64 MB compressed, some millions of rows that one task sorts."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, rows // DEALT + 1), *keys)
+
+
+def _selected(spark: SparkSession, name: str, joined: DataFrame) -> DataFrame:
+    """The columns of a shape from its joined tables."""
+    return spark.sql(SHAPES[name].rpartition("FROM ")[0].replace("//", "div") + "FROM {joined}", joined=joined)
+
+
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = shape(spark, sf_dir, "orders")
+    return spark.sql(SHAPES["trips"].replace("//", "div"), orders=dealt(orders, orders.count(), "o_custkey"))
+
+
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, trips = shape(spark, sf_dir, "lineitem"), shape(spark, sf_dir, "trips")
+    many = lines.count()
+    joined = dealt(lines, many, "l_orderkey").join(dealt(trips, many, "order_id"), F.col("l_orderkey") == F.col("order_id"))
+    return dealt(_selected(spark, "stages", joined), many, "person_id", "trip_id")
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders, supplier, customer = (shape(spark, sf_dir, n) for n in ("lineitem", "orders", "supplier", "customer"))
+    many = lines.count()
+    journeys = dealt(orders, orders.count(), "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    loads = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = dealt(loads, many, "l_orderkey").join(dealt(journeys, many, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return _selected(spark, "legs", joined)
+
+
+def _legs_by_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(shape(spark, sf_dir, "legs"), shape(spark, sf_dir, "lineitem").count(), "agent_id")
+
+
+# Shapes with a row for each order or item: as their SQL says, dealt out by the keys that they are windowed and grouped by.
+LARGE = {"trips": _trips, "stages": _stages, "legs": _legs, "legs_by_agent": _legs_by_agent}
+
+
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in GIVEN:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in LARGE:
+        return LARGE[name](spark, sf_dir)
     return spark.sql(SHAPES[name].replace("//", "div"), **{n: shape(spark, sf_dir, n) for n in dict.fromkeys(_needs(name))})
 
 

@@ -504,7 +504,7 @@ def _(t):
 
 @query("j24_freight_legs", "SELECT agent_id, journey_id, leg_order, vehicle_code, week FROM {legs} JOIN (SELECT agent_id, max(week) AS w FROM {legs} GROUP BY 1) USING (agent_id)")
 def _(t):
-    legs = t("legs")
+    legs = t("legs_by_agent")  # all joins are within agents
     journey = legs.select("agent_id", "journey_id").distinct()
     week = legs.groupBy("agent_id").agg(F.max("week").alias("last_week"))
     return freight.freight_legs(legs, journey, week).select("agent_id", "journey_id", "leg_order", "vehicle_code", "week")

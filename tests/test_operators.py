@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from popspark import constants as c
 from popspark.functions import scalar
 from popspark.operators import freight, matching, places, population, spatial, zones
+from popspark.plans import fixtures
+from popspark.plans.queries import QUERIES
 from popspark.sources import tables
 
 
@@ -541,3 +543,10 @@ def test_freight_places_are_ranked_by_id_in_zones_of_any_size(spark):
     got = {r.trip_id: r.enterprise_id for r in freight.freight_locations(trips, firms, "zone", 16, "origin").collect()}
     u = {k: int(hashlib.md5(f"16:origin:{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(50)}
     assert got == {k: int(u[k] * 120_000) * 3 for k in u}
+
+
+def test_large_shapes_are_dealt_out_by_their_rows(spark, monkeypatch):
+    # About 6000 lines: their sorts are in parts of 100, whatever adaptive execution would put together.
+    monkeypatch.setattr(fixtures, "DEALT", 100, raising=False)
+    for name in ("u05_freight_union", "w10_loading_legs", "w11_unloading_legs", "t04_distinct_legs", "w03_stage_index", "j24_freight_legs", "a06_transit_trips"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 50, name
