@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,6 +67,18 @@ def utf8(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+T = TypeVar("T")
+
+
+def released(result: T) -> T:
+    """``result``, after the memory that what made it has left goes back to the system: the process
+    lives on into other tasks and stages, and else keeps some tens of megabytes that were freed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+    return result
+
+
 class Remembered(dict):
     """``make(word)`` for words that come again and again, within bounded memory.
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, slices, utf8
+from .common import released, saved, slices, utf8
 from .components import components
 from .windows import _powers, mix
 
@@ -38,6 +38,7 @@ BLOCK = 512  # classes of a bucket or cluster that are compared with as many at
 HEAVY = 2000  # shingles that weigh as much as a class by itself, so that blocks of long texts have fewer classes
 SALTS = 16  # parts in which the rows of one group meet what is known of it
 LOADED = 1 << 18  # shingles of a block that are held at once
+TEXTS = 4 << 20  # bytes of texts that are compared at once, or one pair
 HOT, FEWEST = 1000, 1000  # a key with more than one in HOT of all rows, and FEWEST at least, is dealt out
 PART = 20_000  # rows of blocks in a partition, about
 
@@ -176,9 +177,14 @@ def _confirm(shingle: int, threshold: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                u, v, zu, zv = (c.to_pylist() for c in part.columns)
+            size = zstandard.frame_content_size
+            upto = np.cumsum([size(a.as_py()) + size(b.as_py()) for a, b in zip(batch.column(2), batch.column(3), strict=True)])
+            start = stop = 0
+            while stop < batch.num_rows:
+                start, done = stop, upto[stop - 1] if stop else 0
+                stop = min(start + 256, max(start + 1, int(np.searchsorted(upto, done + TEXTS, "right"))))
+                part = batch.slice(start, stop - start)
+                zu, zv = (part.column(k).to_pylist() for k in (2, 3))
                 texts = {z: None for z in zu + zv}
                 sets = dict(zip(texts, shingle_sets([tool.decompress(z) for z in texts], shingle), strict=True))
                 linked = []
@@ -188,6 +194,8 @@ def _confirm(shingle: int, threshold: int):
                     common = int((both[1:] == both[:-1]).sum())
                     linked.append(100 * common >= threshold * (len(both) - common))
                 yield part.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+            texts = sets = zu = zv = None
+            released(None)
 
     return confirm
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import suffix, windows
-from .common import saved, slices, utf8
+from .common import released, saved, slices, utf8
 
 SPAN = 50
 BLOCK = 8 << 20  # bytes of text in a block
@@ -95,6 +95,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield block()
+    held = []
+    released(None)
 
 
 class _Block:
@@ -117,6 +119,10 @@ class _Block:
         self.number = np.empty(len(key), np.int64)
         self.number[order] = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]]) - 1 if len(key) else 0
 
+    def forget(self) -> None:
+        """Of the block only its documents are needed from now on."""
+        del self.runs, self.key, self.many, self.several, self.number
+
     def by_bucket(self) -> Iterator[tuple[int, slice]]:
         bucket = (self.key >> np.uint64(32)).astype(np.int64)
         some, first, many = np.unique(bucket, return_index=True, return_counts=True)
@@ -125,24 +131,27 @@ class _Block:
 
 
 def _fingerprints(span: int, buckets: int) -> Callable:
+    def sent(key: int, payload: bytes) -> pa.RecordBatch:
+        block = _Block(payload, span, buckets)
+        low = (block.key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        rows = []
+        for b, s in block.by_bucket():
+            often = np.flatnonzero(block.many[s] > FEW)
+            counts = often.astype(np.int32).tobytes() + block.many[s][often].astype(np.int32).tobytes()
+            rows.append((b, key, 1, s.stop - s.start, np.packbits(block.several[s]).tobytes() + low[s].tobytes() + counts))
+        return _rows(rows)
+
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block = _Block(payload.as_py(), span, buckets)
-                low = (block.key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows = []
-                for b, s in block.by_bucket():
-                    often = np.flatnonzero(block.many[s] > FEW)
-                    counts = often.astype(np.int32).tobytes() + block.many[s][often].astype(np.int32).tobytes()
-                    rows.append((b, key, 1, s.stop - s.start, np.packbits(block.several[s]).tobytes() + low[s].tobytes() + counts))
-                yield _rows(rows)
+                yield released(sent(key, payload.as_py()))
 
     return fingerprints
 
 
 def _shared(hot: int) -> Callable:
     def shared(key: tuple, table: pa.Table) -> pa.Table:
-        return _answers(key, table, hot)
+        return released(_answers(key, table, hot))
 
     return shared
 
@@ -230,6 +239,9 @@ def _with_answers(blocks: pa.Table, answers: pa.Table) -> tuple[bytes, dict[int,
 
 def _pieces(span: int, buckets: int, shards: int) -> Callable:
     def pieces(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        return released(sent(key, blocks, answers))
+
+    def sent(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         payload, bits, _ = _with_answers(blocks, answers)
         p = _Pieces(_Block(payload, span, buckets), bits, span, shards)
         rows = []
@@ -244,6 +256,9 @@ def _pieces(span: int, buckets: int, shards: int) -> Callable:
 
 def _shard(span: int) -> Callable:
     def shard(key: tuple, table: pa.Table) -> pa.Table:
+        return released(found(key, table))
+
+    def found(key: tuple, table: pa.Table) -> pa.Table:
         loaded = [_load(x.as_py(), np.uint8, np.int16, np.int64, np.int64) for x in table.column("payload")]
         text, size, low, high = (np.concatenate(x) for x in zip(*loaded, strict=True))
         size = size.astype(np.int64)
@@ -255,14 +270,19 @@ def _shard(span: int) -> Callable:
         np.minimum.at(least, number, low)
 
         # The distinct strings one after the other, each with a separator.
+        # Places fit 32 bits, as they do in the suffix array.
         own = size[one]
         at = np.cumsum(own + 1) - own - 1
         total = int((own + 1).sum())
-        where = np.repeat(begin[one] - at, own + 1) + np.arange(total)
-        t = text[np.minimum(where, len(text) - 1)].astype(np.int16) + np.int16(2)
+        of = np.repeat(np.arange(len(one), dtype=np.int32), own + 1)
+        where = np.arange(total, dtype=np.int32)
+        where += (begin[one] - at).astype(np.int32)[of]
+        t = text[np.minimum(where, len(text) - 1, out=where)].astype(np.int16)
+        t += np.int16(2)
         t[at + own] = 1
-        is_start = np.arange(total) - np.repeat(at, own + 1) <= np.repeat(own - span, own + 1)
-        of = np.repeat(np.arange(len(one)), own + 1)
+        where = np.arange(total, dtype=np.int32)
+        is_start = where <= (at + own - span).astype(np.int32)[of]
+        del text, where
 
         sa = suffix.suffix_array(np.r_[t, np.int16(0)], span)
         data = np.r_[np.where(t > 1, t - 2, 0).astype(np.uint8), np.zeros(span + 8, np.uint8)]
@@ -301,7 +321,8 @@ def _shard(span: int) -> Callable:
 
 def _removed(block: _Block, bits: dict[int, bytes], found: dict[int, bytes], span: int, shards: int) -> np.ndarray:
     """True for each byte of the block that goes."""
-    change = np.zeros(len(block.data) + 1, np.int32)
+    # Stretches of windows begin at different bytes and end at different ones, so a byte lies in few of them.
+    change = np.zeros(len(block.data) + 1, np.int16)
     if found:
         p = _Pieces(block, bits, span, shards)
         pieces, first, last, value = [], [], [], []
@@ -320,9 +341,9 @@ def _removed(block: _Block, bits: dict[int, bytes], found: dict[int, bytes], spa
         string = np.repeat(np.arange(len(p.piece)), each)
         hit = value[index] < block.ids[p.doc[string]]
         index, begin = index[hit], p.begin[string[hit]]
-        change += np.bincount(begin + first[index], minlength=len(change)).astype(np.int32)
-        change -= np.bincount(begin + last[index] + span, minlength=len(change)).astype(np.int32)
-    return np.cumsum(change[:-1]) > 0
+        change[begin + first[index]] += 1
+        change[begin + last[index] + span] -= 1
+    return np.cumsum(change[:-1], dtype=np.int16) > 0
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, extra string"
@@ -331,30 +352,29 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 def _apply(span: int, buckets: int, shards: int, texts: bool) -> Callable:
     def apply(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        return released(judged(key, blocks, answers))
+
+    def judged(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         payload, bits, found = _with_answers(blocks, answers)
         block = _Block(payload, span, buckets)
         gone = _removed(block, bits, found, span, shards)
+        del payload, bits, found
+        block.forget()
         ends = np.cumsum(block.lengths)
         begins = ends - block.lengths
-        before = np.r_[0, np.cumsum(gone)]
-        rises = gone.copy()
-        rises[1:] &= ~gone[:-1]
-        inner = begins[(begins > 0) & (begins < len(gone))]
-        rises[inner] = gone[inner]
-        spans = np.r_[0, np.cumsum(rises)]
         extra_ends = np.cumsum(block.extra_lengths)
-        kept, digests = [], []
+        kept, digests, removed, spans = [], [], [], []
         for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-            rest = block.data[a:b]
-            if before[b] > before[a]:
-                rest = rest[~gone[a:b]]
-            rest = rest.tobytes()
+            data, own = block.data[a:b], gone[a:b]
+            removed.append(int(np.count_nonzero(own)))
+            spans.append(int(own[0]) + int(np.count_nonzero(own[1:] > own[:-1])) if removed[-1] else 0)
+            rest = (data[~own] if removed[-1] else data).tobytes()
             digests.append(hashlib.sha256(rest).hexdigest())
             if texts:
-                kept.append(_whole(block.data[a:b], gone[a:b]) if before[b] > before[a] else rest)
+                kept.append(_whole(data, own) if removed[-1] else rest)
         extra = [bytes(block.extra[b - n : b]).decode() for b, n in zip(extra_ends.tolist(), block.extra_lengths.tolist(), strict=True)]
         ids = pa.array(block.ids, mask=block.ids == LAST)
-        cols = [ids, block.lengths, before[ends] - before[begins], spans[ends] - spans[begins], digests, kept or [None] * len(digests), extra]
+        cols = [ids, block.lengths, removed, spans, digests, kept or [None] * len(digests), extra]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _RESULT, strict=True)], schema=_RESULT)
 
     return apply

@@ -162,9 +162,9 @@ def suffix_array(t: np.ndarray, horizon: int | None = None) -> np.ndarray:
         k += 1
         active = active[~differ]
         active = active[length[active] >= k]
-    of = np.empty(n, np.int32)
-    of[ranked] = np.r_[0, np.cumsum(~same)]
-    names = of[lms]
+    until[ranked] = np.r_[0, np.cumsum(~same)]
+    names = until[lms]
+    del sa, by_first, until, a, b, length, same
     if int(names.max()) + 1 < len(names):
         steps = len(names) if horizon is None else horizon // 2 + 2  # LMS positions are two apart at least
         ranked = lms[_order_names(names.astype(np.int64), steps)]
