@@ -98,6 +98,10 @@ class Remembered(dict):
 
     def __missing__(self, word):
         value = self.make(word)
+        self.keep(word, value)
+        return value
+
+    def keep(self, word, value) -> None:
         if len(word) <= self.LONGEST:
             at = hash(word) & ((1 << self.BITS) - 1)
             byte, bit = at >> 3, 1 << (at & 7)
@@ -110,4 +114,3 @@ class Remembered(dict):
                     self.forget()
                 self.seen[byte] |= bit
                 self.many += 1
-        return value

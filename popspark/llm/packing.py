@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, saved, slices
+from .common import Remembered, saved, slices, utf8
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END = 0  # the identifier after each document
 CHUNK = 1000  # pieces that are ranked together, about
+SLICE = 2 << 20  # bytes of texts whose words are cut out together
 
 
 class Share(NamedTuple):
@@ -158,34 +159,109 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Share],
 
 
 class ByteIds:
-    """Identifiers of a text under a byte-level vocabulary, as little-endian 32-bit bytes.
+    """Identifiers of texts under a byte-level vocabulary, as little-endian 32-bit numbers.
 
-    The vocabulary's words come from a fixed pattern and are encoded one by one, so the identifiers
-    of a word are remembered.  Texts with other characters than those the pattern is sure to split
-    as the library does (controls, letters beyond Latin) or with the end-of-text mark go to the
-    library as a whole.
+    The vocabulary's words come from a fixed pattern and are encoded one by one.  Many texts are cut
+    into words at once, by the kinds of adjacent bytes; of equal words one is looked up, and the
+    identifiers of a word that comes again are remembered.  Texts with other characters than those
+    the pattern is sure to split as the library does (controls, letters beyond Latin) or with the
+    end-of-text mark go to the library as a whole.
     """
 
     _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
     _NUMBERS = "0-9²³¹¼-¾"
     _SPACES = "\t\n\r "
+    _SURE = "\t\n\r -~¡-¬®-ɏ"
+    LETTER, NUMBER, MARK, BLANK, UNSURE, BETWEEN = range(6)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        a, n, s = self._LETTERS, self._NUMBERS, self._SPACES
-        self.split = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{a}]+| ?[{n}]+| ?[^{s}{a}{n}]+|[{s}]+(?![^{s}])|[{s}]+").findall
-        self.other = re.compile("[^\t\n\r -~¡-¬®-ɏ]|<\\|").search
-        self.ids = Remembered(self.whole)
+        if self.library.normalizer is not None:
+            raise ValueError("the vocabulary changes texts before it splits them")
+        self.model = self.library.model
+        self.kinds = np.full(0x280, self.UNSURE, np.uint8)  # by code point, as far as a lead byte of ɏ goes
+        for kind, among in ((self.MARK, self._SURE), (self.LETTER, self._LETTERS), (self.NUMBER, self._NUMBERS), (self.BLANK, self._SPACES)):
+            self.kinds[[c for c in range(0x280) if re.match(f"[{among}]", chr(c))]] = kind
+        self.bytes = np.where(np.arange(256) < 0x80, self.kinds[:256], self.UNSURE)
+        # The vocabulary's characters for bytes: those that can be printed stand for themselves, the others for 256, 257, ..
+        shown = np.isin(np.arange(256), [*range(33, 127), *range(161, 173), *range(174, 256)])
+        self.letters = np.where(shown, np.arange(256), 255 + (~shown).cumsum()).astype("<u4")
+        self.ids = Remembered(None)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if self.other(text):
-            return self.whole(text)
-        return b"".join(map(self.ids.__getitem__, self.split(text)))
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The identifiers of different words."""
+        out = list(map(self.ids.get, words))
+        new = [k for k, found in enumerate(out) if found is None]
+        text = self.letters[np.frombuffer(b"".join([words[k] for k in new]), np.uint8)].tobytes().decode("utf-32-le")
+        flat: list[int] = []
+        at, stops = 0, [0]
+        for k in new:
+            word, at = text[at : at + len(words[k])], at + len(words[k])
+            flat += [t.id for t in self.model.tokenize(word)]
+            stops.append(len(flat))
+        found = np.array(flat, "<u4").tobytes()
+        for k, start, stop in zip(new, stops, stops[1:], strict=False):
+            out[k] = found[4 * start : 4 * stop]
+            self.ids.keep(words[k], out[k])
+        return out
+
+    def _starts(self, data: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Where words start.  They are runs of one kind, with a space before them, if there is one;
+        the white space before that; and what stands for a verb after an apostrophe."""
+        starts = np.ones(len(data), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+        starts[kinds == self.BETWEEN] = True
+        last = np.flatnonzero((kinds[:-1] == self.BLANK) & (kinds[1:] < self.BLANK))
+        starts[last] = True
+        starts[last + 1] = data[last] != 32
+        at = np.flatnonzero(data == ord("'"))
+        at = at[starts[at]]
+        one, two = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+        size = np.where(np.isin(one, list(b"stmd")), 2, 0)
+        for a, b in (b"re", b"ve", b"ll"):
+            size[(one == a) & (two == b)] = 3
+        at, size = at[size > 0], size[size > 0]
+        starts[at + 1] = False
+        starts[at + size] = True
+        return starts
+
+    def encode(self, texts: list[bytes], end: int) -> list[memoryview]:
+        """The identifiers of each text, and ``end``."""
+        if not texts:
+            return []
+        tail = int(end).to_bytes(4, "little")
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        kinds = self.bytes[data]
+        pair = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))  # lead bytes of U+0080 to U+027F
+        pair = pair[data[pair + 1] & 0xC0 == 0x80]
+        kinds[pair] = kinds[pair + 1] = self.kinds[(data[pair] & 0x1F).astype(np.int64) << 6 | data[pair + 1] & 0x3F]
+        kinds[ends] = self.BETWEEN
+        unsure = kinds == self.UNSURE
+        unsure[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        odd = set(np.searchsorted(ends, np.flatnonzero(unsure)).tolist())
+        if odd:
+            out = self.encode([b"" if k in odd else t for k, t in enumerate(texts)], end)
+            for k in odd:
+                out[k] = memoryview(self.whole(texts[k].decode()) + tail)
+            return out
+        offsets = np.append(np.flatnonzero(self._starts(data, kinds)), len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        codes = words.indices.to_numpy()
+        known = self._known(words.dictionary.to_pylist())
+        known[codes[-1]] = tail  # the word between texts
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        many = length[codes]
+        stop = many.cumsum()
+        place = np.repeat((length.cumsum() - length)[codes] - (stop - many), many) + np.arange(stop[-1])
+        ids = memoryview(np.frombuffer(b"".join(known), "<u4")[place].tobytes())
+        edges = (4 * stop[codes == codes[-1]]).tolist()
+        return [ids[a:b] for a, b in zip([0, *edges], edges, strict=False)]
 
 
 @lru_cache(2)
@@ -200,16 +276,14 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
     """The pieces of each document: its identifiers and ``end``, cut into pieces of ``capacity`` if
     there are more; then the first piece takes what is over.  Null text is empty: the end alone.  A
     null id stays null, repeated rows are cut each, an empty table gives an empty one."""
-    tail = int(end).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         own = byte_ids(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(own.encode(text or "") + tail)
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(utf8(batch.column(1)), end), strict=True):
                 total = len(ids) // 4
                 first = total % capacity or capacity
                 for piece, start in enumerate([0, *range(first, total, capacity)]):

@@ -1,7 +1,10 @@
-"""Fixing many equal sets at once against one by one."""
+"""Fixing many equal sets at once against one by one; texts cut into words at once against the library."""
 
 import random
 
+import numpy as np
+import public_tokenizers
+
 from popspark.llm import packing
 
 
@@ -24,3 +27,23 @@ def test_sets_fixed_at_once_are_those_fixed_one_by_one():
         assert all(x <= capacity for x in room.values())
         assert all(together.done[x] + together.left[x] == n for x, n in counts.items())
     assert at_once > 100
+
+
+def test_words_of_many_texts_are_those_of_the_library(monkeypatch):
+    rng = random.Random(5)
+    own = packing.ByteIds(public_tokenizers.path(packing.TOKENIZER))
+    expected = lambda t: np.array([*own.library.encode(t, add_special_tokens=False).ids, 7], "<u4").tobytes()
+    sure = [*"aZq09'-.!<|%$ \t\n\r", *"' stmdrevl" * 2, "  ", "\n\n", " \n", "'re", "'ll", "'S", "the", "nicht", *"ªµº²³¹¼¾¡¬®¿×÷Àßéÿ", "Ā", "ƻ", "ǃ", "ɏ"]
+    other = ["\0", "\x0b", "\x1c", "\x7f", "\x85", "\xa0", "\xad", "ɐ", "ʰ", "Ω", "中", "😀", "’", " ", "é", "<|endoftext|>"]
+    texts = ["".join(rng.choices(sure, k=rng.randint(0, 30))) for _ in range(6000)]
+    texts += ["".join(rng.choices(sure + other, k=rng.randint(0, 30))) for _ in range(2000)]
+    texts += ["a" * 70_000, " " * 5000, "\n" * 5000 + "a", "'s" * 3000, "", "", "\0"]
+    rng.shuffle(texts)
+    for among in (texts, [""], ["", ""], ["'"], ["\0"], []):
+        assert [bytes(x) for x in own.encode([t.encode() for t in among], 7)] == [expected(t) for t in among]
+    # The library splits no text but those with other characters, and no single word.
+    asked = []
+    monkeypatch.setattr(packing.ByteIds, "whole", lambda self, text: asked.append(text) or b"")
+    own = packing.ByteIds(public_tokenizers.path(packing.TOKENIZER))
+    own.encode([b"some words, and words again", "中 word".encode(), b"it's more", b""], 0)
+    assert asked == ["中 word"]
